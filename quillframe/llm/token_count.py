@@ -6,8 +6,9 @@ initial symbols minus the merges, plus the extra bytes of symbols that the
 vocabulary lacks (byte fallback). No identifier is made.
 
 Merges cannot cross a place where no piece of the vocabulary has the two
-characters together, so a text is cut before each run of word marks and at line
-breaks, and the count of each distinct unit is kept in a bounded table.
+characters side by side, so a text is cut before each run of word marks, at line
+breaks and at such places, and the count of each distinct unit is kept in a
+bounded table.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from quillframe.llm.common import map_batches
 
 MARK = "▁"
 #: Entries of the table of unit counts; it is emptied when full, which changes no result.
-MEMO = 200_000
+MEMO = 700_000
 #: Longer units are counted each time, so that the table stays small.
 MEMO_CHARS = 64
 
@@ -86,33 +87,35 @@ class PieceModel:
             raise ValueError("only the identity normalizer with a leading mark is supported")
         if any(MARK in p.lstrip(MARK) for p in self.cost):
             raise ValueError("pieces with a mark inside are not supported")
+        #: Characters that stand side by side in some piece; merges cross no other place.
+        self.pairs = {p[i : i + 2] for p in self.cost for i in range(len(p) - 1)}
+        self.known = {p for p in self.cost if len(p) == 1}
         self.line_break = not any("\n" in p for p in self.cost)
         self.memo = _Memo(self)
 
-    def unit(self, unit: str) -> int:
-        """Tokens of a unit on its own."""
-        n, cost = len(unit), self.cost
-        symbol: list[str] = list(unit)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(c, i, 2) for i in range(n - 1) if (c := cost.get(symbol[i] + symbol[i + 1])) is not None]
+    def unit(self, u: str) -> int:
+        """Tokens of a unit on its own. A symbol is u[i:end[i]]; end is 0 where no symbol starts any more."""
+        n, get, pop, push = len(u), self.cost.get, heapq.heappop, heapq.heappush
+        end, before = [*range(1, n + 1)], [*range(-1, n)]
+        heap = [(c, i, i + 2) for i in range(n - 1) if (c := get(u[i : i + 2])) is not None]
         heapq.heapify(heap)
         merges = 0
         while heap:
-            _, i, size = heapq.heappop(heap)
-            if not symbol[i] or (j := after[i]) >= n or len(symbol[i]) + len(symbol[j]) != size:
+            _, i, stop = pop(heap)
+            j = end[i]
+            if not 0 < j < n or end[j] != stop:
                 continue
-            symbol[i] += symbol[j]
-            symbol[j] = ""
+            end[i], end[j] = stop, 0
             merges += 1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (c := cost.get(symbol[i] + symbol[k])) is not None:
-                    heapq.heappush(heap, (c, i, len(symbol[i]) + len(symbol[k])))
-            if (h := before[i]) >= 0 and (c := cost.get(symbol[h] + symbol[i])) is not None:
-                heapq.heappush(heap, (c, h, len(symbol[h]) + len(symbol[i])))
-        extra = sum(len(s.encode("utf-8", "surrogatepass")) - 1 for s in symbol if len(s) == 1 and s not in cost)
-        return n - merges + extra
+            if stop < n:
+                before[stop] = i
+                if (c := get(u[i : (k := end[stop])])) is not None:
+                    push(heap, (c, i, k))
+            if i and (c := get(u[(h := before[i]) : stop])) is not None:
+                push(heap, (c, h, stop))
+        if self.known.issuperset(u):
+            return n - merges
+        return n - merges + sum(len(u[i].encode()) - 1 for i in range(n) if end[i] == i + 1 and u[i] not in self.known)
 
     def count(self, text: str) -> int:
         """Tokens of a whole text; an empty one has none."""
@@ -139,14 +142,20 @@ class PieceModel:
 class _Memo(dict):
     """Counts of units; .marked has those of units that follow a mark, by what follows."""
 
-    def __init__(self, model: PieceModel, prefix: str = ""):
+    def __init__(self, model: PieceModel, prefix: str = "", plain: _Memo | None = None):
         super().__init__()
         self.model, self.prefix = model, prefix
-        if not prefix:
-            self.marked = _Memo(model, MARK)
+        self.plain = self if plain is None else plain
+        if plain is None:
+            self.marked = _Memo(model, MARK, self)
 
     def __missing__(self, unit: str) -> int:
-        n = self.model.unit(self.prefix + unit)
+        u, pairs, skip = self.prefix + unit, self.model.pairs, len(self.prefix)
+        cuts = [i for i in range(skip + 1, len(u)) if u[i - 1 : i + 1] not in pairs]  # no merge crosses these
+        if cuts:
+            n = self[u[skip : cuts[0]]] + sum(self.plain[u[i:j]] for i, j in zip(cuts, [*cuts[1:], len(u)], strict=True))
+        else:
+            n = self.model.unit(u)
         if len(unit) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.clear()
