@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import decontaminate, token_count
+from quillframe.llm import decontaminate, mixing, quality_rules, token_count
 from quillframe.llm.common import read
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), "piece_bpe_32k.model", 4096)
 
@@ -17,7 +25,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op8_token_counts, op10_decontamination]
+    own = [op2_source_mixing, op3_quality_rules, op8_token_counts, op10_decontamination]
     return {f.__name__: f for f in own}
 
 
