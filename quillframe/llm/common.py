@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def _release_all() -> None:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size; for a scan, its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def buckets(df: DataFrame, target: int = 6 << 20, least: int = 24, most: int = 1 << 20) -> int:
@@ -106,7 +107,7 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int, column: str = "text")
     held_batches: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        at, lengths = 0, pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False)
+        at, lengths = 0, pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False)
         for i, n in enumerate(lengths):
             if size and size + n > limit:
                 held_batches.append(batch.slice(at, i - at))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import decontaminate, mixing, quality_rules, token_count
+from quillframe.llm import decontaminate, mixing, quality_rules, substring_dedup, token_count
 from quillframe.llm.common import read
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(read(spark, sf_dir, "documents"), 13)
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op2_source_mixing, op3_quality_rules, op8_token_counts, op10_decontamination]
+    own = [op1_substring_dedup, op2_source_mixing, op3_quality_rules, op8_token_counts, op10_decontamination]
     return {f.__name__: f for f in own}
 
 

@@ -19,6 +19,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quillframe.llm.common import map_batches
@@ -193,7 +194,7 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
             texts = batch.column(1).to_pylist()
             tokens = [m.count(t) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.compute.binary_length(batch.column(1)).fill_null(0).cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
+                [batch.column(0), pc.binary_length(batch.column(1)).fill_null(0).cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
