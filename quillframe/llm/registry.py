@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import decontaminate, mixing, quality_rules, secrets_scan, substring_dedup, suffix_dedup, token_count
+from quillframe.llm import decontaminate, mixing, quality_model, quality_rules, secrets_scan, substring_dedup, suffix_dedup, token_count
 from quillframe.llm.common import read
 
 
@@ -32,12 +32,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), "piece_bpe_32k.model", 4096)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 10)
 
 
 def queries() -> dict:
-    own = [op1_substring_dedup, op2_source_mixing, op3_quality_rules, op4_suffix_dedup, op5_secrets, op8_token_counts, op10_decontamination]
+    own = [op1_substring_dedup, op2_source_mixing, op3_quality_rules, op4_suffix_dedup, op5_secrets, op8_token_counts, op9_quality_classifier, op10_decontamination]
     return {f.__name__: f for f in own}
 
 
