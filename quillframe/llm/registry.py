@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import decontaminate, mixing, quality_model, quality_rules, secrets_scan, substring_dedup, suffix_dedup, token_count
+from quillframe.llm import decontaminate, jaccard_join, mixing, quality_model, quality_rules, secrets_scan, substring_dedup, suffix_dedup, token_count
 from quillframe.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.report(read(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"), 5, 75)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), "piece_bpe_32k.model", 4096)
 
@@ -41,7 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_substring_dedup, op2_source_mixing, op3_quality_rules, op4_suffix_dedup, op5_secrets, op8_token_counts, op9_quality_classifier, op10_decontamination]
+    own = [op1_substring_dedup, op2_source_mixing, op3_quality_rules, op4_suffix_dedup, op5_secrets, op7_jaccard_join, op8_token_counts, op9_quality_classifier, op10_decontamination]
     return {f.__name__: f for f in own}
 
 
