@@ -48,32 +48,29 @@ def materialize(df: DataFrame, name: str, partitions: int | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables that materialize() made for this session, but the first `keep` of them."""
-    own = [x for x in _scratch if x[0] is spark]
-    for item in own[keep:]:
+def tables(spark: SparkSession) -> list[tuple[SparkSession, str]]:
+    """The tables that materialize() has made for this session and that are still there."""
+    return [x for x in _scratch if x[0] is spark]
+
+
+def drop_tables(some: list[tuple[SparkSession, str]]) -> None:
+    for item in some:
+        spark, path = item
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         _scratch.remove(item)
-        try:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(item[1])
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception as gone:  # the session has ended
-            if spark.sparkContext._jsc is not None:
-                raise gone
 
 
-def held(spark: SparkSession) -> int:
-    """How many tables materialize() has made so far; for release()."""
-    return sum(x[0] is spark for x in _scratch)
+def release(spark: SparkSession) -> None:
+    """Delete all tables that materialize() has made for this session; frames that read them end with it."""
+    drop_tables(tables(spark))
 
 
 @atexit.register
 def _release_all() -> None:
     for spark in {id(s): s for s, _ in _scratch}.values():
-        try:
+        if spark.sparkContext._jsc is not None:
             release(spark)
-        except Exception:  # noqa: BLE001  the JVM is gone
-            return
 
 
 def estimated_bytes(df: DataFrame) -> int:

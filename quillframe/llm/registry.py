@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import decontaminate, jaccard_join, mixing, quality_model, quality_rules, secrets_scan, substring_dedup, suffix_dedup, token_count
+from quillframe.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_model, quality_rules, secrets_scan, substring_dedup, suffix_dedup, token_count
 from quillframe.llm.common import read
 
 
@@ -28,6 +29,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.report(read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read(spark, sf_dir, "documents"), 5, 75)
 
@@ -45,8 +50,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_substring_dedup, op2_source_mixing, op3_quality_rules, op4_suffix_dedup, op5_secrets, op7_jaccard_join, op8_token_counts, op9_quality_classifier, op10_decontamination]
-    return {f.__name__: f for f in own}
+    own = [op1_substring_dedup, op2_source_mixing, op3_quality_rules, op4_suffix_dedup, op5_secrets, op6_line_dedup, op7_jaccard_join, op8_token_counts, op9_quality_classifier, op10_decontamination]
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
