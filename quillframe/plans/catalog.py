@@ -1,13 +1,749 @@
-"""Registry of the engine's queries over the test tables and of the SQL that states their rows."""
+"""The engine's queries over the test tables, and the DuckDB SQL that states their rows.
+
+Where a query needs lines, documents split at line breaks give them; `variant` lines carry
+deterministic edits, stated in the same way on both sides, so that every branch is met.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillframe.functions import formulas, text as T
+from quillframe.operators import decoding, distance, exports, language_model as lm, metrics, profiles, relational as R, sequence as S
+from quillframe.sources.tables import lines, table, variants, words
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+FLAGSHIP = "doc_line_profile"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        name = f.__name__
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
+
+
+LINES = "lines AS (SELECT doc_id, CAST(unnest(range(len(x))) AS INTEGER) AS pos, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
+VARIANTS = (
+    LINES
+    + """, v AS (SELECT doc_id, pos, CASE (doc_id + pos) % 9 WHEN 0 THEN text || 'a-' WHEN 1 THEN '- ' || text WHEN 2 THEN '1. ' || text WHEN 3 THEN text || ':' WHEN 4 THEN ''
+ WHEN 5 THEN lower(substring(text, 1, 1)) || substring(text, 2) WHEN 6 THEN text || ' of' WHEN 7 THEN 'x = y + ' || text ELSE regexp_replace(text, '\\.+$', '') END AS text FROM lines)"""
+)
+STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+BOX = "(pos % 5) * 35 AS bbox_x, 18 + pos % 17 AS bbox_h, (doc_id * 31 + pos * 17) % 100 / 100.0::DOUBLE AS confidence"
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return lines(table(spark, d, "documents"))
+
+
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    return variants(_lines(spark, d))
+
+
+def _boxed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({
+        "bbox_x": F.col("pos") % 5 * 35, "bbox_y": F.col("pos") * 40, "bbox_w": F.length("text") * 8 + 1, "bbox_h": 18 + F.col("pos") % 17,
+        "confidence": ((F.col("doc_id") * 31 + F.col("pos") * 17) % 100) / F.lit(100.0),
+    })
+
+
+_MARKS = " + ".join(f"CAST(contains(s, '{m}') AS INTEGER)" for m in T.MATH_MARKS)
+_TYPE = f"""CASE WHEN s = '' THEN 'empty' WHEN ({_MARKS}) >= 2 OR (({_MARKS}) >= 1 AND (contains(s, '=') OR contains(s, '^'))) THEN 'math'
+ WHEN bbox_h > avg_h * 1.35 AND length(s) < 60 THEN 'h1'
+ WHEN regexp_matches(lower(s), '^({"|".join(T.HEADINGS)})([^\\p{{L}}]|$)') OR regexp_matches(s, '^\\d+(\\.\\d+)*\\s+\\p{{Lu}}') THEN 'h2'
+ WHEN ends_with(s, ':') AND length(s) < 50 THEN 'h2'
+ WHEN regexp_matches(s, '^[-*•–—]\\s+') OR regexp_matches(s, '^\\d+[.)]\\s+') OR regexp_matches(s, '^\\p{{L}}[.)]\\s+') THEN 'bullet' ELSE 'paragraph' END"""
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    return _boxed(_variants(spark, d)).withColumn("line_type", T.line_type(F.col("text"), F.col("bbox_h"), F.lit(22.0)))
+
+
+_CLASSIFIED = f"{VARIANTS}, c AS (SELECT doc_id, pos, text, {_TYPE} AS line_type FROM (SELECT *, {STRIP.format('text')} AS s, 18 + pos % 17 AS bbox_h, 22.0 AS avg_h FROM v))"
+_INFORMATIVE = "(s <> '' AND (length(regexp_replace(s, '[^\\p{L}\\p{N}]', '', 'g')) > 1 OR regexp_matches(s, '^\\p{Nd}+$')))"
+
+
+@query(
+    f"""WITH {_CLASSIFIED}, t AS (SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (line_type = 'math') AS n_math, COUNT(*) FILTER (line_type IN ('h1', 'h2')) AS n_heads,
+ COUNT(*) FILTER (line_type = 'bullet') AS n_bullets, COUNT(*) FILTER ({_INFORMATIVE.replace("s ", "x ").replace("(s,", "(x,").replace("s,", "x,")}) AS n_informative
+ FROM (SELECT *, {STRIP.format("text")} AS x FROM c) GROUP BY doc_id)
+SELECT t.*, l.quality FROM t LEFT JOIN labels l ON t.doc_id = l.doc_id ORDER BY n_lines DESC, t.doc_id LIMIT 20"""
+)
+def doc_line_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Flagship: line types and informative lines per document with its label, the twenty longest first."""
+    n = _classified(spark, d).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(F.col("line_type") == "math").alias("n_math"),
+        F.count_if(F.col("line_type").isin("h1", "h2")).alias("n_heads"),
+        F.count_if(F.col("line_type") == "bullet").alias("n_bullets"),
+        F.count_if(T.informative(F.col("text"))).alias("n_informative"),
+    )
+    out = n.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return R.scan_page(out, [F.desc("n_lines"), "doc_id"], 0, 20)
+
+
+@query(f"WITH {_CLASSIFIED} SELECT doc_id, pos, line_type FROM c")
+def line_explode_classify(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d).select("doc_id", "pos", "line_type")
+
+
+@query("SELECT * FROM documents ORDER BY doc_id LIMIT 100 OFFSET 50")
+def scan_page(spark: SparkSession, d: str) -> DataFrame:
+    return R.scan_page(table(spark, d, "documents"), ["doc_id"], 50, 100)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 100")
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return R.point(table(spark, d, "orders"), "o_orderkey", 100).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+@query(
+    """SELECT o_orderkey, o_custkey, o_orderdate, (SELECT COUNT(o_orderkey) FROM orders) AS total FROM orders WHERE o_orderstatus = 'F'
+ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 20"""
+)
+def list_recent_paged(spark: SparkSession, d: str) -> DataFrame:
+    """A filtered page, with the unfiltered total."""
+    orders = table(spark, d, "orders")
+    page = R.list_recent(orders, [F.desc("o_orderdate"), "o_orderkey"], 20, 20, "o_orderstatus", "F").select("o_orderkey", "o_custkey", "o_orderdate")
+    return R.with_total(page, orders, "o_orderkey")
+
+
+@query("SELECT COUNT(doc_id) AS n FROM documents")
+def count_all(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").agg(F.count("doc_id").alias("n"))
+
+
+@query(
+    """SELECT c.c_custkey, CAST(row_number() OVER (PARTITION BY c.c_custkey ORDER BY o.o_orderkey, l.l_linenumber, l.l_partkey, l.l_quantity) AS INTEGER) AS item, o.o_orderkey, l.l_linenumber, l.l_quantity
+FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey"""
+)
+def eager_load_flat(spark: SparkSession, d: str) -> DataFrame:
+    """Parents, children and grandchildren in one nested load, then flattened again in order."""
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_quantity")
+    orders = R.nested(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), items, "o_orderkey", "l_linenumber", "items")
+    tree = R.nested(table(spark, d, "customer").select("c_custkey"), orders, "c_custkey", "o_orderkey", "orders")
+    flat = tree.select("c_custkey", F.explode_outer("orders").alias("o")).select("c_custkey", "o.o_orderkey", F.explode_outer("o.items").alias("l"))
+    w = S.Window.partitionBy("c_custkey").orderBy(F.asc_nulls_last("o_orderkey"), "l.l_linenumber", "l.l_partkey", "l.l_quantity")
+    return flat.select("c_custkey", F.row_number().over(w).alias("item"), "o_orderkey", "l.l_linenumber", "l.l_quantity")
+
+
+@query(
+    """SELECT o_custkey, o_orderstatus, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1"""
+)
+def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderkey", "o_orderdate")
+    return S.latest(o, ["o_custkey", "o_orderstatus"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 7 <> 0 UNION ALL
+SELECT l_orderkey, l_linenumber, l_quantity + 1 FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber = 1"""
+)
+def replace_children(spark: SparkSession, d: str) -> DataFrame:
+    old = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    new = old.filter("l_orderkey % 7 = 0 and l_linenumber = 1").withColumn("l_quantity", F.col("l_quantity") + 1)
+    # orders of which no line 1 is in the new rows lose all lines all the same: the parents that are replaced are named
+    gone = old.filter("l_orderkey % 7 = 0").select("l_orderkey").distinct()
+    return old.join(gone, "l_orderkey", "left_anti").unionByName(new)
+
+
+@query(
+    """SELECT 'customer' AS tab, COUNT(*) AS n FROM customer WHERE c_custkey % 10 <> 3 UNION ALL
+SELECT 'orders', COUNT(*) FROM orders WHERE o_custkey % 10 <> 3 UNION ALL
+SELECT 'lineitem', COUNT(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_custkey % 10 = 3)"""
+)
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    customer, orders, items = (table(spark, d, t) for t in ("customer", "orders", "lineitem"))
+    gone = customer.filter("c_custkey % 10 = 3").select("c_custkey")
+    left = R.cascade_delete(gone, [(customer, "c_custkey", "c_custkey"), (orders, "o_orderkey", "o_custkey"), (items, "l_linenumber", "l_orderkey")])
+    out = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("tab"), "n") for t, df in zip(("customer", "orders", "lineitem"), left, strict=True)]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders"""
+)
+def patch_update(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    changes = o.filter("o_orderkey % 5 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.when(F.col("o_orderkey") % 10 == 0, F.col("o_totalprice") * 2).alias("o_totalprice"))
+    return R.patch(o, changes, "o_orderkey", ["o_orderstatus", "o_totalprice"])
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey + 10, 'NEW' FROM region WHERE r_regionkey < 2")
+def insert_rows(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "region").select("r_regionkey", "r_name")
+    new = r.filter("r_regionkey < 2").select((F.col("r_regionkey") + 10).alias("r_regionkey"))
+    return R.insert(r, new, r_name=F.lit("NEW"))
+
+
+@query(
+    f"""WITH {LINES}, f1 AS (SELECT doc_id, pos, 'id ' || pos AS c FROM lines WHERE pos % 4 = 0), f2 AS (SELECT doc_id, pos AS idx, 'index ' || pos AS c FROM lines WHERE pos % 6 = 0)
+SELECT l.doc_id, l.pos, COALESCE(f1.c, f2.c) AS corrected FROM lines l LEFT JOIN f1 ON l.doc_id = f1.doc_id AND l.pos = f1.pos LEFT JOIN f2 ON l.doc_id = f2.doc_id AND l.pos = f2.idx"""
+)
+def fallback_match(spark: SparkSession, d: str) -> DataFrame:
+    """Corrections by line, else by index."""
+    rows = _lines(spark, d).select("doc_id", "pos", F.col("pos").alias("idx"))
+    by_id = rows.filter("pos % 4 = 0").select("doc_id", "pos", F.lit(None).cast("int").alias("idx"), F.concat(F.lit("id "), "pos").alias("corrected"))
+    by_index = rows.filter("pos % 6 = 0").select("doc_id", F.lit(None).cast("int").alias("pos"), "idx", F.concat(F.lit("index "), "idx").alias("corrected"))
+    return R.fallback_match(rows, by_id.union(by_index), ["doc_id", "pos"], ["doc_id", "idx"], "corrected").select("doc_id", "pos", "corrected")
+
+
+@query(
+    """SELECT 'quantity' AS "check", COUNT(*) FILTER (NOT l_quantity < 45) AS n FROM lineitem UNION ALL SELECT 'discount', COUNT(*) FILTER (NOT (l_discount >= 0 AND l_discount <= 0.08)) FROM lineitem
+UNION ALL SELECT 'flag', COUNT(*) FILTER (NOT l_returnflag IN ('A', 'N')) FROM lineitem"""
+)
+def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
+    return R.violations(table(spark, d, "lineitem"), {"quantity": F.col("l_quantity") < 45, "discount": F.col("l_discount").between(0, 0.08), "flag": F.col("l_returnflag").isin("A", "N")})
+
+
+@query(f"WITH {VARIANTS} SELECT doc_id, pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS line_index FROM (SELECT *, {STRIP.format('text')} AS s FROM v) WHERE {_INFORMATIVE}")
+def informative_renumber(spark: SparkSession, d: str) -> DataFrame:
+    return S.renumbered(_variants(spark, d), T.informative(F.col("text"))).select("doc_id", "pos", "line_index")
+
+
+@query(
+    f"""WITH {VARIANTS}, p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'PROCESSING' WHEN 2 THEN 'FAILED' ELSE 'UPLOADED' END AS status FROM documents),
+n AS (SELECT doc_id, COUNT(*) AS lines, COUNT(*) FILTER (text <> '') AS done FROM v GROUP BY doc_id)
+SELECT p.doc_id, status, COALESCE(lines, 0) AS lines, COALESCE(done, 0) AS done, round(CASE status WHEN 'COMPLETED' THEN 100.0 WHEN 'PROCESSING' THEN CASE WHEN COALESCE(lines, 0) = 0 THEN 50.0 ELSE 100.0 * done / lines END
+WHEN 'FAILED' THEN 0.0 ELSE 10.0 END::DOUBLE, 6) AS percent FROM p LEFT JOIN n ON p.doc_id = n.doc_id"""
+)
+def progress_by_doc(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    pages = table(spark, d, "documents").select("doc_id", F.when(k == 0, "COMPLETED").when(k == 1, "PROCESSING").when(k == 2, "FAILED").otherwise("UPLOADED").alias("status"))
+    return R.progress(pages, _variants(spark, d), "doc_id").withColumn("percent", F.round("percent", 6))
+
+
+_LEXICON = "lexicon AS (SELECT word FROM (SELECT word, COUNT(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') GROUP BY word ORDER BY n DESC, word LIMIT 1000))"
+
+
+def _lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """The thousand most frequent words of the English documents: a report of that many rows."""
+    docs = table(spark, d, "documents").filter("lang = 'en'").select("text")
+    w = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word"))
+    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(1000).select("word")
+
+
+@query(f"WITH {_LEXICON} SELECT word FROM lexicon")
+def lexicon_scan(spark: SparkSession, d: str) -> DataFrame:
+    return _lexicon(spark, d)
+
+
+_EDGES = "regexp_replace(w, '^[.,;:!?()\\-\"'']+|[.,;:!?()\\-\"'']+$', '', 'g')"
+_CALIBRATED = f"""{VARIANTS}, {_LEXICON}, s AS (SELECT doc_id, pos, text, {STRIP.format("text")} AS s, {BOX} FROM v),
+ws AS (SELECT doc_id, pos, {_EDGES} AS w FROM (SELECT doc_id, pos, unnest(regexp_split_to_array(s, '\\s+')) AS w FROM s)),
+n AS (SELECT doc_id, pos, COUNT(*) AS n_words, COUNT(*) FILTER (l.word IS NOT NULL OR regexp_matches(w, '^\\p{{Nd}}+$') OR length(w) = 1 OR (length(w) >= 3 AND regexp_matches(w, '[$=+\\-_^{{}}()\\\\/]'))) AS n_valid
+ FROM ws LEFT JOIN lexicon l ON lower(w) = l.word WHERE w <> '' GROUP BY doc_id, pos),
+j AS (SELECT s.*, COALESCE(n_words, 0) AS nw, COALESCE(n_valid, 0) AS nv, COALESCE(n_valid, 0)::DOUBLE / greatest(COALESCE(n_words, 0), 1) AS ratio, length(text) - length(replace(text, '.', '')) AS dots FROM s LEFT JOIN n ON s.doc_id = n.doc_id AND s.pos = n.pos),
+cal AS (SELECT doc_id, pos, round(CASE WHEN s = '' THEN 0.0 WHEN nw = 0 THEN greatest(0.10, least(0.35, confidence * 0.4)) ELSE greatest(0.10, least(0.99, confidence * 0.25 + confidence * 0.75 * ratio
+ - (CASE WHEN regexp_matches(text, '[|/\\\\]') THEN 0.15 ELSE 0.0 END + CASE WHEN contains(text, 'I.') THEN 0.15 ELSE 0.0 END
+ + CASE WHEN dots >= 3 AND nw >= 3 AND dots::DOUBLE / greatest(nw, 1) > 0.35 THEN 0.20 ELSE 0.0 END + CASE WHEN ratio < 0.4 THEN 0.25 ELSE 0.0 END))) END::DOUBLE + 1e-9, 6) AS calibrated FROM j)"""
+
+
+def _calibrated(spark: SparkSession, d: str) -> DataFrame:
+    v = _boxed(_variants(spark, d)).select("doc_id", "pos", "text", "confidence")
+    w = v.select("doc_id", "pos", F.explode(T.edge_stripped_words(F.col("text"))).alias("w")).withColumn("word", F.lower("w"))
+    known = w.join(_lexicon(spark, d).select("word", F.lit(True).alias("k")), "word", "left")
+    n = known.groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("n_words"), F.count_if(F.col("k") | T.valid_shape(F.col("w"))).alias("n_valid"))
+    j = v.join(n, ["doc_id", "pos"], "left").fillna(0, ["n_words", "n_valid"])
+    return j.select("doc_id", "pos", F.round(T.calibrated(F.col("text"), F.col("confidence"), F.col("n_words"), F.col("n_valid")) + F.lit(1e-9), 6).alias("calibrated"))
+
+
+@query(f"WITH {_CALIBRATED} SELECT * FROM cal")
+def calibrated_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _calibrated(spark, d)
+
+
+@query(f"WITH {_CALIBRATED} SELECT CASE WHEN calibrated >= 0.80 THEN 'high' WHEN calibrated >= 0.55 THEN 'medium' ELSE 'low' END AS band, COUNT(*) AS n FROM cal GROUP BY 1")
+def confidence_bands(spark: SparkSession, d: str) -> DataFrame:
+    return _calibrated(spark, d).groupBy(metrics.band(F.col("calibrated")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, round(avg((doc_id * 31 + pos * 17) % 100 / 100.0::DOUBLE) * 100, 6) AS percent FROM lines GROUP BY doc_id")
+def mean_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.mean_percent(_boxed(_lines(spark, d)), ["doc_id"], "confidence").withColumn("percent", F.round("percent", 6))
+
+
+#: Our own subjects and their words.
+SUBJECTS = [("articles", 0, ("the", "that", "this")), ("french", 1, ("les", "des", "dans")), ("german", 2, ("und", "der", "nicht")), ("spanish", 3, ("los", "del", "por"))]
+_RULES = ", ".join(f"('{d}', {o}, '{k}')" for d, o, ks in SUBJECTS for k in ks)
+
+
+@query(
+    f"""WITH r(domain, ord, keyword) AS (VALUES {_RULES}), n AS (SELECT doc_id, domain, ord, COUNT(*) AS hits FROM documents, r WHERE contains(lower(text), keyword) GROUP BY doc_id, domain, ord),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, ord) AS rn FROM n)
+SELECT d.doc_id, CASE WHEN COALESCE(hits, 0) >= 2 THEN domain ELSE 'general' END AS domain, COALESCE(hits, 0) AS hits FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id AND rn = 1"""
+)
+def domain_argmax(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame([(s, o, k) for s, o, ks in SUBJECTS for k in ks], "domain string, ord int, keyword string")
+    return metrics.domain(table(spark, d, "documents").select("doc_id", "text"), "doc_id", rules)
+
+
+@query(
+    f"""WITH {LINES}, {_LEXICON}, w AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS word FROM lines)
+SELECT doc_id, pos, COUNT(*) AS n_words, COUNT(*) FILTER (length(w.word) <= 2 OR l.word IS NOT NULL) AS n_valid FROM w LEFT JOIN lexicon l ON w.word = l.word GROUP BY doc_id, pos"""
+)
+def valid_word_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.valid_words(words(_lines(spark, d)), _lexicon(spark, d), ["doc_id", "pos"])
+
+
+_NORM = "string_split(trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')"
+
+
+@query(
+    f"""WITH t AS (SELECT a.conv_id, a.turn, list_distinct(list_filter({_NORM.format("a.text")}, lambda x: length(x) > 2)) AS a, list_distinct(list_filter({_NORM.format("b.text")}, lambda x: length(x) > 2)) AS b
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, round(len(list_intersect(a, b))::DOUBLE / greatest(len(a), 1), 3) AS recall FROM t"""
+)
+def token_recall(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("found"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.token_recall(F.col("text"), F.col("found")), 3).alias("recall"))
+
+
+_TOKENS = f"{LINES}, tok AS (SELECT doc_id, pos, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\s-]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS word, generate_subscripts(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\s-]', ' ', 'g'), '\\s+'), lambda x: x <> ''), 1) - 1 AS k FROM lines)"
+_WIN = "WINDOW w AS (PARTITION BY doc_id, pos ORDER BY k)"
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return lm.tokens(_lines(spark, d), ["doc_id", "pos"])
+
+
+@query(f"WITH {_TOKENS} SELECT word AS w1, COUNT(*) AS n FROM tok GROUP BY word")
+def ngram_counts_1(spark: SparkSession, d: str) -> DataFrame:
+    return lm.ngrams(_tokens(spark, d), ["doc_id", "pos"], 1)
+
+
+@query(f"WITH {_TOKENS} SELECT w1, w2, COUNT(*) AS n FROM (SELECT word AS w1, lead(word) OVER w AS w2 FROM tok {_WIN}) WHERE w2 IS NOT NULL GROUP BY w1, w2")
+def ngram_counts_2(spark: SparkSession, d: str) -> DataFrame:
+    return lm.ngrams(_tokens(spark, d), ["doc_id", "pos"], 2)
+
+
+@query(f"WITH {_TOKENS} SELECT w1, w2, w3, COUNT(*) AS n FROM (SELECT word AS w1, lead(word) OVER w AS w2, lead(word, 2) OVER w AS w3 FROM tok {_WIN}) WHERE w3 IS NOT NULL GROUP BY w1, w2, w3")
+def ngram_counts_3(spark: SparkSession, d: str) -> DataFrame:
+    return lm.ngrams(_tokens(spark, d), ["doc_id", "pos"], 3)
+
+
+_TRI = "tri AS (SELECT tri, CAST(SUM(c) AS BIGINT) AS n FROM (SELECT c, substring('^^' || word || '$$', CAST(unnest(range(1, length(word) + 3)) AS INTEGER), 3) AS tri FROM (SELECT word, COUNT(*) AS c FROM tok GROUP BY word)) GROUP BY tri)"
+
+
+@query(f"WITH {_TOKENS}, {_TRI} SELECT tri, n FROM tri")
+def char_trigram_counts(spark: SparkSession, d: str) -> DataFrame:
+    return lm.char_trigrams(_tokens(spark, d))
+
+
+@query(
+    f"""WITH {_TOKENS}, {_TRI}, u AS (SELECT DISTINCT word FROM tok), g AS (SELECT word, substring('^^' || word || '$$', CAST(unnest(range(1, length(word) + 3)) AS INTEGER), 3) AS tri FROM u),
+m AS (SELECT word, avg(ln(greatest(1e-12, (COALESCE(n, 0) + 0.01) / ((SELECT SUM(n) FROM tri) + 50.0)))) AS m FROM g LEFT JOIN tri USING (tri) GROUP BY word)
+SELECT word, round(CASE WHEN length(word) < 3 OR NOT regexp_matches(word, '[a-z]') THEN 0.0 WHEN m < -9 THEN (m + 9) * 2.5 ELSE 0.0 END::DOUBLE, 6) AS penalty FROM m"""
+)
+def gibberish_penalty(spark: SparkSession, d: str) -> DataFrame:
+    t = _tokens(spark, d)
+    return lm.gibberish_penalty(t.select("word").distinct(), lm.char_trigrams(t)).withColumn("penalty", F.round("penalty", 6))
+
+
+_COUNTS = f"uni AS (SELECT word AS w1, COUNT(*) AS n FROM tok GROUP BY word), bi AS (SELECT w1, w2, COUNT(*) AS n FROM (SELECT word AS w1, lead(word) OVER w AS w2 FROM tok {_WIN}) WHERE w2 IS NOT NULL GROUP BY w1, w2), tr AS (SELECT w1, w2, w3, COUNT(*) AS n FROM (SELECT word AS w1, lead(word) OVER w AS w2, lead(word, 2) OVER w AS w3 FROM tok {_WIN}) WHERE w3 IS NOT NULL GROUP BY w1, w2, w3)"
+
+
+@query(
+    f"""WITH {_TOKENS}, {_COUNTS}, x AS (SELECT doc_id, pos, k, word, lag(word) OVER w AS p1, lag(word, 2) OVER w AS p2 FROM tok {_WIN}), q AS (SELECT SUM(n) AS N, greatest(1000, COUNT(*)) AS V FROM uni),
+y AS (SELECT x.*, (COALESCE(u.n, 0) + 0.1::DOUBLE) / (q.N + 0.1::DOUBLE * q.V) AS u, u1.n AS c1, b.n AS c12, b2.n AS c21, t.n AS c123 FROM x CROSS JOIN q LEFT JOIN uni u ON x.word = u.w1 LEFT JOIN uni u1 ON x.p1 = u1.w1
+ LEFT JOIN bi b ON x.p1 = b.w1 AND x.word = b.w2 LEFT JOIN bi b2 ON x.p2 = b2.w1 AND x.p1 = b2.w2 LEFT JOIN tr t ON x.p2 = t.w1 AND x.p1 = t.w2 AND x.word = t.w3),
+z AS (SELECT *, CASE WHEN c1 > 0 THEN 0.7::DOUBLE * COALESCE(c12, 0) / c1 + 0.3::DOUBLE * u ELSE u END AS b FROM y)
+SELECT doc_id, pos, CAST(k AS INTEGER) AS k, round(ln(greatest(1e-12, CASE WHEN c21 > 0 THEN 0.6::DOUBLE * COALESCE(c123, 0) / c21 + 0.4::DOUBLE * b ELSE b END)), 6) AS logp FROM z"""
+)
+def word_logprob(spark: SparkSession, d: str) -> DataFrame:
+    t = _tokens(spark, d)
+    keys = ["doc_id", "pos"]
+    w = S.Window.partitionBy(*keys).orderBy("k")
+    x = t.withColumn("p1", F.lag("word").over(w)).withColumn("p2", F.lag("word", 2).over(w))
+    return lm.word_log_prob(x, *(lm.ngrams(t, keys, n) for n in (1, 2, 3))).select("doc_id", "pos", "k", F.round("logp", 6).alias("logp"))
+
+
+@query()
+def sequence_score(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    t = lm.tokens(c, ["conv_id", "turn"])
+    counts = [lm.ngrams(t, ["conv_id", "turn"], n) for n in (1, 2, 3)]
+    return lm.score_lines(c, "conv_id", "turn", *counts, lm.char_trigrams(t)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH {VARIANTS}, c AS (SELECT doc_id, pos AS line, 0 AS i, text, (doc_id + pos) % 10 / 10.0::DOUBLE AS ocr, (doc_id * 7 + pos) % 10 / 10.0::DOUBLE AS lm FROM lines UNION ALL
+SELECT doc_id, pos, 1, text, (doc_id * 3 + pos) % 10 / 10.0::DOUBLE, (doc_id + pos * 5) % 10 / 10.0::DOUBLE FROM v),
+s AS (SELECT *, trim(text) <> '' AS ok, 0.65::DOUBLE * ocr + 0.35::DOUBLE * lm + 0.2::DOUBLE * len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS total FROM c)
+SELECT doc_id, line, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY ok DESC, CASE WHEN ok THEN total END DESC NULLS LAST, i) AS r FROM s) WHERE r = 1"""
+)
+def rescore_best(spark: SparkSession, d: str) -> DataFrame:
+    def tenths(a: int, b: int):
+        return ((F.col("doc_id") * a + F.col("pos") * b) % 10) / F.lit(10.0)
+
+    a = _lines(spark, d).select("doc_id", F.col("pos").alias("line"), F.lit(0).alias("i"), "text", tenths(1, 1).alias("ocr"), tenths(7, 1).alias("lm"))
+    b = _variants(spark, d).select("doc_id", F.col("pos").alias("line"), F.lit(1).alias("i"), "text", tenths(3, 1).alias("ocr"), tenths(1, 5).alias("lm"))
+    return lm.rescore(a.union(b).withColumnRenamed("i", "pos"), ["doc_id", "line"])
+
+
+_PARTS = "q AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part), vocab AS (SELECT DISTINCT lower(n_name) AS word FROM nation UNION SELECT DISTINCT lower(r_name) FROM region)"
+
+
+@query(
+    """WITH q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), vocab AS (SELECT DISTINCT word FROM q WHERE length(word) % 2 = 0)
+SELECT q.word, v.word AS candidate, levenshtein(q.word, v.word) AS dist FROM q JOIN vocab v ON abs(length(q.word) - length(v.word)) <= 2 WHERE levenshtein(q.word, v.word) <= 2"""
+)
+def candidates_in_band(spark: SparkSession, d: str) -> DataFrame:
+    """The length band as an equi-join, with plain edit distance."""
+    q = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
+    near = distance.banded(q, q.filter(F.length("word") % 2 == 0)).withColumn("dist", F.levenshtein("word", "candidate", 2).cast("long"))
+    return near.filter("dist >= 0")
+
+
+@query()
+def candidates_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The three best by weighted distance."""
+    q = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
+    return distance.candidates(q, q.filter(F.length("word") % 2 == 0))
+
+
+@query()
+def corrected_lines(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "benchmark")
+    tokens = b.select("item_id", F.posexplode(F.split("text", "\\s+")).alias("k", "token"))
+    vocabulary = words(b.select("item_id", "text")).filter("item_id % 2 = 0").select("word").distinct()
+    return distance.corrected_lines(tokens, vocabulary, vocabulary, ["item_id"])
+
+
+@query("SELECT a.p_brand, round(100.0 * SUM(levenshtein(a.p_name, b.p_name)) / SUM(greatest(1, length(b.p_name))), 6) AS cer FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 GROUP BY a.p_brand")
+def cer_micro(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    pairs = p.select("p_brand", "p_partkey", F.col("p_name").alias("found")).join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("truth")), "p_partkey")
+    return metrics.cer_micro(pairs, ["p_brand"]).withColumn("cer", F.round(F.col("cer").cast("double"), 6))
+
+
+@query()
+def ratio_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity-ratio errors by character and by word of consecutive turns."""
+    c = table(spark, d, "conversations")
+    pairs = c.select("role", "conv_id", "turn", F.col("text").alias("found")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("truth")), ["conv_id", "turn"])
+    a = metrics.ratio_error_macro(pairs, ["role"]).withColumn("error", F.round("error", 6))
+    b = metrics.ratio_error_macro(pairs, ["role"], by_word=True).select("role", F.round("error", 6).alias("word_error"))
+    return a.join(b, "role")
+
+
+_DASH = "regexp_matches(t, '\\p{L}+[-–—=]$') AND regexp_matches(n, '^\\p{L}')"
+
+
+def _pairs_sql(edge: str) -> str:
+    return f"""{VARIANTS}, a AS (SELECT doc_id, pos, {STRIP.format("text")} AS t FROM v), b AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM a),
+e AS (SELECT *, COALESCE({edge}, false) AS j FROM b), i AS (SELECT *, COALESCE(SUM(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS isl FROM e),
+k AS (SELECT *, j AND row_number() OVER (PARTITION BY doc_id, isl ORDER BY pos) % 2 = 1 AS take FROM i), u AS (SELECT *, COALESCE(lag(take) OVER (PARTITION BY doc_id ORDER BY pos), false) AS used FROM k)"""
+
+
+@query(f"WITH {_pairs_sql(_DASH)} SELECT doc_id, pos, CASE WHEN take THEN regexp_replace(t, '[-–—=]$', '') || n ELSE t END AS text FROM u WHERE NOT used")
+def stitch_hyphen(spark: SparkSession, d: str) -> DataFrame:
+    return S.stitch_hyphens(_variants(spark, d))
+
+
+_BIND = f"lower(regexp_extract(t, '(\\S+)$', 1)) IN ({', '.join(repr(c) for c in T.CONNECTORS)}) AND regexp_matches(n, '^[\\p{{Ll}}0-9]')"
+
+
+@query(
+    f"""WITH {_pairs_sql(_BIND)}, m AS (SELECT doc_id, pos, CASE WHEN take THEN list_filter([regexp_replace(t, '\\s*\\S+$', ''), regexp_extract(t, '(\\S+)$', 1) || ' ' || n], lambda x: x <> '') ELSE [t] END AS x FROM u WHERE NOT used)
+SELECT doc_id, pos, CAST(unnest(range(len(x))) AS INTEGER) AS sub, unnest(x) AS text FROM m"""
+)
+def bind_connectors(spark: SparkSession, d: str) -> DataFrame:
+    return S.bind_connectors(_variants(spark, d))
+
+
+@query(
+    f"""WITH {VARIANTS}, a AS (SELECT doc_id, pos, {STRIP.format("text")} AS t FROM v), b AS (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM a),
+c AS (SELECT *, COALESCE(p <> '' AND NOT regexp_matches(t, '^([-*•–—]\\s+|\\d+[.)]\\s+|#|\\$\\$)|:$') AND NOT regexp_matches(p, '(:|\\$\\$)$') AND NOT regexp_matches(p, '^\\$\\$') AND NOT regexp_matches(p, '[.!?:]$') AND regexp_matches(t, '^\\p{{Ll}}'), false) AS g FROM b),
+e AS (SELECT *, SUM(CASE WHEN g THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM c)
+SELECT doc_id, MIN(pos) AS pos, string_agg(t, ' ' ORDER BY pos) AS text FROM e WHERE t <> '' GROUP BY doc_id, grp"""
+)
+def merge_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return S.merge_sentences(_variants(spark, d))
+
+
+@query()
+def document_text(spark: SparkSession, d: str) -> DataFrame:
+    return S.document_text(_variants(spark, d))
+
+
+@query()
+def dewrapped(spark: SparkSession, d: str) -> DataFrame:
+    return S.dewrap(_variants(spark, d), frozenset(("the", "and", "with", "that")))
+
+
+@query()
+def repeat_loop(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).groupBy(T.repetitive(F.col("text")).alias("repetitive")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT event_id, user_id, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events)"""
+)
+def carry_forward(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 3 == 0, F.col("value")))
+    return S.carry_forward(e, "v", ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "carried")
+
+
+@query(
+    """WITH i AS (SELECT user_id, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT + CAST(floor(value) AS BIGINT) AS e FROM events),
+a AS (SELECT *, CASE WHEN s - MAX(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 3600 THEN 0 ELSE 1 END AS nw FROM i),
+g AS (SELECT *, SUM(nw) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM a)
+SELECT user_id, MIN(s) AS "start", MAX(e) AS "end", COUNT(*) AS n FROM g GROUP BY user_id, g HAVING MAX(e) - MIN(s) >= 10"""
+)
+def interval_merge(spark: SparkSession, d: str) -> DataFrame:
+    s = F.unix_seconds(F.col("ts").cast("timestamp"))
+    e = table(spark, d, "events").select("user_id", s.alias("s"), (s + F.floor("value")).alias("e"))
+    return S.merge_intervals(e, "user_id", "s", "e", 3600, 10)
+
+
+@query(
+    """WITH i AS (SELECT user_id, floor(epoch(ts))::BIGINT AS s FROM events), a AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) <= 7200 THEN 0 ELSE 1 END AS nw FROM i),
+g AS (SELECT *, SUM(nw) OVER (PARTITION BY user_id ORDER BY s) AS g FROM a) SELECT user_id, CAST(g AS BIGINT) AS cluster, MIN(s) AS "first", MAX(s) AS "last", COUNT(*) AS n FROM g GROUP BY user_id, g"""
+)
+def gap_clusters(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
+    return S.gap_clusters(e, "user_id", "s", 7200)
+
+
+@query(
+    f"""WITH {LINES}, s AS (SELECT *, pos % 3 = 0 AS side, row_number() OVER (PARTITION BY doc_id, pos % 3 = 0 ORDER BY pos) AS r FROM lines)
+SELECT COALESCE(a.doc_id, b.doc_id) AS doc_id, CAST(COALESCE(a.r, b.r) AS INTEGER) AS rank, COALESCE(a.text, '') AS left_text, COALESCE(b.text, '') AS right_text FROM (SELECT * FROM s WHERE side) a FULL JOIN (SELECT * FROM s WHERE NOT side) b ON a.doc_id = b.doc_id AND a.r = b.r"""
+)
+def rank_outer_table(spark: SparkSession, d: str) -> DataFrame:
+    return S.side_by_side(_lines(spark, d), "doc_id", ["pos"], F.col("pos") % 3 == 0)
+
+
+_SIDES = f"""{VARIANTS}, {_LEXICON}, p AS (SELECT l.doc_id, l.pos, {STRIP.format("l.text")} AS a, {STRIP.format("v.text")} AS b, (l.doc_id * 31 + l.pos * 17) % 100 / 100.0::DOUBLE AS ca, (l.doc_id * 13 + l.pos * 29) % 100 / 100.0::DOUBLE AS cb FROM lines l JOIN v ON l.doc_id = v.doc_id AND l.pos = v.pos),
+wa AS (SELECT doc_id, pos, COUNT(*) AS t, COUNT(*) FILTER (length(x.word) <= 2 OR l.word IS NOT NULL) AS n FROM (SELECT doc_id, pos, unnest(regexp_extract_all(lower(a), '[\\p{{L}}\\p{{N}}]+')) AS word FROM p) x LEFT JOIN lexicon l ON x.word = l.word GROUP BY doc_id, pos),
+wb AS (SELECT doc_id, pos, COUNT(*) AS t, COUNT(*) FILTER (length(x.word) <= 2 OR l.word IS NOT NULL) AS n FROM (SELECT doc_id, pos, unnest(regexp_extract_all(lower(b), '[\\p{{L}}\\p{{N}}]+')) AS word FROM p) x LEFT JOIN lexicon l ON x.word = l.word GROUP BY doc_id, pos),
+q AS (SELECT p.*, COALESCE(wa.n, 0) AS na, COALESCE(wb.n, 0) AS nb, COALESCE(wa.n, 0)::DOUBLE / greatest(COALESCE(wa.t, 0), 1) AS ra, COALESCE(wb.n, 0)::DOUBLE / greatest(COALESCE(wb.t, 0), 1) AS rb FROM p LEFT JOIN wa USING (doc_id, pos) LEFT JOIN wb USING (doc_id, pos)),
+d AS (SELECT *, CASE WHEN a = '' AND b <> '' THEN 'second_only' WHEN b = '' AND a <> '' THEN 'first_only' WHEN a = '' AND b = '' THEN 'both_empty' WHEN ca >= 0.88 THEN 'first_confident' WHEN rb > ra + 0.35::DOUBLE AND nb >= 2 AND cb >= 0.65 THEN 'second_lexical' WHEN lower(a) = lower(b) THEN 'agreement' ELSE 'weighted' END AS reason FROM q)"""
+
+
+@query(
+    f"""WITH {_SIDES} SELECT doc_id, pos, reason, CASE reason WHEN 'second_only' THEN b WHEN 'first_only' THEN a WHEN 'both_empty' THEN '' WHEN 'first_confident' THEN a WHEN 'second_lexical' THEN b WHEN 'agreement' THEN a ELSE CASE WHEN ca * 0.65::DOUBLE >= cb * 0.35::DOUBLE THEN a ELSE b END END AS text,
+round(CASE reason WHEN 'second_only' THEN cb WHEN 'first_only' THEN ca WHEN 'both_empty' THEN 0 WHEN 'first_confident' THEN ca WHEN 'second_lexical' THEN ca * 0.3 + cb * 0.7 WHEN 'agreement' THEN least(0.98, greatest(ca, cb) + 0.06) ELSE ca * 0.6 + cb * 0.4 END::DOUBLE, 6) AS conf FROM d"""
+)
+def arbitrate(spark: SparkSession, d: str) -> DataFrame:
+    """Two readings of each line, arbitrated; repetition is left out here, as the oracle has no back-references."""
+    a = _lines(spark, d)
+    b = _variants(spark, d).withColumnRenamed("text", "b")
+    p = a.withColumnRenamed("text", "a").join(b, ["doc_id", "pos"])
+    p = p.withColumn("ca", ((F.col("doc_id") * 31 + F.col("pos") * 17) % 100) / F.lit(100.0)).withColumn("cb", ((F.col("doc_id") * 13 + F.col("pos") * 29) % 100) / F.lit(100.0))
+    lex = _lexicon(spark, d)
+    for side in "ab":
+        n = metrics.valid_words(words(p.select("doc_id", "pos", F.col(side).alias("text"))), lex, ["doc_id", "pos"])
+        p = p.join(n.select("doc_id", "pos", F.col("n_words").alias(f"t{side}"), F.col("n_valid").alias(f"n{side}")), ["doc_id", "pos"], "left").fillna(0, [f"t{side}", f"n{side}"])
+    c = F.col
+    out = T.arbitrate(c("a"), c("ca"), c("b"), c("cb"), F.lit(False), F.lit(False), c("na"), c("ta"), c("nb"), c("tb"))
+    return p.select("doc_id", "pos", out.alias("o")).select("doc_id", "pos", "o.reason", "o.text", F.round("o.conf", 6).alias("conf"))
+
+
+_PAIR_ROWS = ", ".join(f"('{g}')" for g in distance.LOOKALIKES)
+
+
+@query(f"WITH g(s) AS (VALUES {_PAIR_ROWS}), l AS (SELECT s, unnest(string_split(s, '')) AS a FROM g) SELECT x.a, y.a AS b, 0.2::DOUBLE AS cost FROM l x JOIN l y ON x.s = y.s AND x.a <> y.a")
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return distance.cost_table(spark)
+
+
+_EVENT_PAIRS = "p AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, event_id AS ev FROM events), c AS (SELECT user_id, a, b, COUNT(*) AS n, MIN(ev) AS f FROM p WHERE b IS NOT NULL AND a <> b GROUP BY user_id, a, b)"
+
+
+def _event_pairs(spark: SparkSession, d: str) -> DataFrame:
+    w = S.Window.partitionBy("user_id").orderBy("ts", "event_id")
+    p = table(spark, d, "events").select(F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("a"), F.lead("event_type").over(w).alias("b"), F.col("event_id").alias("at"))
+    return profiles.pair_counts(p.filter("b is not null and a <> b"))
+
+
+@query(f"WITH {_EVENT_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f, a, b) AS rank FROM c) SELECT user_id, a, b, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6")
+def profile_counts_topk(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.top_pairs(_event_pairs(spark, d)).drop("first")
+
+
+@query(
+    f"""WITH {_EVENT_PAIRS}, k AS (SELECT user_id, a, b, greatest(0.04::DOUBLE, 0.20::DOUBLE - least(0.16::DOUBLE, 0.04::DOUBLE * n)) AS cost, f FROM c), m AS (SELECT * FROM k UNION ALL SELECT user_id, b, a, cost, f FROM k)
+SELECT user_id, a, b, round(arg_max(cost, f), 6) AS cost FROM m GROUP BY user_id, a, b"""
+)
+def profile_penalties(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.penalties(_event_pairs(spark, d)).withColumn("cost", F.round("cost", 6))
+
+
+@query()
+def profile_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Substitutions learned from consecutive turns, as if one corrected the other."""
+    c = table(spark, d, "conversations")
+    fixes = c.select(F.col("conv_id").cast("string").alias("user_id"), F.col("turn").alias("at"), F.col("text").alias("original")).join(
+        c.select(F.col("conv_id").cast("string").alias("user_id"), (F.col("turn") - 1).alias("at"), F.upper("text").alias("corrected")), ["user_id", "at"]
+    )
+    return profiles.stats(fixes, profiles.pair_counts(profiles.substitutions(fixes)))
+
+
+@query(
+    """SELECT page_id, COALESCE(nullif(regexp_replace(regexp_replace(lower(regexp_replace(trim(url), '[^\\p{L}\\p{N}_-]', '_', 'g')), '_+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'user') AS user_id,
+COALESCE(nullif(regexp_replace(regexp_replace(regexp_extract(replace(url, '\\', '/'), '([^/]*)$', 1), '[^A-Za-z0-9._-]', '_', 'g'), '^\\.+', ''), ''), 'file') AS file_name,
+lower(regexp_extract(url, '\\.([^./]+)$', 1)) AS extension, sha256(url) AS digest FROM pages"""
+)
+def sanitize_ids(spark: SparkSession, d: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", T.user_id(url).alias("user_id"), T.file_name(url).alias("file_name"), T.extension(url).alias("extension"), T.sha256(url).alias("digest"))
+
+
+_VOC = "abcdefghijklmnopqrstuvwxyz "
+
+
+@query(
+    f"""WITH e AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: CASE WHEN c <> '' AND strpos('{_VOC}', c) > 0 THEN strpos('{_VOC}', c) + 1 ELSE 1 END) AS ids FROM documents)
+SELECT doc_id, len(ids)::INTEGER AS n, list_count(list_filter(ids, lambda i: i = 1)) AS unknown, md5(array_to_string(list_transform(list_filter(ids, lambda i: i >= 2), lambda i: substring('{_VOC}', CAST(i - 1 AS INTEGER), 1)), '')) AS decoded FROM e"""
+)
+def encode_decode(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "documents").select("doc_id", T.encode(F.col("text"), _VOC).alias("ids"))
+    return e.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda i: i == 1)).cast("long").alias("unknown"), F.md5(T.decode(F.col("ids"), _VOC)).alias("decoded"))
+
+
+@query(
+    """WITH w AS (SELECT l_orderkey, l_suppkey % 2 AS grp, l_linenumber * 10.5 AS x0, l_linenumber * 2.0 AS y0, l_linenumber * 10.5 + l_quantity AS x1, l_linenumber * 2.0 + 12 AS y1, l_partkey AS pos, l_returnflag AS text FROM lineitem),
+g AS (SELECT l_orderkey, grp, MIN(x0) AS x0, MIN(y0) AS y0, MAX(x1) AS x1, MAX(y1) AS y1, string_agg(text, ' ' ORDER BY x0, pos, text) AS text FROM w GROUP BY l_orderkey, grp),
+b AS (SELECT l_orderkey, grp, CAST(greatest(0, floor(x0) - 6) AS BIGINT) AS x, CAST(greatest(0, floor(y0) - 4) AS BIGINT) AS y, x1, y1, text FROM g)
+SELECT l_orderkey, grp, x, y, CAST(ceil(x1) + 6 - x AS BIGINT) AS w, CAST(ceil(y1) + 4 - y AS BIGINT) AS h, text FROM b WHERE ceil(x1) + 6 - x >= 24 AND ceil(y1) + 4 - y >= 10 AND length(text) >= 2"""
+)
+def annotation_group(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    w = table(spark, d, "lineitem").select(
+        "l_orderkey", (F.col("l_suppkey") % 2).alias("grp"), (n * F.lit(10.5)).alias("x0"), (n * F.lit(2.0)).alias("y0"), (n * F.lit(10.5) + F.col("l_quantity")).alias("x1"),
+        (n * F.lit(2.0) + 12).alias("y1"), F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("text"),
+    )
+    return metrics.annotation_groups(w, ["l_orderkey", "grp"])
+
+
+@query("SELECT doc_id, CASE WHEN CAST('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 < 9 THEN 'train' ELSE 'val' END AS split FROM documents")
+def hash_split(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.hash_split(table(spark, d, "documents").select("doc_id"), "doc_id")
+
+
+@query(
+    """WITH v AS (SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT (SELECT greatest(10, least(500, CAST(floor(COUNT(*) * 0.05) AS BIGINT))) FROM documents))
+SELECT COUNT(*) AS total_samples, COUNT(*) FILTER (v.doc_id IS NULL) AS train_samples, COUNT(v.doc_id) AS val_samples FROM documents d LEFT JOIN v ON d.doc_id = v.doc_id"""
+)
+def clamped_split(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.split_counts(metrics.clamped_split(table(spark, d, "documents").select("doc_id"), "doc_id"))
+
+
+@query(
+    f"""WITH {VARIANTS}, s AS (SELECT doc_id, pos, {STRIP.format("text")} AS s FROM v) SELECT doc_id, '=== Notes ===' || chr(10) || chr(10) || COALESCE(string_agg(s, chr(10) ORDER BY pos) FILTER (s <> ''), '') || chr(10) AS content FROM s GROUP BY doc_id"""
+)
+def plain_export(spark: SparkSession, d: str) -> DataFrame:
+    return exports.plain_text(_variants(spark, d), "Notes")
+
+
+@query()
+def markdown_export(spark: SparkSession, d: str) -> DataFrame:
+    return exports.export(_variants(spark, d), "markdown", "Notes")
+
+
+@query()
+def latex_export(spark: SparkSession, d: str) -> DataFrame:
+    return exports.export(_variants(spark, d), "latex", "Notes")
+
+
+@query()
+def json_export(spark: SparkSession, d: str) -> DataFrame:
+    return exports.export(_boxed(_lines(spark, d)), "json", "Notes")
+
+
+_NOISE_SQL = "x"
+for _p in T.NOISE:
+    _NOISE_SQL = STRIP.format(f"regexp_replace({_NOISE_SQL}, '{_p}', '')")
+
+
+@query(f"""WITH {VARIANTS}, s AS (SELECT doc_id, pos, {STRIP.format("text")} AS x FROM v) SELECT doc_id, pos, {STRIP.format("regexp_replace(regexp_replace(" + _NOISE_SQL + ", '\\s*\\|\\s*\\|\\s*', ' | ', 'g'), '\\s+', ' ', 'g')")} AS text FROM s""")
+def clean_noise(spark: SparkSession, d: str) -> DataFrame:
+    return _variants(spark, d).select("doc_id", "pos", T.clean_noise(F.col("text")).alias("text"))
+
+
+_INDICATORS = " + ".join(f"CAST(contains(s, '{m}') AS INTEGER)" for m in formulas.INDICATORS)
+
+
+@query(
+    f"""WITH {VARIANTS}, s AS (SELECT doc_id, pos, {STRIP.format("text")} AS s FROM v)
+SELECT doc_id, pos, s <> '' AND ((regexp_matches(s, '=|<|>') AND (length(regexp_replace(s, '[^\\p{{Ll}}]', '', 'g'))::DOUBLE / greatest(1, length(replace(s, ' ', ''))) < 0.45 OR ({_INDICATORS}) >= 2)) OR starts_with(s, '$$') OR ends_with(s, '$$')) AS formula FROM s"""
+)
+def formula_flag(spark: SparkSession, d: str) -> DataFrame:
+    return _variants(spark, d).select("doc_id", "pos", formulas.is_formula(F.col("text")).alias("formula"))
+
+
+@query()
+def formula_latex(spark: SparkSession, d: str) -> DataFrame:
+    return _variants(spark, d).select("doc_id", "pos", formulas.format_line(F.col("text")).alias("text"))
+
+
+@query(f"WITH {VARIANTS} SELECT doc_id, pos, CAST(least(greatest(bbox_x - 35, 0) // 35, 4) AS INTEGER) AS indent FROM (SELECT doc_id, pos, (pos % 9) * 35 AS bbox_x FROM v)")
+def indentation(spark: SparkSession, d: str) -> DataFrame:
+    return _variants(spark, d).select("doc_id", "pos", T.indent((F.col("pos") % 9) * 35, F.lit(35)).alias("indent"))
+
+
+@query(
+    """WITH s AS (SELECT vec_id, unnest(range(8)) AS t, embedding FROM embeddings), c AS (SELECT vec_id, t, unnest(range(8)) AS c, embedding FROM s), p AS (SELECT vec_id, t, c, CAST(embedding[CAST(t * 8 + c + 1 AS INTEGER)] AS DOUBLE) AS v FROM c),
+m AS (SELECT vec_id, t, c, v FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, t ORDER BY v DESC, c) AS r FROM p) WHERE r = 1), l AS (SELECT *, lag(c) OVER (PARTITION BY vec_id ORDER BY t) AS b FROM m),
+k AS (SELECT * FROM l WHERE c NOT IN (0, 1) AND (b IS NULL OR b <> c))
+SELECT e.vec_id, COALESCE(string_agg(k.c::VARCHAR, ',' ORDER BY k.t), '') AS ids, round(greatest(0.0, least(1.0, COALESCE(avg(k.v), 0.0))), 6) AS confidence FROM embeddings e LEFT JOIN k ON e.vec_id = k.vec_id GROUP BY e.vec_id"""
+)
+def ctc_greedy(spark: SparkSession, d: str) -> DataFrame:
+    steps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.transform(F.slice("embedding", t * 8 + 1, F.lit(8)), lambda x: x.cast("double")))
+    out = decoding.ctc_greedy(table(spark, d, "embeddings").select("vec_id", steps.alias("p")), "vec_id")
+    return out.select("vec_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.round("confidence", 6).alias("confidence"))
+
+
+@query()
+def ctc_beam(spark: SparkSession, d: str) -> DataFrame:
+    steps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.transform(F.slice("embedding", t * 8 + 1, F.lit(8)), lambda x: -F.abs(x.cast("double")) - 0.1))
+    return decoding.ctc_beam_search(table(spark, d, "embeddings").select("vec_id", steps.alias("p")), "vec_id").withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    """WITH s AS (SELECT vec_id, unnest(range(8)) AS y, embedding FROM embeddings) SELECT vec_id, CAST(y AS INTEGER) AS y, CAST(len(list_filter(embedding[CAST(y * 8 + 1 AS INTEGER):CAST(y * 8 + 8 AS INTEGER)], lambda v: v > 0)) AS INTEGER) AS ink FROM s"""
+)
+def row_profile(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"), "embedding")
+    return e.select("vec_id", "y", F.size(F.filter(F.slice("embedding", F.col("y") * 8 + 1, F.lit(8)), lambda v: v > 0)).alias("ink"))
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey % 97 AS x, l_suppkey % 89 AS y, l_partkey AS k FROM lineitem)
+SELECT l_orderkey, arg_min(x, (x + y) * 1000000 + x * 1000 + y) AS top_left, arg_max(x, (x + y) * 1000000 + x * 1000 + y) AS bottom_right, arg_min(x, (y - x) * 1000000 + x * 1000 + y) AS top_right, arg_max(x, (y - x) * 1000000 + x * 1000 + y) AS bottom_left FROM p GROUP BY l_orderkey"""
+)
+def corner_order(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 97).alias("x"), (F.col("l_suppkey") % 89).alias("y"))
+    s, t = F.struct(F.col("x") + F.col("y"), "x", "y"), F.struct(F.col("y") - F.col("x"), "x", "y")
+    return p.groupBy("l_orderkey").agg(F.min_by("x", s).alias("top_left"), F.max_by("x", s).alias("bottom_right"), F.min_by("x", t).alias("top_right"), F.max_by("x", t).alias("bottom_left"))
+
+
+@query(f"WITH {LINES}, g AS (SELECT doc_id, text, avg((doc_id * 31 + pos * 17) % 100 / 100.0::DOUBLE) AS c, COUNT(*) AS n FROM lines GROUP BY doc_id, text), s AS (SELECT *, (c + 0.15::DOUBLE * (n - 1) + 0.04::DOUBLE * 0.5) * CASE WHEN length(text) >= 3 THEN 1.0 ELSE 0.5 END AS score FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, text) AS r FROM s) SELECT doc_id, text, n FROM r WHERE r = 1")
+def consensus_vote(spark: SparkSession, d: str) -> DataFrame:
+    c = _boxed(_lines(spark, d)).select("doc_id", "text", F.col("confidence").alias("conf"), F.lit(0.5).alias("lm"))
+    return metrics.consensus(c, ["doc_id"]).select("doc_id", "text", "n")
+
+
+@query("SELECT doc_id, saved_percent FROM (SELECT doc_id, round(greatest(0.0, (1 - least(length(text), strlen(text))::DOUBLE / nullif(strlen(text), 0)) * 100), 6) AS saved_percent FROM documents)")
+def compression_saved(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.round(T.saved_percent(F.octet_length("text"), F.length("text"), F.octet_length("text")), 6).alias("saved_percent"))
