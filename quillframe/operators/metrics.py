@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def cer_micro(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -14,13 +15,13 @@ def cer_micro(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg((100.0 * F.sum(F.levenshtein("found", "truth")) / F.sum(F.greatest(F.lit(1), F.length("truth")))).alias("cer"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio_error(found: pd.Series, truth: pd.Series) -> pd.Series:
     """1 - similarity ratio of two texts; 0 if both are empty, 1 if one is."""
     return pd.Series([0.0 if not a and not b else 1 - difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(found, truth, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio_word_error(found: pd.Series, truth: pd.Series) -> pd.Series:
     """1 - similarity ratio of two texts' word lists."""
     return pd.Series([1 - difflib.SequenceMatcher(None, (a or "").split(), (b or "").split()).ratio() for a, b in zip(found, truth, strict=True)])
