@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillframe.llm.kernels import planes, unplanes
 
@@ -134,6 +135,13 @@ def runs_by_doc(flag: np.ndarray, first: np.ndarray, docs: np.ndarray, sums: np.
     return pa.Table.from_arrays([pa.array(docs[own]), pa.array(sums[own]), ragged(flat, bounds)], names=["_id", "_sum", "runs"])
 
 
+def united(found: DataFrame, column: str = "runs") -> DataFrame:
+    """_id, _sum and the runs of rows that repeat, each run once: a document's runs are in one row, however many rows it has."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size(column) - 1, F.lit(2)), lambda i: F.struct(F.get(column, i).alias("s"), F.get(column, i + 1).alias("e")))
+    each = found.filter(F.size(column) > 0).select("_id", "_sum", F.explode(pairs).alias("p")).distinct()
+    return each.groupBy("_id", "_sum").agg(F.flatten(F.collect_list(F.array("p.s", "p.e"))).alias(column))
+
+
 RUNS = "_id long, _sum long, runs array<int>"
 
 

@@ -20,7 +20,6 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quillframe.llm import kernels as K
 from quillframe.llm import packed as P
@@ -29,7 +28,7 @@ from quillframe.llm.common import buckets, chunks, keyed, map_batches, materiali
 #: Words of a window; of a block: a window holds a whole block if width >= 2 * block - 1.
 WIDTH = 13
 #: Bytes of a chunk's texts.
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 _NO_PLACE = np.uint32((1 << 30) - 1)
 _ALIGNED, _MANY = np.uint32(1 << 31), np.uint32(1 << 30)
 
@@ -156,8 +155,8 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(_id, _sum, runs) of the documents with words to go: first words of their repeated windows, in runs. Written to the shared folder."""
     d = keyed(docs)
     n_parts = buckets(docs)
-    hits = materialize(_anchors(d, width, n_parts), "anchors")
-    return materialize(_repeats(d.join(hits, ["_id", "_sum"]), width, n_parts), "repeats")
+    hits = materialize(P.united(_anchors(d, width, n_parts)), "anchors")
+    return materialize(P.united(_repeats(d.join(hits, ["_id", "_sum"]), width, n_parts)), "repeats")
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, texts: bool = True) -> DataFrame:

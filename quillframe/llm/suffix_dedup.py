@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quillframe.llm import kernels as K
 from quillframe.llm import packed as P
@@ -207,10 +206,9 @@ def repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(_id, _sum, runs): runs of suffixes whose first `depth` bytes start elsewhere too. Written to the shared folder."""
     d, n_parts = keyed(docs), buckets(docs)
     first = materialize(_first_pass(d, depth, n_parts), "first-digit")
-    still = first.filter(F.size("open") > 0).select("_id", "_sum", "open")
+    still = P.united(first, "open")
     last = materialize(_last_passes(d.join(still, ["_id", "_sum"]), depth, n_parts), "last-digits")
-    both = first.select("_id", "_sum", "runs").unionByName(last)
-    return both.groupBy("_id", "_sum").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return P.united(first.select("_id", "_sum", "runs").unionByName(last))
 
 
 def dedup(docs: DataFrame, depth: int = DEPTH, texts: bool = True) -> DataFrame:
