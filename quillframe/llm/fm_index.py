@@ -92,7 +92,7 @@ class Wavelet:
 
 
 class FMIndex:
-    """Index of a shard's symbols (0: no phrase has it). Every `rate`-th suffix position is kept, and each that follows a 0."""
+    """Index of a shard's symbols (0: no phrase has it; the last one is 0, so no row for the empty suffix is needed). Every `rate`-th suffix position is kept, and each that follows a 0."""
 
     def __init__(self, symbols: np.ndarray, n_symbols: int, rate: int = 8):
         self.n = len(symbols)

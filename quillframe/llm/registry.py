@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_model, quality_rules, secrets_scan, substring_dedup, suffix_dedup, token_count
+from quillframe.llm import decontaminate, jaccard_join, line_dedup, mixing, oracles, quality_model, quality_rules, secrets_scan, substring_dedup, suffix_dedup, token_count
 from quillframe.llm.common import read
 
 
@@ -55,4 +55,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; the others are tested against plain restatements in tests/llm."""
+    return {
+        "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op2_source_mixing": oracles.SOURCE_MIXING,
+        "op3_quality_rules": oracles.QUALITY_RULES,
+        "op6_line_dedup": oracles.LINE_DEDUP,
+        "op7_jaccard_join": oracles.JACCARD_JOIN,
+        "op10_decontamination": oracles.DECONTAMINATION,
+    }
