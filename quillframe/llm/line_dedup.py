@@ -5,11 +5,11 @@ words each, if one word put in, left out or replaced makes them equal. A line go
 an earlier one (doc_id, then place) is alike, whether that one stays or not.
 
 1. Equal lines become one with its earliest place; the others go.
-2. One edit leaves the first four or the last four words of a line as they are. Only lines that
-   share one of these with another line go on, which loses no pair.
+2. One edit leaves the first or the last L words of a line as they are, L the largest power of two up to half its words.
+   Only lines that share such an end with another line go on, which loses no pair.
 3. Each of them emits the hash of the line without word i, for every i: with i (replaced in the
    same place) and without (left out, to meet the whole line of the other). Prefix sums of word hashes give all n variants in n steps.
-4. Equal keys join through the least place of each key: pre-aggregated, then joined back, so no
+4. Equal keys join through the least line of each key: pre-aggregated, then joined back, so no
    pairs of a group are made. What is found is verified on the words, and the earliest line stays.
 """
 
@@ -23,8 +23,6 @@ from quillframe.llm.quality_rules import let, words_of
 
 #: Lines of fewer words always stay; lines of so many words may differ by one edit.
 LEAST, NEAR = 3, 8
-#: Words at either end of which one edit leaves at least one end as it is; twice as many are at most NEAR.
-END = 4
 #: Bits of a word's hash in the sums: 2**23 words of a line do not overflow them.
 _BITS = 24
 
@@ -42,22 +40,37 @@ def _weights(shift: int, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col("k") - shift, F.col("word"), F.lit(seed)), _BITS)
 
 
+def _ends(words: Column) -> Column:
+    """Hashes of the ends that a line and one of its length or a word longer have in common if one edit tells them apart."""
+
+    def both(length: Column) -> list[Column]:
+        return [F.xxhash64(F.lit(k), F.array_join(F.slice(words, start, length), " ")) for k, start in ((0, F.lit(1)), (1, -length))]
+
+    n = F.size(words)
+    half = F.pow(F.lit(2), F.floor(F.log2(n / 2))).cast("int")
+    whole_power = (half * 2 == n) & (n > NEAR)  # a line one word shorter has ends half as long
+    shorter = F.greatest(F.lit(1), F.floor(half / 2).cast("int"))
+    return F.when(n < NEAR, F.array().cast("array<bigint>")).when(whole_power, F.array(*both(half), *both(shorter))).otherwise(F.array(*both(half)))
+
+
+REPLACED, LEFT_OUT, WHOLE = 0, 1, 2
+
+
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, whole, o): the keys of each line (o, w). whole: the key is of the line as it is; o: the line's place."""
-    line = Window.partitionBy("o")
+    """(key, kind, lid): the keys of each line (lid, w). A line's words stay in its partition."""
+    line = Window.partitionBy("lid")
     before = line.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    d = lines.select("o", F.posexplode("w").alias("k", "word"))
-    for s in (1, 2):
-        d = d.withColumn(f"f{s}", _weights(0, s)).withColumn(f"g{s}", _weights(1, s))
-    d = d.select("o", "k", *[f"{x}{s}" for s in (1, 2) for x in "fg"])
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = lines.repartition(parts, "lid").select("lid", F.posexplode("w").alias("k", "word"))
+    d = d.select("lid", "k", *[_weights(shift, s).alias(f"{x}{s}") for s in (1, 2) for shift, x in ((0, "f"), (1, "g"))])
     for s in (1, 2):
         without = F.coalesce(F.sum(f"f{s}").over(before), F.lit(0)) + F.sum(f"g{s}").over(line) - F.coalesce(F.sum(f"g{s}").over(before), F.lit(0)) - F.col(f"g{s}")
         d = d.withColumn(f"v{s}", without).withColumn(f"t{s}", F.sum(f"f{s}").over(line))
-    replaced = F.struct(F.xxhash64("v1", "v2", "k").alias("key"), F.lit(0).alias("kind"))
-    left_out = F.struct(F.xxhash64("v1", "v2").alias("key"), F.lit(1).alias("kind"))
-    as_it_is = F.struct(F.xxhash64("t1", "t2").alias("key"), F.lit(2).alias("kind"))
+    replaced = F.struct(F.xxhash64("v1", "v2", "k").alias("key"), F.lit(REPLACED).alias("kind"))
+    left_out = F.struct(F.xxhash64("v1", "v2").alias("key"), F.lit(LEFT_OUT).alias("kind"))
+    as_it_is = F.struct(F.xxhash64("t1", "t2").alias("key"), F.lit(WHOLE).alias("kind"))
     keys = F.when(F.col("k") == 0, F.array(replaced, left_out, as_it_is)).otherwise(F.array(replaced, left_out))
-    return d.select("o", F.explode(keys).alias("x")).select("o", "x.key", "x.kind")
+    return d.select("lid", F.explode(keys).alias("x")).select("x.key", "x.kind", "lid")
 
 
 def _one_edit(x: Column, y: Column) -> Column:
@@ -73,36 +86,32 @@ def _one_edit(x: Column, y: Column) -> Column:
 
 
 def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """o: earliest places of lines that are one edit away from an earlier line. firsts: (o, n, p, s) of distinct lines."""
-    ends = firsts.filter(F.col("n") >= NEAR).select("o", F.explode(F.array("p", "s")).alias("end"))
+    """o: earliest places of lines that are one edit away from an earlier line. firsts: (o, ends) of distinct lines."""
+    ends = firsts.select("o", F.explode("ends").alias("end"))
     several = ends.groupBy("end").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("end")
     places = ends.join(several, "end").select("o").distinct().select("o._id", "o._sum", "o.pos").groupBy("_id", "_sum").agg(F.collect_set("pos").alias("some"))
     picked = docs.join(places, ["_id", "_sum"]).select(
         "_id", "_sum", F.explode(let(F.split("text", "\n"), lambda all_: F.transform("some", lambda i: F.struct(i.alias("pos"), all_[i].alias("line"))))).alias("l")
     )
-    lines = materialize(picked.select(F.struct("_id", "_sum", "l.pos").alias("o"), words_of(F.col("l.line")).alias("w")).distinct(), "close-lines")
-    keys = materialize(_variants(lines), "line-keys")
+    picked = picked.select(F.struct("_id", "_sum", "l.pos").alias("o"), words_of(F.col("l.line")).alias("w")).dropDuplicates(["o"])
+    # numbers that grow with the place
+    lines = materialize(picked.orderBy("o").withColumn("lid", F.monotonically_increasing_id()), "close-lines")
+    keys = _variants(lines.select("lid", "w"))
+    least = keys.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("lid"))).alias(f"m{k}") for k in (REPLACED, LEFT_OUT, WHOLE)], F.count(F.lit(1)).alias("n"))
+    least = materialize(least.filter("n > 1").drop("n"), "shared-keys")
     # replaced meets replaced; left out meets whole, and the other way round
-    met = F.when(F.col("kind") == 0, F.lit(0)).otherwise(3 - F.col("kind"))
-    least = keys.groupBy("key", "kind").agg(F.min("o").alias("first")).select("key", met.alias("kind"), "first")
-    pairs = keys.join(least, ["key", "kind"]).filter(F.col("first") < F.col("o")).select("o", "first").distinct()
-    words = lines.withColumnRenamed("o", "first").withColumnRenamed("w", "u")
-    return pairs.join(lines, "o").join(words, "first").filter(_one_edit(F.col("w"), F.col("u"))).select("o").distinct()
+    first = F.when(F.col("kind") == REPLACED, F.col(f"m{REPLACED}")).when(F.col("kind") == LEFT_OUT, F.col(f"m{WHOLE}")).otherwise(F.col(f"m{LEFT_OUT}"))
+    pairs = keys.join(least, "key").select("lid", first.alias("first")).filter(F.col("first") < F.col("lid")).distinct()
+    words = lines.select(F.col("lid").alias("first"), F.col("w").alias("u"))
+    return pairs.join(lines, "lid").join(words, "first").filter(_one_edit(F.col("w"), F.col("u"))).select("o").distinct()
 
 
 def dropped(docs: DataFrame) -> DataFrame:
     """_id, _sum, gone (places of lines to drop) of the keyed documents that lose lines. Written to the shared folder."""
     line = F.col("w")
-    ends = [F.xxhash64(F.lit(k), F.array_join(F.slice("w", start, END), " ")) for k, start in ((0, 1), (1, -END))]
     all_lines = _lines(docs).filter(F.size("w") >= LEAST)
-    lines = materialize(
-        all_lines.select(
-            F.struct("_id", "_sum", "pos").alias("o"), F.size("w").alias("n"), _hash(line, 1).alias("h1"), _hash(line, 2).alias("h2"),
-            *[F.when(F.size("w") >= NEAR, e).otherwise(F.lit(0)).alias(x) for e, x in zip(ends, ("p", "s"), strict=True)],
-        ),
-        "lines",
-    )
-    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min("o").alias("o"), F.max("n").alias("n"), F.max("p").alias("p"), F.max("s").alias("s"), F.count(F.lit(1)).alias("k")), "distinct-lines")
+    lines = materialize(all_lines.select(F.struct("_id", "_sum", "pos").alias("o"), _hash(line, 1).alias("h1"), _hash(line, 2).alias("h2"), _ends(line).alias("ends")), "lines")
+    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(F.struct("o", "ends")).alias("m"), F.count(F.lit(1)).alias("k")).select("h1", "h2", "m.o", "m.ends", "k"), "distinct-lines")
     near = _near(docs, firsts)
     equal = lines.join(firsts.filter("k > 1").select("h1", "h2", F.col("o").alias("first")), ["h1", "h2"]).filter(F.col("o") != F.col("first")).select("o")
     gone = near.unionByName(equal).groupBy("o._id", "o._sum").agg(F.collect_set("o.pos").alias("gone"))
