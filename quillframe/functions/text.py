@@ -243,3 +243,23 @@ def json_found(t: Column, schema: str) -> Column:
     candidates = F.filter(F.array(whole, fenced, braces), lambda x: (x != "") & F.expr("true"))
     good = F.filter(candidates, lambda x: F.try_parse_json(x).isNotNull())
     return F.from_json(F.try_element_at(good, F.lit(1)), schema)
+
+
+def artifact_url(root: str, document: Column, page: Column, name: str) -> Column:
+    """Address of a page's artifact, from ids alone."""
+    return F.concat(F.lit(root.rstrip("/") + "/"), document.cast("string"), F.lit("/pages/"), page.cast("string"), F.lit("/" + name))
+
+
+def replace_subject_terms(t: Column, subject: Column, rules: dict[str, list[tuple[str, str]]]) -> Column:
+    """Ordered rules of a line's subject; lines of a subject without rules stay."""
+    out = None
+    for name, own in rules.items():
+        out = (F if out is None else out).when(subject == name, rewrite(t, own))
+    return t if out is None else out.otherwise(t)
+
+
+def bound(t: Column, phrases: list[tuple[str, str]]) -> Column:
+    """Noise off; the first phrase rule that matches gives the whole line; else marks are spaced, and a line of one character is blank."""
+    s = clean_noise(t)
+    spaced = strip(F.regexp_replace(F.regexp_replace(s, "\\s+([.,;:!?])", "$1"), "([,;])(?=\\p{L})", "$1 "))
+    return first_rule(s, phrases, F.when(F.length(spaced) <= 1, "").otherwise(spaced))

@@ -747,3 +747,81 @@ def consensus_vote(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, saved_percent FROM (SELECT doc_id, round(greatest(0.0, (1 - least(length(text), strlen(text))::DOUBLE / nullif(strlen(text), 0)) * 100), 6) AS saved_percent FROM documents)")
 def compression_saved(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.round(T.saved_percent(F.octet_length("text"), F.length("text"), F.octet_length("text")), 6).alias("saved_percent"))
+
+
+@query("SELECT page_id, 'https://files/' || page_id || '/pages/' || (page_id % 7) || '/binary.png' AS url FROM pages")
+def artifact_urls(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.artifact_url("https://files/", F.col("page_id"), F.col("page_id") % 7, "binary.png").alias("url"))
+
+
+@query(
+    f"""WITH {VARIANTS}, c AS (SELECT doc_id, pos, text, (doc_id * 31 + pos * 17) % 100 / 100.0::DOUBLE AS conf, CASE WHEN pos % 3 = 0 THEN -1.0 ELSE 0.0 END AS penalty, length(text) * 8 + 1 AS w, 18 + pos % 17 AS h FROM v)
+SELECT doc_id, pos FROM c WHERE conf >= 0.9 AND length(text) >= 8 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 2 AND penalty = 0 AND w >= 50 AND h >= 14 AND w >= 1.2 * h"""
+)
+def pseudo_label_accept(spark: SparkSession, d: str) -> DataFrame:
+    c = _boxed(_variants(spark, d)).select("doc_id", "pos", "text", F.col("confidence").alias("conf"), F.when(F.col("pos") % 3 == 0, -1.0).otherwise(0.0).alias("penalty"), F.col("bbox_w").alias("w"), F.col("bbox_h").alias("h"))
+    return metrics.pseudo_labels(c, 0.9).select("doc_id", "pos")
+
+
+@query("SELECT DISTINCT lower(n_name) AS word FROM nation UNION SELECT DISTINCT lower(r_name) FROM region UNION SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) FROM part")
+def vocabulary_union(spark: SparkSession, d: str) -> DataFrame:
+    parts = [table(spark, d, t).select(F.lower(c).alias("word")) for t, c in (("nation", "n_name"), ("region", "r_name"))]
+    names = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
+    return parts[0].union(parts[1]).union(names).distinct()
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'FAILED' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 6 = 0 THEN 'no image' ELSE o_orderpriority END AS error_message FROM orders"""
+)
+def status_update(spark: SparkSession, d: str) -> DataFrame:
+    """A transition whose message is written only where there is one."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("error_message"))
+    change = o.filter("o_orderkey % 3 = 0").select("o_orderkey", F.lit("FAILED").alias("status"), F.when(F.col("o_orderkey") % 6 == 0, F.lit("no image")).alias("error_message"))
+    return R.patch(o, change, "o_orderkey", ["status", "error_message"])
+
+
+@query(
+    """SELECT c.c_custkey, COALESCE(e.content, 'made for ' || c.c_custkey) AS content FROM customer c LEFT JOIN (SELECT o_custkey, 'order ' || o_orderkey AS content FROM
+(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus = 'F') WHERE r = 1) e ON c.c_custkey = e.o_custkey"""
+)
+def stored_or_made(spark: SparkSession, d: str) -> DataFrame:
+    """The newest stored export, else one made now."""
+    o = S.latest(table(spark, d, "orders").filter("o_orderstatus = 'F'"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    stored = o.select(F.col("o_custkey").alias("c_custkey"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("content"))
+    return R.stored_or_made(table(spark, d, "customer").select("c_custkey"), stored, "c_custkey", F.concat(F.lit("made for "), F.col("c_custkey").cast("string")))
+
+
+@query("SELECT o_custkey, o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus HAVING COUNT(*) > 1")
+def unique_key_violations(spark: SparkSession, d: str) -> DataFrame:
+    return R.duplicates(table(spark, d, "orders"), ["o_custkey", "o_orderstatus"])
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, a.w AS x, b.w AS y FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+z AS (SELECT conv_id, turn, unnest(range(least(len(x), len(y)))) AS k, unnest(x[1:least(len(x), len(y))]) AS old, unnest(y[1:least(len(x), len(y))]) AS new FROM p)
+SELECT conv_id, turn, k, old, new FROM z WHERE lower(old) <> lower(new) AND length(old) >= 2 AND length(new) >= 2"""
+)
+def word_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Words by position of two texts, the shorter decides; pairs that differ."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ").alias("x"))
+    p = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"])
+    n = F.least(F.size("x"), F.size("y"))
+    z = p.select("conv_id", "turn", F.posexplode(F.arrays_zip(F.slice("x", F.lit(1), n).alias("old"), F.slice("y", F.lit(1), n).alias("new"))).alias("k", "z"))
+    return z.select("conv_id", "turn", F.col("k").cast("long").alias("k"), "z.old", "z.new").filter("lower(old) <> lower(new) and length(old) >= 2 and length(new) >= 2")
+
+
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE CAST(round(n / 1024.0::DOUBLE, 1) AS VARCHAR) || ' KB' END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
+def byte_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.byte_size(F.octet_length("text")).alias("size"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '[^a-z ]', '', 'g')) AS kept FROM documents")
+def character_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(T.keep_characters(F.col("text"), _VOC)).alias("kept"))
+
+
+@query()
+def phrase_bound_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Noise stripping, first matching phrase, subject rules."""
+    t = T.bound(F.col("text"), [("^x = y \\+", "sum of two")])
+    return _variants(spark, d).select("doc_id", "pos", T.replace_subject_terms(t, F.lit("sums"), {"sums": [("sum of two", "x + y")]}).alias("text"))
