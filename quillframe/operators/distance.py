@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.text import let
+from quillframe.operators.metrics import ratio_error
 
 #: Letters that look alike in handwriting; the cost of exchanging two of one group.
 LOOKALIKES = ("aoec", "iljt", "mnuw", "bhk", "gqy", "rvs", "dp")
@@ -85,3 +86,25 @@ def corrected_lines(tokens: DataFrame, vocabulary: DataFrame, lexicon: DataFrame
     joined = t.groupBy(*keys).agg(parts.alias("p"))
     text, old = F.array_join(F.transform("p", lambda x: x["new"]), " "), F.array_join(F.transform("p", lambda x: x["token"]), " ")
     return joined.select(*keys, text.alias("text"), (F.lower(text) != F.lower(old)).alias("changed"))
+
+
+def snapped(tokens: DataFrame, vocabulary: DataFrame, replacements: DataFrame, keys: list[str], least: float = 0.72) -> DataFrame:
+    """keys, k, token: each word's fixed replacement, else the vocabulary word most similar to it at `least` and more, the smaller of equals.
+
+    Words of under four letters stay; case of the first letter and marks at the edges come back. Lengths that the ratio rules out are
+    not compared: a similarity of r needs lengths within r / (2 - r) of each other, spelled out for an equi-join."""
+    body = F.regexp_replace("token", "^[^\\p{L}]+|[^\\p{L}]+$", "")
+    t = tokens.withColumn("word", F.when(F.length(body) >= 4, F.lower(body)))
+    asked = t.filter("word is not null").select("word").distinct()
+    fixed = asked.join(replacements.select("word", F.col("replacement").alias("best")), "word")
+    span = least / (2 - least)
+    reach = F.sequence(F.ceil(F.length("word") * span).cast("int"), F.floor(F.length("word") / span).cast("int"))
+    pairs = asked.join(fixed.select("word"), "word", "left_anti").select("word", F.explode(reach).alias("len"))
+    pairs = pairs.join(vocabulary.select(F.col("word").alias("candidate"), F.length("word").alias("len")).distinct(), "len")
+    scored = pairs.select("word", "candidate", (1 - ratio_error("word", "candidate")).alias("r")).filter(F.col("r") >= least)
+    near = scored.groupBy("word").agg(F.min_by("candidate", F.struct(-F.col("r"), "candidate")).alias("best"))
+    t = t.join(fixed.unionByName(near), "word", "left")
+    first = F.substring(body, 1, 1)
+    shown = F.when((first == F.upper(first)) & (first != F.lower(first)), F.concat(F.upper(F.substring("best", 1, 1)), F.substr("best", F.lit(2)))).otherwise(F.col("best"))
+    edges = F.concat(F.regexp_extract("token", "^([^\\p{L}]*)", 1), shown, F.regexp_extract("token", "([^\\p{L}]*)$", 1))
+    return t.select(*keys, "k", F.coalesce(edges, "token").alias("token"))
