@@ -22,7 +22,7 @@ from quillframe.llm.common import chunks, map_batches
 from quillframe.llm.fm_index import FMIndex
 
 #: Bytes of a shard's texts.
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Bytes of benchmark texts that are sent to the executors at once; a larger benchmark is searched in blocks.
 BLOCK = 8 << 20
 
@@ -108,8 +108,20 @@ def _ragged(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int64()))
 
 
-def _scan(docs: DataFrame, p: Phrases) -> DataFrame:
-    """docs with what a block's phrases hit, added to what earlier blocks hit (columns `_runs` and `_items`, if there)."""
+def _without(column: pa.ChunkedArray, spans: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Texts without their byte spans; nulls stay."""
+    texts = column.to_pylist()
+    for k in np.flatnonzero(np.diff(bounds)):
+        raw, at, kept = texts[k].encode(), 0, []
+        for a, b in spans[bounds[k] : bounds[k + 1]].reshape(-1, 2):
+            kept.append(raw[at:a])
+            at = b
+        texts[k] = b"".join([*kept, raw[at:]]).decode()
+    return pa.array(texts, pa.string())
+
+
+def _scan(docs: DataFrame, p: Phrases, cut: bool = False) -> DataFrame:
+    """docs with what a block's phrases hit, added to what earlier blocks hit (columns `_runs` and `_items`, if there); or with cut, docs without it."""
     fields = [f for f in docs.schema.fields if f.name not in ("_runs", "_items")]
     names = [f.name for f in fields]
     again = "_runs" in docs.columns
@@ -130,11 +142,15 @@ def _scan(docs: DataFrame, p: Phrases) -> DataFrame:
             bounds = 2 * np.searchsorted(doc, np.arange(len(offsets)))
             runs = np.stack([starts - w.first[doc], ends - w.first[doc]], axis=1).ravel()
             spans = np.stack([w.start[starts] - offsets[doc], w.end[ends - 1] - offsets[doc]], axis=1).ravel() if len(starts) else runs
+            if cut:
+                out = [_without(t.column(n), spans, bounds) if n == "text" else t.column(n) for n in names]
+                yield from pa.Table.from_arrays(out, names=names).to_batches()
+                continue
             n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[w.first])
             out = [*(t.column(n) for n in names), pa.array(np.diff(w.first), pa.int64()), pa.array(n_hit, pa.int64()), _ragged(runs, bounds), _ragged(spans, bounds), pa.array(items, pa.list_(pa.string()))]
             yield from pa.Table.from_arrays(out, names=[*names, *_FOUND]).to_batches()
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{k} {v}" for k, v in _FOUND.items()])
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ([] if cut else [f"{k} {v}" for k, v in _FOUND.items()]))
     return map_batches(docs.select(*names, *(["_runs", "_items"] if again else [])), run, ddl)
 
 
@@ -145,19 +161,19 @@ def _blocks(benchmark: DataFrame, block: int) -> list[DataFrame]:
     return [benchmark.filter(F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(n)) == k) for k in range(n)] if n > 1 else [benchmark]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BLOCK) -> DataFrame:
-    """docs with n_words, n_hit, runs (word places), spans (byte places; start and end in turn) and items of the whole benchmark.
+def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BLOCK, cut: bool = False) -> DataFrame:
+    """docs with n_words, n_hit, runs (word places), spans (byte places; start and end in turn) and items of the whole benchmark; or with cut, docs without the spans.
 
     docs has text and any other columns but those five. The benchmark (item_id, text) is the stated
     query set: its texts go to the executors in blocks of about `block` bytes, one scan of docs
     for each; a scan adds to what the last found.
     Null and empty texts have no words. Items without an id or words are passed over; items that
     share an id count once. Rows that repeat are each their own."""
-    out = docs
-    for part in _blocks(benchmark.select("item_id", "text"), block):
-        if "runs" in out.columns:
+    out, parts = docs, _blocks(benchmark.select("item_id", "text"), block)
+    for k, part in enumerate(parts):
+        if k:
             out = out.drop("n_words", "n_hit", "spans").withColumnsRenamed({"runs": "_runs", "items": "_items"})
-        out = _scan(out, phrases([(r[0], r[1]) for r in part.collect()], width))
+        out = _scan(out, phrases([(r[0], r[1]) for r in part.collect()], width), cut and part is parts[-1])
     return out
 
 
@@ -178,21 +194,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int =
     """docs without the benchmark's passages: each removal span, first to last hit word, goes from the text; no row goes.
 
     Returns the columns of docs; n_chars, if there, follows the text. Texts without a hit stay as they are, nulls too."""
-    fields = docs.schema.fields
-    found = find(docs, benchmark, width, block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
-                if spans:
-                    raw, at, kept = texts[k].encode(), 0, []
-                    for a, b in zip(spans[::2], spans[1::2], strict=True):
-                        kept.append(raw[at:a])
-                        at = b
-                    texts[k] = b"".join([*kept, raw[at:]]).decode()
-            columns = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
-
-    out = map_batches(found, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    out = find(docs, benchmark, width, block, cut=True)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

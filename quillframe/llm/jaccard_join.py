@@ -30,7 +30,7 @@ from quillframe.llm.components import components
 SHINGLE = 5
 #: Links at 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 #: Sets that one tree holds at most; a larger block is joined shard by shard.
 BLOCK = 4000
 _NONE = np.uint32(0xFFFFFFFF)

@@ -24,10 +24,10 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown by doubling."""
+    """base**0 .. base**(n-1) modulo 2**64; kept, and grown as needed."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(1024, 1 << (n - 1).bit_length())
+        size = max(1024, n + n // 8)
         arr = np.full(size, base, dtype=np.uint64)
         arr[0] = 1
         have = _powers[base] = np.multiply.accumulate(arr)
@@ -123,8 +123,17 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(len(prefix), _BASE_INV)[start] + (end - start).astype(np.uint64) * PLACE[63])
 
 
-def word_hash(data: np.ndarray, w: Words) -> np.ndarray:
-    return span_hash(prefix_hash(data), w.start, w.end)
+def word_hash(data: np.ndarray, w: Words, block: int = 1 << 18) -> np.ndarray:
+    """Hash of each word. Blocks of bytes are hashed one after the other, so that the sums stay in the cache."""
+    out = np.empty(len(w.start), dtype=np.uint64)
+    i = 0
+    while i < len(out):
+        lo = w.start[i]
+        j = max(i + 1, int(np.searchsorted(w.start, lo + block)))
+        prefix = prefix_hash(data[lo : w.end[j - 1]])
+        out[i:j] = span_hash(prefix, w.start[i:j] - lo, w.end[i:j] - lo)
+        i = j
+    return out
 
 
 def gram_hash(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
