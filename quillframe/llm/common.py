@@ -6,6 +6,7 @@ import atexit
 import itertools
 import math
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -27,9 +28,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's spark.checkpoint.dir, else one of our own under the working folder (one machine, as in tests)."""
+    """The folder that all executors share: the cluster's spark.checkpoint.dir. Where that is unset, one under /tmp on one machine, as in tests, and one in the warehouse on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or f"file://{os.path.abspath(os.path.join('/tmp', f'quillframe-{os.getuid()}'))}"
+    if found:
+        return found
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return f"file:///tmp/quillframe-{os.getuid()}"
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quillframe-{os.getuid()}"
 
 
 def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:

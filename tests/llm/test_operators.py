@@ -370,3 +370,17 @@ def test_kernels():
     x = np.array([3, 1 << 40, 7], np.uint64)
     y = np.array([1, 2, 3], np.uint16)
     assert [v.tolist() for v in packed.unpack(packed.pack(x, y), np.uint64, np.uint16)] == [x.tolist(), y.tolist()]
+
+
+@pytest.mark.parametrize(
+    "set_to, master, folder",
+    [("hdfs://n/shared", "yarn", "hdfs://n/shared"), (None, "local[8]", f"file:///tmp/quillframe-{os.getuid()}"), (None, "local-cluster[3,2,3000]", f"hdfs://n/wh/quillframe-{os.getuid()}"), (None, "yarn", f"hdfs://n/wh/quillframe-{os.getuid()}")],
+)
+def test_scratch_folder_is_shared_on_a_cluster(set_to, master, folder):
+    from types import SimpleNamespace as Fake
+
+    from quillframe.llm import common
+
+    settings = {"spark.checkpoint.dir": set_to, "spark.sql.warehouse.dir": "hdfs://n/wh/"}
+    context = Fake(master=master, getConf=lambda: Fake(get=lambda key: None))
+    assert common.shared_dir(Fake(conf=Fake(get=lambda key, default=None: settings.get(key) or default), sparkContext=context)) == folder
