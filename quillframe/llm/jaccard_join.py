@@ -33,6 +33,8 @@ SIMILARITY = 75
 CHUNK = 4 << 20
 #: Sets that one tree holds at most; a larger block is joined shard by shard.
 BLOCK = 4000
+#: Into how many parts a large block is dealt before its shards are known.
+SALTS = 64
 _NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -285,14 +287,16 @@ def _join_block(similarity: int):
     return join
 
 
-def _links(ordered: DataFrame, similarity: int, block: int) -> DataFrame:
-    """a, b: links that join the groups of ordered sets."""
-    tokens = ordered.select("_id", F.explode("rare").alias("token"))
-    stars = tokens.groupBy("token").agg(F.min("_id").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    blocks = components(tokens.join(stars, "token").select("a", F.col("_id").alias("b")))
+def _dealt(ordered: DataFrame, blocks: DataFrame, similarity: int, block: int) -> DataFrame:
+    """a, b: links within blocks (node, component). The sets of a block of several shards go to a group for each pair of shards.
+
+    How many shards a large block has comes by a join on block and salt: dealt by block alone, all pairs
+    of a block would stand in one partition, which the grouping by block and pair then takes as it is."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    large = blocks.groupBy(F.col("component").alias("block")).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > block).withColumn("salt", salts)
     placed = ordered.select("_id", "n", "tokens", "many").join(blocks.withColumnsRenamed({"node": "_id", "component": "block"}), "_id")
-    many = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("component", "block")
-    placed = placed.join(many, "block").withColumn("shards", F.ceil(F.col("members") / block).cast("int"))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("_id", F.lit("salt")), F.lit(SALTS)).cast("int")).join(large, ["block", "salt"], "left")
+    placed = placed.withColumn("shards", F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int"))
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("_id"), F.col("shards")).cast("int"))
     # a shard meets every other once: pairs (i, j), i <= j
     pairs = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda o: F.struct(F.least("shard", o).alias("i"), F.greatest("shard", o).alias("j")))
@@ -300,6 +304,14 @@ def _links(ordered: DataFrame, similarity: int, block: int) -> DataFrame:
     return spread.groupBy("block", "i", "j").applyInArrow(_join_block(similarity), "a long, b long")
 
 
+def _links(ordered: DataFrame, similarity: int, block: int) -> DataFrame:
+    """a, b: links that join the groups of ordered sets."""
+    tokens = ordered.select("_id", F.explode("rare").alias("token"))
+    stars = tokens.groupBy("token").agg(F.min("_id").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    blocks = components(tokens.join(stars, "token").select("a", F.col("_id").alias("b")))
+    return _dealt(ordered, blocks, similarity, block)
+
+
 def join(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs.
 

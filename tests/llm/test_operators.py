@@ -384,3 +384,20 @@ def test_scratch_folder_is_shared_on_a_cluster(set_to, master, folder):
     settings = {"spark.checkpoint.dir": set_to, "spark.sql.warehouse.dir": "hdfs://n/wh/"}
     context = Fake(master=master, getConf=lambda: Fake(get=lambda key: None))
     assert common.shared_dir(Fake(conf=Fake(get=lambda key, default=None: settings.get(key) or default), sparkContext=context)) == folder
+
+
+def test_pairs_of_shards_of_one_block_stand_apart(spark):
+    rng = random.Random(4)
+    base = rng.sample(range(1, 1 << 40), 40)
+    sets = [sorted({*base, *rng.sample(range(1, 1 << 40), rng.randint(1, 4))}) for _ in range(60)]
+    rows_ = [(k, len(s), np.array(s, np.uint64).tobytes(), np.array([60 if x in base else 2 for x in s], np.uint32).tobytes(), []) for k, s in enumerate(sets)]
+    ordered = spark.createDataFrame(rows_, "_id long, n long, tokens binary, many binary, rare array<long>")
+    blocks = spark.createDataFrame([(k, 0) for k in range(60)], "node long, component long")
+    links = jaccard_join._dealt(ordered, blocks, 75, 8)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    grouped = plan.split("FlatMapGroupsInArrow")[1].split("hashpartitioning(")[1].split(")")[0]
+    assert [x.strip().split("#")[0] for x in grouped.split(",")[:3]] == ["block", "i", "j"]
+    parent = list(range(60))
+    for a, b in links.collect():
+        parent = [parent[b] if p == parent[a] else p for p in parent]
+    assert len(set(parent)) == 1
