@@ -2,9 +2,9 @@
 
 1. Targets: sources share 150 % of all words by weight; a target stops at twice
    its source's size, and what is over goes to the others (water filling).
-2. Blocks of equal tokens go to the sources by highest quotients
+2. Blocks of equal tokens, one word each, go to the sources by highest quotients
    target / (2 k + 1), then each source's blocks to its shards in the same way:
-   integer quotas.
+   integer quotas. Only some 5 quotients of a party are compared, however many blocks there are.
 3. Each shard lays its documents end to end in seeded order and takes the
    leading blocks of its quota, going round once more where the quota is larger
    than the shard.
@@ -23,8 +23,8 @@ from quillframe.llm.quality_rules import count_words
 WEIGHTS = (5, 2, 1)
 #: Percent of all words that the mix has; times its size that a source may come to.
 SHARE, MOST = 150, 2
-#: Blocks that all words make at most: a block has 1 / BLOCKS of them, one word at least.
-BLOCKS = 1_000_000
+#: Words of a block. In larger ones a small source gets no seat, and a shard under a block's size cannot take up its own.
+BLOCK = 1
 #: Hexadecimal digits of the seeded hash that name a shard: 256 shards of each source.
 SHARD_DIGITS = 2
 SEED = "mix"
@@ -80,16 +80,16 @@ def apportion(parties: DataFrame, within: list[str], key: str, votes: str, seats
     return parties.join(won, [*within, key], "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
-def mix(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of docs (doc_id, text, source; others are not read).
 
     Null or empty texts have size 0 and nothing taken; a null source is a source of its own, last in order; a
-    null doc_id stays null. Rows that repeat are documents of their own; equal ones may swap what is taken of
+    null doc_id stays null. A source's words come within a few of its target, whatever its size. The query's SQL has
+    blocks of a millionth of all words, which are one word below two million; there both are the same. Rows that repeat are documents of their own; equal ones may swap what is taken of
     them, so the result as a set is the same in each run. An empty table gives no rows."""
     d = materialize(sizes(docs), "mix-sizes")
     sources = targets(d.groupBy("_s").agg(F.sum("size").alias("source_size")))
-    block = F.greatest(F.lit(1), F.floor(F.col("total") / blocks))
-    sources = sources.withColumn("block", block).withColumn("_all", F.lit(0)).withColumn("n_blocks", F.round(F.col("total") * SHARE / 100 / F.col("block")).cast("long"))
+    sources = sources.withColumn("block", F.lit(BLOCK)).withColumn("_all", F.lit(0)).withColumn("n_blocks", F.round(F.col("total") * SHARE / 100 / F.col("block")).cast("long"))
     sources = materialize(apportion(sources, ["_all"], "_s", "target", "n_blocks", F.col("block"), "quota"), "mix-sources", 1)
     d = d.withColumn("_shard", F.substring("_h", 1, SHARD_DIGITS))
     shards = d.groupBy("_s", "_shard").agg(F.sum("size").alias("shard_size")).join(F.broadcast(sources) if _small(sources) else sources, "_s")

@@ -1,0 +1,12 @@
+"""Findings of reviews: what an operator once left out, on the least input that shows it."""
+
+from quillframe.llm import mixing
+
+
+def test_mixing_reaches_the_target_of_small_sources(spark):
+    F = mixing.F
+    large = spark.range(6).select((F.col("id") + 100).alias("doc_id"), F.repeat(F.lit("w "), 1_000_000).alias("text"), F.lit("a").alias("source"))
+    small = spark.createDataFrame([(1, "x", "b"), (2, "y", "b")] + [(k, "one two three", "c") for k in range(10, 40)], "doc_id long, text string, source string")
+    out = mixing.mix(large.unionByName(small)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert sorted(r.source_size for r in out) == [2, 90, 6_000_000]
+    assert all(abs(r.taken - r.target) <= 1 for r in out)
