@@ -8,8 +8,9 @@
    rarest n - ceil(0.75 n) + 1 shingles, so sets that share no such shingle, directly or in a chain, fall into different blocks.
 3. In each block the sets stand in a prefix tree, common shingles first. A set is joined by walking the tree with
    the overlap so far; a subtree goes when what is left of the set and of the subtree's
-   longest member cannot reach the overlap that is needed. A subtree whose members are already in the set's group
-   needs no walk: only links that join groups are put out, not all pairs.
+   longest member cannot reach the overlap that is needed. All links are found and counted, each set with the
+   documents that have it; only those that join groups are put out, not all pairs. Where groups alone are asked
+   for, a subtree whose members are already in the set's group needs no walk.
 4. Links make components.
 """
 
@@ -101,7 +102,7 @@ def _shared(docs: DataFrame, n: int, n_parts: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """_id, k1, k2 (the set's fingerprint), n, keys (its sorted hashes) of each row with text."""
+    """_id, _sum, k1, k2 (the set's fingerprint), n, keys (its sorted hashes) of each row with text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, CHUNK):
@@ -111,9 +112,9 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(K.mix(key ^ s))])[bounds] for s in (K.PLACE[41], K.PLACE[42])]
             k1, k2 = (np.diff(s).view(np.int64) for s in sums)
             keys = [key[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(offsets) - 1)]
-            yield from pa.Table.from_arrays([t.column("_id"), pa.array(k1), pa.array(k2), pa.array(np.diff(bounds), pa.int64()), pa.array(keys, pa.binary())], names=["_id", "k1", "k2", "n", "keys"]).to_batches(1000)
+            yield from pa.Table.from_arrays([t.column("_id"), t.column("_sum"), pa.array(k1), pa.array(k2), pa.array(np.diff(bounds), pa.int64()), pa.array(keys, pa.binary())], names=["_id", "_sum", "k1", "k2", "n", "keys"]).to_batches(1000)
 
-    return map_batches(docs, run, "_id long, k1 long, k2 long, n long, keys binary")
+    return map_batches(docs, run, "_id long, _sum long, k1 long, k2 long, n long, keys binary")
 
 
 def needed(n: int, similarity: int) -> int:
@@ -188,8 +189,14 @@ class PrefixTree:
             self.parent[x] = x = self.parent[self.parent[x]]
         return x
 
-    def links(self, x: int, ranks: np.ndarray) -> Iterator[int]:
-        """Members that x links to, no more than one from what is one group already; joins the groups."""
+    def unite(self, x: int, y: int) -> bool:
+        """Joins the groups of x and y; whether they were two."""
+        a, b = self.group(x), self.group(y)
+        self.parent[a] = b
+        return a != b
+
+    def links(self, x: int, ranks: np.ndarray, every: bool = False) -> Iterator[int]:
+        """Members that x links to: every one, or no more than one from what is one group already, whose groups it then joins."""
         if self.root is None:
             return
         mark, n, s = self.mark, self.size[x], self.similarity
@@ -197,7 +204,7 @@ class PrefixTree:
         stack = [(self.root, 0, 0)]
         while stack:
             node, depth, overlap = stack.pop()
-            if node.same and self.group(node.one) == self.group(x):
+            if not every and node.same and self.group(node.one) == self.group(x):
                 continue
             left = len(ranks)
             if len(node.run):
@@ -208,9 +215,11 @@ class PrefixTree:
             if (100 + s) * (overlap + min(left, node.longest - depth)) < s * (n + node.least):
                 continue
             for y in node.ends:
-                if (100 + s) * overlap >= s * (n + self.size[y]) and self.group(x) != self.group(y):
-                    self.parent[self.group(x)] = self.group(y)
+                if (100 + s) * overlap >= s * (n + self.size[y]) and (every or self.unite(x, y)):
                     yield y
+            if every:
+                stack += [(child, depth, overlap) for child in node.children.values()]
+                continue
             first = None
             uniform = all(self.group(y) == self.group(node.one) for y in node.ends)
             for head, child in node.children.items():
@@ -254,9 +263,9 @@ class PrefixTree:
             node, at = child, at + m
 
 
-def _join_block(similarity: int):
+def _join_block(similarity: int, counted: bool = False):
     def join(t: pa.Table) -> pa.Table:
-        """Links (a, b) within a block, or between shard `i` and shard `j` of it."""
+        """Links (a, b) that join groups within a block, or between shard `i` and shard `j` of it; counted: and rows (a, null, links of a), each link as often as documents have the other set."""
         ids, sizes = t.column("_id").to_pylist(), t.column("n").to_pylist()
         tokens = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
         many = [np.frombuffer(x, np.uint32) for x in t.column("many").to_pylist()]
@@ -269,11 +278,23 @@ def _join_block(similarity: int):
         mine, other = t.column("shard").to_pylist(), t.column("j").to_pylist()
         tree = PrefixTree(sizes, len(distinct), similarity)
         found: list[tuple[int, int]] = []
-        order = sorted(range(len(ids)), key=lambda k: (sizes[k], ids[k]))
+        times, count = t.column("times").to_pylist() if counted else [], [0] * len(ids)
+
+        def meet(x: int) -> None:
+            for y in tree.links(x, ranks[x], counted):
+                if counted:
+                    count[x] += times[y]
+                    count[y] += times[x]
+                    if not tree.unite(x, y):
+                        continue
+                found.append((x, y))
+
+        # a row that the input repeats is one set
+        order = sorted({i: k for k, i in enumerate(ids)}.values() if counted else range(len(ids)), key=lambda k: (sizes[k], ids[k]))
         i, j = t.column("i")[0].as_py(), other[0]
         if i == j:
             for x in order:
-                found += [(x, y) for y in tree.links(x, ranks[x])]
+                meet(x)
                 tree.add(x, ranks[x])
         else:
             for x in order:
@@ -281,63 +302,82 @@ def _join_block(similarity: int):
                     tree.add(x, ranks[x])
             for x in order:
                 if mine[x] == j:
-                    found += [(x, y) for y in tree.links(x, ranks[x])]
+                    meet(x)
+        if counted:
+            some = [k for k, c in enumerate(count) if c]
+            a, b = [x for x, _ in found] + some, [ids[y] for _, y in found] + [None] * len(some)
+            return pa.Table.from_arrays([pa.array([ids[x] for x in a], pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(found) + [count[k] for k in some], pa.int64())], names=["a", "b", "n_links"])
         return pa.Table.from_arrays([pa.array([ids[x] for x, _ in found], pa.int64()), pa.array([ids[y] for _, y in found], pa.int64())], names=["a", "b"])
 
     return join
 
 
-def _dealt(ordered: DataFrame, blocks: DataFrame, similarity: int, block: int) -> DataFrame:
-    """a, b: links within blocks (node, component). The sets of a block of several shards go to a group for each pair of shards.
+def _dealt(ordered: DataFrame, blocks: DataFrame, similarity: int, block: int, counted: bool = False) -> DataFrame:
+    """a, b, and counted n_links (see _join_block; blocks then has `times`, the documents with each set): links within blocks (node, component). The sets of a block of several shards go to a group for each pair of shards.
 
     How many shards a large block has comes by a join on block and salt: dealt by block alone, all pairs
     of a block would stand in one partition, which the grouping by block and pair then takes as it is."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     large = blocks.groupBy(F.col("component").alias("block")).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > block).withColumn("salt", salts)
-    placed = ordered.select("_id", "n", "tokens", "many").join(blocks.withColumnsRenamed({"node": "_id", "component": "block"}), "_id")
+    columns = ["_id", "n", "tokens", "many", *(["times"] if counted else [])]
+    placed = ordered.select(*columns[:4]).join(blocks.withColumnsRenamed({"node": "_id", "component": "block"}), "_id")
     placed = placed.withColumn("salt", F.pmod(F.xxhash64("_id", F.lit("salt")), F.lit(SALTS)).cast("int")).join(large, ["block", "salt"], "left")
     placed = placed.withColumn("shards", F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int"))
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("_id"), F.col("shards")).cast("int"))
     # a shard meets every other once: pairs (i, j), i <= j
     pairs = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda o: F.struct(F.least("shard", o).alias("i"), F.greatest("shard", o).alias("j")))
-    spread = placed.withColumn("p", F.explode(pairs)).select("block", "p.i", "p.j", "shard", "_id", "n", "tokens", "many")
-    return spread.groupBy("block", "i", "j").applyInArrow(_join_block(similarity), "a long, b long")
+    spread = placed.withColumn("p", F.explode(pairs)).select("block", "p.i", "p.j", "shard", *columns)
+    return spread.groupBy("block", "i", "j").applyInArrow(_join_block(similarity, counted), "a long, b long" + (", n_links long" if counted else ""))
 
 
-def _links(ordered: DataFrame, similarity: int, block: int) -> DataFrame:
-    """a, b: links that join the groups of ordered sets."""
+def _links(ordered: DataFrame, similarity: int, block: int, times: DataFrame | None) -> DataFrame:
+    """a, b: links that join the groups of ordered sets; with times (set, times) also n_links, see _dealt."""
     tokens = ordered.select("_id", F.explode("rare").alias("token"))
     stars = tokens.groupBy("token").agg(F.min("_id").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     blocks = components(tokens.join(stars, "token").select("a", F.col("_id").alias("b")))
-    return _dealt(ordered, blocks, similarity, block)
+    if times is not None:
+        blocks = blocks.join(times, F.col("node") == F.col("set")).drop("set")
+    return _dealt(ordered, blocks, similarity, block, times is not None)
 
 
-def join(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs.
+def join(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, block: int = BLOCK, counted: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of each row of docs; not counted: without n_links, for less work in large groups.
 
-    Null texts and texts without words have no shingles and link with nothing. Rows that share a doc_id are one
-    document: they are in one component. A row without doc_id links with nothing and its component is null. Columns other than doc_id and
+    n_links are the other documents whose set of shingles is equal to the row's or links with it; of a doc_id with several
+    sets each counts. Null texts and texts without words have no shingles and link with nothing. Rows that share a doc_id are one
+    document: they are in one component. A row without doc_id links with nothing, its component is null. Columns other than doc_id and
     text are not read. An empty table gives no rows."""
     d, n_parts = keyed(docs), buckets(docs)
     sizes = materialize(_shared(d, shingle, n_parts), "shingles")
     near = sizes.filter((F.col("n_shingles") > 0) & (100 * F.col("shared") >= similarity * F.col("n_shingles")) & (F.col("_id") != NULL_ID)).select("_id", "_sum").distinct()
     sets = materialize(_sets(d.join(near, ["_id", "_sum"]), shingle), "sets")
-    least = sets.groupBy("k1", "k2").agg(F.min("_id").alias("rep"))
-    members = materialize(sets.select("_id", "k1", "k2").distinct().join(least, ["k1", "k2"]).select("_id", "rep", "k1", "k2"), "members")
-    firsts = members.filter("_id = rep").select("_id", "k1", "k2").distinct()
-    reps = sets.join(firsts, ["_id", "k1", "k2"]).select("_id", "n", "keys")
+    least = sets.groupBy("k1", "k2").agg(F.min("_id").alias("rep"), *([F.count_distinct("_id").alias("times")] if counted else []))
+    members = materialize(sets.select("_id", "_sum", "k1", "k2").distinct().join(least, ["k1", "k2"]), "members")
+    firsts = members.filter("_id = rep").drop("_sum", "rep").distinct()
+    if counted:  # a document may be the first of several sets: each has a number
+        firsts = materialize(firsts.withColumn("set", F.monotonically_increasing_id()), "firsts")
+    reps = sets.join(firsts, ["_id", "k1", "k2"]).select(F.col("set" if counted else "_id").alias("_id"), "n", "keys")
     ordered = materialize(_ordered(reps, similarity, n_parts), "ordered")
-    links = _links(ordered, similarity, block)
+    links = _links(ordered, similarity, block, firsts.select("set", "times") if counted else None)
+    if counted:
+        links = materialize(links, "links-and-counts")
+        number = links.filter("b is null").groupBy(F.col("a").alias("set")).agg(F.sum("n_links").alias("n"))
+        number = firsts.join(number, "set", "left").select(F.col("_id").alias("rep"), "k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+        number = members.join(number, ["rep", "k1", "k2"]).select("_id", "_sum", "n_links")
+        a, b = (firsts.select(F.col("set").alias(x), F.col("_id").alias(f"_{x}")) for x in "ab")
+        links = links.filter("b is not null").join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     # equal sets, and rows of one id, hang on their first document
     alike = members.filter("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
     groups = components(links.union(alike)).withColumnRenamed("node", "_id")
-    return sizes.join(groups, "_id", "left").select(own_id().alias("doc_id"), "n_shingles", F.when(F.col("_id") != NULL_ID, F.coalesce("component", "_id")).alias("component_id"))
+    out = sizes.join(groups, "_id", "left")
+    columns = [own_id().alias("doc_id"), "n_shingles", F.when(F.col("_id") != NULL_ID, F.coalesce("component", "_id")).alias("component_id")]
+    return out.join(number, ["_id", "_sum"], "left").select(*columns, F.coalesce("n_links", F.lit(0)).alias("n_links")) if counted else out.select(*columns)
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of docs whose doc_id is the least of their component, and rows without doc_id; all columns as they are.
 
     Of rows that share that doc_id all stay."""
-    first = join(docs, shingle, similarity).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    first = join(docs, shingle, similarity, counted=False).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     kept = docs.join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
     return kept.unionByName(docs.filter("doc_id is null"))

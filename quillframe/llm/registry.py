@@ -34,7 +34,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(read(spark, sf_dir, "documents"), 5, 75)
+    return jaccard_join.join(read(spark, sf_dir, "documents"), 5, 75).drop("n_links")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

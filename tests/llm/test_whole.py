@@ -1,6 +1,15 @@
 """Findings of reviews: what an operator once left out, on the least input that shows it."""
 
-from quillframe.llm import mixing
+import os
+import random
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+import brute  # noqa: E402
+
+from quillframe.llm import jaccard_join, mixing  # noqa: E402
 
 
 def test_mixing_reaches_the_target_of_small_sources(spark):
@@ -10,3 +19,24 @@ def test_mixing_reaches_the_target_of_small_sources(spark):
     out = mixing.mix(large.unionByName(small)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
     assert sorted(r.source_size for r in out) == [2, 90, 6_000_000]
     assert all(abs(r.taken - r.target) <= 1 for r in out)
+
+
+@pytest.mark.parametrize("block", [4000, 5])
+def test_jaccard_counts_every_link(spark, block):
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(120)]
+    docs = []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(120)] = f"x{rng.random()}"
+        docs.append(" ".join(w))
+    docs += docs[:3] * 2 + [None, "", "two words", "two words", " ".join(f"own{k}" for k in range(50))]
+    sets = [brute.shingles(t) for t in docs]
+    want = [(i, sum(bool(s and u) and i != j and 100 * len(s & u) >= 75 * len(s | u) for j, u in enumerate(sets))) for i, s in enumerate(sets)]
+    assert sum(n for _, n in want) > 2 * 40
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    out = jaccard_join.join(df, block=block)
+    assert sorted((r.doc_id, r.n_links) for r in out.collect()) == want
+    twice = jaccard_join.join(df.union(df), block=block)  # rows that repeat are one document
+    assert sorted((r.doc_id, r.n_links) for r in twice.distinct().collect()) == want
