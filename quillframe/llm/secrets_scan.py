@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and a randomness test battery for all other opaque strings.
 
-Patterns give spans of the kinds assign, access and hex. Every other run of 20
-and more characters of an encoding alphabet is a candidate. Its encoding is
-inferred from its characters, and three tests compare it with what structured
-text of its length would give:
+Patterns give spans of the kinds assign, access and hex. Every run of 20
+and more characters of an encoding alphabet in what they leave over is a candidate, and so are
+the runs in it of each base64 alphabet and of letters and digits alone: a key in a path or URL is tested
+without the path. Of found spans the outermost stay. A candidate's encoding is
+inferred from its characters, and the tests that apply to it compare it with what structured
+text of its length would give (for letters of one case, chi-squared alone):
 
 * chi-squared distance from a uniform use of the alphabet,
 * runs of character classes (lower, upper, digit, other),
@@ -37,12 +39,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: What is tested besides a whole candidate.
+PIECES = tuple(re.compile(rf"[{x}]{{20,}}={{0,2}}") for x in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9"))
 
 #: Alphabets by name: inferred in this order, the smallest that holds all characters.
 ALPHABETS = {
     "digits": "0123456789",
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
@@ -50,6 +56,8 @@ ALPHABETS = {
 #: Under structured text: excess of the squared frequencies over uniform times the alphabet's size, the chance that a neighbour is of
 #: another class, and the correlation of neighbours. Digits and single-case words tell nothing by class or case.
 STRUCTURED_EXCESS, STRUCTURED_CHANGE, STRUCTURED_CORRELATION = 2.4, 0.12, 0.35
+#: Alphabets of one case: no classes to run or correlate by; the excess of letters in words over uniform use of them.
+ONE_CASE, ONE_CASE_EXCESS = ("lower", "upper"), 0.7
 #: False-discovery rate, and length classes' growth: a class holds lengths of a factor of 2.
 RATE = 0.001
 _BINS = 60
@@ -64,14 +72,24 @@ def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _uniform(counts: np.ndarray, n: int, excess: float) -> float:
+    """p-value of the chi-squared distance from uniform under structured text."""
+    size = len(counts)
+    chi = float(((counts - n / size) ** 2).sum() * size / n)
+    shift = n * excess / 2
+    return _upper((size - 1 + shift - chi) / math.sqrt(2 * (size - 1) + 4 * shift))
+
+
+def one_case(s: str, alphabet: str) -> float:
+    return _uniform(np.array([s.count(c) for c in alphabet]), len(s), ONE_CASE_EXCESS)
+
+
 def battery(s: str, alphabet: str) -> tuple[float, float, float]:
     """p-values of the three tests under "structured text"; small for a random string."""
     n, size = len(s), len(alphabet)
     at = np.array([alphabet.index(c) for c in s], dtype=np.float64)
     counts = np.bincount(at.astype(int), minlength=size)
-    chi = float(((counts - n / size) ** 2).sum() * size / n)
-    shift = n * STRUCTURED_EXCESS / 2
-    p_chi = _upper((size - 1 + shift - chi) / math.sqrt(2 * (size - 1) + 4 * shift))
+    p_chi = _uniform(counts, n, STRUCTURED_EXCESS)
     kind = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in s]
     changes = sum(a != b for a, b in zip(kind, kind[1:], strict=False))
     spread = math.sqrt((n - 1) * STRUCTURED_CHANGE * (1 - STRUCTURED_CHANGE))
@@ -89,7 +107,7 @@ def combined(s: str) -> tuple[str, float] | None:
     name = encoding(body)
     if name is None or name == "digits" or len(set(body)) < 8:
         return None
-    ps = battery(body, ALPHABETS[name])
+    ps = (one_case(body, ALPHABETS[name]),) if name in ONE_CASE else battery(body, ALPHABETS[name])
     z = sum(NormalDist().inv_cdf(min(max(1 - p, 1e-15), 1 - 1e-15)) for p in ps) / math.sqrt(len(ps))
     return name, _upper(z)
 
@@ -103,13 +121,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int]]:
-    """(start, end, class, bin) of the opaque strings that no fixed pattern touches. bin: -log2 of the p-value."""
+    """(start, end, class, bin) of the opaque strings in what the fixed patterns leave over, and of their pieces. bin: -log2 of the p-value."""
+    free, at = [], 0
+    for a, _, b in base:
+        if a > at:
+            free.append((at, a))
+        at = max(at, b)
+    free.append((at, len(text)))
+    spans = {}
+    for a, b in free:
+        for m in CANDIDATE.finditer(text, a, b):
+            spans[m.span()] = None
+            for piece in PIECES:
+                spans |= dict.fromkeys(x.span() for x in piece.finditer(text, *m.span()))
     out = []
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < b for a, _, b in base):
-            continue
-        got = combined(m[0])
+    for s, e in spans:
+        got = combined(text[s:e])
         if got:
             out.append((s, e, f"{got[0]}:{(e - s).bit_length()}", min(_BINS, int(-math.log2(max(got[1], 1e-300))))))
     return out
@@ -156,6 +183,9 @@ def find(docs: DataFrame, rate: float = RATE) -> DataFrame:
     classes = {r["c"]: r["least_bin"] for r in thresholds(scanned, rate).collect()}  # bounded: alphabets x length classes
     least = F.create_map(*[F.lit(x) for kv in classes.items() for x in kv]) if classes else None
     found = F.filter("more", lambda m: m["b"] >= F.coalesce(F.try_element_at(least, m["c"]), F.lit(_BINS + 1))) if classes else F.filter("more", lambda m: F.lit(False))
+    # of spans one in another the outer one
+    scanned = scanned.withColumn("found", found)
+    found = F.filter("found", lambda m: ~F.exists("found", lambda o: (o["s"] <= m["s"]) & (o["e"] >= m["e"]) & ((o["s"] < m["s"]) | (o["e"] > m["e"]))))
     return scanned.select(own_id().alias("doc_id"), "base", F.transform(found, lambda m: F.struct(m["s"].alias("s"), F.lit(3).alias("k"), m["e"].alias("e"))).alias("found"))
 
 
