@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, in native columns, windows and joins.
 
-A line is its words. Two lines are alike if they have the same words, or, with 8 and more
+A line is its words. Two lines are alike if they have the same words, or, with 8 (`near`) and more
 words each, if one word put in, left out or replaced makes them equal. A line goes if
 an earlier one (doc_id, then place) is alike, whether that one stays or not.
 
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import NULL_ID, keyed, materialize
 from quillframe.llm.quality_rules import let, words_of
 
-#: Lines of fewer words always stay; lines of so many words may differ by one edit.
-LEAST, NEAR = 3, 8
+#: Lines of fewer words always stay (those without a word); lines of so many words may differ by one edit.
+LEAST, NEAR = 1, 8
+#: The same of the query and the pipeline, as their SQL and tests state it.
+QUERY_LEAST = 3
 #: Bits of a word's hash in the sums: 2**23 words of a line do not overflow them.
 _BITS = 24
 
@@ -40,7 +42,7 @@ def _weights(shift: int, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col("k") - shift, F.col("word"), F.lit(seed)), _BITS)
 
 
-def _ends(words: Column) -> Column:
+def _ends(words: Column, near: int) -> Column:
     """Hashes of the ends that a line and one of its length or a word longer have in common if one edit tells them apart."""
 
     def both(length: Column) -> list[Column]:
@@ -48,9 +50,9 @@ def _ends(words: Column) -> Column:
 
     n = F.size(words)
     half = F.pow(F.lit(2), F.floor(F.log2(n / 2))).cast("int")
-    whole_power = (half * 2 == n) & (n > NEAR)  # a line one word shorter has ends half as long
+    whole_power = (half * 2 == n) & (n > near)  # a line one word shorter has ends half as long
     shorter = F.greatest(F.lit(1), F.floor(half / 2).cast("int"))
-    return F.when(n < NEAR, F.array().cast("array<bigint>")).when(whole_power, F.array(*both(half), *both(shorter))).otherwise(F.array(*both(half)))
+    return F.when(n < near, F.array().cast("array<bigint>")).when(whole_power, F.array(*both(half), *both(shorter))).otherwise(F.array(*both(half)))
 
 
 REPLACED, LEFT_OUT, WHOLE = 0, 1, 2
@@ -106,15 +108,15 @@ def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return pairs.join(lines, "lid").join(words, "first").filter(_one_edit(F.col("w"), F.col("u"))).select("o").distinct()
 
 
-def dropped(docs: DataFrame) -> DataFrame:
-    """_id, _sum, gone (places of lines to drop) of the keyed documents that lose lines. Written to the shared folder."""
+def dropped(docs: DataFrame, least: int = LEAST, near: int = NEAR) -> DataFrame:
+    """_id, _sum, gone (places of lines to drop) of the keyed documents that lose lines: of lines of `least` words and more (one at least). near is 2 at least. Written to the shared folder."""
     line = F.col("w")
-    all_lines = _lines(docs).filter(F.size("w") >= LEAST)
-    lines = materialize(all_lines.select(F.struct("_id", "_sum", "pos").alias("o"), _hash(line, 1).alias("h1"), _hash(line, 2).alias("h2"), _ends(line).alias("ends")), "lines")
+    all_lines = _lines(docs).filter(F.size("w") >= least)
+    lines = materialize(all_lines.select(F.struct("_id", "_sum", "pos").alias("o"), _hash(line, 1).alias("h1"), _hash(line, 2).alias("h2"), _ends(line, near).alias("ends")), "lines")
     firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(F.struct("o", "ends")).alias("m"), F.count(F.lit(1)).alias("k")).select("h1", "h2", "m.o", "m.ends", "k"), "distinct-lines")
-    near = _near(docs, firsts)
+    close = _near(docs, firsts)
     equal = lines.join(firsts.filter("k > 1").select("h1", "h2", F.col("o").alias("first")), ["h1", "h2"]).filter(F.col("o") != F.col("first")).select("o")
-    gone = near.unionByName(equal).groupBy("o._id", "o._sum").agg(F.collect_set("o.pos").alias("gone"))
+    gone = close.unionByName(equal).groupBy("o._id", "o._sum").agg(F.collect_set("o.pos").alias("gone"))
     return materialize(gone, "gone-lines")
 
 
@@ -123,28 +125,28 @@ def _rebuilt(text: Column, gone: Column) -> Column:
     return let(F.split(text, "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: x[i]), "\n"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST, near: int = NEAR) -> DataFrame:
     """docs with `_kept` (the text without its repeated lines) and `_gone` (how many lines went).
 
     Null texts have no lines and stay null. Null doc_ids order last. Rows equal in doc_id and text are one document and keep the same lines.
     A text none of whose lines stays becomes empty; no row goes. Columns other than doc_id and text pass through. An
     empty table gives no rows."""
-    found = dropped(keyed(docs))
+    found = dropped(keyed(docs), least, near)
     ids = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_sum")]
     joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *ids).join(found, ["_id", "_sum"], "left")
     kept = F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(_rebuilt(F.col("_row.text"), F.col("gone")))
     return joined.select("_row.*", kept.alias("_kept"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_gone"))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, least: int = LEAST, near: int = NEAR) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of each row of docs; a null text counts as empty, with one empty line."""
     text = F.coalesce("text", F.lit(""))
-    return dedup(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(
+    return dedup(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, near).select(
         "doc_id", F.size(F.split(text, "\n")).cast("long").alias("n_lines"), F.col("_gone").alias("n_removed"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256")
     )
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, least: int = LEAST, near: int = NEAR) -> DataFrame:
     """docs with its texts deduplicated by line; n_chars, if there, follows the text."""
-    out = dedup(docs).withColumn("text", F.col("_kept")).select(*docs.columns)
+    out = dedup(docs, least, near).withColumn("text", F.col("_kept")).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

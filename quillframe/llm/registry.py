@@ -30,7 +30,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(read(spark, sf_dir, "documents"))
+    return line_dedup.report(read(spark, sf_dir, "documents"), line_dedup.QUERY_LEAST)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
-from quillframe.llm import jaccard_join, mixing, secrets_scan  # noqa: E402
+from quillframe.llm import jaccard_join, line_dedup, mixing, secrets_scan  # noqa: E402
 
 
 def test_mixing_reaches_the_target_of_small_sources(spark):
@@ -61,3 +61,10 @@ def test_letters_of_one_case_have_no_class_tests():
         assert {name for name, _ in ps} == {"lower"} and ps[20][1] < least
     words = ("the people of this town have read all these old books and then went home again " * 9).replace(" ", "")[:400]
     assert secrets_scan.combined(words)[1] > 0.01
+
+
+def test_short_lines_are_deduplicated(spark):
+    docs = [(1, "Menu\n\n全部一行没有空格的文字\nhttps://host/a/long/path"), (2, "Menu\nhttps://host/a/long/path\n\nour own\nfive words stand in here"), (3, "全部一行没有空格的文字\n our  own \nfive words stood in here\nfive words stand here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.clean(df).collect()} == {1: docs[0][1], 2: "\nour own\nfive words stand in here", 3: "five words stood in here\nfive words stand here"}
+    assert {r.doc_id: r.text for r in line_dedup.clean(df, near=4).collect()}[3] == ""
