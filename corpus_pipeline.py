@@ -48,8 +48,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of ten and more words of the benchmark go from the texts; no document goes."""
-    return decontaminate.remove(docs, common.read(spark, sf_dir, "benchmark"), 10)
+    """Passages of ten and more words of the benchmark, of items without an id too, go from the texts; no document goes."""
+    return decontaminate.remove(docs, common.read(spark, sf_dir, "benchmark"), 10, unnamed=True)
 
 
 @_stage

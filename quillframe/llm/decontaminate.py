@@ -39,19 +39,21 @@ class Phrases:
     names: list[str]
 
 
-def phrases(items: list[tuple[object, str | None]], width: int) -> Phrases:
-    """Windows of `width` words of each item; an item of fewer words is one window. Items without an id or words have none."""
+def phrases(items: list[tuple[object, str | None]], width: int, unnamed: bool = False) -> Phrases:
+    """Windows of `width` words of each item; an item of fewer words is one window. Items without words have none; those without an id have some if unnamed, which nobody owns."""
     rows: dict[tuple[int, ...], set[int]] = {}
     names = sorted({str(i) for i, _ in items if i is not None})
     number = {x: k for k, x in enumerate(names)}
     for item, text in items:
-        if item is None or not text:
+        if (item is None and not unnamed) or not text:
             continue
         data, offsets = K.texts(pa.array([text], pa.large_string()))
         data = K.fold(data)
         h = K.word_hash(data, K.words(data, offsets, K.NOT_ALNUM)).tolist()
         for k in range(max(1, len(h) - width + 1) if h else 0):
-            rows.setdefault(tuple(h[k : k + width]), set()).add(number[str(item)])
+            owners = rows.setdefault(tuple(h[k : k + width]), set())
+            if item is not None:
+                owners.add(number[str(item)])
     vocabulary = np.array(sorted({x for row in rows for x in row}), dtype=np.uint64)
     lengths = np.array([len(row) for row in rows], dtype=np.int64)
     windows = np.zeros((len(rows), width), dtype=np.int64)
@@ -96,9 +98,10 @@ def search(data: np.ndarray, offsets: np.ndarray, p: Phrases) -> tuple[K.Words,
     pd, pw = pairs // len(p.windows), pairs % len(p.windows)
     n_own = p.owner_first[pw + 1] - p.owner_first[pw]
     own = p.owners[np.arange(n_own.sum()) - np.repeat(np.cumsum(n_own) - n_own, n_own) + np.repeat(p.owner_first[pw], n_own)]
-    both = np.unique(np.repeat(pd, n_own) * len(p.names) + own)
-    bounds = np.searchsorted(both // len(p.names), np.arange(n_docs + 1))
-    return w, hit, [both[bounds[k] : bounds[k + 1]] % len(p.names) for k in range(n_docs)]
+    n_names = max(1, len(p.names))
+    both = np.unique(np.repeat(pd, n_own) * n_names + own)
+    bounds = np.searchsorted(both // n_names, np.arange(n_docs + 1))
+    return w, hit, [both[bounds[k] : bounds[k + 1]] % n_names for k in range(n_docs)]
 
 
 _FOUND = {"n_words": "long", "n_hit": "long", "runs": "array<long>", "spans": "array<long>", "items": "array<string>"}
@@ -158,28 +161,28 @@ def _blocks(benchmark: DataFrame, block: int) -> list[DataFrame]:
     """The benchmark in blocks of about `block` bytes of text; the size is counted first."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / block))
-    return [benchmark.filter(F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(n)) == k) for k in range(n)] if n > 1 else [benchmark]
+    return [benchmark.filter(F.pmod(F.xxhash64(F.col("item_id").cast("string"), F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(n)) == k) for k in range(n)] if n > 1 else [benchmark]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BLOCK, cut: bool = False) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BLOCK, cut: bool = False, unnamed: bool = False) -> DataFrame:
     """docs with n_words, n_hit, runs (word places), spans (byte places; start and end in turn) and items of the whole benchmark; or with cut, docs without the spans.
 
     docs has text and any other columns but those five. The benchmark (item_id, text) is the stated
     query set: its texts go to the executors in blocks of about `block` bytes, one scan of docs
     for each; a scan adds to what the last found.
-    Null and empty texts have no words. Items without an id or words are passed over; items that
-    share an id count once. Rows that repeat are each their own."""
+    Null and empty texts have no words. Items without words are passed over, those without an id too unless unnamed: then
+    their windows count as hits and go into the spans, and only `items` leaves them out. Items that share an id count once. Rows that repeat are each their own."""
     out, parts = docs, _blocks(benchmark.select("item_id", "text"), block)
     for k, part in enumerate(parts):
         if k:
             out = out.drop("n_words", "n_hit", "spans").withColumnsRenamed({"runs": "_runs", "items": "_items"})
-        out = _scan(out, phrases([(r[0], r[1]) for r in part.collect()], width), cut and part is parts[-1])
+        out = _scan(out, phrases([(r[0], r[1]) for r in part.collect()], width, unnamed), cut and part is parts[-1])
     return out
 
 
-def report(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BLOCK) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BLOCK, unnamed: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs; a null doc_id stays null."""
-    found = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, width, block)
+    found = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, width, block, unnamed=unnamed)
     return found.select(
         "doc_id",
         "n_words",
@@ -190,9 +193,9 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int =
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BLOCK) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BLOCK, unnamed: bool = False) -> DataFrame:
     """docs without the benchmark's passages: each removal span, first to last hit word, goes from the text; no row goes.
 
     Returns the columns of docs; n_chars, if there, follows the text. Texts without a hit stay as they are, nulls too."""
-    out = find(docs, benchmark, width, block, cut=True)
+    out = find(docs, benchmark, width, block, cut=True, unnamed=unnamed)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
-from quillframe.llm import jaccard_join, line_dedup, mixing, secrets_scan  # noqa: E402
+from quillframe.llm import decontaminate, jaccard_join, line_dedup, mixing, secrets_scan  # noqa: E402
 
 
 def test_mixing_reaches_the_target_of_small_sources(spark):
@@ -68,3 +68,14 @@ def test_short_lines_are_deduplicated(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.clean(df).collect()} == {1: docs[0][1], 2: "\nour own\nfive words stand in here", 3: "five words stood in here\nfive words stand here"}
     assert {r.doc_id: r.text for r in line_dedup.clean(df, near=4).collect()}[3] == ""
+
+
+def test_items_without_id_count_as_hits(spark):
+    passage = " ".join(f"w{k}" for k in range(14))
+    df = spark.createDataFrame([(1, f"before {passage} after"), (2, "nothing of it")], "doc_id long, text string").coalesce(1)
+    for items in ([(None, passage)], [(None, passage), (None, "other words"), (7, "never found")]):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        for block in (decontaminate.BLOCK, 20):
+            got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(df, bench, block=block, unnamed=True).collect()}
+            assert got == {1: (14, 0, True), 2: (0, 0, False)}
+            assert {r.doc_id: r.text for r in decontaminate.remove(df, bench, block=block, unnamed=True).collect()} == {1: "before  after", 2: "nothing of it"}
