@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def map_images(df: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -377,6 +378,13 @@ def corners(points: np.ndarray) -> np.ndarray:
     return points[[int(np.argmin(s)), int(np.argmin(d)), int(np.argmax(s)), int(np.argmax(d))]]
 
 
+def corner_points(points: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, top_left, top_right, bottom_right, bottom_left (structs of x, y) of the points (x, y) of each key; of equals the one with the smaller, at the far corners the larger x, then y."""
+    p, total, apart = F.struct("x", "y"), F.struct(F.col("x") + F.col("y"), "x", "y"), F.struct(F.col("y") - F.col("x"), "x", "y")
+    ends = (F.min_by(p, total), F.min_by(p, apart), F.max_by(p, total), F.max_by(p, apart))
+    return points.groupBy(*keys).agg(*[e.alias(n) for e, n in zip(ends, ("top_left", "top_right", "bottom_right", "bottom_left"), strict=True)])
+
+
 def warped(image: np.ndarray, points: np.ndarray) -> np.ndarray:
     """The quadrangle as an upright rectangle as large as its longer edges."""
     tl, tr, br, bl = p = corners(points.astype(float))

@@ -1,84 +1,146 @@
-"""Formula lines: detection and conversion to LaTeX as ordered pattern passes."""
+"""Formula lines: detection, LaTeX by tokens, compounds by the table of elements.
+
+A formula is cut into tokens; a token that has a LaTeX name takes it. What is left
+is shape: scripts, roots, fractions and limits, each one rule over operands, which are
+bracketed groups or names with their scripts. Compounds are words that consist of element
+symbols, brackets and counts, whichever compounds they are. Rules neither look around nor refer
+back, so that SQL can state them: a rule is a pattern and a template in which %1 is its first group.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import count_contained, let, rewrite, strip
-
-#: What a formula may contain; operators; symbol names; compounds.
-INDICATORS = ("=", "+", "-", "*", "/", "^", "_", "->", "<=>", "sqrt", "lim", "int", "sin", "cos", "tan", "ln")
-OPERATORS = (("<=>", "\\\\Leftrightarrow "), ("->", "\\\\rightarrow "), ("<=", "\\\\le "), (">=", "\\\\ge "), ("!=", "\\\\ne "), ("\\+-", "\\\\pm "))
-SYMBOLS = ("alpha", "beta", "gamma", "delta", "lambda", "sigma", "omega", "theta")
-COMPOUNDS = ("H2O", "CO2", "O2", "H2", "NaCl", "HCl", "H2SO4", "NaOH")
+from quillframe.functions.text import count_contained, let, strip
+
+#: What a relation is, and signs and names of which two make a relation a formula.
+RELATION = "[=<>]"
+SIGNS = ("*", "+", "-", "/", "<", "=", ">", "^", "_", "cos", "int", "lim", "ln", "sin", "sqrt", "tan", "tg")
+#: The Greek letters with a LaTeX command, in alphabetical order; capitals that differ from Latin ones.
+GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega".split()
+GREEK_CAPITALS = "Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega".split()
+#: Letters with another command than their name, other names, and operators.
+NAMES = {"eps": "varepsilon", "epsilon": "varepsilon", "phi": "varphi", "ro": "rho", "inf": "infty", "infinity": "infty", "int": "int", "sum": "sum"}
+OPERATORS = {"!=": "neq", "*": "cdot", "+-": "pm", "±": "pm", "-->": "rightarrow", "->": "rightarrow", "<->": "Leftrightarrow", "<=": "le", "<=>": "Leftrightarrow", ">=": "ge", "~=": "approx", "≈": "approx"}
+#: Element symbols by atomic number, and the elements that go in pairs.
+ELEMENTS = (
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu "
+    "Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og"
+).split()
+PAIRED = ("H", "N", "O", "F", "Cl", "Br", "I")
+
+TOKEN = "sqrt|[A-Za-z]+|[0-9]+|<=>|<->|-->|->|!=|>=|<=|\\+-|~=|[\\s\\S]"
+LATEX = {g: f"\\{g}" for g in (*GREEK, *GREEK_CAPITALS)} | {k: f"\\{v}" for k, v in NAMES.items()} | {k: f" \\{v} " for k, v in OPERATORS.items()}
+
+_GROUP, _NAME = "\\(([^()]+)\\)", "\\\\?[A-Za-z0-9]+"
+_OPERAND = f"(?:{_GROUP}|((?:\\\\sqrt\\{{[^{{}}]*\\}}|{_NAME})(?:[_^]\\{{[^{{}}]*\\}})*))"
+SHAPES = [
+    (f"([_^])\\s*(?:{_GROUP}|(-?{_NAME}))", "%1{%2%3}"),
+    (f"\\\\?sqrt\\s*(?:{_GROUP}|({_NAME}))", "\\sqrt{%1%2}"),
+    (f"{_OPERAND}\\s*/\\s*{_OPERAND}", "\\frac{%1%2}{%3%4}"),
+    (f"lim\\s*({_NAME})\\s*\\\\rightarrow\\s*(-?{_NAME})", "\\lim_{%1 \\to %2}"),
+    ("\\s+", " "),
+]
+
+REACTION_TOKEN = "<=>|<->|-+>|[A-Za-z0-9()]+(?:-[A-Z][A-Za-z0-9()]*)*|[\\s\\S]"
+ARROW = "->|<=>"
+#: Element symbols, brackets and counts, after a factor.
+COMPOUND = f"^[0-9]*\\(?(?:{'|'.join(ELEMENTS)})(?:{'|'.join(ELEMENTS)}|[0-9()-])*$"
+TWO_ELEMENTS = "[A-Z].*[A-Z]"
+COUNTED, NAMED = "[A-Za-z)][0-9]", "[a-z]|[A-Za-z]OH$"
+PAIR = f"^[0-9]*(?:{'|'.join(PAIRED)})2$"
+SUBSCRIPTS = [("([A-Z()-][A-Za-z()-]*)([0-9]*)", "\\text{%1}_{%2}"), ("_\\{\\}", ""), ("_\\{([0-9])\\}", "_%1")]
+#: A label and what is its formula; what makes that a formula.
+LABELLED, WORKED = "^([^:]*:)\\s*([A-Za-z0-9()\\s+*/^_=.-]+)$", "[=+*/^_-]"
+
+
+def shaped(t: Column, rules: list[tuple[str, str]]) -> Column:
+    """Rules in order over the whole text."""
+    for pattern, template in rules:
+        t = F.regexp_replace(t, pattern, template.replace("\\", "\\\\").replace("%", "$"))
+    return t
 
 
 def is_formula(t: Column) -> Column:
-    """A relation with few prose letters or two and more indicators, or a text that starts or ends as a block formula."""
+    """A relation with few prose letters or with two signs of formulas, or a text that starts or ends as a block formula."""
     s = strip(t)
-    relation = s.rlike("=|<|>")
     prose = F.length(F.regexp_replace(s, "[^\\p{Ll}]", "")) / F.greatest(F.lit(1), F.length(F.replace(s, F.lit(" "))))
-    return (s != "") & ((relation & ((prose < 0.45) | (count_contained(s, INDICATORS) >= 2))) | s.startswith("$$") | s.endswith("$$"))
+    return (s != "") & ((s.rlike(RELATION) & ((prose < 0.45) | (count_contained(s, SIGNS) >= 2))) | s.startswith("$$") | s.endswith("$$"))
 
 
-def chemistry(t: Column) -> Column:
-    """Counts after an element as subscripts."""
-    return F.regexp_replace(t, "([A-Z][a-z]?|\\))(\\d+)", "$1_{$2}")
+def _tokens(t: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
 
 
 def to_latex(t: Column) -> Column:
-    passes = [
-        *OPERATORS,
-        ("\\\\?sqrt\\(([^)]+)\\)", "\\\\sqrt{$1}"),
-        ("\\\\?sqrt([A-Za-z0-9]+)", "\\\\sqrt{$1}"),
-        ("\\(([^)]+)\\)\\s*/\\s*\\(([^)]+)\\)", "\\\\frac{$1}{$2}"),
-        ("\\b([A-Za-z0-9_]+)\\s*/\\s*([A-Za-z0-9_]+)\\b", "\\\\frac{$1}{$2}"),
-        ("\\^(\\d+)", "^{$1}"),
-        ("\\^\\(([^)]+)\\)", "^{$1}"),
-        ("_([A-Za-z0-9]+)", "_{$1}"),
-        ("\\s*\\*\\s*", " \\\\cdot "),
-        (f"(?<![\\\\A-Za-z])({'|'.join(SYMBOLS)})\\b", "\\\\$1"),
-        ("\\\\?lim\\s*([A-Za-z0-9]+)\\s*\\\\rightarrow\\s*([A-Za-z0-9]+)", "\\\\lim_{$1 \\\\to $2}"),
-        ("\\s+", " "),
-    ]
-    return strip(rewrite(strip(t), passes))
+    names = F.create_map(*[F.lit(x) for kv in LATEX.items() for x in kv])
+    return strip(shaped(F.array_join(F.transform(_tokens(t, TOKEN), lambda x: F.coalesce(F.try_element_at(names, x), x)), ""), SHAPES))
+
+
+def _compound(w: Column) -> Column:
+    """Several elements with a count or with a small letter or hydroxide, so not a word in capitals."""
+    return w.rlike(COMPOUND) & w.rlike(TWO_ELEMENTS) & (w.rlike(COUNTED) | w.rlike(NAMED)) | w.rlike(PAIR)
+
+
+def _counted_element(w: Column) -> Column:
+    return w.rlike(COMPOUND) & w.rlike(COUNTED)
+
+
+def chemistry(t: Column) -> Column:
+    """Compounds and counted elements with subscripts, arrows as commands."""
+    arrow = F.lit("\\rightarrow")
+    double = F.lit("\\Leftrightarrow")
+    one = lambda x: F.when(x.isin("<=>", "<->"), double).when(x.rlike("^-+>$"), arrow).when(_compound(x) | _counted_element(x), shaped(x, SUBSCRIPTS)).otherwise(x)
+    return F.array_join(F.transform(_tokens(t, REACTION_TOKEN), one), "")
+
+
+def mentions(t: Column) -> Column:
+    """Compounds in prose as inline formulas."""
+    return F.array_join(F.transform(_tokens(t, REACTION_TOKEN), lambda x: F.when(_compound(x), F.concat(F.lit("$"), shaped(x, SUBSCRIPTS), F.lit("$"))).otherwise(x)), "")
+
+
+def line_kind(t: Column) -> Column:
+    """blank, ready (has block marks), reaction, equation, labelled (a label, then a formula) or prose."""
+    s = strip(t)
+    words = _tokens(s, REACTION_TOKEN)
+    reacts = F.exists(words, _compound) | (s.rlike(ARROW) & F.exists(words, _counted_element))
+    labelled = s.rlike(LABELLED) & F.regexp_extract(s, LABELLED, 2).rlike(WORKED)
+    return F.when(s == "", "blank").when(F.contains(s, F.lit("$$")), "ready").when(~is_formula(s), F.when(labelled, "labelled").otherwise("prose")).when(reacts, "reaction").otherwise("equation")
 
 
 def format_line(t: Column) -> Column:
-    """Block formula for a formula line, inline formula after a colon, compounds in inline form, else the line as it is."""
-    return let(strip(t), _formatted)
+    """The line by its kind: a block, an inline formula after its label, or prose with its compounds."""
 
+    def block(x: Column) -> Column:
+        return F.concat(F.lit("$$"), x, F.lit("$$"))
 
-def _formatted(s: Column) -> Column:
-    compound = f"\\b({'|'.join(COMPOUNDS)})\\b"
-    block = F.when(s.rlike(compound), rewrite(chemistry(s), [OPERATORS[0], OPERATORS[1]])).otherwise(to_latex(s))
-    head, tail = F.regexp_extract(s, "^(.*?:)\\s*([A-Za-z0-9()\\s+*/^_=-]+)$", 1), F.regexp_extract(s, "^(.*?:)\\s*([A-Za-z0-9()\\s+*/^_=-]+)$", 2)
-    inline = F.concat(head, F.lit(" $"), to_latex(tail), F.lit("$"))
-    mentioned = F.regexp_replace(s, f"(?<=^|\\s){compound}(?=[.,;:]?(\\s|$))", "\\$$1\\$")
-    return (
-        F.when(s == "", "")
-        .when(F.contains(s, F.lit("$$")), s)
-        .when(is_formula(s), F.concat(F.lit("$$"), block, F.lit("$$")))
-        .when((head != "") & tail.rlike("[=+*/^_-]"), inline)
-        .otherwise(mentioned)
-    )
+    def by_kind(x: Column) -> Column:
+        s, kind = x["s"], x["kind"]
+        inline = F.concat(F.regexp_extract(s, LABELLED, 1), F.lit(" $"), to_latex(F.regexp_extract(s, LABELLED, 2)), F.lit("$"))
+        return F.when(kind == "reaction", block(chemistry(s))).when(kind == "equation", block(to_latex(s))).when(kind == "labelled", inline).when(kind == "prose", mentions(s)).otherwise(s)
+
+    return let(F.struct(strip(t).alias("s"), line_kind(t).alias("kind")), by_kind)
+
+
+#: What starts a chapter.
+CHAPTER = "^(lecture|theme|chapter|kapitel|chapitre|capítulo)([^\\p{L}]|$)"
+NUMBERED, BULLET, TERM = "^[0-9]+[.)]\\s+", "^[•*–—-]\\s*", "^(.*?)\\s*[-—]\\s*(.*)$"
 
 
 def markdown_line(t: Column) -> Column:
-    """A line as markdown: block formula, heading word, bullet, number, heading, definition or prose; null if blank."""
+    """A line as markdown: block formula, chapter, bullet, number, heading, definition or prose; null if blank."""
     return let(F.struct(format_line(t).alias("s"), is_formula(t).alias("f")), lambda x: _markdown(x["s"], x["f"]))
 
 
+def _apart(*parts: Column | str) -> Column:
+    return F.concat(F.lit("\n"), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("\n"))
+
+
 def _markdown(s: Column, formula: Column) -> Column:
-    parts = F.split(s, "\\s*[-—]\\s*", 2)
-    return (
-        F.when(s == "", F.lit(None).cast("string"))
-        .when(formula, F.concat(F.lit("\n"), s, F.lit("\n")))
-        .when(F.lower(s).rlike("^(lecture|theme|chapter|kapitel|chapitre|capítulo)([^\\p{L}]|$)"), F.concat(F.lit("\n### "), s, F.lit("\n")))
-        .when(s.startswith("•") | s.startswith("-"), F.concat(F.lit("- "), F.regexp_replace(s, "^[•*–—-]\\s*", "")))
-        .when(s.rlike("^\\d+[.)]\\s+"), F.concat(F.lit("\n"), s, F.lit("\n")))
-        .when(s.endswith(":") | ((F.length(s) < 50) & ~F.contains(s, F.lit(" - ")) & s.rlike("^\\p{Lu}")), F.concat(F.lit("\n## "), s, F.lit("\n")))
-        .when(F.contains(s, F.lit(" - ")) | F.contains(s, F.lit(" — ")), F.concat(F.lit("\n**"), strip(parts[0]), F.lit("** — "), strip(F.coalesce(F.get(parts, 1), F.lit(""))), F.lit("\n")))
-        .otherwise(s)
-    )
+    listed = F.when(s.startswith("•") | s.startswith("-"), F.concat(F.lit("- "), F.regexp_replace(s, BULLET, ""))).when(s.rlike(NUMBERED), _apart(s))
+    defined = F.contains(s, F.lit(" - "))
+    heading = s.endswith(":") | ((F.length(s) < 50) & ~defined & s.rlike("^\\p{Lu}"))
+    term = _apart("**", strip(F.regexp_extract(s, TERM, 1)), "** — ", strip(F.regexp_extract(s, TERM, 2)))
+    prose = F.when(heading, _apart("## ", s)).when(defined | F.contains(s, F.lit(" — ")), term).otherwise(s)
+    return F.when(s == "", F.lit(None).cast("string")).when(formula, _apart(s)).when(F.lower(s).rlike(CHAPTER), _apart("### ", s)).otherwise(F.coalesce(listed, prose))

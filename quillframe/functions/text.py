@@ -261,5 +261,5 @@ def replace_subject_terms(t: Column, subject: Column, rules: dict[str, list[tupl
 def bound(t: Column, phrases: list[tuple[str, str]]) -> Column:
     """Noise off; the first phrase rule that matches gives the whole line; else marks are spaced, and a line of one character is blank."""
     s = clean_noise(t)
-    spaced = strip(F.regexp_replace(F.regexp_replace(s, "\\s+([.,;:!?])", "$1"), "([,;])(?=\\p{L})", "$1 "))
+    spaced = strip(F.regexp_replace(F.regexp_replace(s, "\\s+([.,;:!?])", "$1"), "([,;])(\\p{L})", "$1 $2"))
     return first_rule(s, phrases, F.when(F.length(spaced) <= 1, "").otherwise(spaced))

@@ -1,4 +1,4 @@
-"""Weighted edit distance with a cost table of look-alike letters, and candidates within a length band."""
+"""Weighted edit distance with a cost table of look-alike letters, and candidates within two edits."""
 
 from __future__ import annotations
 
@@ -48,20 +48,61 @@ def weighted_distance(s: Column, t: Column, most: float = 3.0) -> Column:
     return F.when(F.abs(F.length(s) - F.length(t)) <= most, let(value, lambda v: F.when(v <= most, v)))
 
 
-def banded(words: DataFrame, vocabulary: DataFrame, band: int = 2) -> DataFrame:
-    """word, candidate whose lengths differ by `band` at most: an equi-join on the length after each word's band is spelled out, so never a nested loop."""
-    spread = words.select("word", F.explode(F.sequence(F.length("word") - band, F.length("word") + band)).alias("len"))
-    return spread.join(vocabulary.select(F.col("word").alias("candidate"), F.length("word").alias("len")), "len").select("word", "candidate")
+def folded(word: Column) -> Column:
+    """Lower case, each look-alike as the first of its group: words within a weighted distance below 3 are within two plain edits when folded."""
+    return F.translate(F.lower(word), "".join(g[1:] for g in LOOKALIKES), "".join(g[0] * (len(g) - 1) for g in LOOKALIKES))
+
+
+#: Words up to so many letters meet by the letters that two deletions leave; longer ones by thirds, of which two edits leave one as it is.
+SHORT = 20
+
+
+def _deletions(w: Column) -> Column:
+    """The word, and what is left when one or two of its letters go."""
+
+    def less(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+
+    def whole(x: Column) -> Column:
+        one = F.when(F.length(x) > 0, less(x)).otherwise(F.array().cast("array<string>"))
+        return let(one, lambda o: F.array_distinct(F.concat(F.array(x), o, F.flatten(F.transform(F.filter(o, lambda y: F.length(y) > 0), less)))))
+
+    return let(w, whole)
+
+
+def _third(x: Column, length: Column, k: int, shift: Column | int = 0) -> Column:
+    """The k-th third of a word of that length, cut out of x so many letters further on."""
+    size = F.floor(length / 3).cast("int")
+    return F.concat_ws(":", length.cast("string"), F.lit(str(k)), F.substr(x, F.lit(1) + size * k + shift, length - 2 * size if k == 2 else size))
+
+
+def near_pairs(words: DataFrame, vocabulary: DataFrame, fold: bool = False) -> DataFrame:
+    """word, candidate pairs that hold all within two edits (of the folded words, with fold), and some more: an equi-join on keys that two edits leave in common.
+
+    Keys are selective whatever a word's length, so no length is a hot group."""
+    key = folded(F.col("word")) if fold else F.col("word")
+    asked, known = (d.select("word").distinct().withColumn("x", key) for d in (words, vocabulary))
+    n = F.length("x")
+    none = F.array().cast("array<string>")
+    deleted = F.when(n <= SHORT, _deletions(F.col("x"))).otherwise(none)
+    own = F.when(n > SHORT - 2, F.array(*[_third(F.col("x"), n, k) for k in range(3)])).otherwise(none)
+    lengths = F.sequence(n - 2, n + 2)
+    shifts = F.sequence(F.lit(-2), F.lit(2))
+    reach = F.flatten(F.transform(lengths, lambda m: F.flatten(F.transform(shifts, lambda s: F.array(*[_third(F.col("x"), m, k, s) for k in range(3)])))))
+    reached = F.when(n > SHORT - 2, F.array_distinct(reach)).otherwise(none)
+    a = asked.select("word", F.explode(F.concat(deleted, reached)).alias("key"))
+    b = known.select(F.col("word").alias("candidate"), F.explode(F.concat(deleted, own)).alias("key"))
+    return a.join(b, "key").select("word", "candidate").distinct()
 
 
 def candidates(words: DataFrame, vocabulary: DataFrame, top: int = 3, most: float = 2.2, bonus: Column | None = None) -> DataFrame:
     """word, rank, candidate, score, dist: the best `top` of each distinct word of three and more characters.
 
-    A word of the vocabulary has itself alone, score 1. Order: score, then nearness, then word, all descending."""
+    `most` is below 3: near_pairs() has all candidates within that. A word of the vocabulary has itself alone, score 1. Order: score, then nearness, then word, all descending."""
     asked = words.select("word").distinct().filter(F.length("word") >= 3)
     known = asked.join(vocabulary.select("word").distinct(), "word", "left_semi").select("word", F.col("word").alias("candidate"), F.lit(1.0).alias("score"), F.lit(0.0).alias("dist"))
     new = asked.join(vocabulary.select("word").distinct(), "word", "left_anti")
-    near = banded(new, vocabulary).withColumn("dist", weighted_distance(F.col("word"), F.col("candidate"), most)).filter("dist is not null")
+    near = near_pairs(new, vocabulary, fold=True).withColumn("dist", weighted_distance(F.col("word"), F.col("candidate"), most)).filter("dist is not null")
     score = F.greatest(F.lit(0.0), 1 - F.col("dist") / F.greatest(F.lit(1), F.length("candidate"))) + (F.lit(0.0) if bonus is None else bonus)
     near = near.select("word", "candidate", score.alias("score"), "dist")
     w = Window.partitionBy("word").orderBy(F.desc("score"), F.asc("dist"), F.desc("candidate"))

@@ -5,12 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillframe.functions.text import let
+
+
+def word_list(text: Column) -> Column:
+    """Lower-case words; what is no letter, digit, white space or hyphen separates."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}\\s-]", " "), "\\s+"), lambda w: w != "")
+
 
 def tokens(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, k, word: lower-case words; what is no letter, digit, white space or hyphen separates."""
-    clean = F.regexp_replace(F.lower("text"), "[^\\p{L}\\p{N}\\s-]", " ")
-    words = F.filter(F.split(clean, "\\s+"), lambda w: w != "")
-    return lines.select(*keys, F.posexplode(words).alias("k", "word"))
+    """keys, k, word of each word of the texts."""
+    return lines.select(*keys, F.posexplode(word_list(F.col("text"))).alias("k", "word"))
+
+
+def contexts(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, k, word, p1, p2: each word with the one before and the one before that, taken from the row's own array."""
+    at = lines.select(*keys, word_list(F.col("text")).alias("w")).select(*keys, "w", F.posexplode("w").alias("k", "word"))
+    return at.select(*keys, "k", "word", *[F.when(F.col("k") >= i, F.get("w", F.col("k") - i)).alias(f"p{i}") for i in (1, 2)])
+
+
+def ngram_counts(lines: DataFrame, n: int) -> DataFrame:
+    """w1 .. wn, n: counts of n consecutive words of each text. N-grams are cut in the row, so counts are summed before their one shuffle."""
+    names = [f"w{i + 1}" for i in range(n)]
+    w = word_list(F.col("text"))
+    grams = let(w, lambda x: F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(0), F.size(x) - n), lambda i: F.struct(*[F.get(x, i + k).alias(names[k]) for k in range(n)]))))
+    return lines.select(F.explode(grams).alias("g")).select("g.*").groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
 
 
 def ngrams(words: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -45,17 +64,23 @@ def gibberish_penalty(distinct: DataFrame, trigrams: DataFrame, script: str = "[
 
 
 def word_log_prob(words: DataFrame, uni: DataFrame, bi: DataFrame, tri: DataFrame) -> DataFrame:
-    """words (with p1, p2: the word before and the one before that, or null) with logp by interpolation of three orders."""
+    """words (with p1, p2: the word before and the one before that, or null) with logp by interpolation of three orders, and known.
+
+    Each distinct (p2, p1, word) is scored once, from each distinct (p1, word), and joined back; so the counts meet
+    distinct rows, not every word, and a frequent word or a missing context is no hot key."""
+    blank = lambda c: F.coalesce(c, F.lit(""))  # no word is blank
     totals = uni.agg(F.sum("n").alias("N"), F.greatest(F.lit(1000), F.count(F.lit(1))).alias("V"))
-    d = words.join(uni.select(F.col("w1").alias("word"), F.col("n").alias("c")), "word", "left").join(F.broadcast(totals))  # totals: one row
-    d = d.join(uni.select(F.col("w1").alias("p1"), F.col("n").alias("c1")), "p1", "left")
-    d = d.join(bi.select(F.col("w1").alias("p1"), F.col("w2").alias("word"), F.col("n").alias("c12")), ["p1", "word"], "left")
-    d = d.join(bi.select(F.col("w1").alias("p2"), F.col("w2").alias("p1"), F.col("n").alias("c21")), ["p2", "p1"], "left")
-    d = d.join(tri.select(F.col("w1").alias("p2"), F.col("w2").alias("p1"), F.col("w3").alias("word"), F.col("n").alias("c123")), ["p2", "p1", "word"], "left")
+    asked = words.withColumns({"_1": blank(F.col("p1")), "_2": blank(F.col("p2"))})
+    three = asked.select("_2", "_1", "word").distinct()
+    two = three.select("_1", "word").distinct().join(bi.select(F.col("w1").alias("_1"), F.col("w2").alias("word"), F.col("n").alias("c12")), ["_1", "word"], "left")
+    two = two.join(uni.select(F.col("w1").alias("_1"), F.col("n").alias("c1")), "_1", "left").join(uni.select(F.col("w1").alias("word"), F.col("n").alias("c")), "word", "left").join(F.broadcast(totals))  # totals: one row
     u = (F.coalesce("c", F.lit(0)) + 0.1) / (F.col("N") + 0.1 * F.col("V"))
-    b = F.when(F.col("c1") > 0, 0.7 * F.coalesce("c12", F.lit(0)) / F.col("c1") + 0.3 * u).otherwise(u)
-    t = F.when(F.col("c21") > 0, 0.6 * F.coalesce("c123", F.lit(0)) / F.col("c21") + 0.4 * b).otherwise(b)
-    return d.withColumn("logp", F.ln(F.greatest(F.lit(1e-12), t))).select(*words.columns, "logp", (F.col("c") > 0).alias("known"))
+    two = two.select("_1", "word", (F.col("c") > 0).alias("known"), F.when(F.col("c1") > 0, 0.7 * F.coalesce("c12", F.lit(0)) / F.col("c1") + 0.3 * u).otherwise(u).alias("b"))
+    three = three.join(tri.select(F.col("w1").alias("_2"), F.col("w2").alias("_1"), F.col("w3").alias("word"), F.col("n").alias("c123")), ["_2", "_1", "word"], "left")
+    three = three.join(two, ["_1", "word"]).join(bi.select(F.col("w1").alias("_2"), F.col("w2").alias("_1"), F.col("n").alias("c21")), ["_2", "_1"], "left")
+    t = F.when(F.col("c21") > 0, 0.6 * F.coalesce("c123", F.lit(0)) / F.col("c21") + 0.4 * F.col("b")).otherwise(F.col("b"))
+    scored = three.select("_2", "_1", "word", F.ln(F.greatest(F.lit(1e-12), t)).alias("logp"), "known")
+    return asked.join(scored, ["_2", "_1", "word"]).select(*words.columns, "logp", "known")
 
 
 def score_lines(lines: DataFrame, group: str, order: str, uni: DataFrame, bi: DataFrame, tri: DataFrame, trigrams: DataFrame) -> DataFrame:
@@ -63,8 +88,7 @@ def score_lines(lines: DataFrame, group: str, order: str, uni: DataFrame, bi: Da
     last two of the line before; 3.5 for a word that ends what the line before broke off. Blank lines -10, lines without words -5."""
     keys = [group, order]
     line = Window.partitionBy(group).orderBy(order)
-    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^\\p{L}\\p{N}\\s-]", " "), "\\s+"), lambda w: w != "")
-    d = lines.select(*keys, "text", words.alias("w")).withColumn("pw", F.lag("w").over(line)).withColumn("pt", F.lag("text").over(line))
+    d = lines.select(*keys, "text", word_list(F.col("text")).alias("w")).withColumn("pw", F.lag("w").over(line)).withColumn("pt", F.lag("text").over(line))
     last = F.regexp_extract("pt", "(\\S+)\\s*$", 1)
     stem = F.when(last.rlike("[-.]$"), F.regexp_replace(F.lower(last), "[^\\p{L}\\p{N}]", ""))
     flat = d.select(*keys, stem.alias("stem"), "pw", "w", F.posexplode("w").alias("k", "word"))

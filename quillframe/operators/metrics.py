@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -51,13 +52,45 @@ def consensus(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return g.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "c", "lm")
 
 
-def domain(texts: DataFrame, key: str, rules: DataFrame, default: str = "general", least: int = 2) -> DataFrame:
-    """key, domain, hits: the domain of most keywords contained in the lower-case text, the first listed of equals; rules: domain, ord, keyword."""
-    hit = texts.join(F.broadcast(rules), F.contains(F.lower("text"), F.col("keyword")))  # rules: a list that people write
-    n = hit.groupBy(key, "domain", "ord").agg(F.count(F.lit(1)).alias("hits"))
-    best = n.groupBy(key).agg(F.max_by(F.struct("domain", "hits"), F.struct("hits", -F.col("ord"))).alias("b"))
-    got = F.coalesce("b.hits", F.lit(0))
-    return texts.select(key).join(best, key, "left").select(key, F.when(got >= least, F.col("b.domain")).otherwise(default).alias("domain"), got.alias("hits"))
+def domain(texts: DataFrame, key: str, rules: DataFrame, default: str = "general", least: int = 2, most: int = 10_000) -> DataFrame:
+    """key, domain, hits: the domain of most keywords contained in the lower-case text, the first listed of equals; rules: domain, ord, keyword.
+
+    Rules are a list that people write: they go into the plan, and more than `most` of them are an error. Each text is asked in its own row."""
+    listed = rules.select("domain", "ord", "keyword").limit(most + 1).collect()
+    if len(listed) > most:
+        raise ValueError(f"more than {most} rules")
+    domains = sorted({(r["ord"], r["domain"]) for r in listed})
+    counts = [F.struct(sum((F.contains("_t", F.lit(r["keyword"])).cast("int") for r in listed if r["domain"] == d), F.lit(0)).alias("hits"), F.lit(-o).alias("ord"), F.lit(d).alias("domain")) for o, d in domains]
+    best = F.array_max(F.array(*counts)) if counts else F.lit(None).cast("struct<hits:int,ord:int,domain:string>")
+    got = F.coalesce("b.hits", F.lit(0)).cast("long")
+    d = texts.select(key, F.lower("text").alias("_t")).select(key, best.alias("b"))
+    return d.select(key, F.when(got >= least, F.col("b.domain")).otherwise(default).alias("domain"), got.alias("hits"))
+
+
+#: Words of a lexicon that go with the plan; a larger one is joined.
+LEXICON = 20_000
+
+
+def listed_words(lexicon: DataFrame, most: int = LEXICON) -> list[str]:
+    """The words of a lexicon of no more than `most`; a larger one is an error."""
+    known = [r[0] for r in lexicon.select("word").limit(most + 1).collect()]
+    if len(known) > most:
+        raise ValueError(f"the lexicon has more than {most} words")
+    return known
+
+
+def lexicon_counts(rows: DataFrame, words: Column, lexicon: DataFrame, keys: list[str], also: Callable[[Column], Column], most: int = LEXICON) -> DataFrame:
+    """rows with n_words and n_valid of the array `words`: those of the lexicon in lower case, and those that `also` lets pass. keys: what tells the rows apart.
+
+    A lexicon of up to `most` words is a set in the plan and asked in the row's own array, without a shuffle; its size is counted
+    first. A larger one is joined word by word."""
+    known = [r[0] for r in lexicon.select("word").limit(most + 1).collect()]
+    if len(known) <= most:
+        valid = F.filter("_w", lambda w: F.lower(w).isin(*known) | also(w)) if known else F.filter("_w", also)
+        return rows.withColumn("_w", words).withColumn("n_words", F.size("_w").cast("long")).withColumn("n_valid", F.size(valid).cast("long")).drop("_w")
+    w = rows.select(*keys, F.explode(words).alias("_w")).withColumn("word", F.lower("_w")).join(lexicon.select("word", F.lit(True).alias("_in")), "word", "left")
+    n = w.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_words"), F.count_if(F.col("_in") | also(F.col("_w"))).alias("n_valid"))
+    return rows.join(n, keys, "left").fillna(0, ["n_words", "n_valid"])
 
 
 def valid_words(tokens: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:

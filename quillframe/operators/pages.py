@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions.text import calibrated, edge_stripped_words, informative, valid_shape
-from quillframe.operators import exports, relational, sequence
+from quillframe.operators import exports, metrics, relational, sequence
 from quillframe.operators.distance import corrected_lines
 
 
@@ -21,11 +21,8 @@ class Tables:
 
 def calibrate(lines: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
     """lines (text, confidence) with the confidence calibrated by the lexicon."""
-    words = lines.select(*keys, F.explode(edge_stripped_words(F.col("text"))).alias("w")).withColumn("word", F.lower("w"))
-    known = words.join(lexicon.select("word", F.lit(True).alias("_k")), "word", "left")
-    n = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_k") | valid_shape(F.col("w"))).alias("_v"))
-    joined = lines.join(n, keys, "left").fillna(0, ["_n", "_v"])
-    return joined.withColumn("confidence", calibrated(F.col("text"), F.col("confidence"), F.col("_n"), F.col("_v"))).drop("_n", "_v")
+    counted = metrics.lexicon_counts(lines, edge_stripped_words(F.col("text")), lexicon, keys, valid_shape)
+    return counted.withColumn("confidence", calibrated(F.col("text"), F.col("confidence"), F.col("n_words"), F.col("n_valid"))).drop("n_words", "n_valid")
 
 
 def finish(recognised: DataFrame, old: Tables, lexicon: DataFrame, title: str = "Notes") -> Tables:

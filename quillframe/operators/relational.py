@@ -65,9 +65,10 @@ def cascade_delete(keys: DataFrame, chain: list[tuple[DataFrame, str, str]]) ->
     return out
 
 
-def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
-    """All rows of the parents in `new` give way to its rows."""
-    return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
+def replace_children(old: DataFrame, new: DataFrame, parent: str, parents: DataFrame | None = None) -> DataFrame:
+    """All rows of the parents in `new` give way to its rows; `parents`, if given, names those that lose their rows though they get none."""
+    gone = new.select(parent) if parents is None else new.select(parent).union(parents.select(parent))
+    return old.join(gone.distinct(), parent, "left_anti").unionByName(new)
 
 
 def fallback_match(rows: DataFrame, fixes: DataFrame, first: list[str], then: list[str], value: str) -> DataFrame:

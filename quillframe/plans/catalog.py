@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.functions import formulas, text as T
+from quillframe.functions import arrays as A, formulas, text as T
 from quillframe.operators import decoding, distance, exports, language_model as lm, metrics, profiles, relational as R, sequence as S
 from quillframe.sources.tables import lines, table, variants, words
 
@@ -157,11 +157,11 @@ def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, l_quantity + 1 FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber = 1"""
 )
 def replace_children(spark: SparkSession, d: str) -> DataFrame:
+    """Of each seventh order the lines give way to its first line; orders without one lose all the same, so the parents are named."""
     old = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    new = old.filter("l_orderkey % 7 = 0 and l_linenumber = 1").withColumn("l_quantity", F.col("l_quantity") + 1)
-    # orders of which no line 1 is in the new rows lose all lines all the same: the parents that are replaced are named
-    gone = old.filter("l_orderkey % 7 = 0").select("l_orderkey").distinct()
-    return old.join(gone, "l_orderkey", "left_anti").unionByName(new)
+    of = old.filter("l_orderkey % 7 = 0")
+    new = of.filter("l_linenumber = 1").withColumn("l_quantity", F.col("l_quantity") + 1)
+    return R.replace_children(old, new, "l_orderkey", of.select("l_orderkey"))
 
 
 @query(
@@ -231,14 +231,15 @@ def progress_by_doc(spark: SparkSession, d: str) -> DataFrame:
     return R.progress(pages, _variants(spark, d), "doc_id").withColumn("percent", F.round("percent", 6))
 
 
-_LEXICON = "lexicon AS (SELECT word FROM (SELECT word, COUNT(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') GROUP BY word ORDER BY n DESC, word LIMIT 1000))"
+#: How often a word stands at least to be in the lexicon.
+COMMON = 20
+_LEXICON = f"lexicon AS (SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}]+')) AS word FROM documents) GROUP BY word HAVING COUNT(*) >= {COMMON})"
 
 
 def _lexicon(spark: SparkSession, d: str) -> DataFrame:
-    """The thousand most frequent words of the English documents: a report of that many rows."""
-    docs = table(spark, d, "documents").filter("lang = 'en'").select("text")
-    w = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word"))
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(1000).select("word")
+    """The words that stand often in the documents."""
+    w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}]+"), 0)).alias("word"))
+    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON).select("word")
 
 
 @query(f"WITH {_LEXICON} SELECT word FROM lexicon")
@@ -259,10 +260,7 @@ cal AS (SELECT doc_id, pos, round(CASE WHEN s = '' THEN 0.0 WHEN nw = 0 THEN gre
 
 def _calibrated(spark: SparkSession, d: str) -> DataFrame:
     v = _boxed(_variants(spark, d)).select("doc_id", "pos", "text", "confidence")
-    w = v.select("doc_id", "pos", F.explode(T.edge_stripped_words(F.col("text"))).alias("w")).withColumn("word", F.lower("w"))
-    known = w.join(_lexicon(spark, d).select("word", F.lit(True).alias("k")), "word", "left")
-    n = known.groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("n_words"), F.count_if(F.col("k") | T.valid_shape(F.col("w"))).alias("n_valid"))
-    j = v.join(n, ["doc_id", "pos"], "left").fillna(0, ["n_words", "n_valid"])
+    j = metrics.lexicon_counts(v, T.edge_stripped_words(F.col("text")), _lexicon(spark, d), ["doc_id", "pos"], T.valid_shape)
     return j.select("doc_id", "pos", F.round(T.calibrated(F.col("text"), F.col("confidence"), F.col("n_words"), F.col("n_valid")) + F.lit(1e-9), 6).alias("calibrated"))
 
 
@@ -301,7 +299,12 @@ def domain_argmax(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, pos, COUNT(*) AS n_words, COUNT(*) FILTER (length(w.word) <= 2 OR l.word IS NOT NULL) AS n_valid FROM w LEFT JOIN lexicon l ON w.word = l.word GROUP BY doc_id, pos"""
 )
 def valid_word_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.valid_words(words(_lines(spark, d)), _lexicon(spark, d), ["doc_id", "pos"])
+    return _valid(_lines(spark, d), "text", _lexicon(spark, d)).filter("n_words > 0").select("doc_id", "pos", "n_words", "n_valid")
+
+
+def _valid(rows: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
+    w = F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]+"), 0)
+    return metrics.lexicon_counts(rows, w, lexicon, ["doc_id", "pos"], lambda x: F.length(x) <= 2)
 
 
 _NORM = "string_split(trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')"
@@ -328,17 +331,17 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS} SELECT word AS w1, COUNT(*) AS n FROM tok GROUP BY word")
 def ngram_counts_1(spark: SparkSession, d: str) -> DataFrame:
-    return lm.ngrams(_tokens(spark, d), ["doc_id", "pos"], 1)
+    return lm.ngram_counts(_lines(spark, d), 1)
 
 
 @query(f"WITH {_TOKENS} SELECT w1, w2, COUNT(*) AS n FROM (SELECT word AS w1, lead(word) OVER w AS w2 FROM tok {_WIN}) WHERE w2 IS NOT NULL GROUP BY w1, w2")
 def ngram_counts_2(spark: SparkSession, d: str) -> DataFrame:
-    return lm.ngrams(_tokens(spark, d), ["doc_id", "pos"], 2)
+    return lm.ngram_counts(_lines(spark, d), 2)
 
 
 @query(f"WITH {_TOKENS} SELECT w1, w2, w3, COUNT(*) AS n FROM (SELECT word AS w1, lead(word) OVER w AS w2, lead(word, 2) OVER w AS w3 FROM tok {_WIN}) WHERE w3 IS NOT NULL GROUP BY w1, w2, w3")
 def ngram_counts_3(spark: SparkSession, d: str) -> DataFrame:
-    return lm.ngrams(_tokens(spark, d), ["doc_id", "pos"], 3)
+    return lm.ngram_counts(_lines(spark, d), 3)
 
 
 _TRI = "tri AS (SELECT tri, CAST(SUM(c) AS BIGINT) AS n FROM (SELECT c, substring('^^' || word || '$$', CAST(unnest(range(1, length(word) + 3)) AS INTEGER), 3) AS tri FROM (SELECT word, COUNT(*) AS c FROM tok GROUP BY word)) GROUP BY tri)"
@@ -370,18 +373,15 @@ z AS (SELECT *, CASE WHEN c1 > 0 THEN 0.7::DOUBLE * COALESCE(c12, 0) / c1 + 0.3:
 SELECT doc_id, pos, CAST(k AS INTEGER) AS k, round(ln(greatest(1e-12, CASE WHEN c21 > 0 THEN 0.6::DOUBLE * COALESCE(c123, 0) / c21 + 0.4::DOUBLE * b ELSE b END)), 6) AS logp FROM z"""
 )
 def word_logprob(spark: SparkSession, d: str) -> DataFrame:
-    t = _tokens(spark, d)
-    keys = ["doc_id", "pos"]
-    w = S.Window.partitionBy(*keys).orderBy("k")
-    x = t.withColumn("p1", F.lag("word").over(w)).withColumn("p2", F.lag("word", 2).over(w))
-    return lm.word_log_prob(x, *(lm.ngrams(t, keys, n) for n in (1, 2, 3))).select("doc_id", "pos", "k", F.round("logp", 6).alias("logp"))
+    x = _lines(spark, d)
+    return lm.word_log_prob(lm.contexts(x, ["doc_id", "pos"]), *(lm.ngram_counts(x, n) for n in (1, 2, 3))).select("doc_id", "pos", "k", F.round("logp", 6).alias("logp"))
 
 
 @query()
 def sequence_score(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
     t = lm.tokens(c, ["conv_id", "turn"])
-    counts = [lm.ngrams(t, ["conv_id", "turn"], n) for n in (1, 2, 3)]
+    counts = [lm.ngram_counts(c, n) for n in (1, 2, 3)]
     return lm.score_lines(c, "conv_id", "turn", *counts, lm.char_trigrams(t)).withColumn("score", F.round("score", 6))
 
 
@@ -400,33 +400,54 @@ def rescore_best(spark: SparkSession, d: str) -> DataFrame:
     return lm.rescore(a.union(b).withColumnRenamed("i", "pos"), ["doc_id", "line"])
 
 
-_PARTS = "q AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part), vocab AS (SELECT DISTINCT lower(n_name) AS word FROM nation UNION SELECT DISTINCT lower(r_name) FROM region)"
+_ASKED = "q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark)"
 
 
-@query(
-    """WITH q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), vocab AS (SELECT DISTINCT word FROM q WHERE length(word) % 2 = 0)
-SELECT q.word, v.word AS candidate, levenshtein(q.word, v.word) AS dist FROM q JOIN vocab v ON abs(length(q.word) - length(v.word)) <= 2 WHERE levenshtein(q.word, v.word) <= 2"""
-)
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
+
+
+@query(f"WITH {_ASKED}, {_LEXICON} SELECT word, v AS candidate, levenshtein(word, x) AS dist FROM (SELECT q.word, v.word AS v, regexp_replace(v.word, '[^a-z]', '#', 'g') AS x FROM q JOIN lexicon v ON abs(length(q.word) - length(v.word)) <= 2) WHERE levenshtein(word, x) <= 2")
 def candidates_in_band(spark: SparkSession, d: str) -> DataFrame:
-    """The length band as an equi-join, with plain edit distance."""
-    q = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
-    near = distance.banded(q, q.filter(F.length("word") % 2 == 0)).withColumn("dist", F.levenshtein("word", "candidate", 2).cast("long"))
+    """All words of the lexicon within two plain edits of each word of the benchmark. The SQL counts edits by byte, so it has one mark for each other letter; none equals one of the asked words."""
+    near = distance.near_pairs(_asked(spark, d), _lexicon(spark, d)).withColumn("dist", F.levenshtein("word", "candidate", 2).cast("long"))
     return near.filter("dist >= 0")
 
 
-@query()
+_FOLD = "translate(lower({0}), '" + "".join(g[1:] for g in distance.LOOKALIKES) + "', '" + "".join(g[0] * (len(g) - 1) for g in distance.LOOKALIKES) + "')"
+#: Cells of the distance table one after the other, row by row: cell k stands under cell k - m, m the letters of the candidate and one more.
+_WEIGHED = f"""p AS (SELECT a, b, length(b) + 1 AS m, (length(a) + 1) * (length(b) + 1) AS cells FROM (SELECT w.word AS a, v.word AS b FROM new w JOIN lexicon v ON abs(length(w.word) - length(v.word)) <= 2) WHERE levenshtein(regexp_replace({_FOLD.format("a")}, '[^a-z]', '#', 'g'), regexp_replace({_FOLD.format("b")}, '[^a-z]', '#', 'g')) <= 2),
+t AS (SELECT a, b, m, cells, 1 AS k, [0.0::DOUBLE] AS x FROM p UNION ALL SELECT a, b, m, cells, k + 1, list_append(x, CASE WHEN k < m THEN x[k] + 1 WHEN k % m = 0 THEN x[k - m + 1] + 1 ELSE least(x[k] + 1, x[k - m + 1] + 1,
+ x[k - m] + CASE WHEN substring(a, k // m, 1) = substring(b, k % m, 1) THEN 0.0 WHEN {_FOLD.format("substring(a, k // m, 1)")} = {_FOLD.format("substring(b, k % m, 1)")} AND lower(substring(a, k // m, 1)) <> lower(substring(b, k % m, 1)) THEN 0.2 ELSE 1.0 END) END::DOUBLE) FROM t WHERE k < cells),
+near AS (SELECT a AS word, b AS candidate, greatest(0.0, 1 - x[k] / greatest(1, length(b))) AS score, x[k] AS dist FROM t WHERE k = cells AND x[k] <= 2.2)"""
+_RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, dist, candidate DESC) AS rank FROM near)"
+
+
+@query(
+    f"""WITH RECURSIVE {_ASKED}, {_LEXICON}, w AS (SELECT word FROM q WHERE length(word) >= 3), new AS (SELECT word FROM w WHERE word NOT IN (SELECT word FROM lexicon)), {_WEIGHED}, {_RANKED}
+SELECT word, CAST(rank AS INTEGER) AS rank, candidate, round_even(score, 3) AS score, round_even(dist, 2) AS dist FROM ranked WHERE rank <= 3 UNION ALL SELECT word, 1, word, 1.0, 0.0 FROM w WHERE word IN (SELECT word FROM lexicon)"""
+)
 def candidates_topk(spark: SparkSession, d: str) -> DataFrame:
     """The three best by weighted distance."""
-    q = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
-    return distance.candidates(q, q.filter(F.length("word") % 2 == 0))
+    return distance.candidates(_asked(spark, d), _lexicon(spark, d))
 
 
-@query()
+_BODY = "regexp_replace(token, '^[^\\p{L}]+|[^\\p{L}]+$', '', 'g')"
+
+
+@query(
+    f"""WITH RECURSIVE {_LEXICON}, k AS (SELECT item_id, unnest(string_split_regex(text, '\\s+')) AS token, generate_subscripts(string_split_regex(text, '\\s+'), 1) AS k FROM benchmark),
+b AS (SELECT *, {_BODY} AS body FROM k), c AS (SELECT *, CASE WHEN NOT regexp_matches(token, '[$\\\\]') AND NOT (token = upper(token) AND length(token) <= 3) AND regexp_matches(body, '^\\p{{L}}+$') THEN lower(body) END AS word FROM b),
+new AS (SELECT DISTINCT word FROM c WHERE length(word) >= 3 AND word NOT IN (SELECT word FROM lexicon)), {_WEIGHED}, {_RANKED},
+r AS (SELECT word, candidate FROM ranked WHERE rank = 1 AND (round_even(dist, 2) <= 1.6 OR round_even(score, 3) >= 0.70)),
+n AS (SELECT item_id, k, token, CASE WHEN candidate IS NULL THEN token ELSE regexp_extract(token, '^([^\\p{{L}}]*)', 1) || CASE WHEN substring(body, 1, 1) = upper(substring(body, 1, 1)) THEN upper(substring(candidate, 1, 1)) || substring(candidate, 2) ELSE candidate END || regexp_extract(token, '([^\\p{{L}}]*)$', 1) END AS new FROM c LEFT JOIN r ON c.word = r.word)
+SELECT item_id, string_agg(new, ' ' ORDER BY k) AS text, lower(string_agg(new, ' ' ORDER BY k)) <> lower(string_agg(token, ' ' ORDER BY k)) AS changed FROM n GROUP BY item_id"""
+)
 def corrected_lines(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark")
-    tokens = b.select("item_id", F.posexplode(F.split("text", "\\s+")).alias("k", "token"))
-    vocabulary = words(b.select("item_id", "text")).filter("item_id % 2 = 0").select("word").distinct()
-    return distance.corrected_lines(tokens, vocabulary, vocabulary, ["item_id"])
+    """The benchmark's texts, unknown words corrected by the lexicon."""
+    tokens = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "\\s+")).alias("k", "token"))
+    lexicon = _lexicon(spark, d)
+    return distance.corrected_lines(tokens, lexicon, lexicon, ["item_id"])
 
 
 @query("SELECT a.p_brand, round(100.0 * SUM(levenshtein(a.p_name, b.p_name)) / SUM(greatest(1, length(b.p_name))), 6) AS cer FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 GROUP BY a.p_brand")
@@ -471,9 +492,12 @@ def bind_connectors(spark: SparkSession, d: str) -> DataFrame:
     return S.bind_connectors(_variants(spark, d))
 
 
+_GOES_ON = "p <> '' AND NOT regexp_matches(t, '^([-*•–—]\\s+|\\d+[.)]\\s+|#|\\$\\$)|:$') AND NOT regexp_matches(p, '(:|\\$\\$)$') AND NOT regexp_matches(p, '^\\$\\$') AND NOT regexp_matches(p, '[.!?:]$') AND regexp_matches(t, '^\\p{Ll}')"
+
+
 @query(
     f"""WITH {VARIANTS}, a AS (SELECT doc_id, pos, {STRIP.format("text")} AS t FROM v), b AS (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM a),
-c AS (SELECT *, COALESCE(p <> '' AND NOT regexp_matches(t, '^([-*•–—]\\s+|\\d+[.)]\\s+|#|\\$\\$)|:$') AND NOT regexp_matches(p, '(:|\\$\\$)$') AND NOT regexp_matches(p, '^\\$\\$') AND NOT regexp_matches(p, '[.!?:]$') AND regexp_matches(t, '^\\p{{Ll}}'), false) AS g FROM b),
+c AS (SELECT *, COALESCE({_GOES_ON}, false) AS g FROM b),
 e AS (SELECT *, SUM(CASE WHEN g THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM c)
 SELECT doc_id, MIN(pos) AS pos, string_agg(t, ' ' ORDER BY pos) AS text FROM e WHERE t <> '' GROUP BY doc_id, grp"""
 )
@@ -481,17 +505,38 @@ def merge_sentences(spark: SparkSession, d: str) -> DataFrame:
     return S.merge_sentences(_variants(spark, d))
 
 
-@query()
+_TAKEN = """e AS (SELECT *, COALESCE({edge}, false) AS j FROM b), i AS (SELECT *, COALESCE(SUM(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS isl FROM e),
+k AS (SELECT *, j AND row_number() OVER (PARTITION BY doc_id, isl ORDER BY pos) % 2 = 1 AS take FROM i), u AS (SELECT *, COALESCE(lag(take) OVER (PARTITION BY doc_id ORDER BY pos), false) AS used FROM k)"""
+
+
+@query(
+    f"""WITH {_pairs_sql(_DASH)}, s1 AS (SELECT doc_id, pos, CASE WHEN take THEN regexp_replace(t, '[-–—=]$', '') || n ELSE t END AS t FROM u WHERE NOT used),
+b1 AS (WITH b AS (SELECT doc_id, pos, {STRIP.format("t")} AS t, lead({STRIP.format("t")}) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM s1), {_TAKEN.format(edge=_BIND)} SELECT * FROM u WHERE NOT used),
+m1 AS (SELECT doc_id, pos, CASE WHEN take THEN list_filter([regexp_replace(t, '\\s*\\S+$', ''), regexp_extract(t, '(\\S+)$', 1) || ' ' || n], lambda x: x <> '') ELSE [t] END AS x FROM b1),
+r1 AS (SELECT doc_id, pos, CAST(unnest(range(len(x))) AS INTEGER) AS sub, {STRIP.format("unnest(x)")} AS t FROM m1), l1 AS (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY pos, sub) AS p FROM r1),
+g1 AS (SELECT *, COALESCE({_GOES_ON}, false) AS g FROM l1), n1 AS (SELECT *, SUM(CASE WHEN g THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos, sub) AS grp FROM g1),
+f1 AS (SELECT doc_id, MIN((pos, sub)) AS o, string_agg(t, ' ' ORDER BY pos, sub) AS t FROM n1 WHERE t <> '' GROUP BY doc_id, grp)
+SELECT doc_id, o[1] AS pos, o[2] AS sub, array_to_string(list_transform(regexp_extract_all(t, '(?s).*?[.!?]\\s|.+'), lambda x: upper(substring(x, 1, 1)) || substring(x, 2)), '') AS text FROM f1"""
+)
 def document_text(spark: SparkSession, d: str) -> DataFrame:
     return S.document_text(_variants(spark, d))
 
 
 @query()
 def dewrapped(spark: SparkSession, d: str) -> DataFrame:
-    return S.dewrap(_variants(spark, d), frozenset(("the", "and", "with", "that")))
+    return S.dewrap(_variants(spark, d), frozenset(metrics.listed_words(_lexicon(spark, d))))
 
 
-@query()
+#: Whether a text repeats itself; pieces are looked for in each run without white space.
+_LOOPS = """(len({1}) >= 4 AND len(list_filter(range(1, len({1}) - 2), lambda i: {1}[i] = {1}[i + 1] AND {1}[i] = {1}[i + 2])) > 0
+ OR len(list_filter(regexp_extract_all({0}, '\\S+'), lambda r: len(list_filter(range(2, length(r) // 4 + 1), lambda n: len(list_filter(range(1, length(r) - 4 * n + 2), lambda i: substring(r, i, 4 * n) = repeat(substring(r, i, n), 4))) > 0)) > 0)) > 0)"""
+
+
+def _loops(text: str) -> str:
+    return _LOOPS.format(text, f"regexp_extract_all({text}, '\\S+')")
+
+
+@query(f"WITH {LINES} SELECT {_loops('text')} AS repetitive, COUNT(*) AS n FROM lines GROUP BY 1")
 def repeat_loop(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).groupBy(T.repetitive(F.col("text")).alias("repetitive")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -533,29 +578,28 @@ def rank_outer_table(spark: SparkSession, d: str) -> DataFrame:
     return S.side_by_side(_lines(spark, d), "doc_id", ["pos"], F.col("pos") % 3 == 0)
 
 
-_SIDES = f"""{VARIANTS}, {_LEXICON}, p AS (SELECT l.doc_id, l.pos, {STRIP.format("l.text")} AS a, {STRIP.format("v.text")} AS b, (l.doc_id * 31 + l.pos * 17) % 100 / 100.0::DOUBLE AS ca, (l.doc_id * 13 + l.pos * 29) % 100 / 100.0::DOUBLE AS cb FROM lines l JOIN v ON l.doc_id = v.doc_id AND l.pos = v.pos),
+_SIDES = f"""{VARIANTS}, {_LEXICON}, y AS (SELECT doc_id, pos, CASE WHEN (doc_id + pos) % 5 = 0 THEN text || repeat(' ' || regexp_extract(text, '(\\S*)\\s*$', 1), 4) ELSE text END AS text FROM lines), p AS (SELECT l.doc_id, l.pos, {STRIP.format("l.text")} AS a, {STRIP.format("v.text")} AS b, (l.doc_id * 31 + l.pos * 17) % 100 / 100.0::DOUBLE AS ca, (l.doc_id * 13 + l.pos * 29) % 100 / 100.0::DOUBLE AS cb FROM y l JOIN v ON l.doc_id = v.doc_id AND l.pos = v.pos),
 wa AS (SELECT doc_id, pos, COUNT(*) AS t, COUNT(*) FILTER (length(x.word) <= 2 OR l.word IS NOT NULL) AS n FROM (SELECT doc_id, pos, unnest(regexp_extract_all(lower(a), '[\\p{{L}}\\p{{N}}]+')) AS word FROM p) x LEFT JOIN lexicon l ON x.word = l.word GROUP BY doc_id, pos),
 wb AS (SELECT doc_id, pos, COUNT(*) AS t, COUNT(*) FILTER (length(x.word) <= 2 OR l.word IS NOT NULL) AS n FROM (SELECT doc_id, pos, unnest(regexp_extract_all(lower(b), '[\\p{{L}}\\p{{N}}]+')) AS word FROM p) x LEFT JOIN lexicon l ON x.word = l.word GROUP BY doc_id, pos),
-q AS (SELECT p.*, COALESCE(wa.n, 0) AS na, COALESCE(wb.n, 0) AS nb, COALESCE(wa.n, 0)::DOUBLE / greatest(COALESCE(wa.t, 0), 1) AS ra, COALESCE(wb.n, 0)::DOUBLE / greatest(COALESCE(wb.t, 0), 1) AS rb FROM p LEFT JOIN wa USING (doc_id, pos) LEFT JOIN wb USING (doc_id, pos)),
-d AS (SELECT *, CASE WHEN a = '' AND b <> '' THEN 'second_only' WHEN b = '' AND a <> '' THEN 'first_only' WHEN a = '' AND b = '' THEN 'both_empty' WHEN ca >= 0.88 THEN 'first_confident' WHEN rb > ra + 0.35::DOUBLE AND nb >= 2 AND cb >= 0.65 THEN 'second_lexical' WHEN lower(a) = lower(b) THEN 'agreement' ELSE 'weighted' END AS reason FROM q)"""
+q AS (SELECT p.*, {_loops('a')} AS la, {_loops('b')} AS lb, COALESCE(wa.n, 0) AS na, COALESCE(wb.n, 0) AS nb, COALESCE(wa.n, 0)::DOUBLE / greatest(COALESCE(wa.t, 0), 1) AS ra, COALESCE(wb.n, 0)::DOUBLE / greatest(COALESCE(wb.t, 0), 1) AS rb FROM p LEFT JOIN wa USING (doc_id, pos) LEFT JOIN wb USING (doc_id, pos)),
+d AS (SELECT *, CASE WHEN a = '' AND b <> '' THEN 'second_only' WHEN b = '' AND a <> '' THEN 'first_only' WHEN a = '' AND b = '' THEN 'both_empty' WHEN la AND NOT lb THEN 'first_loops' WHEN ca >= 0.88 THEN 'first_confident' WHEN rb > ra + 0.35::DOUBLE AND nb >= 2 AND cb >= 0.65 THEN 'second_lexical' WHEN lower(a) = lower(b) THEN 'agreement' ELSE 'weighted' END AS reason FROM q)"""
 
 
 @query(
-    f"""WITH {_SIDES} SELECT doc_id, pos, reason, CASE reason WHEN 'second_only' THEN b WHEN 'first_only' THEN a WHEN 'both_empty' THEN '' WHEN 'first_confident' THEN a WHEN 'second_lexical' THEN b WHEN 'agreement' THEN a ELSE CASE WHEN ca * 0.65::DOUBLE >= cb * 0.35::DOUBLE THEN a ELSE b END END AS text,
-round(CASE reason WHEN 'second_only' THEN cb WHEN 'first_only' THEN ca WHEN 'both_empty' THEN 0 WHEN 'first_confident' THEN ca WHEN 'second_lexical' THEN ca * 0.3 + cb * 0.7 WHEN 'agreement' THEN least(0.98, greatest(ca, cb) + 0.06) ELSE ca * 0.6 + cb * 0.4 END::DOUBLE, 6) AS conf FROM d"""
+    f"""WITH {_SIDES} SELECT doc_id, pos, reason, CASE reason WHEN 'second_only' THEN b WHEN 'first_only' THEN a WHEN 'both_empty' THEN '' WHEN 'first_loops' THEN b WHEN 'first_confident' THEN a WHEN 'second_lexical' THEN b WHEN 'agreement' THEN a ELSE CASE WHEN ca * 0.65::DOUBLE >= cb * 0.35::DOUBLE THEN a ELSE b END END AS text,
+round(CASE reason WHEN 'second_only' THEN cb WHEN 'first_only' THEN ca WHEN 'both_empty' THEN 0 WHEN 'first_loops' THEN greatest(cb, 0.75) WHEN 'first_confident' THEN ca WHEN 'second_lexical' THEN ca * 0.3 + cb * 0.7 WHEN 'agreement' THEN least(0.98, greatest(ca, cb) + 0.06) ELSE ca * 0.6 + cb * 0.4 END::DOUBLE, 6) AS conf FROM d"""
 )
 def arbitrate(spark: SparkSession, d: str) -> DataFrame:
-    """Two readings of each line, arbitrated; repetition is left out here, as the oracle has no back-references."""
-    a = _lines(spark, d)
+    """Two readings of each line, arbitrated; every fifth first reading has its last word on end."""
+    stutter = F.when((F.col("doc_id") + F.col("pos")) % 5 == 0, F.concat("text", F.repeat(F.concat(F.lit(" "), F.regexp_extract("text", "(\\S*)\\s*$", 1)), 4))).otherwise(F.col("text"))
     b = _variants(spark, d).withColumnRenamed("text", "b")
-    p = a.withColumnRenamed("text", "a").join(b, ["doc_id", "pos"])
+    p = _lines(spark, d).withColumn("a", stutter).drop("text").join(b, ["doc_id", "pos"])
     p = p.withColumn("ca", ((F.col("doc_id") * 31 + F.col("pos") * 17) % 100) / F.lit(100.0)).withColumn("cb", ((F.col("doc_id") * 13 + F.col("pos") * 29) % 100) / F.lit(100.0))
     lex = _lexicon(spark, d)
     for side in "ab":
-        n = metrics.valid_words(words(p.select("doc_id", "pos", F.col(side).alias("text"))), lex, ["doc_id", "pos"])
-        p = p.join(n.select("doc_id", "pos", F.col("n_words").alias(f"t{side}"), F.col("n_valid").alias(f"n{side}")), ["doc_id", "pos"], "left").fillna(0, [f"t{side}", f"n{side}"])
+        p = _valid(p, side, lex).withColumnsRenamed({"n_words": f"t{side}", "n_valid": f"n{side}"})
     c = F.col
-    out = T.arbitrate(c("a"), c("ca"), c("b"), c("cb"), F.lit(False), F.lit(False), c("na"), c("ta"), c("nb"), c("tb"))
+    out = T.arbitrate(c("a"), c("ca"), c("b"), c("cb"), T.repetitive(c("a")), T.repetitive(c("b")), c("na"), c("ta"), c("nb"), c("tb"))
     return p.select("doc_id", "pos", out.alias("o")).select("doc_id", "pos", "o.reason", "o.text", F.round("o.conf", 6).alias("conf"))
 
 
@@ -656,17 +700,65 @@ def plain_export(spark: SparkSession, d: str) -> DataFrame:
     return exports.plain_text(_variants(spark, d), "Notes")
 
 
-@query()
+#: Formula and term lines that stand among the documents' lines, so that each rule is met.
+FORMULA_LINES = (
+    "y = x^2 + (a + b) / (c - d)", "E_k = m * v^2 / 2", "lim x->0 sqrt(x + 1) >= alpha", "2H2 + O2 -> 2H2O", "HCl + NaOH = NaCl + H2O", "N2 + 3H2 <=> 2NH3", "the area of it: a * b",
+    "we poured H2SO4 and Ca(OH)2, then waited", "cell - the least unit of life", "chapter one", "sum x_i != infinity ± eps", "$$ a = b $$",
+)
+_FORMULA_LINES = "SELECT doc_id, pos, CASE pos % 20 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(FORMULA_LINES)) + " ELSE text END AS text FROM v"
+
+
+def _formula_lines(spark: SparkSession, d: str) -> DataFrame:
+    v, text = _variants(spark, d), F.col("text")
+    for k, x in enumerate(FORMULA_LINES):
+        text = F.when(F.col("pos") % 20 == k, F.lit(x)).otherwise(text)
+    return v.withColumn("text", text)
+
+
+def _shaped_sql(x: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, template in rules:
+        x = "regexp_replace({}, '{}', '{}', 'g')".format(x, pattern, template.replace("\\", "\\\\").replace("%", "\\"))
+    return x
+
+
+def _latex_sql(x: str) -> str:
+    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in formulas.LATEX.items())
+    return STRIP.format(_shaped_sql(f"array_to_string(list_transform(regexp_extract_all({x}, '{formulas.TOKEN}'), lambda t: CASE t {names} ELSE t END), '')", formulas.SHAPES))
+
+
+_COMPOUND_SQL = f"(regexp_matches(t, '{formulas.COMPOUND}') AND regexp_matches(t, '{formulas.TWO_ELEMENTS}') AND (regexp_matches(t, '{formulas.COUNTED}') OR regexp_matches(t, '{formulas.NAMED}')) OR regexp_matches(t, '{formulas.PAIR}'))"
+_COUNTED_SQL = f"(regexp_matches(t, '{formulas.COMPOUND}') AND regexp_matches(t, '{formulas.COUNTED}'))"
+_WORDS_SQL = f"regexp_extract_all(s, '{formulas.REACTION_TOKEN}')"
+_SUBSCRIPTS_SQL = _shaped_sql("t", formulas.SUBSCRIPTS)
+_SIGNS = " + ".join(f"CAST(contains(s, '{m}') AS INTEGER)" for m in formulas.SIGNS)
+_IS_FORMULA = f"(s <> '' AND ((regexp_matches(s, '{formulas.RELATION}') AND (length(regexp_replace(s, '[^\\p{{Ll}}]', '', 'g'))::DOUBLE / greatest(1, length(replace(s, ' ', ''))) < 0.45 OR ({_SIGNS}) >= 2)) OR starts_with(s, '$$') OR ends_with(s, '$$')))"
+_FORMULAS = f"""{VARIANTS}, fs AS (SELECT doc_id, pos, {STRIP.format("text")} AS s FROM ({_FORMULA_LINES})), fk AS (SELECT *, {_IS_FORMULA} AS f FROM fs),
+fl AS (SELECT *, CASE WHEN s = '' THEN 'blank' WHEN contains(s, '$$') THEN 'ready' WHEN NOT f THEN CASE WHEN regexp_matches(s, '{formulas.LABELLED}') AND regexp_matches(regexp_extract(s, '{formulas.LABELLED}', 2), '{formulas.WORKED}') THEN 'labelled' ELSE 'prose' END
+ WHEN len(list_filter({_WORDS_SQL}, lambda t: {_COMPOUND_SQL})) > 0 OR regexp_matches(s, '{formulas.ARROW}') AND len(list_filter({_WORDS_SQL}, lambda t: {_COUNTED_SQL})) > 0 THEN 'reaction' ELSE 'equation' END AS kind FROM fk),
+ff AS (SELECT doc_id, pos, f, CASE kind WHEN 'reaction' THEN '$$' || array_to_string(list_transform({_WORDS_SQL}, lambda t: CASE WHEN t IN ('<=>', '<->') THEN '\\Leftrightarrow' WHEN regexp_matches(t, '^-+>$') THEN '\\rightarrow' WHEN {_COMPOUND_SQL} OR {_COUNTED_SQL} THEN {_SUBSCRIPTS_SQL} ELSE t END), '') || '$$'
+ WHEN 'equation' THEN '$$' || {_latex_sql("s")} || '$$' WHEN 'labelled' THEN regexp_extract(s, '{formulas.LABELLED}', 1) || ' $' || {_latex_sql(f"regexp_extract(s, '{formulas.LABELLED}', 2)")} || '$'
+ WHEN 'prose' THEN array_to_string(list_transform({_WORDS_SQL}, lambda t: CASE WHEN {_COMPOUND_SQL} THEN '$' || {_SUBSCRIPTS_SQL} || '$' ELSE t END), '') ELSE s END AS s FROM fl)"""
+_MARKDOWN = f"""{_FORMULAS}, md AS (SELECT doc_id, pos, s, CASE WHEN s = '' THEN NULL WHEN f THEN chr(10) || s || chr(10) WHEN regexp_matches(lower(s), '{formulas.CHAPTER}') THEN chr(10) || '### ' || s || chr(10)
+ WHEN starts_with(s, '•') OR starts_with(s, '-') THEN '- ' || regexp_replace(s, '{formulas.BULLET}', '') WHEN regexp_matches(s, '{formulas.NUMBERED}') THEN chr(10) || s || chr(10)
+ WHEN ends_with(s, ':') OR (length(s) < 50 AND NOT contains(s, ' - ') AND regexp_matches(s, '^\\p{{Lu}}')) THEN chr(10) || '## ' || s || chr(10)
+ WHEN contains(s, ' - ') OR contains(s, ' — ') THEN chr(10) || '**' || {STRIP.format(f"regexp_extract(s, '{formulas.TERM}', 1)")} || '** — ' || {STRIP.format(f"regexp_extract(s, '{formulas.TERM}', 2)")} || chr(10) ELSE s END AS m FROM ff),
+body AS (SELECT doc_id, CASE WHEN COUNT(m) = 0 THEN '# Notes' || chr(10) || chr(10) || '{exports.NO_TEXT}' || chr(10) ELSE {STRIP.format("'# Notes' || chr(10) || chr(10) || '> **Subject**: *general*' || chr(10) || chr(10) || COALESCE(string_agg(m, chr(10) ORDER BY pos), '')")} || chr(10) END AS content FROM md GROUP BY doc_id)"""
+
+
+@query(f"WITH {_MARKDOWN} SELECT doc_id, 'MARKDOWN' AS export_format, content FROM body")
 def markdown_export(spark: SparkSession, d: str) -> DataFrame:
-    return exports.export(_variants(spark, d), "markdown", "Notes")
+    return exports.export(_formula_lines(spark, d), "markdown", "Notes")
 
 
-@query()
+@query(f"WITH {_MARKDOWN} SELECT doc_id, 'LATEX' AS export_format, '{exports.HEAD}' || content || '{exports.FOOT}' AS content FROM body")
 def latex_export(spark: SparkSession, d: str) -> DataFrame:
-    return exports.export(_variants(spark, d), "latex", "Notes")
+    return exports.export(_formula_lines(spark, d), "latex", "Notes")
 
 
-@query()
+@query(
+    f"""WITH {LINES}, j AS (SELECT doc_id, pos, to_json({{'line_index': pos, 'bbox': [pos % 5 * 35, pos * 40, length(text) * 8 + 1, 18 + pos % 17], 'text': text, 'confidence': (doc_id * 31 + pos * 17) % 100 / 100.0::DOUBLE}})::VARCHAR AS j FROM lines)
+SELECT doc_id, 'JSON' AS export_format, '{{"title":"Notes","lines":[' || string_agg(j, ',' ORDER BY pos) || ']}}' AS content FROM j GROUP BY doc_id"""
+)
 def json_export(spark: SparkSession, d: str) -> DataFrame:
     return exports.export(_boxed(_lines(spark, d)), "json", "Notes")
 
@@ -676,25 +768,27 @@ for _p in T.NOISE:
     _NOISE_SQL = STRIP.format(f"regexp_replace({_NOISE_SQL}, '{_p}', '')")
 
 
-@query(f"""WITH {VARIANTS}, s AS (SELECT doc_id, pos, {STRIP.format("text")} AS x FROM v) SELECT doc_id, pos, {STRIP.format("regexp_replace(regexp_replace(" + _NOISE_SQL + ", '\\s*\\|\\s*\\|\\s*', ' | ', 'g'), '\\s+', ' ', 'g')")} AS text FROM s""")
+_CLEAN_SQL = STRIP.format("regexp_replace(regexp_replace(" + _NOISE_SQL + ", '\\s*\\|\\s*\\|\\s*', ' | ', 'g'), '\\s+', ' ', 'g')")
+
+
+@query(f"""WITH {VARIANTS}, s AS (SELECT doc_id, pos, {STRIP.format("text")} AS x FROM v) SELECT doc_id, pos, {_CLEAN_SQL} AS text FROM s""")
 def clean_noise(spark: SparkSession, d: str) -> DataFrame:
     return _variants(spark, d).select("doc_id", "pos", T.clean_noise(F.col("text")).alias("text"))
 
 
-_INDICATORS = " + ".join(f"CAST(contains(s, '{m}') AS INTEGER)" for m in formulas.INDICATORS)
+@query(f"WITH {_FORMULAS} SELECT doc_id, pos, f AS formula FROM fk")
+def formula_flag(spark: SparkSession, d: str) -> DataFrame:
+    return _formula_lines(spark, d).select("doc_id", "pos", formulas.is_formula(F.col("text")).alias("formula"))
 
 
-@query(
-    f"""WITH {VARIANTS}, s AS (SELECT doc_id, pos, {STRIP.format("text")} AS s FROM v)
-SELECT doc_id, pos, s <> '' AND ((regexp_matches(s, '=|<|>') AND (length(regexp_replace(s, '[^\\p{{Ll}}]', '', 'g'))::DOUBLE / greatest(1, length(replace(s, ' ', ''))) < 0.45 OR ({_INDICATORS}) >= 2)) OR starts_with(s, '$$') OR ends_with(s, '$$')) AS formula FROM s"""
-)
-def formula_flag(spark: SparkSession, d: str) -> DataFrame:
-    return _variants(spark, d).select("doc_id", "pos", formulas.is_formula(F.col("text")).alias("formula"))
+@query(f"WITH {_FORMULAS} SELECT doc_id, pos, kind FROM fl")
+def formula_kind(spark: SparkSession, d: str) -> DataFrame:
+    return _formula_lines(spark, d).select("doc_id", "pos", formulas.line_kind(F.col("text")).alias("kind"))
 
 
-@query()
+@query(f"WITH {_FORMULAS} SELECT doc_id, pos, s AS text FROM ff")
 def formula_latex(spark: SparkSession, d: str) -> DataFrame:
-    return _variants(spark, d).select("doc_id", "pos", formulas.format_line(F.col("text")).alias("text"))
+    return _formula_lines(spark, d).select("doc_id", "pos", formulas.format_line(F.col("text")).alias("text"))
 
 
 @query(f"WITH {VARIANTS} SELECT doc_id, pos, CAST(least(greatest(bbox_x - 35, 0) // 35, 4) AS INTEGER) AS indent FROM (SELECT doc_id, pos, (pos % 9) * 35 AS bbox_x FROM v)")
@@ -703,29 +797,90 @@ def indentation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT vec_id, unnest(range(8)) AS t, embedding FROM embeddings), c AS (SELECT vec_id, t, unnest(range(8)) AS c, embedding FROM s), p AS (SELECT vec_id, t, c, CAST(embedding[CAST(t * 8 + c + 1 AS INTEGER)] AS DOUBLE) AS v FROM c),
+    """WITH s AS (SELECT vec_id, unnest(range(len(embedding) // 8)) AS t, embedding FROM embeddings), c AS (SELECT vec_id, t, unnest(range(8)) AS c, embedding FROM s), p AS (SELECT vec_id, t, c, CAST(embedding[CAST(t * 8 + c + 1 AS INTEGER)] AS DOUBLE) AS v FROM c),
 m AS (SELECT vec_id, t, c, v FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, t ORDER BY v DESC, c) AS r FROM p) WHERE r = 1), l AS (SELECT *, lag(c) OVER (PARTITION BY vec_id ORDER BY t) AS b FROM m),
 k AS (SELECT * FROM l WHERE c NOT IN (0, 1) AND (b IS NULL OR b <> c))
 SELECT e.vec_id, COALESCE(string_agg(k.c::VARCHAR, ',' ORDER BY k.t), '') AS ids, round(greatest(0.0, least(1.0, COALESCE(avg(k.v), 0.0))), 6) AS confidence FROM embeddings e LEFT JOIN k ON e.vec_id = k.vec_id GROUP BY e.vec_id"""
 )
 def ctc_greedy(spark: SparkSession, d: str) -> DataFrame:
-    steps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.transform(F.slice("embedding", t * 8 + 1, F.lit(8)), lambda x: x.cast("double")))
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 8).cast("int") - 1), lambda t: F.transform(F.slice("embedding", t * 8 + 1, F.lit(8)), lambda x: x.cast("double")))
     out = decoding.ctc_greedy(table(spark, d, "embeddings").select("vec_id", steps.alias("p")), "vec_id")
     return out.select("vec_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.round("confidence", 6).alias("confidence"))
 
 
 @query()
 def ctc_beam(spark: SparkSession, d: str) -> DataFrame:
-    steps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.transform(F.slice("embedding", t * 8 + 1, F.lit(8)), lambda x: -F.abs(x.cast("double")) - 0.1))
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 8).cast("int") - 1), lambda t: F.transform(F.slice("embedding", t * 8 + 1, F.lit(8)), lambda x: -F.abs(x.cast("double")) - 0.1))
     return decoding.ctc_beam_search(table(spark, d, "embeddings").select("vec_id", steps.alias("p")), "vec_id").withColumn("confidence", F.round("confidence", 6))
 
 
+_GRAY = "g AS (SELECT vec_id, len(embedding) // 8 AS h, list_transform(embedding, lambda v: CAST(greatest(0, least(255, floor(v::DOUBLE * 256 + 128))) AS BIGINT)) AS p FROM embeddings)"
+#: Pixels as rows: y, x from 0 on.
+_PIXELS = f"{_GRAY}, px AS (SELECT vec_id, h, k // 8 AS y, k % 8 AS x, p[k + 1] AS v FROM (SELECT vec_id, h, p, unnest(range(h * 8)) AS k FROM g))"
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    """vec_id, h, w, data: embeddings as gray images eight pixels wide."""
+    h = F.floor(F.size("embedding") / 8).cast("int")
+    gray = F.transform(F.slice("embedding", F.lit(1), h * 8), lambda v: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 256 + 128))).cast("long")), 2, "0"))
+    return table(spark, d, "embeddings").select("vec_id", h.alias("h"), F.lit(8).alias("w"), F.unhex(F.array_join(gray, "")).alias("data"))
+
+
+def _pixels(images: DataFrame, f) -> DataFrame:
+    """vec_id, y, v: each row of f of the image as a comma-joined text."""
+    return A.map_values(images, lambda g: [(y, ",".join(str(int(v)) for v in row)) for y, row in enumerate(f(g))], ["vec_id"], "y int, v string")
+
+
+_MIRRORED = "CASE WHEN m < h THEN m ELSE 2 * h - 1 - m END"
+_WEIGHTS = "exp(-0.5 * (k / 3.0::DOUBLE) * (k / 3.0::DOUBLE))"
+
+
 @query(
-    """WITH s AS (SELECT vec_id, unnest(range(8)) AS y, embedding FROM embeddings) SELECT vec_id, CAST(y AS INTEGER) AS y, CAST(len(list_filter(embedding[CAST(y * 8 + 1 AS INTEGER):CAST(y * 8 + 8 AS INTEGER)], lambda v: v > 0)) AS INTEGER) AS ink FROM s"""
+    f"""WITH {_PIXELS}, i AS (SELECT vec_id, y, COUNT(*) FILTER (v > 128) AS n FROM px GROUP BY vec_id, y), k AS (SELECT unnest(range(-12, 13)) AS k),
+s AS (SELECT i.vec_id, i.y, k, g.h, ((i.y + k) % (2 * g.h) + 2 * g.h) % (2 * g.h) AS m FROM i JOIN g ON i.vec_id = g.vec_id CROSS JOIN k),
+w AS (SELECT s.vec_id, s.y, k, {_MIRRORED} AS o FROM s)
+SELECT w.vec_id, CAST(w.y AS INTEGER) AS y, round(SUM({_WEIGHTS} * i.n) / SUM({_WEIGHTS}), 6) AS ink FROM w JOIN i ON w.vec_id = i.vec_id AND w.o = i.y GROUP BY w.vec_id, w.y"""
 )
 def row_profile(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"), "embedding")
-    return e.select("vec_id", "y", F.size(F.filter(F.slice("embedding", F.col("y") * 8 + 1, F.lit(8)), lambda v: v > 0)).alias("ink"))
+    """Ink by row, smoothed with a mirrored border."""
+    return A.map_values(_images(spark, d), lambda g: [(y, round(float(v), 6)) for y, v in enumerate(A.row_profile(g > 128))], ["vec_id"], "y int, ink double")
+
+
+_NEAR = "SELECT unnest(range(-1, 2)) AS dy", "SELECT unnest(range(-1, 2)) AS dx"
+
+
+@query(
+    f"""WITH {_PIXELS}, n AS (SELECT px.vec_id, px.h, px.y, px.x, px.v, abs(px.y + dy) AS a, abs(px.x + dx) AS b FROM px CROSS JOIN ({_NEAR[0]}) CROSS JOIN ({_NEAR[1]})),
+r AS (SELECT vec_id, y, x, v, CASE WHEN a >= h THEN 2 * h - 2 - a ELSE a END AS a, CASE WHEN b >= 8 THEN 14 - b ELSE b END AS b FROM n),
+m AS (SELECT r.vec_id, r.y, r.x, ANY_VALUE(r.v) AS v, SUM(px.v) / 9.0::DOUBLE AS m, SUM(px.v * px.v) / 9.0::DOUBLE AS q FROM r JOIN px ON r.vec_id = px.vec_id AND r.a = px.y AND r.b = px.x GROUP BY r.vec_id, r.y, r.x)
+SELECT vec_id, CAST(y AS INTEGER) AS y, string_agg(CASE WHEN v < m * (1 + 0.22::DOUBLE * (sqrt(greatest(q - m * m, 0)) / 128.0::DOUBLE - 1)) THEN '255' ELSE '0' END, ',' ORDER BY x) AS v FROM m GROUP BY vec_id, y"""
+)
+def local_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """Ink by mean and spread of each pixel's surroundings."""
+    return _pixels(_images(spark, d), lambda g: A.sauvola(g, 3))
+
+
+def _browser_sql(block: int, below: int, ruled: str) -> str:
+    return f"""WITH {_PIXELS}, b AS (SELECT *, v < avg(v) OVER (PARTITION BY vec_id, y // {block}, x // {block}) - {below} AS ink FROM px), r AS (SELECT *, avg(CASE WHEN ink THEN 1.0::DOUBLE ELSE 0.0 END) OVER (PARTITION BY vec_id, y) > {ruled} AS rule FROM b)
+SELECT vec_id, CAST(y AS INTEGER) AS y, string_agg(CASE WHEN ink AND NOT rule THEN '0' ELSE '255' END, ',' ORDER BY x) AS v FROM r GROUP BY vec_id, y"""
+
+
+@query(_browser_sql(4, 16, "0.52"))
+def block_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """Ink by block means; ruled rows are bleached."""
+    return _pixels(_images(spark, d), lambda g: A.browser_ink(g, 4))
+
+
+@query(_browser_sql(2, 18, "0.55"))
+def block_threshold_twin(spark: SparkSession, d: str) -> DataFrame:
+    """The same with smaller blocks and other limits."""
+    return _pixels(_images(spark, d), lambda g: A.browser_ink(g, 2, 18.0, 0.55))
+
+
+@query(f"WITH {_PIXELS} SELECT vec_id, CAST(y + 4 AS INTEGER) AS y, repeat('255,', 8) || string_agg(v::VARCHAR, ',' ORDER BY x) || repeat(',255', 8) AS v FROM px GROUP BY vec_id, y UNION ALL SELECT vec_id, CAST(o AS INTEGER), repeat('255,', 23) || '255' FROM (SELECT vec_id, unnest([0, 1, 2, 3, h + 4, h + 5, h + 6, h + 7]) AS o FROM g)")
+def padded_image(spark: SparkSession, d: str) -> DataFrame:
+    """White borders about each image."""
+    return _pixels(_images(spark, d), lambda g: A.padded(g))
 
 
 @query(
@@ -734,14 +889,13 @@ SELECT l_orderkey, arg_min(x, (x + y) * 1000000 + x * 1000 + y) AS top_left, arg
 )
 def corner_order(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 97).alias("x"), (F.col("l_suppkey") % 89).alias("y"))
-    s, t = F.struct(F.col("x") + F.col("y"), "x", "y"), F.struct(F.col("y") - F.col("x"), "x", "y")
-    return p.groupBy("l_orderkey").agg(F.min_by("x", s).alias("top_left"), F.max_by("x", s).alias("bottom_right"), F.min_by("x", t).alias("top_right"), F.max_by("x", t).alias("bottom_left"))
+    return A.corner_points(p, ["l_orderkey"]).select("l_orderkey", "top_left.x", F.col("top_right.x").alias("_r"), F.col("bottom_right.x").alias("_b"), F.col("bottom_left.x").alias("_l")).toDF("l_orderkey", "top_left", "top_right", "bottom_right", "bottom_left")
 
 
-@query(f"WITH {LINES}, g AS (SELECT doc_id, text, avg((doc_id * 31 + pos * 17) % 100 / 100.0::DOUBLE) AS c, COUNT(*) AS n FROM lines GROUP BY doc_id, text), s AS (SELECT *, (c + 0.15::DOUBLE * (n - 1) + 0.04::DOUBLE * 0.5) * CASE WHEN length(text) >= 3 THEN 1.0 ELSE 0.5 END AS score FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, text) AS r FROM s) SELECT doc_id, text, n FROM r WHERE r = 1")
+@query(f"WITH {LINES}, g AS (SELECT doc_id, text, avg((doc_id * 31 + pos * 17) % 100 / 100.0::DOUBLE) AS c, COUNT(*) AS n FROM lines GROUP BY doc_id, text), s AS (SELECT *, (c + 0.15::DOUBLE * (n - 1) + 0.04::DOUBLE * 0.5) * CASE WHEN length(text) >= 3 THEN 1.0 ELSE 0.5 END AS score FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, text) AS r FROM s) SELECT doc_id, text, n, round(score, 6) AS score FROM r WHERE r = 1")
 def consensus_vote(spark: SparkSession, d: str) -> DataFrame:
     c = _boxed(_lines(spark, d)).select("doc_id", "text", F.col("confidence").alias("conf"), F.lit(0.5).alias("lm"))
-    return metrics.consensus(c, ["doc_id"]).select("doc_id", "text", "n")
+    return metrics.consensus(c, ["doc_id"]).select("doc_id", "text", "n", F.round("score", 6).alias("score"))
 
 
 @query("SELECT doc_id, saved_percent FROM (SELECT doc_id, round(greatest(0.0, (1 - least(length(text), strlen(text))::DOUBLE / nullif(strlen(text), 0)) * 100), 6) AS saved_percent FROM documents)")
@@ -820,8 +974,24 @@ def character_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(T.keep_characters(F.col("text"), _VOC)).alias("kept"))
 
 
-@query()
+#: Our own phrases (a line that matches becomes the phrase) and terms by subject.
+PHRASES = [("^x = y \\+", "sum of two"), ("^1\\. the ", "first of all"), (" of$", "part of a whole"), ("^- [0-9]+", "counted item")]
+TERMS = {"sums": [("sum of two", "x + y"), ("part", "share")], "lists": [("first", "1st"), ("counted", "numbered")]}
+_BOUND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(c, '{p}') THEN '{r}'" for p, r in PHRASES) + " WHEN length(e) <= 1 THEN '' ELSE e END"
+
+
+def _terms_sql(x: str, rules: list[tuple[str, str]]) -> str:
+    for p, r in rules:
+        x = f"regexp_replace({x}, '{p}', '{r}', 'g')"
+    return x
+
+
+@query(
+    f"""WITH {VARIANTS}, s AS (SELECT doc_id, pos, {STRIP.format("text")} AS x FROM v), n AS (SELECT doc_id, pos, {_CLEAN_SQL} AS c FROM s),
+e AS (SELECT *, {STRIP.format("regexp_replace(regexp_replace(c, '\\s+([.,;:!?])', '\\1', 'g'), '([,;])(\\p{L})', '\\1 \\2', 'g')")} AS e FROM n), b AS (SELECT doc_id, pos, {_BOUND_SQL} AS t FROM e)
+SELECT doc_id, pos, CASE doc_id % 3 WHEN 0 THEN {_terms_sql("t", TERMS["sums"])} WHEN 1 THEN {_terms_sql("t", TERMS["lists"])} ELSE t END AS text FROM b"""
+)
 def phrase_bound_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Noise stripping, first matching phrase, subject rules."""
-    t = T.bound(F.col("text"), [("^x = y \\+", "sum of two")])
-    return _variants(spark, d).select("doc_id", "pos", T.replace_subject_terms(t, F.lit("sums"), {"sums": [("sum of two", "x + y")]}).alias("text"))
+    """Noise stripping, first matching phrase, spacing, then the terms of the line's subject."""
+    subject = F.when(F.col("doc_id") % 3 == 0, "sums").when(F.col("doc_id") % 3 == 1, "lists").otherwise("none")
+    return _variants(spark, d).select("doc_id", "pos", T.replace_subject_terms(T.bound(F.col("text"), PHRASES), subject, TERMS).alias("text"))

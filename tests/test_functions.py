@@ -44,7 +44,7 @@ def test_capitals_and_json(spark):
     assert one(spark, T.json_found(F.col("t"), "a int"), t='text {"a": 4} more').a == 4
 
 
-@pytest.mark.parametrize("line,want", [("y = x^2 + 1", "$$y = x^{2} + 1$$"), ("F = (a) / (b)", "$$F = \\frac{a}{b}$$"), ("", ""), ("prose only", "prose only"), ("H2 + O2 -> H2O", "$$H_{2} + O_{2} \\rightarrow  H_{2}O$$")])
+@pytest.mark.parametrize("line,want", [("y = x^2 + 1", "$$y = x^{2} + 1$$"), ("F = (a) / (b)", "$$F = \\frac{a}{b}$$"), ("", ""), ("prose only", "prose only"), ("H2 + O2 -> H2O", "$$\\text{H}_2 + \\text{O}_2 \\rightarrow \\text{H}_2\\text{O}$$")])
 def test_formulas(spark, line, want):
     assert one(spark, formulas.format_line(F.col("t")), t=line) == want
 
@@ -126,3 +126,123 @@ def test_plugins(spark):
 def test_ratio_errors(spark):
     df = spark.createDataFrame([("g", "abcd", "abcd"), ("g", "", "x")], "k string, found string, truth string")
     assert metrics.ratio_error_macro(df, ["k"]).first().error == pytest.approx(0.5)
+
+
+@pytest.mark.parametrize(
+    "line,want",
+    [
+        ("(a + b) / (c - d)", "\\frac{a + b}{c - d}"),
+        ("sqrt(x + 1)", "\\sqrt{x + 1}"),
+        ("x^2 + y^2 = R^2", "x^{2} + y^{2} = R^{2}"),
+        ("E_k = m * v^2 / 2", "E_{k} = m \\cdot \\frac{v^{2}}{2}"),
+        ("Delta t != 0", "\\Delta t \\neq 0"),
+        ("lim x->0", "\\lim_{x \\to 0}"),
+        ("sum x_i <= infinity", "\\sum x_{i} \\le \\infty"),
+        ("a <-> b ~= eps", "a \\Leftrightarrow b \\approx \\varepsilon"),
+        ("e^(kx) ± 2pi", "e^{kx} \\pm 2\\pi"),
+    ],
+)
+def test_latex(spark, line, want):
+    assert one(spark, formulas.to_latex(F.col("t")), t=line) == want
+
+
+@pytest.mark.parametrize(
+    "line,want",
+    [
+        ("H2SO4", "\\text{H}_2\\text{SO}_4"),
+        ("2H2 + O2 -> 2H2O", "2\\text{H}_2 + \\text{O}_2 \\rightarrow 2\\text{H}_2\\text{O}"),
+        ("C6H12O6 <=> Ca(OH)2", "\\text{C}_6\\text{H}_{12}\\text{O}_6 \\Leftrightarrow \\text{Ca(OH)}_2"),
+        ("CH3-COOH", "\\text{CH}_3\\text{-COOH}"),
+    ],
+)
+def test_chemistry(spark, line, want):
+    assert one(spark, formulas.chemistry(F.col("t")), t=line) == want
+
+
+@pytest.mark.parametrize(
+    "line,kind", [("", "blank"), ("$$a$$", "ready"), ("HCl + NaOH = NaCl + H2O", "reaction"), ("V1 = V0 + a * t", "equation"), ("The area of it: a * b", "labelled"), ("OK, NO MORE", "prose"), ("plain prose of a lecture", "prose")]
+)
+def test_line_kind(spark, line, kind):
+    assert one(spark, formulas.line_kind(F.col("t")), t=line) == kind
+
+
+def test_prose_names_its_compounds(spark):
+    assert one(spark, formulas.format_line(F.col("t")), t="we added H2SO4, then KOH; OK.") == "we added $\\text{H}_2\\text{SO}_4$, then $\\text{KOH}$; OK."
+
+
+def test_comparison_table(spark):
+    rows = [(1, 0, "Intro line here goes on and on, without an end to it"), (1, 1, "cats versus dogs"), (1, 2, "purr | bark"), (1, 3, "whiskers of the cat"), (1, 4, "tail wags"), (2, 0, " "), (3, 0, "no table")]
+    c = exports.Comparison("cats.*dogs", "Cats", "Dogs", ("cat",))
+    got = {r.doc_id: r.content for r in exports.markdown(spark.createDataFrame(rows, "doc_id int, pos int, text string"), "T", comparison=c).collect()}
+    assert got[1].endswith("### Cats / Dogs\n\n| Cats | Dogs |\n| :--- | :--- |\n| purr | bark |\n| whiskers of the cat | tail wags |\n")
+    assert got[2] == f"# T\n\n{exports.NO_TEXT}\n" and "no table" in got[3]
+
+
+def test_front_matter(spark):
+    assert one(spark, exports.front_matter(F.lit("t"), F.lit("s"), F.lit("d"), F.lit("x"))) == "---\ntitle: t\nsubject: s\ndate: d\n---\n\nx"
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_near_pairs_lose_none(spark):
+    import random
+
+    rng = random.Random(5)
+    words = {"".join(rng.choices("abc", k=rng.randint(1, 7))) for _ in range(120)}
+    for n in (17, 19, 20, 21, 23, 40):  # about the length at which the keys change
+        base = "".join(rng.choices("abcdefgh", k=n))
+        for _ in range(12):
+            x = list(base)
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(x))
+                x[k : k + 1] = rng.choice(([], ["z"], [x[k], "y"]))
+            words.add("".join(x))
+    df = spark.createDataFrame([(w,) for w in sorted(words)], "word string")
+    got = {(r.word, r.candidate) for r in distance.near_pairs(df, df).collect()}
+    want = {(a, b) for a in words for b in words if abs(len(a) - len(b)) <= 2 and _edits(a, b) <= 2}
+    assert want <= got
+
+
+def test_folded_keys_reach_look_alikes(spark):
+    v = spark.createDataFrame([("moan",), ("zebra",)], "word string")
+    got = distance.candidates(spark.createDataFrame([("wean",), ("nocn",)], "word string"), v).collect()
+    assert {(r.word, r.candidate, r.dist) for r in got} == {("wean", "moan", 0.4), ("nocn", "moan", 0.4)}
+
+
+def test_large_lexicons_are_joined(spark):
+    rows = spark.createDataFrame([(1, "Cat dog 7"), (2, "x"), (3, "")], "id int, text string")
+    lexicon = spark.createDataFrame([("cat",), ("cow",)], "word string")
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    few, many = (metrics.lexicon_counts(rows, words, lexicon, ["id"], lambda w: w.rlike("^[0-9]$"), most) for most in (10, 1))
+    want = {(1, 3, 2), (2, 1, 0), (3, 0, 0)}
+    assert {(r.id, r.n_words, r.n_valid) for r in few.collect()} == want
+    assert {(r.id, r.n_words, r.n_valid) for r in many.collect()} == want
+
+
+def test_ngrams_agree(spark):
+    lines = spark.createDataFrame([(1, 0, "a b a b"), (1, 1, "b"), (2, 0, "")], "d int, p int, text string")
+    for n in (1, 2, 3):
+        a, b = lm.ngram_counts(lines, n), lm.ngrams(lm.tokens(lines, ["d", "p"]), ["d", "p"], n)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    plan = lm.ngram_counts(lines, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_parents_without_children_are_replaced_too(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "page int, text string")
+    new = spark.createDataFrame([(1, "z")], "page int, text string")
+    got = R.replace_children(old, new, "page", spark.createDataFrame([(2,)], "page int"))
+    assert {tuple(r) for r in got.collect()} == {(1, "z"), (3, "c")}
+
+
+def test_study_kit(spark):
+    rows = spark.createDataFrame([(1, k, f"line {k}") for k in range(5)], "d int, k int, text string")
+    assert plugins.study_kit_fallback(rows, "d", "k").first().answer == "line 0 line 1 line 2"
