@@ -9,7 +9,8 @@ from quillframe.llm.common import materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    """Written, so that a join with it has plain exchanges on both sides, which Spark splits where a node has very many links."""
+    return materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
 
 
 def _clean(edges: DataFrame) -> DataFrame:

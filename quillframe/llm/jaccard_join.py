@@ -25,15 +25,15 @@ from pyspark.sql import functions as F
 
 from quillframe.llm import kernels as K
 from quillframe.llm import packed as P
-from quillframe.llm.common import NULL_ID, buckets, chunks, keyed, map_batches, materialize, own_id
+from quillframe.llm.common import NULL_ID, buckets, chunks, keyed, map_batches, materialize, own_id, whole_row
 from quillframe.llm.components import components
 
 SHINGLE = 5
 #: Links at 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
 CHUNK = 4 << 20
-#: Sets that one tree holds at most; a larger block is joined shard by shard.
-BLOCK = 4000
+#: Sets that one tree holds at most; a larger block is joined shard by shard. Blocks of more than SPLIT sets are dealt to more tasks too, in up to SPREAD shards.
+BLOCK, SPLIT, SPREAD = 4000, 100, 20
 #: Into how many parts a large block is dealt before its shards are known.
 SALTS = 64
 _NONE = np.uint32(0xFFFFFFFF)
@@ -318,11 +318,11 @@ def _dealt(ordered: DataFrame, blocks: DataFrame, similarity: int, block: int, c
     How many shards a large block has comes by a join on block and salt: dealt by block alone, all pairs
     of a block would stand in one partition, which the grouping by block and pair then takes as it is."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    large = blocks.groupBy(F.col("component").alias("block")).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > block).withColumn("salt", salts)
+    large = blocks.groupBy(F.col("component").alias("block")).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > min(block, SPLIT)).withColumn("salt", salts)
     columns = ["_id", "n", "tokens", "many", *(["times"] if counted else [])]
     placed = ordered.select(*columns[:4]).join(blocks.withColumnsRenamed({"node": "_id", "component": "block"}), "_id")
     placed = placed.withColumn("salt", F.pmod(F.xxhash64("_id", F.lit("salt")), F.lit(SALTS)).cast("int")).join(large, ["block", "salt"], "left")
-    placed = placed.withColumn("shards", F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int"))
+    placed = placed.withColumn("shards", F.coalesce(F.greatest(F.ceil(F.col("members") / block), F.least(F.lit(SPREAD), F.ceil(F.col("members") / SPLIT))), F.lit(1)).cast("int"))
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("_id"), F.col("shards")).cast("int"))
     # a shard meets every other once: pairs (i, j), i <= j
     pairs = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda o: F.struct(F.least("shard", o).alias("i"), F.greatest("shard", o).alias("j")))
@@ -351,19 +351,20 @@ def join(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY,
     sizes = materialize(_shared(d, shingle, n_parts), "shingles")
     near = sizes.filter((F.col("n_shingles") > 0) & (100 * F.col("shared") >= similarity * F.col("n_shingles")) & (F.col("_id") != NULL_ID)).select("_id", "_sum").distinct()
     sets = materialize(_sets(d.join(near, ["_id", "_sum"]), shingle), "sets")
-    least = sets.groupBy("k1", "k2").agg(F.min("_id").alias("rep"), *([F.count_distinct("_id").alias("times")] if counted else []))
+    # written, so that the join with it can be split where a set has very many copies
+    least = materialize(sets.groupBy("k1", "k2").agg(F.min("_id").alias("rep"), *([F.count_distinct("_id").alias("times")] if counted else [])), "least-sets")
     members = materialize(sets.select("_id", "_sum", "k1", "k2").distinct().join(least, ["k1", "k2"]), "members")
     firsts = members.filter("_id = rep").drop("_sum", "rep").distinct()
     if counted:  # a document may be the first of several sets: each has a number
         firsts = materialize(firsts.withColumn("set", F.monotonically_increasing_id()), "firsts")
     reps = sets.join(firsts, ["_id", "k1", "k2"]).select(F.col("set" if counted else "_id").alias("_id"), "n", "keys")
-    ordered = materialize(_ordered(reps, similarity, n_parts), "ordered")
+    ordered = materialize(_ordered(reps.sortWithinPartitions("_id"), similarity, n_parts), "ordered")
     links = _links(ordered, similarity, block, firsts.select("set", "times") if counted else None)
     if counted:
         links = materialize(links, "links-and-counts")
         number = links.filter("b is null").groupBy(F.col("a").alias("set")).agg(F.sum("n_links").alias("n"))
         number = firsts.join(number, "set", "left").select(F.col("_id").alias("rep"), "k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-        number = members.join(number, ["rep", "k1", "k2"]).select("_id", "_sum", "n_links")
+        number = members.join(materialize(number, "link-counts"), ["rep", "k1", "k2"]).select("_id", "_sum", "n_links")
         a, b = (firsts.select(F.col("set").alias(x), F.col("_id").alias(f"_{x}")) for x in "ab")
         links = links.filter("b is not null").join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     # equal sets, and rows of one id, hang on their first document
@@ -378,6 +379,6 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
     """The rows of docs whose doc_id is the least of their component, and rows without doc_id; all columns as they are.
 
     Of rows that share that doc_id all stay."""
-    first = join(docs, shingle, similarity, counted=False).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    first = join(docs, shingle, similarity, counted=False).filter("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(first, F.col("id") == F.col("first"), "left_semi").select("row.*").unionByName(docs.filter("doc_id is null"))
