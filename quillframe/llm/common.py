@@ -20,6 +20,9 @@ NULL_ID = (1 << 63) - 1
 #: Shuffle files go when the job that made them has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes of text that one batch brings to a worker.
+BATCH = 8 << 20
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -28,13 +31,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's spark.checkpoint.dir. Where that is unset, one under /tmp on one machine, as in tests, and one in the warehouse on a cluster."""
+    """The folder that all executors share: the cluster's spark.checkpoint.dir. Where that is unset, one under /tmp on one machine, as in tests, and one in the warehouse on a cluster, if the warehouse is no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         return f"file:///tmp/quillframe-{os.getuid()}"
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quillframe-{os.getuid()}"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if re.match(r"(?!file:)[a-z][a-z0-9+.-]*:", warehouse) is None:
+        raise RuntimeError(f"spark.checkpoint.dir is not set, and executors do not share the warehouse at {warehouse}")
+    return f"{warehouse.rstrip('/')}/quillframe-{os.getuid()}"
 
 
 def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
@@ -91,7 +97,7 @@ def buckets(df: DataFrame, target: int = 6 << 20, least: int = 24, most: int = 1
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """(_id, _sum, text, columns): a row's identity is its doc_id and its text, so rows that repeat an id stay apart by text.
 
-    doc_id is nullable; text null counts as empty but stays apart from it by nothing."""
+    doc_id is nullable and then counts as NULL_ID; a null text counts as empty, and nothing tells it from an empty one."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("_sum"),
@@ -100,6 +106,16 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def whole_row(docs: DataFrame, but: tuple[str, ...] = ()):
+    """All columns of docs but some as one struct, so that no name of theirs can clash."""
+    kept = [F.col(quoted(c)) for c in docs.columns if c not in but]
+    return F.struct(*kept) if kept else F.struct(F.lit(None).cast("int").alias("none"))
+
+
 def own_id(column: str = "_id"):
     return F.when(F.col(column) != F.lit(NULL_ID), F.col(column))
 
@@ -121,9 +137,15 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int, column: str = "text")
         yield pa.Table.from_batches(held_batches)
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow, with results in batches of bounded size."""
-    return df.mapInArrow(f, schema)
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow; rows with a text come in batches of some BATCH bytes of text, a longer text in one of its own."""
+    if "text" not in df.columns:
+        return df.mapInArrow(f, schema)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(b for t in chunks(batches, BATCH) for b in t.to_batches())
+
+    return df.mapInArrow(bounded, schema)
 
 
 def batched(rows: Iterable, n: int) -> Iterator[list]:

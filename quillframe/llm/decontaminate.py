@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillframe.llm import kernels as K
-from quillframe.llm.common import chunks, map_batches
+from quillframe.llm.common import chunks, map_batches, whole_row
 from quillframe.llm.fm_index import FMIndex
 
 #: Bytes of a shard's texts.
@@ -104,7 +105,7 @@ def search(data: np.ndarray, offsets: np.ndarray, p: Phrases) -> tuple[K.Words,
     return w, hit, [both[bounds[k] : bounds[k + 1]] % n_names for k in range(n_docs)]
 
 
-_FOUND = {"n_words": "long", "n_hit": "long", "runs": "array<long>", "spans": "array<long>", "items": "array<string>"}
+_FOUND = {"n_words": T.LongType(), "n_hit": T.LongType(), "runs": T.ArrayType(T.LongType()), "spans": T.ArrayType(T.LongType()), "items": T.ArrayType(T.StringType())}
 
 
 def _ragged(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -124,7 +125,7 @@ def _without(column: pa.ChunkedArray, spans: np.ndarray, bounds: np.ndarray) ->
 
 
 def _scan(docs: DataFrame, p: Phrases, cut: bool = False) -> DataFrame:
-    """docs with what a block's phrases hit, added to what earlier blocks hit (columns `_runs` and `_items`, if there); or with cut, docs without it."""
+    """docs (row, text) with what a block's phrases hit, added to what earlier blocks hit (columns `_runs` and `_items`, if there); or with cut, docs without it."""
     fields = [f for f in docs.schema.fields if f.name not in ("_runs", "_items")]
     names = [f.name for f in fields]
     again = "_runs" in docs.columns
@@ -153,8 +154,8 @@ def _scan(docs: DataFrame, p: Phrases, cut: bool = False) -> DataFrame:
             out = [*(t.column(n) for n in names), pa.array(np.diff(w.first), pa.int64()), pa.array(n_hit, pa.int64()), _ragged(runs, bounds), _ragged(spans, bounds), pa.array(items, pa.list_(pa.string()))]
             yield from pa.Table.from_arrays(out, names=[*names, *_FOUND]).to_batches()
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ([] if cut else [f"{k} {v}" for k, v in _FOUND.items()]))
-    return map_batches(docs.select(*names, *(["_runs", "_items"] if again else [])), run, ddl)
+    schema = T.StructType([*fields, *([] if cut else [T.StructField(k, v) for k, v in _FOUND.items()])])
+    return map_batches(docs.select(*names, *(["_runs", "_items"] if again else [])), run, schema)
 
 
 def _blocks(benchmark: DataFrame, block: int) -> list[DataFrame]:
@@ -165,14 +166,15 @@ def _blocks(benchmark: DataFrame, block: int) -> list[DataFrame]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BLOCK, cut: bool = False, unnamed: bool = False) -> DataFrame:
-    """docs with n_words, n_hit, runs (word places), spans (byte places; start and end in turn) and items of the whole benchmark; or with cut, docs without the spans.
+    """row (the columns of docs but the text, as a struct), text, and n_words, n_hit, runs (word places), spans (byte places; start and end in turn) and items of the whole benchmark; or with cut, row and the text without the spans.
 
-    docs has text and any other columns but those five. The benchmark (item_id, text) is the stated
+    The benchmark (item_id, text) is the stated
     query set: its texts go to the executors in blocks of about `block` bytes, one scan of docs
     for each; a scan adds to what the last found.
     Null and empty texts have no words. Items without words are passed over, those without an id too unless unnamed: then
-    their windows count as hits and go into the spans, and only `items` leaves them out. Items that share an id count once. Rows that repeat are each their own."""
-    out, parts = docs, _blocks(benchmark.select("item_id", "text"), block)
+    their windows count as hits and go into the spans, and only `items` leaves them out. Items that share an id count once. Rows that repeat are each their own.
+    Other columns of docs may have any names. An empty table of documents gives no rows, an empty benchmark no hits."""
+    out, parts = docs.select(whole_row(docs, ("text",)).alias("row"), "text"), _blocks(benchmark.select("item_id", "text"), block)
     for k, part in enumerate(parts):
         if k:
             out = out.drop("n_words", "n_hit", "spans").withColumnsRenamed({"runs": "_runs", "items": "_items"})
@@ -184,7 +186,7 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int =
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs; a null doc_id stays null."""
     found = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, width, block, unnamed=unnamed)
     return found.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
@@ -197,5 +199,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int =
     """docs without the benchmark's passages: each removal span, first to last hit word, goes from the text; no row goes.
 
     Returns the columns of docs; n_chars, if there, follows the text. Texts without a hit stay as they are, nulls too."""
-    out = find(docs, benchmark, width, block, cut=True, unnamed=unnamed)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return find(docs, benchmark, width, block, cut=True, unnamed=unnamed).select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

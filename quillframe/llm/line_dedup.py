@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import NULL_ID, keyed, materialize
+from quillframe.llm.common import NULL_ID, keyed, materialize, whole_row
 from quillframe.llm.quality_rules import let, words_of
 
 #: Lines of fewer words always stay (those without a word); lines of so many words may differ by one edit.
@@ -126,27 +126,27 @@ def _rebuilt(text: Column, gone: Column) -> Column:
 
 
 def dedup(docs: DataFrame, least: int = LEAST, near: int = NEAR) -> DataFrame:
-    """docs with `_kept` (the text without its repeated lines) and `_gone` (how many lines went).
+    """row (all columns of a row of docs, as a struct), kept (its text without its repeated lines), gone (how many lines went).
 
     Null texts have no lines and stay null. Null doc_ids order last. Rows equal in doc_id and text are one document and keep the same lines.
-    A text none of whose lines stays becomes empty; no row goes. Columns other than doc_id and text pass through. An
+    A text none of whose lines stays becomes empty; no row goes. Columns other than doc_id and text pass through, whatever their names. An
     empty table gives no rows."""
     found = dropped(keyed(docs), least, near)
     ids = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_sum")]
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *ids).join(found, ["_id", "_sum"], "left")
-    kept = F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(_rebuilt(F.col("_row.text"), F.col("gone")))
-    return joined.select("_row.*", kept.alias("_kept"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_gone"))
+    joined = docs.select(whole_row(docs).alias("row"), F.col("text").alias("_text"), *ids).join(found, ["_id", "_sum"], "left")
+    kept = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(_rebuilt(F.col("_text"), F.col("gone")))
+    return joined.select("row", kept.alias("kept"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("gone"))
 
 
 def report(docs: DataFrame, least: int = LEAST, near: int = NEAR) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of each row of docs; a null text counts as empty, with one empty line."""
-    text = F.coalesce("text", F.lit(""))
+    text = F.coalesce("row.text", F.lit(""))
     return dedup(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, near).select(
-        "doc_id", F.size(F.split(text, "\n")).cast("long").alias("n_lines"), F.col("_gone").alias("n_removed"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256")
+        "row.doc_id", F.size(F.split(text, "\n")).cast("long").alias("n_lines"), F.col("gone").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256")
     )
 
 
 def clean(docs: DataFrame, least: int = LEAST, near: int = NEAR) -> DataFrame:
     """docs with its texts deduplicated by line; n_chars, if there, follows the text."""
-    out = dedup(docs, least, near).withColumn("text", F.col("_kept")).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return dedup(docs, least, near).select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

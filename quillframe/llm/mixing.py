@@ -25,8 +25,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 150, 2
 #: Words of a block. In larger ones a small source gets no seat, and a shard under a block's size cannot take up its own.
 BLOCK = 1
-#: Hexadecimal digits of the seeded hash that name a shard: 256 shards of each source.
-SHARD_DIGITS = 2
+#: Hexadecimal digits of the seeded hash that name a shard, at least: 256 shards of each source; more where a source that has all rows would give a shard more than SHARD rows.
+SHARD_DIGITS, SHARD = 2, 1_000_000
 SEED = "mix"
 
 
@@ -80,6 +80,13 @@ def apportion(parties: DataFrame, within: list[str], key: str, votes: str, seats
     return parties.join(won, [*within, key], "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
+def shard_digits(rows: int) -> int:
+    digits = SHARD_DIGITS
+    while rows > SHARD * 16**digits:
+        digits += 1
+    return digits
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of docs (doc_id, text, source; others are not read).
 
@@ -91,7 +98,7 @@ def mix(docs: DataFrame) -> DataFrame:
     sources = targets(d.groupBy("_s").agg(F.sum("size").alias("source_size")))
     sources = sources.withColumn("block", F.lit(BLOCK)).withColumn("_all", F.lit(0)).withColumn("n_blocks", F.round(F.col("total") * SHARE / 100 / F.col("block")).cast("long"))
     sources = materialize(apportion(sources, ["_all"], "_s", "target", "n_blocks", F.col("block"), "quota"), "mix-sources", 1)
-    d = d.withColumn("_shard", F.substring("_h", 1, SHARD_DIGITS))
+    d = d.withColumn("_shard", F.substring("_h", 1, shard_digits(d.count())))
     shards = d.groupBy("_s", "_shard").agg(F.sum("size").alias("shard_size")).join(F.broadcast(sources) if _small(sources) else sources, "_s")
     shards = shards.withColumn("votes", F.col("target") * F.col("shard_size") / F.greatest(F.col("source_size"), F.lit(1)))
     shards = apportion(shards, ["_s"], "_shard", "votes", "quota", F.col("block"), "shard_quota")

@@ -11,7 +11,8 @@ Rows: part (the bucket), chunk, kind, blob. Rows of kind HITS and NAMES pass
 the buckets unchanged; they are dealt over tasks by their chunk.
 
 A chunk's number comes from its task and its turn in it. A task that runs again after a lost executor must
-see the same rows in the same order: inputs are scans or sorted joins, which do.
+see the same rows in the same order: inputs are scans, or joins whose rows are sorted by what tells them apart (a join
+alone may be of another kind, or fetch its rows in another order, when it runs again).
 """
 
 from __future__ import annotations
@@ -81,7 +82,9 @@ def exchange(
     schema: str,
     answers: tuple = (),
 ) -> DataFrame:
-    """answer(arrays..., chunk index) -> (record numbers, and if `answers` names types, what goes with each).
+    """Rows of `mapped` (SCHEMA) through their buckets and back to their chunks. A table without rows gives none; chunks of null or empty texts send their names alone.
+
+    answer(arrays..., chunk index) -> (record numbers, and if `answers` names types, what goes with each).
 
     A record's last array is its place in its chunk. per_chunk(places, extras, names) makes the rows of a
     chunk from the places that the buckets and the chunk itself found (kind HITS: places, extras)."""

@@ -156,7 +156,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     d = keyed(docs)
     n_parts = buckets(docs)
     hits = materialize(P.united(_anchors(d, width, n_parts)), "anchors")
-    return materialize(P.united(_repeats(d.join(hits, ["_id", "_sum"]), width, n_parts)), "repeats")
+    return materialize(P.united(_repeats(d.join(hits, ["_id", "_sum"]).sortWithinPartitions("_id", "_sum"), width, n_parts)), "repeats")
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, texts: bool = True) -> DataFrame:

@@ -32,7 +32,8 @@ GRAM = 48
 #: Bytes of a chunk's texts; a longer text is a chunk of its own and takes some 100 bytes of memory a byte.
 CHUNK = 2 << 20
 FULL, OPEN = 1, 2
-_PLACE_BITS = 28
+#: A place in a chunk has 32 bits, so a text may have 4 GB.
+_PLACE_BITS = 32
 _NAME_TYPES = (np.int64, np.int64, np.int64)
 FOUND = "_id long, _sum long, runs array<int>, open array<int>"
 
@@ -207,7 +208,7 @@ def repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     d, n_parts = keyed(docs), buckets(docs)
     first = materialize(_first_pass(d, depth, n_parts), "first-digit")
     still = P.united(first, "open")
-    last = materialize(_last_passes(d.join(still, ["_id", "_sum"]), depth, n_parts), "last-digits")
+    last = materialize(_last_passes(d.join(still, ["_id", "_sum"]).sortWithinPartitions("_id", "_sum"), depth, n_parts), "last-digits")
     return P.united(first.select("_id", "_sum", "runs").unionByName(last))
 
 
