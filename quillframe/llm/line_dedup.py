@@ -23,8 +23,6 @@ from quillframe.llm.quality_rules import let, words_of
 
 #: Lines of fewer words always stay (those without a word); lines of so many words may differ by one edit.
 LEAST, NEAR = 1, 8
-#: The same of the query and the pipeline, as their SQL and tests state it.
-QUERY_LEAST = 3
 #: Bits of a word's hash in the sums: 2**23 words of a line do not overflow them.
 _BITS = 24
 

@@ -53,7 +53,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 LINE_DEDUP = f"""WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, string_split(COALESCE(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, p, line, regexp_extract_all(line, '{SPACE}') AS w FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS p FROM d)),
-k AS (SELECT doc_id, p, array_to_string(w, ' ') AS s, w FROM l WHERE len(w) >= 3), f AS (SELECT s, ANY_VALUE(w) AS w, MIN((doc_id, p)) AS o FROM k GROUP BY s),
+k AS (SELECT doc_id, p, array_to_string(w, ' ') AS s, w FROM l WHERE len(w) >= 1), f AS (SELECT s, ANY_VALUE(w) AS w, MIN((doc_id, p)) AS o FROM k GROUP BY s),
 v AS (SELECT s, o, i, array_to_string(list_concat(w[1:CAST(i - 1 AS INTEGER)], w[CAST(i + 1 AS INTEGER):]), ' ') AS x FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= 8)),
 a AS (SELECT o FROM (SELECT o, MIN(o) OVER (PARTITION BY i, x) AS m FROM v) WHERE m < o), b AS (SELECT x, MIN(o) AS m FROM v GROUP BY x), long AS (SELECT s, o FROM f WHERE len(w) >= 8),
 c AS (SELECT long.o FROM long JOIN b ON long.s = b.x WHERE b.m < long.o UNION SELECT v.o FROM v JOIN long ON v.x = long.s WHERE long.o < v.o),

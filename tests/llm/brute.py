@@ -72,7 +72,7 @@ def secrets(text):
 def lines(docs):
     """(id, lines, gone, sha of what stays) by one edit in words."""
     rows = sorted(((i is None, i or 0, p, tuple(WORD.findall(x))) for i, t in docs for p, x in enumerate((t or "").split("\n"))), key=lambda r: r[:3])
-    rows = [r for r in rows if len(r[3]) >= 3]
+    rows = [r for r in rows if r[3]]
     gone = set()
     for k, (_, i, p, w) in enumerate(rows):
         for _, _, _, u in rows[:k]:

@@ -41,7 +41,7 @@ def kept_lines(docs):
         kept = []
         for line in t.split("\n"):
             w = tuple(brute.WORD.findall(line))
-            if len(w) >= 3:
+            if w:
                 if w in exact:
                     continue
                 exact.add(w)
