@@ -36,8 +36,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of three and more words that are alike to an earlier one go from the texts; no document goes."""
-    return line_dedup.clean(docs, line_dedup.QUERY_LEAST)
+    """Lines with a word that are alike to an earlier one go from the texts; no document goes."""
+    return line_dedup.clean(docs)
 
 
 @_stage
