@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.common import materialize
 
-SPACES = " \t\n\x0b\f\r"
+SPACES = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Words of a window, and the share of words in repeated windows, in hundredths, beyond which a text fails.
 WINDOW, MOST_REPEATED, LEAST_WORDS = 8, 30, 20
@@ -33,10 +33,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Words between spaces, tabs and line breaks. Splitting at a single character needs no pattern matching, so the other separators become spaces first."""
-    for c in SPACES[1:]:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.filter(F.split(text, " "), lambda w: w != "")
+    """Words between spaces, tabs and line breaks. Splitting at a single character needs no pattern matching; texts with tabs and the like, which few have, are split by pattern."""
+    rare = F.lit(False)
+    for c in "\t\x0b\f\r":
+        rare = rare | F.contains(text, F.lit(c))
+    plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
+    return F.array_remove(F.when(rare, F.split(text, SPACES)).otherwise(plain), "")
 
 
 def count_words(text: Column) -> Column:
