@@ -28,11 +28,14 @@ _BITS = 24
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("_id", "_sum", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("w", words_of(F.col("line")))
-
-
-def _hash(words: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.array_join(words, " "))
+    """_id, _sum, pos, s (the line's words, a space between two), n (words). Most lines stand like that already, so they are neither split nor joined."""
+    lines = docs.select("_id", "_sum", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    line = F.col("line")
+    spaced = line.startswith(" ") | line.endswith(" ")
+    for c in ("  ", "\t", "\x0b", "\f", "\r"):
+        spaced = spaced | F.contains(line, F.lit(c))
+    lines = lines.select("_id", "_sum", "pos", F.when(spaced, F.array_join(words_of(line), " ")).otherwise(line).alias("s"))
+    return lines.withColumn("n", F.when(F.col("s") == "", 0).otherwise(F.octet_length("s") - F.octet_length(F.replace("s", F.lit(" "), F.lit(""))) + 1))
 
 
 def _weights(shift: int, seed: int) -> Column:
@@ -40,13 +43,13 @@ def _weights(shift: int, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col("k") - shift, F.col("word"), F.lit(seed)), _BITS)
 
 
-def _ends(words: Column, near: int) -> Column:
-    """Hashes of the ends that a line and one of its length or a word longer have in common if one edit tells them apart."""
+def _ends(near: int) -> Column:
+    """Hashes of the ends that a line (s, n) and one of its length or a word longer have in common if one edit tells them apart."""
 
     def both(length: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(k), F.array_join(F.slice(words, start, length), " ")) for k, start in ((0, F.lit(1)), (1, -length))]
+        return [F.xxhash64(F.lit(k), F.call_function("substring_index", F.col("s"), F.lit(" "), sign * length)) for k, sign in ((0, 1), (1, -1))]
 
-    n = F.size(words)
+    n = F.col("n")
     half = F.pow(F.lit(2), F.floor(F.log2(n / 2))).cast("int")
     whole_power = (half * 2 == n) & (n > near)  # a line one word shorter has ends half as long
     shorter = F.greatest(F.lit(1), F.floor(half / 2).cast("int"))
@@ -108,9 +111,8 @@ def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 def dropped(docs: DataFrame, least: int = LEAST, near: int = NEAR) -> DataFrame:
     """_id, _sum, gone (places of lines to drop) of the keyed documents that lose lines: of lines of `least` words and more (one at least). near is 2 at least. Written to the shared folder."""
-    line = F.col("w")
-    all_lines = _lines(docs).filter(F.size("w") >= least)
-    lines = materialize(all_lines.select(F.struct("_id", "_sum", "pos").alias("o"), _hash(line, 1).alias("h1"), _hash(line, 2).alias("h2"), _ends(line, near).alias("ends")), "lines")
+    all_lines = _lines(docs).filter(F.col("n") >= least)
+    lines = materialize(all_lines.select(F.struct("_id", "_sum", "pos").alias("o"), *[F.xxhash64(F.lit(k), "s").alias(f"h{k}") for k in (1, 2)], _ends(near).alias("ends")), "lines")
     firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(F.struct("o", "ends")).alias("m"), F.count(F.lit(1)).alias("k")).select("h1", "h2", "m.o", "m.ends", "k"), "distinct-lines")
     close = _near(docs, firsts)
     equal = lines.join(firsts.filter("k > 1").select("h1", "h2", F.col("o").alias("first")), ["h1", "h2"]).filter(F.col("o") != F.col("first")).select("o")
