@@ -123,13 +123,30 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(len(prefix), _BASE_INV)[start] + (end - start).astype(np.uint64) * PLACE[63])
 
 
+def long_hash(data: np.ndarray, block: int) -> np.uint64:
+    """span_hash of all of data, summed block by block."""
+    total, scale = 0, 1
+    for i in range(0, len(data), block):
+        part = data[i : i + block]
+        total += int((BYTE_VALUE[part] * powers(len(part), _BASE)).sum()) * scale
+        scale = scale * pow(_BASE, len(part), 1 << 64) % (1 << 64)
+    total += len(data) * int(PLACE[63])
+    return mix(np.array([total % (1 << 64)], np.uint64))[0]
+
+
 def word_hash(data: np.ndarray, w: Words, block: int = 1 << 18) -> np.ndarray:
     """Hash of each word. Blocks of bytes are hashed one after the other, so that the sums stay in the cache."""
     out = np.empty(len(w.start), dtype=np.uint64)
     i = 0
     while i < len(out):
         lo = w.start[i]
+        if w.end[i] - lo > 4 * block:
+            out[i] = long_hash(data[lo : w.end[i]], block)
+            i += 1
+            continue
         j = max(i + 1, int(np.searchsorted(w.start, lo + block)))
+        if w.end[j - 1] - lo > 4 * block:
+            j -= 1
         prefix = prefix_hash(data[lo : w.end[j - 1]])
         out[i:j] = span_hash(prefix, w.start[i:j] - lo, w.end[i:j] - lo)
         i = j
@@ -165,7 +182,7 @@ def covered(starts: np.ndarray, width: int, total: int) -> np.ndarray:
     edge = np.zeros(total + width + 1, dtype=np.int32)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + width, -1)
-    return np.cumsum(edge[:total]) > 0
+    return np.cumsum(edge, out=edge)[:total] > 0
 
 
 def runs(flag: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

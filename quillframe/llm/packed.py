@@ -157,4 +157,4 @@ def marked(runs: pa.ChunkedArray, first: np.ndarray, total: int) -> np.ndarray:
     edge = np.zeros(total + 1, dtype=np.int32)
     np.add.at(edge, flat[:, 0] + first[doc], 1)
     np.add.at(edge, np.minimum(flat[:, 1] + first[doc], total), -1)
-    return np.cumsum(edge[:total]) > 0
+    return np.cumsum(edge, out=edge)[:total] > 0

@@ -58,12 +58,22 @@ def _distinct(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc[order][new], minlength=n)[:n]
 
 
+def class_counts(data: np.ndarray, offsets: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """How many bytes of each class a text has, counted a block of bytes after the other."""
+    n = len(offsets) - 1
+    out = np.zeros(n * _N_CLASSES, np.int64)
+    for at in range(0, len(data), block):
+        part = data[at : at + block]
+        doc = np.repeat(np.arange(n), np.diff(np.clip(offsets, at, at + len(part))))
+        out += np.bincount(doc * _N_CLASSES + _CLASS[part], minlength=n * _N_CLASSES)
+    return out.reshape(n, _N_CLASSES)
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The statistics of each text of a chunk, a row each; an empty text has zeros."""
     n = len(offsets) - 1
     size = np.diff(offsets)
-    doc_of = np.repeat(np.arange(n), size)
-    classes = np.bincount(doc_of * _N_CLASSES + _CLASS[data], minlength=n * _N_CLASSES).reshape(n, _N_CLASSES)
+    classes = class_counts(data, offsets)
     w = K.words(data, offsets, K.SPACE)
     h, doc = K.word_hash(data, w), w.doc
     n_words = np.diff(w.first)
@@ -81,8 +91,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     repeat8[n_grams == 0] = 0
     lines = K.words(data, offsets, K.separators((10, 10)))
     n_lines = np.diff(lines.first)
-    prefix = K.prefix_hash(data)
-    distinct_lines = _distinct(K.span_hash(prefix, lines.start, lines.end), lines.doc, n) / np.maximum(n_lines, 1)
+    distinct_lines = _distinct(K.word_hash(data, lines), lines.doc, n) / np.maximum(n_lines, 1)
     columns = [np.log1p(size), np.log1p(n_words), np.log1p(n_lines), *(np.sqrt(classes / np.maximum(size, 1)[:, None]).T), mean, spread, _distinct(h, doc, n) / some, _per_doc(same, doc, n) / some, repeat8, np.log1p(n_words / np.maximum(n_lines, 1)), distinct_lines]
     return np.stack(columns, axis=1).astype(np.float32)
 

@@ -29,8 +29,10 @@ from quillframe.llm.common import buckets, chunks, keyed, map_batches, materiali
 
 DEPTH = 400
 GRAM = 48
-#: Bytes of a chunk's texts; a longer text is a chunk of its own and takes some 100 bytes of memory a byte.
+#: Bytes of a chunk's texts; a longer text is a chunk of its own.
 CHUNK = 2 << 20
+#: Suffixes whose digits are made at a time: a long text takes no more memory for them than a chunk.
+WINDOW = CHUNK
 FULL, OPEN = 1, 2
 #: A place in a chunk has 32 bits, so a text may have 4 GB.
 _PLACE_BITS = 32
@@ -93,11 +95,48 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, depth
     return lo, hi, anchor[lo]
 
 
+def first_digits(data: np.ndarray, offsets: np.ndarray, depth: int, window: int) -> tuple[np.ndarray, ...]:
+    """First and last suffix of each run of anchor_runs(), the hash of its gram, and the hash of its surroundings, for `window` suffixes after the other.
+
+    A run that stands across two windows becomes two; their surroundings differ from those of a whole one, so the last passes decide about them."""
+    gram, found = min(GRAM, depth), []
+    for at in range(0, max(1, len(data)), window):
+        part = data[at : at + window + depth - 1]
+        prefix = K.prefix_hash(part)
+        lo, hi, anchor = anchor_runs(part, np.clip(offsets - at, 0, len(part)), prefix, depth)
+        around = K.span_hash(prefix, lo, hi + depth)
+        found.append((lo + at, hi + at, K.span_hash(prefix, anchor, anchor + gram), K.mix(around ^ ((anchor - lo).astype(np.uint64) << np.uint64(32)))))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def last_digits(data: np.ndarray, at: np.ndarray, depth: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of both halves of the suffixes at some places, in ascending order, for a window after the other."""
+    half = depth // 2
+    a, b = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+    for w in range(0, len(data), window):
+        i, j = np.searchsorted(at, [w, w + window])
+        if i < j:
+            prefix, own = K.prefix_hash(data[w : w + window + depth - 1]), at[i:j] - w
+            a[i:j], b[i:j] = K.span_hash(prefix, own, own + half), K.span_hash(prefix, own + half, own + depth)
+    return a, b
+
+
+def united_runs(lo: np.ndarray, span: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end of the unions of runs [lo, lo + span] that touch or overlap in one document."""
+    order = np.argsort(lo, kind="stable")
+    lo, end = lo[order], np.maximum.accumulate(lo[order] + span[order] + 1)
+    doc = np.searchsorted(first, lo, side="right") - 1
+    new = np.ones(len(lo), bool)
+    new[1:] = (lo[1:] > end[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], lo[at], end[np.append(at[1:], len(lo)) - 1] if len(at) else end
+
+
 def _names(t: pa.Table, offsets: np.ndarray) -> bytes:
     return P.pack(t.column("_id").to_numpy(), t.column("_sum").to_numpy(), offsets[1:])
 
 
-def _first_pass(docs: DataFrame, depth: int, n_parts: int) -> DataFrame:
+def _first_pass(docs: DataFrame, depth: int, n_parts: int, window: int) -> DataFrame:
     """FOUND rows: runs of suffixes that repeat for sure, and runs that are still open."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,12 +145,8 @@ def _first_pass(docs: DataFrame, depth: int, n_parts: int) -> DataFrame:
             data, offsets = K.texts(t.column("text"))
             chunk = numbers.next()
             rows = [P.passing(n_parts, chunk, P.NAMES, _names(t, offsets))]
-            prefix = K.prefix_hash(data)
-            lo, hi, anchor = anchor_runs(data, offsets, prefix, depth)
+            lo, hi, gram, around = first_digits(data, offsets, depth, window)
             if len(lo):
-                gram = K.span_hash(prefix, anchor, anchor + min(GRAM, depth))
-                around = K.span_hash(prefix, lo, hi + depth)
-                around = K.mix(around ^ ((anchor - lo).astype(np.uint64) << np.uint64(32)))
                 span = (hi - lo).astype(np.uint16)
                 order = np.lexsort((lo, around, gram))
                 lo, gram, around, span = lo[order], gram[order], around[order], span[order]
@@ -151,11 +186,7 @@ def _first_pass(docs: DataFrame, depth: int, n_parts: int) -> DataFrame:
         found = {}
         for kind in (FULL, OPEN):
             of = state & kind > 0
-            edge = np.zeros(first[-1] + 1, np.int32)
-            np.add.at(edge, lo[of], 1)
-            np.add.at(edge, lo[of] + span[of] + 1, -1)
-            starts, ends_ = K.runs(np.cumsum(edge[:-1]) > 0, first)
-            d = np.searchsorted(first, starts, side="right") - 1
+            d, starts, ends_ = united_runs(lo[of], span[of], first)
             found[kind] = (d, np.stack([starts - first[d], ends_ - first[d]], axis=1).ravel().astype(np.int32))
         own = np.unique(np.concatenate([found[FULL][0], found[OPEN][0]]))
         lists = [P.ragged(flat, 2 * np.concatenate([np.searchsorted(d, own), [len(d)]])) for d, flat in (found[FULL], found[OPEN])]
@@ -165,9 +196,8 @@ def _first_pass(docs: DataFrame, depth: int, n_parts: int) -> DataFrame:
     return P.exchange(map_batches(docs, scan, P.SCHEMA), n_parts, types, answer, gather, _NAME_TYPES, FOUND, (np.uint16, np.uint8))
 
 
-def _last_passes(docs: DataFrame, depth: int, n_parts: int) -> DataFrame:
+def _last_passes(docs: DataFrame, depth: int, n_parts: int, window: int) -> DataFrame:
     """(_id, _sum, runs) of suffixes in open runs that share all their digits with another. docs: with `open`."""
-    half = depth // 2
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = P.Numbers()
@@ -175,10 +205,9 @@ def _last_passes(docs: DataFrame, depth: int, n_parts: int) -> DataFrame:
             data, offsets = K.texts(t.column("text"))
             chunk = numbers.next()
             rows = [P.passing(n_parts, chunk, P.NAMES, _names(t, offsets))]
-            prefix = K.prefix_hash(data)
             at = np.flatnonzero(P.marked(t.column("open"), offsets, len(data)))
             if len(at):
-                a, b = K.span_hash(prefix, at, at + half), K.span_hash(prefix, at + half, at + depth)
+                a, b = last_digits(data, at, depth, window)
                 members, bounds = equal_groups([a, b])
                 rows.append(P.passing(n_parts, chunk, P.HITS, P.pack(at[members].astype(np.uint32))))
                 send = np.ones(len(at), bool)
@@ -203,22 +232,22 @@ def _last_passes(docs: DataFrame, depth: int, n_parts: int) -> DataFrame:
     return P.exchange(map_batches(docs, scan, P.SCHEMA), n_parts, (np.uint64, np.uint32, np.uint32), answer, gather, _NAME_TYPES, P.RUNS)
 
 
-def repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def repeats(docs: DataFrame, depth: int = DEPTH, window: int = WINDOW) -> DataFrame:
     """(_id, _sum, runs): runs of suffixes whose first `depth` bytes start elsewhere too. Written to the shared folder."""
     d, n_parts = keyed(docs), buckets(docs)
-    first = materialize(_first_pass(d, depth, n_parts), "first-digit")
+    first = materialize(_first_pass(d, depth, n_parts, window), "first-digit")
     still = P.united(first, "open")
-    last = materialize(_last_passes(d.join(still, ["_id", "_sum"]).sortWithinPartitions("_id", "_sum"), depth, n_parts), "last-digits")
+    last = materialize(_last_passes(d.join(still, ["_id", "_sum"]).sortWithinPartitions("_id", "_sum"), depth, n_parts, window), "last-digits")
     return P.united(first.select("_id", "_sum", "runs").unionByName(last))
 
 
-def dedup(docs: DataFrame, depth: int = DEPTH, texts: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, depth: int = DEPTH, texts: bool = True, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept (binary) of each row of docs.
 
     Each byte that a repeated `depth`-byte string covers goes, wherever else the string starts: first
     occurrences go too. Null texts are empty; matches never cross rows. Rows that repeat are repeats of each other. A null doc_id stays null.
     Columns other than doc_id and text are not read. An empty table gives no rows."""
-    d = keyed(docs).join(repeats(docs, depth), ["_id", "_sum"], "left")
+    d = keyed(docs).join(repeats(docs, depth, window), ["_id", "_sum"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,12 +4,13 @@ import os
 import random
 import sys
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
-from quillframe.llm import decontaminate, jaccard_join, line_dedup, mixing, secrets_scan  # noqa: E402
+from quillframe.llm import decontaminate, jaccard_join, kernels, line_dedup, mixing, quality_model, secrets_scan, suffix_dedup  # noqa: E402
 
 
 def test_mixing_reaches_the_target_of_small_sources(spark):
@@ -79,3 +80,27 @@ def test_items_without_id_count_as_hits(spark):
             got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(df, bench, block=block, unnamed=True).collect()}
             assert got == {1: (14, 0, True), 2: (0, 0, False)}
             assert {r.doc_id: r.text for r in decontaminate.remove(df, bench, block=block, unnamed=True).collect()} == {1: "before  after", 2: "nothing of it"}
+
+
+@pytest.mark.parametrize("window", [64, 500, 1 << 21])
+def test_windows_of_a_long_text_change_nothing(spark, window):
+    rng = random.Random(11)
+    words = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(n))
+    shared, other = words(90), words(60)
+    docs = [(1, words(200) + shared + words(150) + shared + words(40)), (2, shared + "é" * 70 + other), (3, words(5) + other[7:] + words(300) + shared[30:]), (4, "ab" * 400), (5, ""), (6, None), (7, "short")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = sorted(tuple(r) for r in suffix_dedup.dedup(df, 60, texts=False, window=window).select(*columns).collect())
+    assert got == sorted(brute.suffixes(docs, 60))
+
+
+def test_long_words_and_lines_hash_alike():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 9001, dtype=np.uint8)
+    w = kernels.Words(np.array([0, 3, 10, 5000, 9000]), np.array([2, 9, 4000, 8000, 9001]), np.array([0, 5]))
+    whole = kernels.span_hash(kernels.prefix_hash(data), w.start, w.end)
+    for block in (1, 16, 1000, 1 << 18):
+        assert (kernels.word_hash(data, w, block) == whole).all()
+    offsets = np.array([0, 0, 700, 701, 9001])
+    one = quality_model.class_counts(data, offsets)
+    assert (quality_model.class_counts(data, offsets, 50) == one).all() and (one.sum(axis=1) == np.diff(offsets)).all()
