@@ -69,6 +69,23 @@ def without_rulings(binary: np.ndarray, share: float = 0.8) -> np.ndarray:
     return np.where(opened(binary, max(2, int(binary.shape[0] * share)), 0), 0, binary).astype(np.uint8)
 
 
+#: graphite's saturation and value stay below these, an underline is as long as this at least, and as much ink must be left.
+SATURATION, VALUE, UNDERLINE, INK_LEFT = 32, 185, 36, 120
+
+
+def without_underlines(color: np.ndarray | None, binary: np.ndarray) -> np.ndarray:
+    """Without long level strokes of pencil, with a pixel to either side and the row below; as it is if too little ink would be left or there is no colour."""
+    if color is None or color.ndim != 3:
+        return binary
+    value = color.max(axis=2).astype(float)
+    saturation = (value - color.min(axis=2)) / np.maximum(value, 1) * 255
+    strokes = opened((saturation < SATURATION) & (value < VALUE) & (binary > 0), UNDERLINE, 1)
+    strokes[1:] |= strokes[:-1].copy()
+    wide = np.pad(strokes, ((0, 0), (1, 1)))
+    cut = np.where(wide[:, :-2] | wide[:, 1:-1] | wide[:, 2:], 0, binary).astype(binary.dtype)
+    return cut if np.count_nonzero(cut) >= INK_LEFT else binary
+
+
 def row_profile(binary: np.ndarray, sigma: float = 3.0) -> np.ndarray:
     return gaussian((without_grid(binary) > 0).sum(axis=1), sigma)
 

@@ -97,6 +97,13 @@ def export(lines: DataFrame, kind: str, title: str, group: str = "doc_id", order
     return made(lines, title, group=group, order=order).select(group, F.lit(kind).alias("export_format"), "content")
 
 
+def guide_export(lines: DataFrame, guides: DataFrame, title: str, group: str = "doc_id", order: str = "pos") -> DataFrame:
+    """group, export_format, content: what a service wrote of a document (guides: group, guide; one row each) as MARKDOWN and as TXT, both the same; the markdown export where there is none or a blank one."""
+    written = guides.select(group, F.when(strip(F.col("guide")) != "", F.col("guide")).alias("_guide"))
+    made = markdown(lines, title, group=group, order=order).join(written, group, "left")
+    return made.select(group, F.explode(F.array(F.lit("MARKDOWN"), F.lit("TXT"))).alias("export_format"), F.coalesce("_guide", "content").alias("content"))
+
+
 def front_matter(title: Column, subject: Column, date: Column, text: Column) -> Column:
     """A note with its facts ahead of the text."""
     return F.concat(F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), title), F.concat(F.lit("subject: "), subject), F.concat(F.lit("date: "), date), F.lit("---")), F.lit("\n\n"), text)

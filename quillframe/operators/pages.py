@@ -19,6 +19,22 @@ class Tables:
     pages: DataFrame
 
 
+def ingest(files: DataFrame, documents: DataFrame, pages: DataFrame, author: str = "default") -> tuple[DataFrame, DataFrame]:
+    """documents and pages with a document of one page for each file (path, length, modificationTime; see files.uploads), as uploaded.
+
+    A document's id comes from its path and time, so a file that is known adds nothing. Contents are not read."""
+    name = F.regexp_extract("path", "[^/]+$", 0)
+    kind = F.lower(F.regexp_extract(name, "[.]([^.]+)$", 1))
+    new = files.select(
+        F.sha2(F.concat_ws("|", "path", F.col("modificationTime").cast("string")), 256).alias("id"),
+        F.regexp_replace(name, "[.][^.]+$", "").alias("title"), F.lit(author).alias("author"), name.alias("original_filename"), F.col("path").alias("file_path"),
+        F.col("length").alias("file_size_bytes"), F.concat(F.lit("image/"), F.when(kind == "jpg", "jpeg").otherwise(kind)).alias("mime_type"),
+        F.lit("UPLOADED").alias("status"), F.col("modificationTime").alias("created_at"), F.col("modificationTime").alias("updated_at"),
+    ).join(documents.select("id"), "id", "left_anti")
+    page = new.select(F.sha2(F.concat("id", F.lit("|1")), 256).alias("id"), F.col("id").alias("document_id"), F.lit(1).alias("page_number"), F.col("file_path").alias("raw_image_path"), "status", "created_at")
+    return relational.insert(documents, new), relational.insert(pages, page)
+
+
 def calibrate(lines: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
     """lines (text, confidence) with the confidence calibrated by the lexicon."""
     counted = metrics.lexicon_counts(lines, edge_stripped_words(F.col("text")), lexicon, keys, valid_shape)

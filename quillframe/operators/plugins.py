@@ -50,6 +50,18 @@ def request_chunks(lines: DataFrame, group: str, order: str, size: int = 30) ->
     return lines.withColumn("chunk", F.floor(n / size).cast("int")).withColumn("place", (n % size).cast("int"))
 
 
+def resolved(corrections: DataFrame, lines: DataFrame, group: list[str], value: str = "corrected_text") -> DataFrame:
+    """group, line_index, value of a service's corrections (group, pos, raw, value) of lines (group, place, line_index).
+
+    raw, or pos where it is null, is the line's own index if the group has it, else a place in the group; if it is neither, pos is
+    the place. Corrections of no line go; of several of one line the last by pos stays. A group is what one call is sent
+    (request_chunks), so its indices fit in a row."""
+    index = F.transform(F.sort_array(F.collect_list(F.struct("place", "line_index"))), lambda x: x["line_index"])
+    d = corrections.join(lines.groupBy(*group).agg(index.alias("_index")), group).withColumn("_raw", F.coalesce("raw", "pos"))
+    at = F.when(F.array_contains("_index", F.col("_raw")), F.col("_raw")).otherwise(F.coalesce(F.get("_index", F.col("_raw")), F.get("_index", F.col("pos"))))
+    return d.withColumn("line_index", at).filter("line_index is not null").groupBy(*group, "line_index").agg(F.max_by(value, "pos").alias(value))
+
+
 def merge_corrections(lines: DataFrame, corrections: DataFrame, keys: list[str]) -> DataFrame:
     """lines (text, conf) with corrected_text, changed and conf raised by 0.12 to 0.98 where a correction changed it."""
     d = lines.join(corrections.select(*keys, F.col("corrected_text").alias("_c")), keys, "left")

@@ -45,6 +45,13 @@ def insert(df: DataFrame, new: DataFrame, **defaults: Column) -> DataFrame:
     return df.unionByName(new, allowMissingColumns=True)
 
 
+def migrated(df: DataFrame, schema: T.StructType, **defaults: Column) -> DataFrame:
+    """df with those columns of the schema that it lacks, behind its own: at their default, or null. No column goes or changes; doing it again changes nothing."""
+    present = {c.lower() for c in df.columns}
+    missing = [f for f in schema.fields if f.name.lower() not in present]
+    return df.select("*", *[defaults.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in missing])
+
+
 def patch(df: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Keyed update: a column changes where the patch has a value for it. changes: one row a key."""
     named = changes.select(key, *[F.col(c).alias(f"_{c}") for c in columns])

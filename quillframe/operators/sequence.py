@@ -114,6 +114,11 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
 
 
+def top(rows: DataFrame, keys: list[str], order: list[Column], n: int = 5) -> DataFrame:
+    """The first n rows of each key in this order, with their rank from 1. A task hands on no more than n rows of a key, so a hot key is small after the shuffle."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
+
+
 def merge_intervals(rows: DataFrame, group: str, start: str, end: str, gap: float, least: float = 0.0) -> DataFrame:
     """Intervals of a group that overlap or lie closer than gap become one; short ones go."""
     w = Window.partitionBy(group).orderBy(start, end)

@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillframe.functions import arrays as A, formulas, text as T
-from quillframe.operators import decoding, distance, exports, language_model as lm, metrics, profiles, relational as R, sequence as S
+from quillframe.operators import decoding, distance, exports, language_model as lm, metrics, plugins, profiles, relational as R, sequence as S
 from quillframe.sources.tables import lines, table, variants, words
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,6 +207,37 @@ def fallback_match(spark: SparkSession, d: str) -> DataFrame:
     return R.fallback_match(rows, by_id.union(by_index), ["doc_id", "pos"], ["doc_id", "idx"], "corrected").select("doc_id", "pos", "corrected")
 
 
+@query(
+    f"""WITH {LINES}, l AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n FROM lines), b AS (SELECT doc_id, n // 30 AS chunk, n % 30 AS place, pos + 3 AS line_index FROM l),
+c AS (SELECT doc_id, chunk, place AS own, CASE place % 5 WHEN 0 THEN NULL WHEN 1 THEN line_index WHEN 2 THEN place WHEN 3 THEN 100000 ELSE -1 END AS raw FROM b),
+t AS (SELECT c.doc_id, c.chunk, c.own, COALESCE(x.line_index, y.line_index, z.line_index) AS line_index FROM c
+ LEFT JOIN b x ON c.doc_id = x.doc_id AND c.chunk = x.chunk AND x.line_index = COALESCE(raw, own) LEFT JOIN b y ON c.doc_id = y.doc_id AND c.chunk = y.chunk AND y.place = COALESCE(raw, own)
+ LEFT JOIN b z ON c.doc_id = z.doc_id AND c.chunk = z.chunk AND z.place = c.own)
+SELECT doc_id, chunk::INT AS chunk, line_index::INT AS line_index, 'fix ' || MAX(own) AS corrected_text FROM t WHERE line_index IS NOT NULL GROUP BY doc_id, chunk, line_index"""
+)
+def batch_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Corrections by index, else by the place they name, else by their own place in the reply."""
+    asked = plugins.request_chunks(_lines(spark, d).select("doc_id", "pos"), "doc_id", "pos").withColumn("line_index", (F.col("pos") + 3).cast("int"))
+    k = F.col("place") % 5
+    raw = F.when(k == 1, F.col("line_index")).when(k == 2, F.col("place")).when(k == 3, 100000).when(k == 4, -1)
+    replies = asked.select("doc_id", "chunk", F.col("place").alias("pos"), raw.alias("raw"), F.concat(F.lit("fix "), "place").alias("corrected_text"))
+    return plugins.resolved(replies, asked, ["doc_id", "chunk"])
+
+
+@query("SELECT *, 'default' AS author, 0::BIGINT AS size FROM region")
+def migrated_columns(spark: SparkSession, d: str) -> DataFrame:
+    schema = StructType.fromDDL("r_name string, author string, size bigint")
+    return R.migrated(table(spark, d, "region"), schema, author=F.lit("default"), size=F.lit(0))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS rank FROM lineitem) WHERE rank <= 5"""
+)
+def largest_five(spark: SparkSession, d: str) -> DataFrame:
+    order = [F.desc("l_quantity"), F.col("l_linenumber"), F.col("l_partkey")]
+    return S.top(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), ["l_orderkey"], order)
+
+
 @query(
     """SELECT 'quantity' AS "check", COUNT(*) FILTER (NOT l_quantity < 45) AS n FROM lineitem UNION ALL SELECT 'discount', COUNT(*) FILTER (NOT (l_discount >= 0 AND l_discount <= 0.08)) FROM lineitem
 UNION ALL SELECT 'flag', COUNT(*) FILTER (NOT l_returnflag IN ('A', 'N')) FROM lineitem"""

@@ -109,3 +109,18 @@ def test_frames(spark):
     assert boxes.count() == 5
     back = A.map_images(df, lambda x: A.padded(x, 1, 1)).first()
     assert (back.h, back.w) == (402, 602)
+
+
+def test_pencil_underlines_go_and_ink_stays():
+    color = np.full((60, 200, 3), 250, np.uint8)
+    color[10:20, 20:60] = (20, 20, 200)  # ink of a colour
+    color[30, 20:90] = 120  # pencil, long
+    color[40, 20:50] = 120  # pencil, short
+    color[50, 20:90] = (20, 20, 200)  # ink, long
+    binary = np.where(color.min(axis=2) < 200, 255, 0).astype(np.uint8)
+    out = A.without_underlines(color, binary)
+    assert not out[30].any() and (out[40] == binary[40]).all() and (out[50] == binary[50]).all() and (out[10:20] == binary[10:20]).all()
+    assert A.without_underlines(None, binary) is binary
+    bare = np.zeros_like(binary)
+    bare[30, 20:90] = 255
+    assert A.without_underlines(color, bare) is bare

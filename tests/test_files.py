@@ -1,5 +1,6 @@
 import json
 
+from quillframe.operators import pages, relational as R
 from quillframe.sources import files as S
 from quillframe.streaming import counters
 
@@ -50,3 +51,17 @@ def test_streams(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("counts").first().n == 1
+
+
+def test_uploads_become_documents_once(spark, tmp_path):
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up/note 1.JPG").write_bytes(b"x" * 10)
+    (tmp_path / "up/b.exe").write_bytes(b"x")
+    good, _ = S.uploads(spark, str(tmp_path / "up"))
+    empty = [spark.createDataFrame([], R.SCHEMAS[t]) for t in ("documents", "pages")]
+    documents, rows = pages.ingest(good, *empty)
+    one, page = documents.collect()[0], rows.collect()[0]
+    assert (one.title, one.mime_type, one.status, one.file_size_bytes, one.author) == ("note 1", "image/jpeg", "UPLOADED", 10, "default")
+    assert page.document_id == one.id and page.page_number == 1 and page.raw_image_path == one.file_path
+    again = pages.ingest(good, documents, rows)
+    assert again[0].count() == 1 and again[1].count() == 1

@@ -1,4 +1,6 @@
-from quillframe.operators import distance, pages
+from pyspark.sql import functions as F
+
+from quillframe.operators import distance, exports, pages, plugins, relational, sequence
 
 LINES = "page_id int, line_index int, text string, confidence double"
 
@@ -37,3 +39,32 @@ def test_snapping(spark):
     fixed = spark.createDataFrame([("recieve", "receive")], "word string, replacement string")
     out = {r.k: r.token for r in distance.snapped(tokens, vocabulary, fixed, ["d"]).collect()}
     assert out == {0: "Kettle,", 1: "abc", 2: "teh1", 3: "xylophone", 4: "receive"}
+
+
+def test_replies_find_their_lines(spark):
+    lines = spark.createDataFrame([(0, 0, 10), (0, 1, 11), (0, 2, 1), (1, 0, 20)], "chunk int, place int, line_index int")
+    replies = [(0, 0, 11, "by index"), (0, 1, 0, "by place"), (0, 2, 99, "by its own place"), (0, 3, 99, "lost"), (0, 4, 1, "index before place"), (1, 0, None, "no number"), (2, 0, 20, "no such chunk")]
+    out = plugins.resolved(spark.createDataFrame(replies, "chunk int, pos int, raw int, corrected_text string"), lines, ["chunk"])
+    assert {(r.chunk, r.line_index): r.corrected_text for r in out.collect()} == {(0, 11): "by index", (0, 10): "by place", (0, 1): "index before place", (1, 20): "no number"}
+
+
+def test_migration_adds_only(spark):
+    d = spark.createDataFrame([(1, "a")], "id int, Title string")
+    out = relational.migrated(d, relational.SCHEMAS["documents"], author=F.lit("default"))
+    row = out.first()
+    assert out.columns[:2] == ["id", "Title"] and row.id == 1 and row.Title == "a" and row.author == "default" and row.status is None
+    assert relational.migrated(out, relational.SCHEMAS["documents"]).columns == out.columns
+
+
+def test_first_of_each_key(spark):
+    rows = spark.createDataFrame([("a", k) for k in range(9)] + [("b", 1), (None, 2)], "key string, area int")
+    out = sequence.top(rows, ["key"], [F.desc("area")], 5)
+    assert {(r.key, r["rank"], r.area) for r in out.collect()} == {("a", k, 9 - k) for k in range(1, 6)} | {("b", 1, 1), (None, 1, 2)}
+
+
+def test_guides_or_what_stands_for_them(spark):
+    lines = spark.createDataFrame([(1, 0, "some words"), (2, 0, "other words"), (3, 0, "more words")], "doc_id int, pos int, text string")
+    guides = spark.createDataFrame([(1, "# Guide"), (2, "  ")], "doc_id int, guide string")
+    out = {(r.doc_id, r.export_format): r.content for r in exports.guide_export(lines, guides, "Notes").collect()}
+    assert len(out) == 6 and out[(1, "MARKDOWN")] == out[(1, "TXT")] == "# Guide"
+    assert "other words" in out[(2, "TXT")] and out[(3, "TXT")] == out[(3, "MARKDOWN")]
