@@ -79,3 +79,31 @@ m AS (SELECT doc_id, i, g.n, item_id FROM g JOIN q ON g.k = q.k AND g.n = q.n),
 h AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (SELECT doc_id, i + unnest(range(n)) AS p FROM m) GROUP BY doc_id),
 t AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(names, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id"""
+
+FILTER_AUDIT = f"""WITH k AS (SELECT doc_id, MAX(CAST(quality = 1 AS INTEGER)) AS good, MAX(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, COALESCE(source, '') AS part, COALESCE(text, '') AS t, {_WORDS} AS w FROM documents),
+m AS (SELECT part, COALESCE(good, 0) AS good, COALESCE(toxic, 0) AS toxic, CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INTEGER)
+ + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) + 16 * CAST(MIN(d.doc_id) OVER (PARTITION BY t) < d.doc_id AS INTEGER) AS mask FROM d LEFT JOIN k ON d.doc_id = k.doc_id),
+c AS (SELECT part, mask, COUNT(*) AS n, SUM(good) AS good, SUM(toxic) AS toxic FROM m GROUP BY part, mask),
+l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(x, bit)),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM l a, l b, l c, l d, l e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, COALESCE(list_sum(bits[1:step - 1]), 0)::INTEGER AS gone FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+r AS (SELECT part, filter_order, step, bit, SUM(CASE WHEN mask & (gone | bit) = 0 THEN n ELSE 0 END) AS kept, SUM(CASE WHEN mask & bit > 0 AND mask & gone = 0 THEN n ELSE 0 END) AS removed, SUM(CASE WHEN mask & bit > 0 AND mask & gone > 0 THEN n ELSE 0 END) AS redundant,
+ SUM(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails, SUM(CASE WHEN mask & bit > 0 AND mask & gone = 0 THEN good ELSE 0 END) AS good_lost, SUM(CASE WHEN mask & bit > 0 AND mask & gone = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+ CAST(SUM(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""
+
+VECTOR_DEDUP = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), n AS (SELECT a, COUNT(*) AS n FROM e GROUP BY a)
+SELECT m.vec_id, COALESCE(n.n, 0)::BIGINT AS n_links, c.component_id, m.vec_id = c.component_id AS kept FROM embeddings m LEFT JOIN n ON m.vec_id = n.a JOIN (SELECT a, MIN(b) AS component_id FROM r GROUP BY a) c ON m.vec_id = c.a"""
+
+PHRASE_MINING = f"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_extract_all({_FOLDED}, '[^.,;:!?\\x0A-\\x0D]+')) AS piece FROM documents)),
+g AS (SELECT lang, k, array_to_string(w[CAST(i AS INTEGER):CAST(i + k - 1 AS INTEGER)], ' ') AS phrase, COUNT(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) q(k) WHERE len(w) >= k) GROUP BY 1, 2, 3),
+n AS (SELECT lang, SUM(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 10),
+u AS (SELECT *, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM (SELECT *, unnest([1, 2]) AS j FROM c) WHERE j < k),
+s AS (SELECT u.lang, u.k, u.phrase, a, j, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS score FROM u JOIN g x ON u.lang = x.lang AND u.x = x.phrase JOIN g y ON u.lang = y.lang AND u.y = y.phrase),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+z AS (SELECT lang, phrase, MAX(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY 1, 2),
+t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN z ON b.k = 2 AND b.lang = z.lang AND b.phrase = z.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT t.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n, score::BIGINT AS score FROM t JOIN n ON t.lang = n.lang WHERE rank <= 2000"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import decontaminate, jaccard_join, line_dedup, mixing, oracles, quality_model, quality_rules, secrets_scan, substring_dedup, suffix_dedup, token_count
+from quillframe.llm import decontaminate, filter_audit, jaccard_join, line_dedup, mixing, oracles, phrase_mining, quality_model, quality_rules, secrets_scan, substring_dedup, suffix_dedup, token_count, vector_dedup
 from quillframe.llm.common import read
 
 
@@ -49,8 +49,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 10)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.join(read(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine(read(spark, sf_dir, "documents"), 10, 2000)
+
+
 def queries() -> dict:
-    own = [op1_substring_dedup, op2_source_mixing, op3_quality_rules, op4_suffix_dedup, op5_secrets, op6_line_dedup, op7_jaccard_join, op8_token_counts, op9_quality_classifier, op10_decontamination]
+    own = [
+        op1_substring_dedup, op2_source_mixing, op3_quality_rules, op4_suffix_dedup, op5_secrets, op6_line_dedup, op7_jaccard_join, op8_token_counts, op9_quality_classifier, op10_decontamination,
+        op11_filter_audit, op12_vector_dedup, op13_phrase_mining,
+    ]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -63,4 +78,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": oracles.LINE_DEDUP,
         "op7_jaccard_join": oracles.JACCARD_JOIN,
         "op10_decontamination": oracles.DECONTAMINATION,
+        "op11_filter_audit": oracles.FILTER_AUDIT,
+        "op12_vector_dedup": oracles.VECTOR_DEDUP,
+        "op13_phrase_mining": oracles.PHRASE_MINING,
     }
