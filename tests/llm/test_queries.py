@@ -23,7 +23,7 @@ def test_sql(spark, name):
 
 
 def test_names():
-    assert {n.split("_")[0] for n in registry.queries()} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in registry.queries()} == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights"]
 
 
