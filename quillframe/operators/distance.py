@@ -7,8 +7,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import let
-from quillframe.operators.metrics import ratio_error
+from quillframe.functions.text import first_rule, let, strip
+from quillframe.operators.metrics import similarity
 
 #: Letters that look alike in handwriting; the cost of exchanging two of one group.
 LOOKALIKES = ("aoec", "iljt", "mnuw", "bhk", "gqy", "rvs", "dp")
@@ -129,23 +129,81 @@ def corrected_lines(tokens: DataFrame, vocabulary: DataFrame, lexicon: DataFrame
     return joined.select(*keys, text.alias("text"), (F.lower(text) != F.lower(old)).alias("changed"))
 
 
+def letter_bag(word: Column) -> Column:
+    """Each letter with the number of times it stood up to there: equal letters of two words are as many as their bags share."""
+    letters = F.split(word, "")
+    return let(letters, lambda x: F.transform(x, lambda c, i: F.concat(c, F.size(F.filter(F.slice(x, F.lit(1), i + 1), lambda y: y == c)).cast("string"))))
+
+
+def similar_pairs(words: DataFrame, vocabulary: DataFrame, least: float) -> DataFrame:
+    """word, candidate, r: pairs whose matching-block ratio is `least` (over 0.5) and more; words of three letters and more.
+
+    A ratio needs so many letters in common, so two words' bags, rarest letters first, share two of their first few: pairs of those are the keys of an
+    equi-join. What the bags have in common then bounds the ratio, and blocks decide."""
+    if least <= 0.5:
+        raise ValueError("a ratio of one half and less needs no two letters in common")
+    span = least / (2 - least)
+    asked, known = (d.select("word").distinct().filter(F.length("word") >= 3) for d in (words, vocabulary))
+    often = known.select(F.explode(letter_bag(F.col("word"))).alias("letter")).groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
+
+    def keyed(d: DataFrame, name: str) -> DataFrame:
+        each = d.select("word", F.explode(letter_bag(F.col("word"))).alias("letter")).join(often, "letter", "left")
+        bag = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "letter"))).alias("bag"))  # a word's letters
+        n = F.size("bag")
+        needed = F.ceil(least / 2 * (n + F.ceil(n * span - 1e-9)) - 1e-9).cast("int")
+        first = bag.select("word", F.transform(F.slice("bag", F.lit(1), n - needed + 2), lambda x: x["letter"]).alias("first"))
+        both = F.transform(F.sequence(F.lit(1), F.size("first") - 1), lambda i: F.transform(F.slice("first", i + 1, F.size("first")), lambda y: F.concat(F.get("first", i - 1), F.lit(" "), y)))
+        return first.select(F.col("word").alias(name), F.explode(F.flatten(both)).alias("key"))
+
+    pairs = keyed(asked, "word").join(keyed(known, "candidate"), "key").select("word", "candidate").distinct()
+    common = F.size(F.array_intersect(letter_bag(F.col("word")), letter_bag(F.col("candidate"))))
+    near = pairs.filter(2.0 * common / (F.length("word") + F.length("candidate")) >= least)
+    return near.select("word", "candidate", similarity("candidate", "word").alias("r")).filter(F.col("r") >= least)
+
+
+_WORD = "\\p{L}\\p{N}\\p{M}_"
+
+
 def snapped(tokens: DataFrame, vocabulary: DataFrame, replacements: DataFrame, keys: list[str], least: float = 0.72) -> DataFrame:
-    """keys, k, token: each word's fixed replacement, else the vocabulary word most similar to it at `least` and more, the smaller of equals.
+    """keys, k, token: each word's fixed replacement, else the vocabulary word most similar to it at `least` and more, the last in order of equals.
 
-    Words of under four letters stay; case of the first letter and marks at the edges come back. Lengths that the ratio rules out are
-    not compared: a similarity of r needs lengths within r / (2 - r) of each other, spelled out for an equi-join."""
-    body = F.regexp_replace("token", "^[^\\p{L}]+|[^\\p{L}]+$", "")
-    t = tokens.withColumn("word", F.when(F.length(body) >= 4, F.lower(body)))
+    A word is a token's letters, digits and hyphens in lower case; under four characters it stays. A token that starts with a capital gets one, and marks at its edges
+    come back. Each distinct word is asked once."""
+    clean = F.lower(F.regexp_replace("token", f"[^{_WORD}-]", ""))
+    t = tokens.withColumn("word", F.when(F.length(clean) >= 4, clean))
     asked = t.filter("word is not null").select("word").distinct()
     fixed = asked.join(replacements.select("word", F.col("replacement").alias("best")), "word")
-    span = least / (2 - least)
-    reach = F.sequence(F.ceil(F.length("word") * span).cast("int"), F.floor(F.length("word") / span).cast("int"))
-    pairs = asked.join(fixed.select("word"), "word", "left_anti").select("word", F.explode(reach).alias("len"))
-    pairs = pairs.join(vocabulary.select(F.col("word").alias("candidate"), F.length("word").alias("len")).distinct(), "len")
-    scored = pairs.select("word", "candidate", (1 - ratio_error("word", "candidate")).alias("r")).filter(F.col("r") >= least)
-    near = scored.groupBy("word").agg(F.min_by("candidate", F.struct(-F.col("r"), "candidate")).alias("best"))
-    t = t.join(fixed.unionByName(near), "word", "left")
-    first = F.substring(body, 1, 1)
-    shown = F.when((first == F.upper(first)) & (first != F.lower(first)), F.concat(F.upper(F.substring("best", 1, 1)), F.substr("best", F.lit(2)))).otherwise(F.col("best"))
-    edges = F.concat(F.regexp_extract("token", "^([^\\p{L}]*)", 1), shown, F.regexp_extract("token", "([^\\p{L}]*)$", 1))
-    return t.select(*keys, "k", F.coalesce(edges, "token").alias("token"))
+    near = similar_pairs(asked.join(fixed.select("word"), "word", "left_anti"), vocabulary, least)
+    best = fixed.unionByName(near.groupBy("word").agg(F.max_by("candidate", F.struct("r", "candidate")).alias("best")))
+    named = t.filter("word is not null").join(best, "word", "left")
+    first = F.substring("token", 1, 1)
+    shown = F.when((first == F.upper(first)) & (first != F.lower(first)), F.concat(F.upper(F.substring("best", 1, 1)), F.lower(F.substr("best", F.lit(2))))).otherwise(F.col("best"))
+    edges = F.concat(F.regexp_extract("token", f"^([^{_WORD}]*)", 1), shown, F.regexp_extract("token", f"([^{_WORD}]*)$", 1))
+    return named.select(*keys, "k", F.coalesce(edges, "token").alias("token")).union(t.filter("word is null").select(*keys, "k", "token"))
+
+
+#: A single letter with a full stop, or question marks, which recognition makes of noise.
+DEBRIS = "(?<![\\p{L}\\p{N}_])(\\p{L}\\.|\\?\\?+)(?=[\\p{L}\\p{N}_])"
+
+
+def _tidy(t: Column, debris: str) -> Column:
+    """Debris and quotation marks off, bars off both ends and doubled ones to one, repeated marks to one; a line of one letter or digit and less is blank, unless it is a number."""
+    s = F.regexp_replace(F.regexp_replace(t, debris, ""), "[\"'«»]", "")
+    s = F.regexp_replace(F.regexp_replace(s, "\\s*\\|\\s*$", ""), "^\\s*\\|\\s*", "")
+    s = F.regexp_replace(s, "\\s*\\|\\s*\\|\\s*", " | ")
+    for mark in (",", "\\.", ":", ";"):
+        s = F.regexp_replace(s, f"\\s*{mark}\\s*{mark}+", mark[-1])
+    s = strip(F.regexp_replace(s, "\\s+", " "))
+    return F.when((F.length(F.regexp_replace(s, f"[^{_WORD}]", "")) <= 1) & ~s.rlike("^\\p{Nd}+$"), "").otherwise(s)
+
+
+def bound_lines(lines: DataFrame, vocabulary: DataFrame, replacements: DataFrame, phrases: list[tuple[str, str]], keys: list[str], least: float = 0.72, debris: str = DEBRIS) -> DataFrame:
+    """keys, text: the first phrase rule (pattern, from the start of the line; phrase) that a line without debris matches, else the line with its words snapped and its marks tidied.
+
+    keys tell lines apart. A null or blank line is blank. Lines with a phrase are not asked word by word."""
+    s = strip(F.regexp_replace(F.coalesce("text", F.lit("")), debris, ""))
+    d = lines.select(F.struct(*keys).alias("_line"), s.alias("s")).withColumn("phrase", first_rule(F.col("s"), [(f"^(?:{p})", r) for p, r in phrases], F.lit(None).cast("string")))
+    tokens = d.filter("phrase is null and s <> ''").select("_line", F.posexplode(F.split("s", "\\s+")).alias("k", "token"))
+    parts = F.sort_array(F.collect_list(F.struct("k", "token")))  # of one line
+    joined = snapped(tokens, vocabulary, replacements, ["_line"], least).groupBy("_line").agg(F.array_join(F.transform(parts, lambda x: x["token"]), " ").alias("words"))
+    return d.join(joined, "_line", "left").select("_line.*", F.coalesce("phrase", _tidy(F.coalesce("words", F.lit("")), debris)).alias("text"))

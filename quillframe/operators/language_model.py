@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import let
-
 
 def word_list(text: Column) -> Column:
     """Lower-case words; what is no letter, digit, white space or hyphen separates."""
@@ -25,22 +23,27 @@ def contexts(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ngram_counts(lines: DataFrame, n: int) -> DataFrame:
-    """w1 .. wn, n: counts of n consecutive words of each text. N-grams are cut in the row, so counts are summed before their one shuffle."""
-    names = [f"w{i + 1}" for i in range(n)]
-    w = word_list(F.col("text"))
-    grams = let(w, lambda x: F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(0), F.size(x) - n), lambda i: F.struct(*[F.get(x, i + k).alias(names[k]) for k in range(n)]))))
-    return lines.select(F.explode(grams).alias("g")).select("g.*").groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-
-
-def ngrams(words: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """w1 .. wn, n: counts of n consecutive words; none crosses a text."""
-    w = Window.partitionBy(*keys).orderBy("k")
-    d = words
-    for i in range(1, n):
-        d = d.withColumn(f"w{i + 1}", F.lead("word", i).over(w))
-    d = d.withColumnRenamed("word", "w1")
+    """w1 .. wn, n: counts of n consecutive words of each text. Words are shifted against each other in the row's own array, so counts are summed before their one shuffle."""
     names = [f"w{i + 1}" for i in range(n)]
-    return d.filter(F.col(names[-1]).isNotNull()).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    w = lines.select(word_list(F.col("text")).alias("w")).filter(F.size("w") >= n)
+    grams = F.inline(F.arrays_zip(*[F.slice("w", F.lit(i + 1), F.size("w") - n + 1).alias(c) for i, c in enumerate(names)]))
+    return w.select(grams).toDF(*names).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+
+
+def context_counts(words: DataFrame) -> DataFrame:
+    """_2, _1, word, n: how often each word stands behind the two words before it; a missing one is blank, as no word is. words: as contexts() gives them.
+
+    The counts of one, two and three words are all sums of these, see orders()."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return words.select(blank(F.col("p2")).alias("_2"), blank(F.col("p1")).alias("_1"), "word").groupBy("_2", "_1", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def orders(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The counts of one, two and three consecutive words (as ngram_counts gives them) from those of words in their contexts."""
+    total = F.sum("n").alias("n")
+    uni = counts.groupBy(F.col("word").alias("w1")).agg(total)
+    bi = counts.filter("_1 <> ''").groupBy(F.col("_1").alias("w1"), F.col("word").alias("w2")).agg(total)
+    return uni, bi, counts.filter("_2 <> ''").select(F.col("_2").alias("w1"), F.col("_1").alias("w2"), F.col("word").alias("w3"), "n")
 
 
 def _grams(word: Column) -> Column:
@@ -63,23 +66,34 @@ def gibberish_penalty(distinct: DataFrame, trigrams: DataFrame, script: str = "[
     return g.groupBy("word").agg(mean.alias("m")).select("word", penalty.alias("penalty"))
 
 
-def word_log_prob(words: DataFrame, uni: DataFrame, bi: DataFrame, tri: DataFrame) -> DataFrame:
-    """words (with p1, p2: the word before and the one before that, or null) with logp by interpolation of three orders, and known.
+def _interpolated(three: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame:
+    """_2, _1, word, logp, known of distinct contexts three (_2, _1, word, c123: the trigram's count or null), by interpolation of three orders.
 
-    Each distinct (p2, p1, word) is scored once, from each distinct (p1, word), and joined back; so the counts meet
-    distinct rows, not every word, and a frequent word or a missing context is no hot key."""
-    blank = lambda c: F.coalesce(c, F.lit(""))  # no word is blank
+    Each distinct (_1, word) is scored once, so the counts meet distinct rows; a missing context is blank, so it meets no count, and is no hot key of its own size."""
     totals = uni.agg(F.sum("n").alias("N"), F.greatest(F.lit(1000), F.count(F.lit(1))).alias("V"))
-    asked = words.withColumns({"_1": blank(F.col("p1")), "_2": blank(F.col("p2"))})
-    three = asked.select("_2", "_1", "word").distinct()
     two = three.select("_1", "word").distinct().join(bi.select(F.col("w1").alias("_1"), F.col("w2").alias("word"), F.col("n").alias("c12")), ["_1", "word"], "left")
     two = two.join(uni.select(F.col("w1").alias("_1"), F.col("n").alias("c1")), "_1", "left").join(uni.select(F.col("w1").alias("word"), F.col("n").alias("c")), "word", "left").join(F.broadcast(totals))  # totals: one row
     u = (F.coalesce("c", F.lit(0)) + 0.1) / (F.col("N") + 0.1 * F.col("V"))
     two = two.select("_1", "word", (F.col("c") > 0).alias("known"), F.when(F.col("c1") > 0, 0.7 * F.coalesce("c12", F.lit(0)) / F.col("c1") + 0.3 * u).otherwise(u).alias("b"))
-    three = three.join(tri.select(F.col("w1").alias("_2"), F.col("w2").alias("_1"), F.col("w3").alias("word"), F.col("n").alias("c123")), ["_2", "_1", "word"], "left")
-    three = three.join(two, ["_1", "word"]).join(bi.select(F.col("w1").alias("_2"), F.col("w2").alias("_1"), F.col("n").alias("c21")), ["_2", "_1"], "left")
+    d = three.join(two, ["_1", "word"]).join(bi.select(F.col("w1").alias("_2"), F.col("w2").alias("_1"), F.col("n").alias("c21")), ["_2", "_1"], "left")
     t = F.when(F.col("c21") > 0, 0.6 * F.coalesce("c123", F.lit(0)) / F.col("c21") + 0.4 * F.col("b")).otherwise(F.col("b"))
-    scored = three.select("_2", "_1", "word", F.ln(F.greatest(F.lit(1e-12), t)).alias("logp"), "known")
+    return d.select("_2", "_1", "word", F.ln(F.greatest(F.lit(1e-12), t)).alias("logp"), "known")
+
+
+def word_log_prob(words: DataFrame, uni: DataFrame | None = None, bi: DataFrame | None = None, tri: DataFrame | None = None) -> DataFrame:
+    """words (with p1, p2: the word before and the one before that, or null) with logp by interpolation of three orders, and known.
+
+    Each distinct (p2, p1, word) is scored once and joined back. Without counts, those of `words` themselves hold, all from one count of words in their contexts."""
+    blank = lambda c: F.coalesce(c, F.lit(""))  # no word is blank
+    asked = words.withColumns({"_1": blank(F.col("p1")), "_2": blank(F.col("p2"))})
+    if uni is None:
+        counts = context_counts(words)
+        uni, bi, _ = orders(counts)
+        scored = _interpolated(counts.select("_2", "_1", "word", F.when(F.col("_2") != "", F.col("n")).alias("c123")), uni, bi)
+    else:
+        three = asked.select("_2", "_1", "word").distinct()
+        three = three.join(tri.select(F.col("w1").alias("_2"), F.col("w2").alias("_1"), F.col("w3").alias("word"), F.col("n").alias("c123")), ["_2", "_1", "word"], "left")
+        scored = _interpolated(three, uni, bi)
     return asked.join(scored, ["_2", "_1", "word"]).select(*words.columns, "logp", "known")
 
 

@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quillframe.functions import blocks
+
 
 def cer_micro(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Percent of edits among the true characters, over all pairs (found, truth) of a group."""
     return pairs.groupBy(*keys).agg((100.0 * F.sum(F.levenshtein("found", "truth")) / F.sum(F.greatest(F.lit(1), F.length("truth")))).alias("cer"))
 
 
+def _texts(column: pd.Series) -> pa.Array:
+    return pa.array(column, pa.string(), from_pandas=True)
+
+
 @F.pandas_udf(DoubleType())
-def ratio_error(found: pd.Series, truth: pd.Series) -> pd.Series:
-    """1 - similarity ratio of two texts; 0 if both are empty, 1 if one is."""
-    return pd.Series([0.0 if not a and not b else 1 - difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(found, truth, strict=True)])
+def similarity(found: pd.Series, truth: pd.Series) -> pd.Series:
+    """Similarity ratio of two texts by matching blocks of characters; a null is empty, and two empty texts are alike."""
+    return pd.Series(blocks.ratios(*blocks.characters(_texts(found)), *blocks.characters(_texts(truth))))
 
 
 @F.pandas_udf(DoubleType())
-def ratio_word_error(found: pd.Series, truth: pd.Series) -> pd.Series:
-    """1 - similarity ratio of two texts' word lists."""
-    return pd.Series([1 - difflib.SequenceMatcher(None, (a or "").split(), (b or "").split()).ratio() for a, b in zip(found, truth, strict=True)])
+def word_similarity(found: pd.Series, truth: pd.Series) -> pd.Series:
+    """Similarity ratio of two texts' word lists."""
+    a, b = blocks.word_numbers(_texts(found), _texts(truth))
+    return pd.Series(blocks.ratios(*a, *b))
 
 
 def ratio_error_macro(pairs: DataFrame, keys: list[str], strip: bool = False, by_word: bool = False) -> DataFrame:
     """Mean of the pairs' ratio errors: not an error rate by edits, see cer_micro."""
     a, b = (F.trim("found"), F.trim("truth")) if strip else (F.col("found"), F.col("truth"))
-    error = (ratio_word_error if by_word else ratio_error)(a, b)
+    error = 1 - (word_similarity if by_word else similarity)(a, b)
     return pairs.select(*keys, error.alias("e")).groupBy(*keys).agg(F.avg("e").alias("error"))
 
 
@@ -67,38 +74,17 @@ def domain(texts: DataFrame, key: str, rules: DataFrame, default: str = "general
     return d.select(key, F.when(got >= least, F.col("b.domain")).otherwise(default).alias("domain"), got.alias("hits"))
 
 
-#: Words of a lexicon that go with the plan; a larger one is joined.
-LEXICON = 20_000
-
-
-def listed_words(lexicon: DataFrame, most: int = LEXICON) -> list[str]:
-    """The words of a lexicon of no more than `most`; a larger one is an error."""
-    known = [r[0] for r in lexicon.select("word").limit(most + 1).collect()]
-    if len(known) > most:
-        raise ValueError(f"the lexicon has more than {most} words")
-    return known
+def lexicon_counts(rows: DataFrame, words: Column, lexicon: DataFrame, keys: list[str], also: Callable[[Column], Column]) -> DataFrame:
+    """rows with n_words and n_valid of the array `words`: those of the lexicon (word: no word twice) in lower case, and those that `also` lets pass. keys: what tells the rows apart.
 
-
-def lexicon_counts(rows: DataFrame, words: Column, lexicon: DataFrame, keys: list[str], also: Callable[[Column], Column], most: int = LEXICON) -> DataFrame:
-    """rows with n_words and n_valid of the array `words`: those of the lexicon in lower case, and those that `also` lets pass. keys: what tells the rows apart.
-
-    A lexicon of up to `most` words is a set in the plan and asked in the row's own array, without a shuffle; its size is counted
-    first. A larger one is joined word by word."""
-    known = [r[0] for r in lexicon.select("word").limit(most + 1).collect()]
-    if len(known) <= most:
-        valid = F.filter("_w", lambda w: F.lower(w).isin(*known) | also(w)) if known else F.filter("_w", also)
-        return rows.withColumn("_w", words).withColumn("n_words", F.size("_w").cast("long")).withColumn("n_valid", F.size(valid).cast("long")).drop("_w")
-    w = rows.select(*keys, F.explode(words).alias("_w")).withColumn("word", F.lower("_w")).join(lexicon.select("word", F.lit(True).alias("_in")), "word", "left")
-    n = w.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_words"), F.count_if(F.col("_in") | also(F.col("_w"))).alias("n_valid"))
+    Words are joined with the lexicon, whatever its size: Spark broadcasts it if it turns out small, and else splits words that
+    very many rows have. Counts are summed for each row before they move."""
+    w = rows.select(*keys, F.explode(words).alias("_w")).withColumn("_pass", also(F.col("_w"))).withColumn("word", F.lower("_w"))
+    d = w.join(lexicon.select("word", F.lit(True).alias("_in")), "word", "left")
+    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_words"), F.count_if(F.col("_in") | F.col("_pass")).alias("n_valid"))
     return rows.join(n, keys, "left").fillna(0, ["n_words", "n_valid"])
 
 
-def valid_words(tokens: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_words, n_valid: words of two characters and fewer, and words of the lexicon, are valid."""
-    d = tokens.join(lexicon.select("word", F.lit(True).alias("_in")), "word", "left")
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_words"), F.count_if((F.length("word") <= 2) | F.col("_in")).alias("n_valid"))
-
-
 def hash_split(rows: DataFrame, key: str, buckets: int = 10, train: int = 9) -> DataFrame:
     """rows with split: train or val by a hash of the key, the same in each run and for each order."""
     return rows.withColumn("split", F.when(F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(buckets)) < train, "train").otherwise("val"))

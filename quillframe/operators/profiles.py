@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillframe.functions import blocks
 from quillframe.functions.text import strip, user_id
 
 
 def substitutions(corrections: DataFrame) -> DataFrame:
     """user_id, at, a, b of each one-to-one exchange between original and corrected; at: the correction's place in time.
 
-    Similarity blocks have no built-in, so texts go through Arrow batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for user, at, x, y in zip(pdf["user_id"], pdf["at"], pdf["x"], pdf["y"], strict=True):
-                for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y).get_opcodes():
-                    if tag == "replace" and j - i == 1 and m - k == 1:
-                        out.append((user, at, x[i], y[k]))
-            yield pd.DataFrame(out, columns=["user_id", "at", "a", "b"])
-
-    asked = corrections.select("user_id", "at", strip(F.lower("original")).alias("x"), strip(F.lower("corrected")).alias("y")).filter("x <> y and x <> '' and y <> ''")
-    return asked.mapInPandas(run, "user_id string, at long, a string, b string")
+    Matching blocks of a batch of texts are found at once; an exchange is a gap of one character on both sides between two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            (x, first_x), (y, first_y) = blocks.characters(t.column("x")), blocks.characters(t.column("y"))
+            pair, i, j, n = blocks.matching_blocks(x, first_x, y, first_y)
+            # the ends of each pair's texts close its last gap
+            every = np.arange(t.num_rows)
+            by = np.argsort(np.concatenate([pair, every]), kind="stable")
+            pair, i, j, n = (np.concatenate(c)[by] for c in ((pair, every), (i, np.diff(first_x)), (j, np.diff(first_y)), (n, np.zeros(t.num_rows, np.int64))))
+            same = np.diff(pair, prepend=-1) == 0
+            end_i, end_j = (np.where(same, np.concatenate([[0], (k + n)[:-1]]), 0) for k in (i, j))
+            at = np.flatnonzero((i - end_i == 1) & (j - end_j == 1))
+            a, b = (pa.array([chr(c) for c in s[f[pair[at]] + e[at]]], pa.string()) for s, f, e in ((x, first_x, end_i), (y, first_y, end_j)))
+            own = pa.array(pair[at])
+            yield pa.RecordBatch.from_arrays([t.column("user_id").take(own), t.column("at").take(own), a, b], ["user_id", "at", "a", "b"])
+
+    asked = corrections.select("user_id", F.col("at").cast("long").alias("at"), strip(F.lower("original")).alias("x"), strip(F.lower("corrected")).alias("y")).filter("x <> y and x <> '' and y <> ''")
+    return asked.mapInArrow(run, "user_id string, at long, a string, b string")
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:

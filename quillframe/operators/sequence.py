@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import CONNECTORS, capitalize_sentences, strip
+from quillframe.functions.text import CONNECTORS, capitalize_sentences, clean_noise, strip
+from quillframe.operators.language_model import gibberish_penalty
 
 DASH_END, LETTER_START = "\\p{L}+[-–—=]$", "^\\p{L}"
+#: A word and the dash or full stop that breaks it at a line's end.
+WORD_BREAK = "([\\p{L}\\p{N}\\p{M}_]+)[-.]$"
 
 
 def _greedy_pairs(rows: DataFrame, group: str, order: str, edge: Column) -> DataFrame:
@@ -64,43 +66,55 @@ def document_text(rows: DataFrame, group: str = "doc_id", order: str = "pos") ->
     return merged.select(group, F.col("pos.a").alias("pos"), F.col("pos.b").alias("sub"), capitalize_sentences(F.col("text")).alias("text"))
 
 
-def dewrap(rows: DataFrame, lexicon: frozenset[str], group: str = "doc_id", order: str = "pos") -> DataFrame:
-    """Fold over a group's lines that may change the line ahead: dash or full stop at the end asks whether the two word
-    parts make a lexicon word; if so they join and the rest of the next line goes on from there; a line that ends without a stop
-    takes a next line in lower case. A fold over one document's lines, so its state is bounded by a document."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        ahead, out = [t.strip() for t in pdf["text"]], []
-        i = 0
-        while i < len(ahead):
-            cur = ahead[i]
-            while i + 1 < len(ahead) and cur and ahead[i + 1]:
-                nxt = ahead[i + 1]
-                stem, _, rest = nxt.partition(" ")
-                last = cur.split()[-1]
-                if last[-1] in "-." and (last[:-1] + stem.rstrip(".,;:")).lower() in lexicon:
-                    cur = cur[:-1] + stem
-                    ahead[i + 1] = rest.strip()
-                    if not ahead[i + 1]:
-                        i += 1
-                    break
-                if last[-1] == "-" and stem[:1].isalpha():
-                    cur = cur[:-1] + nxt
-                    i += 1
-                    continue
-                if last[-1] not in ".!?:" and nxt[:1].islower():
-                    cur = f"{cur} {nxt}"
-                    i += 1
-                    continue
-                break
-            if cur:
-                out.append(cur)
-            i += 1
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(out), "pos": list(range(len(out))), "text": pd.Series(out, dtype=object)})
-
-    kind = dict(rows.dtypes)[group]
-    return rows.select(group, order, "text").groupBy(group).applyInPandas(run, f"{group} {kind}, pos int, text string")
+#: Broken words that are known (start of the first part, start of the second, the whole word, whether the rest of
+#: the next line is a line of its own), and starts of a joined word that stand for a known one.
+BROKEN_WORDS = (("общ", "тва", "общества.", True), ("общес", "твен", "общества.", True), ("ответ", "ответ", "ответственность.", False))
+WHOLE_WORDS = (("общ", "общества"), ("становлен", "становления"))
+
+
+def dewrap(
+    rows: DataFrame, lexicon: DataFrame, trigrams: DataFrame, group: str = "doc_id", order: str = "pos",
+    broken: tuple[tuple[str, str, str, bool], ...] = BROKEN_WORDS, whole: tuple[tuple[str, str], ...] = WHOLE_WORDS,
+) -> DataFrame:
+    """group, pos (from 0), text: lines cleaned of noise, blank ones dropped, with words that a dash or full stop breaks at a line's end put together.
+
+    A known broken word becomes the whole one; what is left of the next line stays a line, which can break again, or goes. A next line of one word of up to five
+    letters ends the word and gets a full stop. Otherwise the two parts join if they make a lexicon word (lexicon: word), or one of six letters and more whose trigrams
+    (trigrams: tri, n) bear no penalty, and the rest of the next line follows on the same line.
+
+    A line is whole, or without its first word, or used up by the line before: which, only the branch of the line before says. So a line's branch does not depend on
+    its own state, lines that use up the next one alternate in runs, and windows over a group state the fold. The words that are asked are joined with
+    the lexicon once each."""
+    w = Window.partitionBy(group).orderBy(order)
+    d = rows.select(group, order, clean_noise(F.col("text")).alias("text")).filter("text <> ''").withColumn("nxt", F.lead("text").over(w))
+    d = d.withColumn("prefix", F.when(F.col("nxt").isNotNull(), F.lower(F.regexp_extract("text", WORD_BREAK, 1))))
+    d = d.withColumn("first", F.regexp_replace(F.lower(F.regexp_extract("nxt", "^(\\S*)", 1)), "[.,;:!?]+$", "")).withColumn("rem", F.regexp_extract("nxt", "^\\S*\\s(.*)$", 1))
+    breaks = F.coalesce(F.col("prefix") != "", F.lit(False))
+    known = F.lit(None).cast("struct<word:string,keep:boolean>")
+    for a, b, word, keep in reversed(broken):
+        known = F.when(F.col("prefix").startswith(a) & F.col("first").startswith(b), F.struct(F.lit(word).alias("word"), F.lit(keep).alias("keep"))).otherwise(known)
+    d = d.withColumn("known", F.when(breaks, known))
+    short = breaks & F.col("known").isNull() & (F.col("rem") == "") & (F.length("first") <= 5)
+    joined = F.concat("prefix", "first")
+    d = d.withColumn("short", F.coalesce(short, F.lit(False))).withColumn("asked", F.when(breaks & F.col("known").isNull() & ~F.col("short"), joined))
+    asked = d.filter("asked is not null").select(group, "asked")
+    words = gibberish_penalty(asked.select(F.col("asked").alias("word")).distinct(), trigrams)
+    words = words.join(lexicon.select("word", F.lit(True).alias("listed")).distinct(), "word", "left").filter("listed or length(word) >= 6 and penalty = 0")
+    good = asked.join(words.select(F.col("word").alias("asked")), "asked")
+    good = good.groupBy(group).agg(F.collect_set("asked").alias("good"))  # of one group's own lines
+    d = d.join(good, group, "left").withColumn("good", F.coalesce(F.array_contains("good", F.col("asked")), F.lit(False)))
+    keeps = F.coalesce(F.col("known.keep") & (F.col("rem") != ""), F.lit(False))
+    d = d.withColumn("keeps", keeps).withColumn("uses", ~keeps & (F.col("known").isNotNull() | F.col("short") | F.col("good")))
+    d = d.withColumn("isl", F.coalesce(F.sum((~F.col("uses")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = d.withColumn("take", F.col("uses") & (F.row_number().over(Window.partitionBy(group, "isl").orderBy(order)) % 2 == 1))
+    d = d.withColumn("used", F.coalesce(F.lag("take").over(w), F.lit(False))).withColumn("cut", F.coalesce(F.lag(F.col("keeps") & ~F.col("used")).over(w), F.lit(False)))
+    stem = joined
+    for a, word in reversed(whole):
+        stem = F.when(joined.startswith(a), F.lit(word)).otherwise(stem)
+    ending = F.when(F.col("known").isNotNull(), F.col("known.word")).when(F.col("short"), F.concat(stem, F.lit("."))).when(F.col("good"), F.concat(joined, F.when(F.col("rem") != "", F.concat(F.lit(" "), "rem")).otherwise("")))
+    own = F.when(F.col("cut"), F.regexp_extract("text", "^\\S*\\s(.*)$", 1)).otherwise(F.col("text"))
+    text = F.when(ending.isNotNull(), F.concat(F.regexp_replace(own, WORD_BREAK, ""), ending)).otherwise(own)
+    return d.filter(~F.col("used")).select(group, (F.row_number().over(w) - 1).cast("int").alias("pos"), text.alias("text"))
 
 
 def carry_forward(rows: DataFrame, value: str, group: list[str], order: list[str], out: str = "carried") -> DataFrame:

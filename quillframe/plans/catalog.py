@@ -406,7 +406,7 @@ SELECT doc_id, pos, CAST(k AS INTEGER) AS k, round(ln(greatest(1e-12, CASE WHEN
 )
 def word_logprob(spark: SparkSession, d: str) -> DataFrame:
     x = _lines(spark, d)
-    return lm.word_log_prob(lm.contexts(x, ["doc_id", "pos"]), *(lm.ngram_counts(x, n) for n in (1, 2, 3))).select("doc_id", "pos", "k", F.round("logp", 6).alias("logp"))
+    return lm.word_log_prob(lm.contexts(x, ["doc_id", "pos"])).select("doc_id", "pos", "k", F.round("logp", 6).alias("logp"))
 
 
 @query()
@@ -489,6 +489,28 @@ def cer_micro(spark: SparkSession, d: str) -> DataFrame:
     return metrics.cer_micro(pairs, ["p_brand"]).withColumn("cer", F.round(F.col("cer").cast("double"), 6))
 
 
+#: Matching blocks of distinct short texts p (a, b): each step takes the longest common part, leftmost of equals, of the first open pair, and opens both sides of it.
+_RATIOS = """r AS (SELECT a, b, [{'a': a, 'b': b}] AS todo, 0 AS m FROM p UNION ALL SELECT a, b, CASE WHEN c IS NULL THEN todo[2:] ELSE list_concat(todo[2:], [{'a': substring(x, 1, c.i - 1), 'b': substring(y, 1, strpos(y, substring(x, c.i, c.n)) - 1)},
+ {'a': substring(x, c.i + c.n), 'b': substring(y, strpos(y, substring(x, c.i, c.n)) + c.n)}]) END, m + COALESCE(c.n, 0)::INTEGER FROM (SELECT *, todo[1].a AS x, todo[1].b AS y,
+ list_filter(flatten(list_transform(range(length(todo[1].a), 0, -1), lambda n: list_transform(range(1, length(todo[1].a) - n + 2), lambda i: {'n': n, 'i': i}))), lambda c: contains(todo[1].b, substring(todo[1].a, c.i, c.n)))[1] AS c FROM r WHERE len(todo) > 0)),
+ratios AS (SELECT a, b, CASE WHEN a = '' AND b = '' THEN 1.0 ELSE 2.0::DOUBLE * m / (length(a) + length(b)) END AS ratio FROM r WHERE len(todo) = 0)"""
+
+
+@query(
+    f"""WITH RECURSIVE z AS (SELECT a.p_brand, a.p_partkey, a.p_name AS x, b.p_name AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS k FROM part), n AS (SELECT word, chr(CAST(20000 + row_number() OVER (ORDER BY word) AS INTEGER)) AS c FROM (SELECT DISTINCT word FROM w)),
+e AS (SELECT p_partkey, string_agg(c, '' ORDER BY k) AS e FROM w JOIN n USING (word) GROUP BY p_partkey), q AS (SELECT z.*, e1.e AS ex, e2.e AS ey FROM z JOIN e e1 USING (p_partkey) JOIN e e2 ON e2.p_partkey = z.p_partkey + 1),
+p AS (SELECT x AS a, y AS b FROM q UNION SELECT ex, ey FROM q), {_RATIOS}
+SELECT p_brand, round(avg(1 - s.ratio), 6) AS error, round(avg(1 - t.ratio), 6) AS word_error FROM q JOIN ratios s ON q.x = s.a AND q.y = s.b JOIN ratios t ON q.ex = t.a AND q.ey = t.b GROUP BY p_brand"""
+)
+def name_ratio_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity-ratio errors by character and by word of names that follow each other."""
+    p = table(spark, d, "part")
+    pairs = p.select("p_brand", "p_partkey", F.col("p_name").alias("found")).join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("truth")), "p_partkey")
+    a = metrics.ratio_error_macro(pairs, ["p_brand"]).withColumn("error", F.round("error", 6))
+    return a.join(metrics.ratio_error_macro(pairs, ["p_brand"], by_word=True).select("p_brand", F.round("error", 6).alias("word_error")), "p_brand")
+
+
 @query()
 def ratio_errors(spark: SparkSession, d: str) -> DataFrame:
     """Similarity-ratio errors by character and by word of consecutive turns."""
@@ -554,11 +576,6 @@ def document_text(spark: SparkSession, d: str) -> DataFrame:
     return S.document_text(_variants(spark, d))
 
 
-@query()
-def dewrapped(spark: SparkSession, d: str) -> DataFrame:
-    return S.dewrap(_variants(spark, d), frozenset(metrics.listed_words(_lexicon(spark, d))))
-
-
 #: Whether a text repeats itself; pieces are looked for in each run without white space.
 _LOOPS = """(len({1}) >= 4 AND len(list_filter(range(1, len({1}) - 2), lambda i: {1}[i] = {1}[i + 1] AND {1}[i] = {1}[i + 2])) > 0
  OR len(list_filter(regexp_extract_all({0}, '\\S+'), lambda r: len(list_filter(range(2, length(r) // 4 + 1), lambda n: len(list_filter(range(1, length(r) - 4 * n + 2), lambda i: substring(r, i, 4 * n) = repeat(substring(r, i, n), 4))) > 0)) > 0)) > 0)"""
@@ -1018,6 +1035,33 @@ def _terms_sql(x: str, rules: list[tuple[str, str]]) -> str:
     return x
 
 
+_BREAK = "([\\p{L}\\p{N}\\p{M}_]+)[-.]$"
+_KNOWN = "CASE " + " ".join(f"WHEN starts_with(p, '{a}') AND starts_with(f, '{b}') THEN {{'word': '{w}', 'keep': {str(k).lower()}}}" for a, b, w, k in S.BROKEN_WORDS) + " END"
+_STEM = "CASE " + " ".join(f"WHEN starts_with(p || f, '{a}') THEN '{w}'" for a, w in S.WHOLE_WORDS) + " ELSE p || f END"
+
+
+@query(
+    f"""WITH {_TOKENS}, {_TRI}, {_LEXICON}, {VARIANTS.removeprefix(LINES + ", ")}, s AS (SELECT doc_id, pos, {STRIP.format("text")} AS x FROM v), c AS (SELECT doc_id, pos, {_CLEAN_SQL} AS t FROM s),
+n AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM c WHERE t <> ''),
+b AS (SELECT *, CASE WHEN n IS NOT NULL THEN lower(regexp_extract(t, '{_BREAK}', 1)) END AS p, regexp_replace(lower(regexp_extract(n, '^(\\S*)', 1)), '[.,;:!?]+$', '') AS f, regexp_extract(n, '^\\S*\\s(.*)$', 1) AS rem FROM n),
+k AS (SELECT *, COALESCE(p <> '', false) AS br, CASE WHEN p <> '' THEN {_KNOWN} END AS known FROM b), h AS (SELECT *, br AND known IS NULL AND rem = '' AND length(f) <= 5 AS short FROM k),
+a AS (SELECT *, CASE WHEN br AND known IS NULL AND NOT short THEN p || f END AS asked FROM h), u AS (SELECT DISTINCT asked AS word FROM a WHERE asked IS NOT NULL),
+g AS (SELECT word, substring('^^' || word || '$$', CAST(unnest(range(1, length(word) + 3)) AS INTEGER), 3) AS tri FROM u WHERE length(word) >= 6),
+m AS (SELECT word, avg(ln(greatest(1e-12, (COALESCE(n, 0) + 0.01) / ((SELECT SUM(n) FROM tri) + 50.0)))) AS m FROM g LEFT JOIN tri USING (tri) GROUP BY word),
+good AS (SELECT word FROM u WHERE word IN (SELECT word FROM lexicon) UNION SELECT word FROM m WHERE NOT regexp_matches(word, '[a-z]') OR m >= -9),
+e AS (SELECT a.*, good.word IS NOT NULL AS good, COALESCE(known.keep AND rem <> '', false) AS keeps FROM a LEFT JOIN good ON a.asked = good.word),
+i AS (SELECT *, NOT keeps AND (known IS NOT NULL OR short OR good) AS uses FROM e),
+j AS (SELECT *, COALESCE(SUM(CASE WHEN uses THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS isl FROM i),
+o AS (SELECT *, uses AND row_number() OVER (PARTITION BY doc_id, isl ORDER BY pos) % 2 = 1 AS take FROM j), q AS (SELECT *, COALESCE(lag(take) OVER (PARTITION BY doc_id ORDER BY pos), false) AS used FROM o),
+r AS (SELECT *, COALESCE(lag(keeps AND NOT used) OVER (PARTITION BY doc_id ORDER BY pos), false) AS cut FROM q),
+w AS (SELECT *, CASE WHEN cut THEN regexp_extract(t, '^\\S*\\s(.*)$', 1) ELSE t END AS own, CASE WHEN known IS NOT NULL THEN known.word WHEN short THEN {_STEM} || '.' WHEN good THEN p || f || CASE WHEN rem <> '' THEN ' ' || rem ELSE '' END END AS ending FROM r WHERE NOT used)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, CASE WHEN ending IS NOT NULL THEN regexp_replace(own, '{_BREAK}', '') || ending ELSE own END AS text FROM w"""
+)
+def dewrapped(spark: SparkSession, d: str) -> DataFrame:
+    """Words that a line's end breaks, put together by the lexicon and by trigrams of letters."""
+    return S.dewrap(_variants(spark, d), _lexicon(spark, d), lm.char_trigrams(_tokens(spark, d)))
+
+
 @query(
     f"""WITH {VARIANTS}, s AS (SELECT doc_id, pos, {STRIP.format("text")} AS x FROM v), n AS (SELECT doc_id, pos, {_CLEAN_SQL} AS c FROM s),
 e AS (SELECT *, {STRIP.format("regexp_replace(regexp_replace(c, '\\s+([.,;:!?])', '\\1', 'g'), '([,;])(\\p{L})', '\\1 \\2', 'g')")} AS e FROM n), b AS (SELECT doc_id, pos, {_BOUND_SQL} AS t FROM e)
@@ -1027,3 +1071,34 @@ def phrase_bound_lines(spark: SparkSession, d: str) -> DataFrame:
     """Noise stripping, first matching phrase, spacing, then the terms of the line's subject."""
     subject = F.when(F.col("doc_id") % 3 == 0, "sums").when(F.col("doc_id") % 3 == 1, "lists").otherwise("none")
     return _variants(spark, d).select("doc_id", "pos", T.replace_subject_terms(T.bound(F.col("text"), PHRASES), subject, TERMS).alias("text"))
+
+
+#: Our own replacements and phrases, and how often a word of five letters and more stands to be a term.
+REPLACEMENTS, SNAP_PHRASES, TERM = [("thion", "nation"), ("whith", "which")], [("[0-9]+ ", "counted item"), (".*\\bin the\\b.*\\bof the\\b", "in and of the")], 50
+_W = "\\p{L}\\p{N}\\p{M}_"
+_TIDY_SQL = "regexp_replace(regexp_replace(t, '[\"''«»]', '', 'g'), '\\s*\\|\\s*$', '')"
+for _old, _made in [("^\\s*\\|\\s*", ""), ("\\s*\\|\\s*\\|\\s*", " | "), ("\\s*,\\s*,+", ","), ("\\s*\\.\\s*\\.+", "."), ("\\s*:\\s*:+", ":"), ("\\s*;\\s*;+", ";"), ("\\s+", " ")]:
+    _TIDY_SQL = f"regexp_replace({_TIDY_SQL}, '{_old}', '{_made}', 'g')"
+_PHRASE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(s, '^(?:{p})') THEN '{r}'" for p, r in SNAP_PHRASES) + " END"
+
+
+@query(
+    f"""WITH RECURSIVE v AS (SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}]+')) AS word FROM documents) WHERE length(word) >= 5 GROUP BY word HAVING COUNT(*) >= {TERM}),
+l AS (SELECT item_id, unnest(generate_series(0, len(x) - 1))::INTEGER AS pos, {STRIP.format("unnest(x)")} AS s FROM (SELECT item_id, string_split(text, chr(10)) AS x FROM benchmark)),
+h AS (SELECT *, {_PHRASE_SQL} AS phrase FROM l), k AS (SELECT item_id, pos, unnest(regexp_split_to_array(s, '\\s+')) AS token, generate_subscripts(regexp_split_to_array(s, '\\s+'), 1) AS k FROM h WHERE phrase IS NULL AND s <> ''),
+c AS (SELECT *, CASE WHEN length(lower(regexp_replace(token, '[^{_W}-]', '', 'g'))) >= 4 THEN lower(regexp_replace(token, '[^{_W}-]', '', 'g')) END AS word FROM k),
+f(word, best) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in REPLACEMENTS)}), q AS (SELECT DISTINCT word FROM c WHERE word IS NOT NULL AND word NOT IN (SELECT word FROM f)),
+ql AS (SELECT word, list_transform(list_distinct(string_split(word, '')), lambda x: {{'c': x, 'n': length(word) - length(replace(word, x, ''))}}) AS bag FROM (SELECT word FROM q UNION SELECT word FROM v)), qb AS (SELECT word, b.c AS c, b.n AS n FROM (SELECT word, unnest(bag) AS b FROM ql)),
+o AS (SELECT x.word AS b, y.word AS a FROM (SELECT * FROM qb WHERE word IN (SELECT word FROM q)) x JOIN (SELECT * FROM qb WHERE word IN (SELECT word FROM v)) y ON x.c = y.c GROUP BY x.word, y.word HAVING 2.0::DOUBLE * SUM(least(x.n, y.n)) / (length(x.word) + length(y.word)) >= 0.72),
+p AS (SELECT a, b FROM o), {_RATIOS}, m AS (SELECT b AS word, arg_max(a, (ratio, a)) AS best FROM ratios WHERE ratio >= 0.72 GROUP BY b UNION ALL SELECT word, best FROM f),
+n AS (SELECT item_id, pos, k, CASE WHEN best IS NULL THEN token ELSE regexp_extract(token, '^([^{_W}]*)', 1) || CASE WHEN substring(token, 1, 1) = upper(substring(token, 1, 1)) AND substring(token, 1, 1) <> lower(substring(token, 1, 1)) THEN upper(substring(best, 1, 1)) || substring(best, 2) ELSE best END || regexp_extract(token, '([^{_W}]*)$', 1) END AS token FROM c LEFT JOIN m ON c.word = m.word),
+g AS (SELECT item_id, pos, string_agg(token, ' ' ORDER BY k) AS t FROM n GROUP BY item_id, pos), e AS (SELECT item_id, pos, {STRIP.format(_TIDY_SQL)} AS t FROM g)
+SELECT h.item_id, h.pos, COALESCE(phrase, CASE WHEN e.t IS NULL OR length(regexp_replace(e.t, '[^{_W}]', '', 'g')) <= 1 AND NOT regexp_matches(e.t, '^\\p{{Nd}}+$') THEN '' ELSE e.t END) AS text FROM h LEFT JOIN e ON h.item_id = e.item_id AND h.pos = e.pos"""
+)
+def bound_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's lines: phrases, else words snapped to the documents' terms by similarity ratio, marks tidied. Debris of recognition is not looked for here: SQL's patterns cannot look around."""
+    w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}]+"), 0)).alias("word"))
+    terms = w.filter(F.length("word") >= 5).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= TERM).select("word")
+    fixed = spark.createDataFrame(REPLACEMENTS, "word string, replacement string")
+    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return distance.bound_lines(rows, terms, fixed, SNAP_PHRASES, ["item_id", "pos"], debris="(?!)")

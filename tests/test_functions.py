@@ -1,7 +1,12 @@
+import difflib
+import random
+
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillframe.functions import formulas, text as T
+from quillframe.functions import blocks, formulas, text as T
 from quillframe.operators import decoding, distance, exports, language_model as lm, metrics, plugins, profiles, relational as R
 
 
@@ -93,7 +98,7 @@ def test_ctc(spark):
 def test_language_model(spark):
     lines = spark.createDataFrame([(1, 0, "the cat sat"), (1, 1, "the cat ran"), (1, 2, "")], "d int, p int, text string")
     t = lm.tokens(lines, ["d", "p"])
-    counts = [lm.ngrams(t, ["d", "p"], n) for n in (1, 2, 3)]
+    counts = [ngrams(t, ["d", "p"], n) for n in (1, 2, 3)]
     assert {(r.w1, r.w2): r.n for r in counts[1].collect()}[("the", "cat")] == 2
     scores = {r.p: r.score for r in lm.score_lines(lines, "d", "p", *counts, lm.char_trigrams(t)).collect()}
     assert scores[2] == -10.0 and scores[0] < 0
@@ -123,6 +128,77 @@ def test_plugins(spark):
     assert got[1].changed and got[1].conf == pytest.approx(0.62) and not got[2].changed
 
 
+def some_pairs(n):
+    rng = random.Random(5)
+    out = [(None, "x"), ("", ""), (None, None), ("ab", "")]
+    for _ in range(n):
+        letters = rng.choice(["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz éß日,."])
+        x = [rng.choice(letters) for _ in range(rng.choice([1, 3, 8, 40, 199, 201, 450]))]
+        y = list(x) if rng.random() < 0.6 else [rng.choice(letters) for _ in range(rng.choice([2, 60, 220, 480]))]
+        for _ in range(rng.randint(0, 1 + len(y) // 6)):
+            y[rng.randrange(len(y))] = rng.choice(["", " ", "x", "ab", rng.choice(letters)])
+        out.append(("".join(x), "".join(y)))
+    return out
+
+
+@pytest.mark.parametrize("cells", [2_000_000, 40])
+def test_blocks_are_those_of_the_definition(monkeypatch, cells):
+    monkeypatch.setattr(blocks, "CELLS", cells)
+    pairs = [(a or "", b or "") for a, b in some_pairs(150)]
+    found = {}
+    for p, *block in zip(*blocks.matching_blocks(*(x for side in zip(*pairs) for x in blocks.characters(pa.array(side))))):
+        own = found.setdefault(int(p), [])
+        i, j, n = map(int, block)
+        if own and (own[-1][0] + own[-1][2], own[-1][1] + own[-1][2]) == (i, j):
+            own[-1] = (*own[-1][:2], own[-1][2] + n)
+        else:
+            own.append((i, j, n))
+    for k, (a, b) in enumerate(pairs):
+        assert found.get(k, []) == [tuple(m) for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()[:-1]]
+
+
+def test_similarity_is_that_of_the_definition(spark):
+    pairs = some_pairs(120) + [(" a  b\tc ", "a c b"), ("w " * 250, "w x " * 130)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").repartition(3)
+    for r in df.select("k", metrics.similarity("a", "b").alias("c"), metrics.word_similarity("a", "b").alias("w")).collect():
+        a, b = (x or "" for x in pairs[r.k])
+        assert r.c == difflib.SequenceMatcher(None, a, b).ratio() and r.w == difflib.SequenceMatcher(None, a.split(), b.split()).ratio()
+
+
+def test_substitutions_are_those_of_the_definition(spark):
+    pairs = [(a, b) for a, b in some_pairs(80) if a and b]
+    df = spark.createDataFrame([("u", k, *p) for k, p in enumerate(pairs)], "user_id string, at long, original string, corrected string")
+    want = []
+    for k, (a, b) in enumerate(pairs):
+        x, y = a.lower().strip(), b.lower().strip()
+        if x != y and x and y:
+            want += [(k, x[i], y[m]) for tag, i, j, m, n in difflib.SequenceMatcher(None, x, y).get_opcodes() if tag == "replace" and j - i == 1 == n - m]
+    assert sorted((r["at"], r.a, r.b) for r in profiles.substitutions(df).collect()) == sorted(want)
+
+
+def test_similar_pairs_lose_none(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aabcdeést") for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    words += [w[: len(w) // 2] + rng.choice("xyz") + w[len(w) // 2 :] for w in words[:60]]
+    asked, known = words[::2], words[1::2]
+    a, b = (spark.createDataFrame([(w,) for w in x], "word string") for x in (asked, known))
+    for least in (0.72, 0.51, 0.9):
+        got = {(r.word, r.candidate): r.r for r in distance.similar_pairs(a, b, least).collect()}
+        every = {(x, y): difflib.SequenceMatcher(None, y, x).ratio() for x in asked for y in known if len(x) > 2 and len(y) > 2}
+        assert got == {k: r for k, r in every.items() if r >= least}
+    with pytest.raises(ValueError):
+        distance.similar_pairs(a, b, 0.5)
+
+
+def test_bound_lines(spark):
+    lines = [(1, "Not more than 10 ml"), (2, "the Kottle, boils ,, x|"), (3, '"«ab»" | | abcde'), (4, "a."), (5, None), (6, "7"), (7, "R.kettle ??water"), (8, "|"), (9, "KETTEL wa-ter")]
+    df = spark.createDataFrame(lines, "k int, text string")
+    vocabulary = spark.createDataFrame([("kettle",), ("water",), ("settle",), ("boils",)], "word string")
+    fixed = spark.createDataFrame([("abcde", "fixed")], "word string, replacement string")
+    got = {r.k: r.text for r in distance.bound_lines(df, vocabulary, fixed, [("not more", "small"), ("(?i)not more", "At most 10 ml")], ["k"]).collect()}
+    assert got == {1: "At most 10 ml", 2: "the Kettle, boils, x", 3: "ab | fixed", 4: "", 5: "", 6: "7", 7: "kettle water", 8: "", 9: "Kettle water"}
+
+
 def test_ratio_errors(spark):
     df = spark.createDataFrame([("g", "abcd", "abcd"), ("g", "", "x")], "k string, found string, truth string")
     assert metrics.ratio_error_macro(df, ["k"]).first().error == pytest.approx(0.5)
@@ -217,23 +293,44 @@ def test_folded_keys_reach_look_alikes(spark):
     assert {(r.word, r.candidate, r.dist) for r in got} == {("wean", "moan", 0.4), ("nocn", "moan", 0.4)}
 
 
-def test_large_lexicons_are_joined(spark):
+def test_lexicons_are_joined(spark):
     rows = spark.createDataFrame([(1, "Cat dog 7"), (2, "x"), (3, "")], "id int, text string")
     lexicon = spark.createDataFrame([("cat",), ("cow",)], "word string")
     words = F.filter(F.split("text", " "), lambda w: w != "")
-    few, many = (metrics.lexicon_counts(rows, words, lexicon, ["id"], lambda w: w.rlike("^[0-9]$"), most) for most in (10, 1))
-    want = {(1, 3, 2), (2, 1, 0), (3, 0, 0)}
-    assert {(r.id, r.n_words, r.n_valid) for r in few.collect()} == want
-    assert {(r.id, r.n_words, r.n_valid) for r in many.collect()} == want
+    digit = lambda w: w.rlike("^[0-9]$")
+    assert {(r.id, r.n_words, r.n_valid) for r in metrics.lexicon_counts(rows, words, lexicon, ["id"], digit).collect()} == {(1, 3, 2), (2, 1, 0), (3, 0, 0)}
+    large = spark.range(100_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word")).union(lexicon)
+    d = metrics.lexicon_counts(rows, words, large, ["id"], digit)
+    assert {(r.id, r.n_words, r.n_valid) for r in d.collect()} == {(1, 3, 2), (2, 1, 0), (3, 0, 0)}
+    assert len(d._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+
+
+def ngrams(words, keys, n):
+    """Counts of n consecutive words by windows."""
+    w = Window.partitionBy(*keys).orderBy("k")
+    d = words.withColumnRenamed("word", "w1")
+    for i in range(1, n):
+        d = d.withColumn(f"w{i + 1}", F.lead("w1", i).over(w))
+    names = [f"w{i + 1}" for i in range(n)]
+    return d.filter(F.col(names[-1]).isNotNull()).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
 
 
 def test_ngrams_agree(spark):
-    lines = spark.createDataFrame([(1, 0, "a b a b"), (1, 1, "b"), (2, 0, "")], "d int, p int, text string")
+    lines = spark.createDataFrame([(1, 0, "a b a b"), (1, 1, "b"), (2, 0, ""), (2, 1, None), (3, 0, "a b a")], "d int, p int, text string")
+    derived = lm.orders(lm.context_counts(lm.contexts(lines, ["d", "p"])))
     for n in (1, 2, 3):
-        a, b = lm.ngram_counts(lines, n), lm.ngrams(lm.tokens(lines, ["d", "p"]), ["d", "p"], n)
-        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+        a, b = lm.ngram_counts(lines, n), ngrams(lm.tokens(lines, ["d", "p"]), ["d", "p"], n)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) == sorted(map(tuple, derived[n - 1].collect()))
     plan = lm.ngram_counts(lines, 3)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "lambda" not in plan.split("Generate")[0]
+
+
+def test_own_counts_score_like_given_ones(spark):
+    lines = spark.createDataFrame([(1, 0, "the cat sat on the mat"), (1, 1, "the cat ran"), (2, 0, "a")], "d int, p int, text string")
+    x = lm.contexts(lines, ["d", "p"])
+    a, b = lm.word_log_prob(x), lm.word_log_prob(x, *(lm.ngram_counts(lines, n) for n in (1, 2, 3)))
+    key = lambda r: (r.d, r.p, r.k)
+    assert [(key(r), round(r.logp, 9), r.known) for r in sorted(a.collect(), key=key)] == [(key(r), round(r.logp, 9), r.known) for r in sorted(b.collect(), key=key)]
 
 
 def test_parents_without_children_are_replaced_too(spark):

@@ -1,5 +1,6 @@
 """Ordered operators against sequential restatements of their rules on random lines."""
 
+import math
 import random
 import re
 
@@ -82,8 +83,57 @@ def test_merge(spark):
 def test_chain_and_fold(spark):
     df = spark.createDataFrame([(1, 0, "we see wo-"), (1, 1, "rds. then"), (1, 2, "go on.")], SCHEMA)
     assert [r.text for r in S.document_text(df).orderBy("pos", "sub").collect()] == ["We see words. Then go on."]
-    folded = S.dewrap(df, frozenset({"words"})).orderBy("pos").collect()
-    assert [r.text for r in folded] == ["we see words.", "then go on."]
+
+
+def test_dewrap(spark):
+    rng = random.Random(6)
+    parts = ["gar-", "den.", "den", "words", "общ-", "общес.", "тва.", "тва", "твен", "ответ-", "ответственность", "Ab", "x", "re-", "re.", "verylongpart", "to", "!!", "становлен-", "ния", "||"]
+    data = [(g, p, " ".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 1, 2, 3])))) for g in range(60) for p in range(rng.randint(0, 12))]
+    lexicon, tri = {"garden", "reto", "denwords", "reverylongpart"}, {"^^g": 5, "gar": 3, "den": 900000}
+    data += [(99, 0, "a gar-"), (99, 1, "den of re-"), (99, 2, "to"), (100, 0, "alone re-"), (101, 0, None)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = S.dewrap(df, spark.createDataFrame([(w,) for w in lexicon], "word string"), spark.createDataFrame(list(tri.items()), "tri string, n long"))
+    total = sum(tri.values())
+
+    def penalty(word):
+        if not re.search("[a-z]", word):
+            return 0
+        padded = f"^^{word}$$"
+        m = sum(math.log(max(1e-12, (tri.get(padded[i : i + 3], 0) + 0.01) / (total + 50))) for i in range(len(word) + 2)) / (len(word) + 2)
+        return (m + 9) * 2.5 if m < -9 else 0
+
+    def noise(t):
+        t = re.sub(r"^[|/\\]+|[|/\\]+$", "", (t or "").strip()).strip()
+        return re.sub(r"\s+", " ", re.sub(r"\s*\|\s*\|\s*", " | ", re.sub(r"^[.,;]+", "", t).strip())).strip()
+
+    want = {}
+    for g in {x[0] for x in data}:
+        lines = [t for t in (noise(t) for x, _, t in sorted(data, key=lambda r: r[:2]) if x == g) if t]
+        out, i = [], 0
+        while i < len(lines):
+            line, step = lines[i], 1
+            broke = re.search(r"(\b\w+)[-.]$", line)
+            if broke and i + 1 < len(lines):
+                nxt = lines[i + 1].split()
+                a, b, rest = broke[1].lower(), nxt[0].lower().rstrip(".,;:!?"), " ".join(nxt[1:])
+                head = line[: broke.start()]
+                if (a.startswith("общ") and b.startswith("тва")) or (a.startswith("общес") and b.startswith("твен")):
+                    line, step = head + "общества.", 1 if rest else 2
+                    lines[i + 1] = rest
+                elif a.startswith("ответ") and b.startswith("ответ"):
+                    line, step = head + "ответственность.", 2
+                elif len(nxt) == 1 and len(b) <= 5:
+                    whole = "общества" if (a + b).startswith("общ") else "становления" if (a + b).startswith("становлен") else a + b
+                    line, step = head + whole + ".", 2
+                elif a + b in lexicon or (len(a + b) >= 6 and penalty(a + b) == 0):
+                    line, step = (head + a + b + " " + rest).rstrip(), 2
+            out.append(line)
+            i += step
+        if out:
+            want[g] = out
+    assert collected(got, "pos") == want and want[99] == ["a garden of re-", "to"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
 
 
 def test_intervals_and_clusters(spark):
