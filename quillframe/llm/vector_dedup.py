@@ -149,6 +149,7 @@ class DualJoin:
         self.points = a.points if b is None else np.concatenate([a.points, b.points])
         self.single = self.points.astype(np.float32)
         self.slack = SLACK * self.points.shape[1] + 1e-5
+        self.blur = float(np.sqrt(2 * self.slack)) + 1e-6  # by how much a distance from such a cosine can be off
         self.offset = 0 if b is None else len(a.points)
         self.weight = weight
         self.total = np.concatenate([[0], np.cumsum(weight)])
@@ -165,15 +166,14 @@ class DualJoin:
         if not len(a.points) or not len(b.points):
             return self.count, self.labels.of
         tables = [[t.nodes(level) for level in range(depth)] for t in self.trees]
-        pairs = np.zeros((1, 2), np.int64)  # node numbers at a level
+        # node numbers at a level, and the cosine of their centres in single precision
+        pairs = (np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([self.single[0] @ self.single[self.offset]]))
         for level in range(depth):
             (sa, ea, ra), (sb, eb, rb) = tables[0][level], tables[1][level]
-            if level == 0:
-                pairs = np.array([[0, 0]])
-            pairs = self._settle(pairs, sa, ea, ra, sb + self.offset, eb + self.offset, rb, level == depth - 1)
-            if not len(pairs) or level == depth - 1:
+            pairs = self._settle(*pairs, sa, ea, ra, sb + self.offset, eb + self.offset, rb, level == depth - 1)
+            if not len(pairs[0]) or level == depth - 1:
                 break
-            pairs = self._open(pairs, tables[0][level], tables[0][level + 1], tables[1][level], tables[1][level + 1])
+            pairs = self._open(*pairs, tables[0][level], tables[0][level + 1], tables[1][level], tables[1][level + 1])
         self.count += np.cumsum(self.range)[:-1]
         linked = np.flatnonzero(np.cumsum(self.glue)[:-1] > 0)
         self.labels.join(linked, linked + 1)
@@ -191,32 +191,23 @@ class DualJoin:
         np.add.at(self.count, j, self.weight[i])
         self.labels.join(i, j)
 
-    def _settle(self, pairs, sa, ea, ra, sb, eb, rb, last: bool) -> np.ndarray:
-        """Of pairs of nodes (those from _open already near) the ones that must be opened; all others are decided."""
-        out = []
-        for lo in range(0, len(pairs), self.step):
-            p = pairs[lo : lo + self.step]
-            x, y = p[:, 0], p[:, 1]
-            i, j = sa[x], sb[y]
-            own = self.same & (i == j)
-            ni, nj = ea[x] - i, eb[y] - j
-            points = (ni == 1) & (nj == 1)
-            at = np.flatnonzero(points & ~own)
-            at = at[self._exact(i[at], j[at])]
-            self._link(i[at], j[at])
-            at = np.flatnonzero(~points)
-            d = apart(np.einsum("ij,ij->i", self.points[i[at]], self.points[j[at]]))
-            r = ra[x[at]] + rb[y[at]]
-            near = d <= self.reach + r + 1e-7
-            whole = near & (d + r <= self.reach - 1e-7)
-            self._whole(i[at[whole]], ea[x[at[whole]]], j[at[whole]], eb[y[at[whole]]], own[at[whole]])
-            rest = at[near & ~whole]
-            if last:  # nodes that stay unopened, on the edge: their points one by one
-                for k in rest:
-                    self._points(int(i[k]), int(ea[x[k]]), int(j[k]), int(eb[y[k]]))
-            else:
-                out.append(p[rest])
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    def _settle(self, x, y, cosine, sa, ea, ra, sb, eb, rb, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of nodes the ones that must be opened; all others are decided."""
+        i, j = sa[x], sb[y]
+        own = self.same & (i == j)
+        points = (ea[x] - i == 1) & (eb[y] - j == 1)
+        at = np.flatnonzero(points & ~own & (cosine >= self.cosine - self.slack))
+        at = at[self._exact(i[at], j[at])]
+        self._link(i[at], j[at])
+        at = np.flatnonzero(~points)
+        d, r = apart(cosine[at]), ra[x[at]] + rb[y[at]]
+        whole = d + r <= self.reach - self.blur
+        self._whole(i[at[whole]], ea[x[at[whole]]], j[at[whole]], eb[y[at[whole]]], own[at[whole]])
+        rest = at[~whole & (d <= self.reach + r + self.blur)]
+        if last:  # nodes that stay unopened, on the edge: their points one by one
+            for k in rest:
+                self._points(int(i[k]), int(ea[x[k]]), int(j[k]), int(eb[y[k]]))
+        return x[rest], y[rest]
 
     def _whole(self, i, ei, j, ej, own) -> None:
         """All points of two nodes link."""
@@ -242,16 +233,15 @@ class DualJoin:
             ok = self._exact(x, y)
             self._link(x[ok], y[ok])
 
-    def _open(self, pairs, above_a, below_a, above_b, below_b) -> np.ndarray:
-        """Pairs of the nodes' children whose balls come near enough. Large products go by matrices; pairs of points in them are decided at once."""
+    def _open(self, x, y, above_a, below_a, above_b, below_b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of the nodes' children whose balls come near enough, with their cosines. Large products go by matrices; pairs of points in them are decided at once."""
         first = [np.searchsorted(below[0], above[0]) for above, below in ((above_a, below_a), (above_b, below_b))]
         after = [np.append(f[1:], len(below[0])) for f, below in zip(first, (below_a, below_b), strict=True)]
-        x, y = pairs[:, 0], pairs[:, 1]
         na, nb = after[0][x] - first[0][x], after[1][y] - first[1][y]
         small = na * nb <= 4096
         out = []
         at = np.flatnonzero(small)
-        for part in np.array_split(at, int((na[at] * nb[at]).sum()) // self.step + 1):
+        for part in np.array_split(at, int((na[at] * nb[at]).sum()) // self.step + 1):  # one at least, so there is a result
             size = na[part] * nb[part]
             which = np.repeat(np.arange(len(part)), size)
             step = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
@@ -261,16 +251,16 @@ class DualJoin:
                 a, b = a[once], b[once]
             cosine = np.einsum("ij,ij->i", self.single[below_a[0][a]], self.single[below_b[0][b] + self.offset])
             near = cosine >= self._bound(below_a[2][a] + below_b[2][b])
-            out.append(np.stack([a[near], b[near]], axis=1))
+            out.append((a[near], b[near], cosine[near]))
         for k in np.flatnonzero(~small):
             out += self._product(first[0][x[k]], after[0][x[k]], first[1][y[k]], after[1][y[k]], below_a, below_b, self.same and x[k] == y[k])
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     def _bound(self, radii: np.ndarray) -> np.ndarray:
         """The cosine under which balls of these radii (summed) hold no link."""
         return 1 - np.minimum(self.reach + radii, 2.0) ** 2 / 2 - self.slack
 
-    def _product(self, a: int, ea: int, b: int, eb: int, below_a, below_b, own: bool) -> list[np.ndarray]:
+    def _product(self, a: int, ea: int, b: int, eb: int, below_a, below_b, own: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         left, right = np.arange(a, ea), np.arange(b, eb)
         out = []
         # points, whose radius is 0, by one bound; the others by theirs
@@ -285,20 +275,21 @@ class DualJoin:
                     r = rows[k : k + ROWS]
                     cosine = self.single[below_a[0][r]] @ c.T
                     bound = self._bound(np.float32(0)) if one_a and one_b else self._bound(below_a[2][r][:, None].astype(np.float32) + below_b[2][columns].astype(np.float32))
-                    i, j = np.nonzero(cosine >= bound)
-                    sure = cosine[i, j] >= self.cosine + self.slack
-                    i, j = r[i], columns[j]
+                    at = np.flatnonzero(cosine >= bound)
+                    near = cosine.ravel()[at]
+                    i, j = r[at // len(columns)], columns[at % len(columns)]
                     if own:
                         once = i <= j
-                        i, j, sure = i[once], j[once], sure[once]
+                        i, j, near = i[once], j[once], near[once]
                     if one_a and one_b:
                         i, j = below_a[0][i], below_b[0][j] + self.offset
+                        sure = near >= self.cosine + self.slack
                         edge = np.flatnonzero(~sure)
                         sure[edge] = self._exact(i[edge], j[edge])
                         sure &= i != j
                         self._link(i[sure], j[sure])
                     else:
-                        out.append(np.stack([i, j], axis=1))
+                        out.append((i, j, near))
         return out
 
 
