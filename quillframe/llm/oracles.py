@@ -27,20 +27,26 @@ def _seats(parties: str, within: str, key: str, votes: str, seats: str, name: st
 {out} AS (SELECT p.*, COALESCE(f.{name}, 0) AS {name} FROM {parties} p LEFT JOIN {out}_f f ON p.{within} = f.{within} AND p.{key} = f.{key})"""
 
 
-SOURCE_MIXING = f"""WITH d AS (SELECT doc_id, COALESCE('s' || source, 't') AS s, CAST(len({_WORDS}) AS BIGINT) AS size, md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+def source_mixing(digits: int = 2) -> str:
+    return f"""WITH d AS (SELECT doc_id, COALESCE('s' || source, 't') AS s, CAST(len({_WORDS}) AS BIGINT) AS size, md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
 a AS (SELECT s, SUM(size)::BIGINT AS source_size FROM d GROUP BY s),
 b AS (SELECT *, {_WEIGHT} AS w, source_size * 2 AS cap, (SUM(source_size) OVER ())::BIGINT AS total FROM a),
 c AS (SELECT *, (total * 150 / 100.0::DOUBLE - COALESCE(SUM(cap) OVER o, 0)) / (SUM(w) OVER () - COALESCE(SUM(w) OVER o, 0)) AS level FROM b WINDOW o AS (ORDER BY cap / w::DOUBLE, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-e AS (SELECT s, source_size, least(cap::DOUBLE, w * COALESCE((SELECT arg_min(level, (cap / w::DOUBLE, s)) FROM c WHERE level * w <= cap), 0.0)) AS target, greatest(1, total // 1000000) AS block, total FROM c),
-src AS (SELECT *, 0 AS everything, CAST(round(total * 150 / 100.0::DOUBLE / block) AS BIGINT) AS n_blocks FROM e),
+e AS (SELECT s, source_size, least(cap::DOUBLE, w * COALESCE((SELECT arg_min(level, (cap / w::DOUBLE, s)) FROM c WHERE level * w <= cap), 0.0)) AS target, total FROM c),
+z AS (SELECT s, substring(h, 1, {digits}) AS shard, SUM(size)::BIGINT AS shard_size FROM d GROUP BY s, shard),
+y AS (SELECT z.*, e.source_size, e.target, e.target * shard_size / greatest(e.source_size, 1) AS votes FROM z JOIN e ON z.s = e.s),
+k AS (SELECT greatest(1, least(1024, floor(COALESCE(MIN(votes) FILTER (votes > 0), 0) / 100)))::BIGINT AS block FROM y),
+src AS (SELECT e.*, block, 0 AS everything, CAST(round(total * 150 / 100.0::DOUBLE / block) AS BIGINT) AS n_blocks FROM e, k),
 {_seats("src", "everything", "s", "target", "n_blocks", "quota", "sq")},
-z AS (SELECT s, substring(h, 1, 2) AS shard, SUM(size)::BIGINT AS shard_size FROM d GROUP BY s, shard),
-sh AS (SELECT z.*, sq.source_size, sq.target, sq.block, sq.quota, sq.target * shard_size / greatest(sq.source_size, 1) AS votes FROM z JOIN sq ON z.s = sq.s),
+sh AS (SELECT y.*, sq.block, sq.quota FROM y JOIN sq ON y.s = sq.s),
 {_seats("sh", "s", "shard", "votes", "quota", "shard_quota", "ss")},
-y AS (SELECT *, least(shard_quota * block, shard_size * 2)::BIGINT AS words FROM ss),
-l AS (SELECT *, COALESCE(SUM(size) OVER (PARTITION BY s, substring(h, 1, 2) ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d)
-SELECT doc_id, size, source_size, target, CAST(words // greatest(shard_size, 1) * size + greatest(0, least(size, words % greatest(shard_size, 1) - before)) AS BIGINT) AS taken
-FROM l JOIN y ON l.s = y.s AND substring(l.h, 1, 2) = y.shard"""
+x AS (SELECT *, least(shard_quota * block, shard_size * 2)::BIGINT AS words, CAST('0x' || substring(md5('mix:' || s || ':' || shard), 1, 8) AS BIGINT) % greatest(1, ceil(shard_size / block::DOUBLE)::BIGINT) * block AS start, greatest(shard_size, 1) AS whole FROM ss),
+l AS (SELECT *, COALESCE(SUM(size) OVER (PARTITION BY s, substring(h, 1, {digits}) ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d)
+SELECT doc_id, size, source_size, target, block, CAST(words // whole * size + greatest(0, least(before + size, start + words % whole, whole) - greatest(before, start)) + greatest(0, least(before + size, start + words % whole - whole) - before) AS BIGINT) AS taken
+FROM l JOIN x ON l.s = x.s AND substring(l.h, 1, {digits}) = x.shard"""
+
+
+SOURCE_MIXING = source_mixing()
 
 QUALITY_RULES = f"""WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, {_WORDS} AS w, list_filter(string_split(COALESCE(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
 g AS (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, i, array_to_string(w[CAST(i AS INTEGER):CAST(i + 7 AS INTEGER)], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8))),

@@ -84,10 +84,6 @@ def test_counts_of_words_and_symbols(spark, text):
     assert got.w == brute.WORD.findall(text) and got.s == sum(x in "#*$%&|<>" for x in text) and got.c == sum(map(len, got.w))
 
 
-def test_shards_follow_the_rows():
-    assert [mixing.shard_digits(n) for n in (0, 256_000_000, 256_000_001, 10**10)] == [2, 2, 3, 4]
-
-
 def identifiers(rng, words, n):
     """Names made of words, as code and paths have them."""
     out = []

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
-from quillframe.llm import decontaminate, fm_index, jaccard_join, kernels, line_dedup, mixing, packed, quality_model, quality_rules, secrets_scan, substring_dedup, suffix_dedup, token_count  # noqa: E402
+from quillframe.llm import decontaminate, fm_index, jaccard_join, kernels, line_dedup, mixing, oracles, packed, quality_model, quality_rules, secrets_scan, substring_dedup, suffix_dedup, token_count  # noqa: E402
 
 #: Extra columns bear names that the operators use inside.
 SCHEMA = "doc_id long, text string, source string, _id string, _sum int, runs string, n_words int, n_chars long"
@@ -348,8 +348,11 @@ def test_seats_are_highest_quotients(spark):
     rng = random.Random(6)
     votes = [rng.randint(1, 1000) for _ in range(40)] + [9000, 5, 5, 5]
     n = 500
-    df = spark.createDataFrame([(0, f"p{k:02}", float(v), n) for k, v in enumerate(votes)], "g int, k string, v double, n int")
-    got = {r.k: r.seats for r in mixing.apportion(df, ["g"], "k", "v", "n", mixing.F.lit(sum(votes) / n), "seats").collect()}
+    block = sum(votes) / n
+    own = spark.createDataFrame([(f"p{k:02}", float(v), n, block) for k, v in enumerate(votes)], "_s string, target double, n_blocks int, block double").repartition(7)
+    got = {r._s: r.quota for r in mixing.quotas(own).collect()}
+    shards = own.selectExpr("'one' as _s", "_s as _shard", "target as votes", "n_blocks as quota", "block")
+    assert {r._shard: r.shard_quota for r in mixing.shard_quotas(shards).collect()} == got
     seats = [0] * len(votes)
     for _ in range(n):
         best = max(range(len(votes)), key=lambda k: (votes[k] / (2 * seats[k] + 1), -k))
@@ -357,6 +360,35 @@ def test_seats_are_highest_quotients(spark):
     assert [got[f"p{k:02}"] for k in range(len(votes))] == seats
 
 
+def test_rank_and_sums_over_partitions(spark):
+    F = mixing.F
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("k"), (F.col("id") % 13).alias("v")).repartition(9)
+    out = mixing.ranked(df, [F.desc("k")], "test", ("v",)).toPandas().sort_values("_n")
+    assert out["_n"].tolist() == list(range(1, 5001)) and out["k"].tolist() == list(range(4999, -1, -1))
+    assert out["_before_v"].tolist() == [0, *out["v"].cumsum().tolist()[:-1]]
+
+
+@pytest.mark.parametrize("digits", [0, 1])
+def test_mixing_of_many_sources_and_large_blocks(spark, tmp_path, digits):
+    """Some 20 M words of 1,000 sources, compared with the SQL; blocks of many words."""
+    import duckdb
+
+    F = mixing.F
+    n = 300 + (F.col("id") * 7919) % 900
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), n.cast("int")).alias("text"), F.concat(F.lit("s"), (F.col("id") % 1000).cast("string")).alias("source"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = mixing.mix(spark.read.parquet(str(tmp_path / "documents.parquet")), digits).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(oracles.source_mixing(digits)).fetchdf()
+    names = sorted(out.columns)
+    assert sorted(map(tuple, out[names].values.tolist())) == sorted(map(tuple, want[names].values.tolist()))
+    assert out["block"].min() == out["block"].max() and (out["block"].max() > 50 or digits)
+    assert (out["taken"] <= 2 * out["size"]).all()
+    by = out.assign(source=out.doc_id % 1000).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((by.taken - by.target).abs() <= 0.02 * by.target).all()
+
+
 def test_kernels():
     import pyarrow as pa
 
