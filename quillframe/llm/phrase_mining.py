@@ -35,7 +35,7 @@ TOP = 2000
 #: Bits of the hash that name a counter, and of those that name a bit of the map.
 COUNTER, MAP = 32, 27
 #: Bytes of text of a shard. A longer text is cut between pieces.
-SHARD = 12 << 20
+SHARD = 5 << 20
 SALTS = 64
 UNKNOWN = "und"
 
