@@ -108,8 +108,9 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Shard, list[str
 
 
 def _map(docs: DataFrame, least: int) -> np.ndarray:
-    """The bitmap of counters that reach `least`: 2**MAP bits, whatever the input's size."""
-    n_parts = buckets(docs, 24 << 20)
+    """The bitmap of counters that reach `least` (or 255, if that is less): 2**MAP bits, whatever the input's size."""
+    least = min(least, 255)  # a shard's counts go as bytes
+    n_parts = buckets(docs, 8 << 20)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = P.Numbers()
@@ -125,13 +126,15 @@ def _map(docs: DataFrame, least: int) -> np.ndarray:
     def bucket(t: pa.Table) -> pa.Table:
         parts = [P.unpack(b.as_buffer().to_pybytes(), np.uint32, np.uint8) for b in t.column("blob")]
         key, count = (np.concatenate([p[k] for p in parts]) for k in range(2))
-        order = np.argsort(key, kind="stable")
-        b = K.group_bounds(key[order])
-        full = key[order][b[:-1]][np.add.reduceat(count[order].astype(np.int64), b[:-1]) >= least]
-        bits = np.unique(full >> np.uint32(COUNTER - MAP))
+        both = key.astype(np.uint64) << np.uint64(8) | count
+        del parts, key, count
+        both.sort()
+        b = K.group_bounds(both >> np.uint64(8))
+        full = both[b[:-1]][np.add.reduceat((both & np.uint64(255)).astype(np.int64), b[:-1]) >= least]
+        bits = np.unique(full >> np.uint64(8 + COUNTER - MAP))
         first = int(bits[0]) // 8 if len(bits) else 0
         own = np.zeros(8 * (int(bits[-1]) // 8 + 1 - first) if len(bits) else 0, bool)
-        own[bits - 8 * first] = True
+        own[bits.astype(np.int64) - 8 * first] = True
         return pa.table({"first": pa.array([first], pa.int64()), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
 
     out = np.zeros(1 << (MAP - 3), np.uint8)
