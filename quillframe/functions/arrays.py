@@ -439,23 +439,75 @@ def browser_ink(gray: np.ndarray, block: int = 40, below: float = 16.0, ruled: f
     return np.where(ink, 0, 255).astype(np.uint8)
 
 
+_STEP, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
+
+
+def _follow(prefix: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Number of each prefix with a symbol behind it, from the prefix's own number: 64 bits of its content."""
+    x = (prefix ^ (prefix >> np.uint64(29))) * _STEP + (symbol.astype(np.uint64) + np.uint64(1)) * _SEED
+    return x ^ (x >> np.uint64(32))
+
+
+def ctc_beams(logp: list[np.ndarray], blank: int = 0, width: int = 8, least: float = 1e-6) -> list[tuple[list[int], float]]:
+    """Best prefix of each log-probability table (steps x classes) by prefix beam search, and the mean of its symbols' best probabilities over all steps.
+
+    All tables go on step by step together: their beams are one array of lines x width. A step's candidates are the prefixes as they are
+    and each with each symbol; one of these that is a prefix already is added to it. Of equal ones the prefix before, then the smaller symbol, stays."""
+    n, classes = len(logp), max((x.shape[1] for x in logp if x.size), default=1)
+    steps = max((len(x) for x in logp), default=0)
+    p = np.zeros((n, steps, classes))
+    for i, x in enumerate(logp):
+        if x.size:
+            p[i, : len(x), : x.shape[1]] = np.exp(x)
+    length = np.array([len(x) for x in logp], int)
+    number, parent, last = np.zeros((n, width), np.uint64), np.zeros((n, width), np.uint64), np.full((n, width), -1)
+    b, nb = np.zeros((n, width)), np.zeros((n, width))
+    b[:, 0] = 1.0
+    alive = np.zeros((n, width), bool)
+    alive[:, 0] = True
+    text, size = np.zeros((n, width, max(steps, 1)), np.int32), np.zeros((n, width), int)
+    for t in range(steps):
+        at = np.flatnonzero(length > t)
+        q, w = p[at, t], np.arange(width)
+        own = np.where(last[at] >= 0, np.take_along_axis(q, np.maximum(last[at], 0), axis=1), 0.0)
+        own[own < least] = 0.0
+        total = b[at] + nb[at]
+        same_b, same_nb = total * q[:, [blank]], nb[at] * own
+        symbols = np.arange(classes)
+        repeated = symbols[None, :, None] == last[at][:, None, :]
+        more = np.where(repeated, b[at][:, None, :], total[:, None, :]) * q[:, :, None]  # line, symbol, prefix
+        open_ = (alive[at][:, None, :] & (q >= least)[:, :, None]) & (symbols != blank)[None, :, None]
+        # prefix j is prefix k with j's last symbol behind it
+        child = (parent[at][:, :, None] == number[at][:, None, :]) & alive[at][:, :, None] & alive[at][:, None, :] & (last[at] >= 0)[:, :, None]
+        line, j, k = np.nonzero(child)
+        c = last[at][line, j]
+        known = open_[line, c, k]
+        same_nb[line[known], j[known]] += more[line[known], c[known], k[known]]
+        open_[line, c, k] = False
+        score = np.concatenate([np.where(alive[at], same_b + same_nb, -1.0), np.where(open_, more, -1.0).reshape(len(at), -1)], axis=1)
+        best = np.argsort(-score, axis=1, kind="stable")[:, :width]
+        stays, k = best < width, np.where(best < width, best, (best - width) % width)
+        c = np.where(stays, -1, (best - width) // width)
+        rows = np.arange(len(at))[:, None]
+        kept = np.take_along_axis(score, best, axis=1) >= 0
+        new_nb = np.where(stays, same_nb[rows, k], more[rows, np.maximum(c, 0), k])
+        new_b = np.where(stays, same_b[rows, k], 0.0)
+        old, old_size = number[at][rows, k], size[at][rows, k]
+        text[at] = text[at][rows, k]
+        fresh = np.nonzero(~stays & kept)
+        text[at[fresh[0]], fresh[1], old_size[fresh]] = c[fresh]
+        size[at] = old_size + (~stays & kept)
+        parent[at] = np.where(stays, parent[at][rows, k], old)
+        number[at] = np.where(stays, old, _follow(old, c))
+        last[at] = np.where(stays, last[at][rows, k], c)
+        b[at], nb[at], alive[at] = np.where(kept, new_b, 0.0), np.where(kept, new_nb, 0.0), kept
+    out = []
+    for i in range(n):
+        best = text[i, 0, : size[i, 0]].tolist()
+        out.append((best, float(np.mean([p[i, :, c].max() for c in best])) if best else 0.0))
+    return out
+
+
 def ctc_beam(logp: np.ndarray, blank: int = 0, width: int = 8, least: float = 1e-6) -> tuple[list[int], float]:
-    """Best prefix of a log-probability table by prefix beam search, and the mean of its symbols' best probabilities over all steps."""
-    p = np.exp(logp)
-    beams: dict[tuple[int, ...], tuple[float, float]] = {(): (1.0, 0.0)}
-    for step in p:
-        new: dict[tuple[int, ...], list[float]] = {}
-        for prefix, (b, nb) in beams.items():
-            new.setdefault(prefix, [0.0, 0.0])[0] += (b + nb) * step[blank]
-            for c in np.flatnonzero(step >= least):
-                c = int(c)
-                if c == blank:
-                    continue
-                if prefix and prefix[-1] == c:
-                    new.setdefault(prefix, [0.0, 0.0])[1] += nb * step[c]
-                    new.setdefault((*prefix, c), [0.0, 0.0])[1] += b * step[c]
-                else:
-                    new.setdefault((*prefix, c), [0.0, 0.0])[1] += (b + nb) * step[c]
-        beams = {k: (v[0], v[1]) for k, v in sorted(new.items(), key=lambda kv: -(kv[1][0] + kv[1][1]))[:width]}
-    best = next(iter(beams))
-    return list(best), float(np.mean([p[:, c].max() for c in best])) if best else 0.0
+    """ctc_beams() of one table."""
+    return ctc_beams([logp], blank, width, least)[0]

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.functions.arrays import ctc_beam
+from quillframe.functions.arrays import ctc_beams
 
 
 def ctc_greedy(lines: DataFrame, key: str, blank: int = 0, unknown: int = 1) -> DataFrame:
@@ -28,12 +28,15 @@ def ctc_greedy(lines: DataFrame, key: str, blank: int = 0, unknown: int = 1) ->
     return d.select(key, F.transform("o", lambda x: x["c"]).alias("ids"), F.when(F.size("o") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / F.size("o")))).otherwise(0.0).alias("confidence"))
 
 
-def ctc_beam_search(lines: DataFrame, key: str, width: int = 8) -> DataFrame:
-    """key, ids, confidence from log-probabilities p."""
+def ctc_beam_search(lines: DataFrame, key: str, width: int = 8, lines_at_once: int = 256) -> DataFrame:
+    """key, ids, confidence from log-probabilities p (array of steps of classes). Null or empty tables give no ids. Some lines' beams go on together."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [ctc_beam(np.array([list(s) for s in p]), width=width) for p in pdf["p"]]
-            yield pd.DataFrame({key: pdf[key], "ids": [o[0] for o in out], "confidence": [o[1] for o in out]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, lines_at_once):
+                t = whole.slice(at, lines_at_once)
+                tables = [np.array(x, float) if x else np.zeros((0, 1)) for x in t.column("p").to_pylist()]
+                out = ctc_beams(tables, width=width)
+                yield pa.RecordBatch.from_arrays([t.column(key), pa.array([o[0] for o in out], pa.list_(pa.int32())), pa.array([o[1] for o in out], pa.float64())], [key, "ids", "confidence"])
 
-    return lines.select(key, "p").mapInPandas(run, f"{key} {dict(lines.dtypes)[key]}, ids array<int>, confidence double")
+    return lines.select(key, "p").mapInArrow(run, f"{key} {dict(lines.dtypes)[key]}, ids array<int>, confidence double")

@@ -14,6 +14,8 @@ from quillframe.functions.text import let, strip
 ENDINGS = {"MARKDOWN": "md", "TXT": "txt", "LATEX": "tex", "JSON": "json"}
 HEAD, FOOT = "\\documentclass{article}\n\\usepackage[utf8]{inputenc}\n\\usepackage{amsmath,amssymb}\n\\begin{document}\n", "\n\\end{document}\n"
 NO_TEXT = "*(no text was recognised)*"
+#: What stands for a document that has no lines at all.
+NO_LINES = "*(the notes are empty)*"
 
 
 @dataclass(frozen=True)
@@ -61,8 +63,9 @@ def table_rows(rows: Column, comparison: Comparison) -> Column:
     return let(F.transform(rows, parted), lambda p: let(F.struct(side(p, "l").alias("l"), side(p, "r").alias("r")), lined))
 
 
-def markdown(lines: DataFrame, title: str, domain: str = "general", group: str = "doc_id", order: str = "pos", comparison: Comparison | None = None) -> DataFrame:
-    """group, content: title, subject, then each line as markdown_line() has it; from a comparison's first line on, a table. Documents of blank lines say that they have no text."""
+def markdown(lines: DataFrame, title: str, domain: str = "general", group: str = "doc_id", order: str = "pos", comparison: Comparison | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """group, content: title, subject, then each line as markdown_line() has it; from a comparison's first line on, a table. Documents of blank lines say that they have no text,
+    and those of `documents` (group; one row each) without any line that they are empty."""
     s = strip(F.col("text"))
     one = F.struct(F.col(order).alias("o"), s.alias("t"), markdown_line(F.col("text")).alias("m"))
     d = lines.groupBy(group).agg(F.sort_array(F.collect_list(F.when(s != "", one))).alias("x"))
@@ -74,7 +77,10 @@ def markdown(lines: DataFrame, title: str, domain: str = "general", group: str =
         rows = table_rows(F.transform(F.slice("x", F.col("at") + 1, F.size("x")), lambda x: x["t"]), comparison)
         texts = F.when(F.col("at") > 0, F.concat(F.slice(texts, F.lit(1), F.col("at") - 1), head, rows)).otherwise(texts)
     content = F.concat(F.lit(f"# {title}\n\n> **Subject**: *{domain}*\n\n"), F.array_join(texts, "\n"))
-    return d.select(group, F.when(F.size("x") == 0, F.lit(f"# {title}\n\n{NO_TEXT}\n")).otherwise(F.concat(strip(content), F.lit("\n"))).alias("content"))
+    d = d.select(group, F.when(F.size("x") == 0, F.lit(f"# {title}\n\n{NO_TEXT}\n")).otherwise(F.concat(strip(content), F.lit("\n"))).alias("content"))
+    if documents is None:
+        return d
+    return documents.select(group).join(d, group, "left").select(group, F.coalesce("content", F.lit(f"# {title}\n\n{NO_LINES}\n")).alias("content"))
 
 
 def latex(lines: DataFrame, title: str, group: str = "doc_id", order: str = "pos") -> DataFrame:

@@ -409,7 +409,26 @@ def word_logprob(spark: SparkSession, d: str) -> DataFrame:
     return lm.word_log_prob(lm.contexts(x, ["doc_id", "pos"])).select("doc_id", "pos", "k", F.round("logp", 6).alias("logp"))
 
 
-@query()
+_CONV = """c AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s-]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w FROM conversations),
+tok AS (SELECT conv_id AS doc_id, turn AS pos, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS k FROM c)"""
+
+
+@query(
+    f"""WITH {_CONV}, {_TRI}, {_COUNTS}, d AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS pw, regexp_extract(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '(\\S+)\\s*$', 1) AS tail FROM c),
+e AS (SELECT conv_id, turn, w, COALESCE(pw, []) AS pw, CASE WHEN regexp_matches(tail, '[-.]$') THEN regexp_replace(lower(tail), '[^\\p{{L}}\\p{{N}}]', '', 'g') END AS stem FROM d),
+f AS (SELECT *, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS k FROM e),
+x AS (SELECT conv_id, turn, k, word, CASE WHEN k = 0 AND stem <> '' THEN stem || word END AS whole, CASE WHEN k = 0 THEN pw[-1] ELSE w[k] END AS p1, CASE WHEN k = 0 THEN CASE WHEN len(pw) >= 2 THEN pw[-2] END WHEN k >= 2 THEN w[k - 1] END AS p2 FROM f),
+q AS (SELECT SUM(n) AS N, greatest(1000, COUNT(*)) AS V FROM uni),
+y AS (SELECT x.*, u.n > 0 AS known, (COALESCE(u.n, 0) + 0.1::DOUBLE) / (q.N + 0.1::DOUBLE * q.V) AS u, u1.n AS c1, b.n AS c12, b2.n AS c21, t.n AS c123, wu.n IS NOT NULL AS wk FROM x CROSS JOIN q LEFT JOIN uni u ON x.word = u.w1 LEFT JOIN uni u1 ON x.p1 = u1.w1
+ LEFT JOIN bi b ON x.p1 = b.w1 AND x.word = b.w2 LEFT JOIN bi b2 ON x.p2 = b2.w1 AND x.p1 = b2.w2 LEFT JOIN tr t ON x.p2 = t.w1 AND x.p1 = t.w2 AND x.word = t.w3 LEFT JOIN uni wu ON x.whole = wu.w1),
+z AS (SELECT *, CASE WHEN c1 > 0 THEN 0.7::DOUBLE * COALESCE(c12, 0) / c1 + 0.3::DOUBLE * u ELSE u END AS b FROM y),
+ud AS (SELECT DISTINCT word FROM (SELECT word FROM x UNION ALL SELECT whole FROM x WHERE whole IS NOT NULL)), g AS (SELECT word, substring('^^' || word || '$$', CAST(unnest(range(1, length(word) + 3)) AS INTEGER), 3) AS tri FROM ud),
+m AS (SELECT word, avg(ln(greatest(1e-12, (COALESCE(n, 0) + 0.01) / ((SELECT SUM(n) FROM tri) + 50.0)))) AS m FROM g LEFT JOIN tri USING (tri) GROUP BY word),
+pen AS (SELECT word, CASE WHEN length(word) < 3 OR NOT regexp_matches(word, '[a-z]') THEN 0.0 WHEN m < -9 THEN (m + 9) * 2.5 ELSE 0.0 END::DOUBLE AS pen FROM m),
+s AS (SELECT z.conv_id, z.turn, SUM(ln(greatest(1e-12, CASE WHEN c21 > 0 THEN 0.6::DOUBLE * COALESCE(c123, 0) / c21 + 0.4::DOUBLE * b ELSE b END)) + COALESCE(a.pen, 0) + CASE WHEN known THEN 1.2::DOUBLE ELSE 0.0 END + CASE WHEN wk OR (length(whole) >= 5 AND v.pen = 0) THEN 3.5::DOUBLE ELSE 0.0 END) AS s
+ FROM z LEFT JOIN pen a ON z.word = a.word LEFT JOIN pen v ON z.whole = v.word GROUP BY z.conv_id, z.turn)
+SELECT c.conv_id, c.turn, round(CASE WHEN trim(c.text) = '' THEN -10.0::DOUBLE ELSE COALESCE(s.s, -5.0::DOUBLE) END, 6) AS score FROM c LEFT JOIN s ON c.conv_id = s.conv_id AND c.turn = s.turn"""
+)
 def sequence_score(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
     t = lm.tokens(c, ["conv_id", "turn"])
@@ -682,6 +701,22 @@ def profile_penalties(spark: SparkSession, d: str) -> DataFrame:
     return profiles.penalties(_event_pairs(spark, d)).withColumn("cost", F.round("cost", 6))
 
 
+@query(
+    """WITH RECURSIVE z AS (SELECT a.p_brand AS user_id, a.p_partkey AS at, lower(a.p_name) AS a, lower(b.p_name) AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1), p AS (SELECT DISTINCT a, b FROM z WHERE a <> b),
+r AS (SELECT a, b, [{'a': a, 'b': b}] AS todo, CAST([] AS STRUCT(a VARCHAR, b VARCHAR)[]) AS subs FROM p UNION ALL SELECT a, b, CASE WHEN c IS NULL THEN todo[2:] ELSE list_concat(todo[2:], [{'a': substring(x, 1, c.i - 1), 'b': substring(y, 1, strpos(y, substring(x, c.i, c.n)) - 1)},
+ {'a': substring(x, c.i + c.n), 'b': substring(y, strpos(y, substring(x, c.i, c.n)) + c.n)}]) END, CASE WHEN c IS NULL AND length(x) = 1 AND length(y) = 1 THEN list_append(subs, {'a': x, 'b': y}) ELSE subs END FROM (SELECT *, todo[1].a AS x, todo[1].b AS y,
+ list_filter(flatten(list_transform(range(length(todo[1].a), 0, -1), lambda n: list_transform(range(1, length(todo[1].a) - n + 2), lambda i: {'n': n, 'i': i}))), lambda c: contains(todo[1].b, substring(todo[1].a, c.i, c.n)))[1] AS c FROM r WHERE len(todo) > 0)),
+s AS (SELECT user_id, x.a AS sa, x.b AS sb FROM (SELECT user_id, unnest(subs) AS x FROM z JOIN r ON z.a = r.a AND z.b = r.b WHERE len(todo) = 0)), n AS (SELECT user_id, COUNT(DISTINCT (sa, sb)) AS n FROM s GROUP BY user_id)
+SELECT z.user_id, COUNT(*) FILTER (a <> b) AS total_corrections, COUNT(DISTINCT CASE WHEN a <> b AND regexp_matches(b, '^\\p{L}{3,}$') THEN b END) AS vocabulary_size, COALESCE(MAX(n.n), 0) AS n_pairs FROM z LEFT JOIN n ON z.user_id = n.user_id GROUP BY z.user_id"""
+)
+def name_profile_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Substitutions learned from names that follow each other, as if one corrected the other; a brand is a user."""
+    p = table(spark, d, "part")
+    nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.upper("p_name").alias("corrected"))
+    fixes = p.select(F.col("p_brand").alias("user_id"), "p_partkey", F.col("p_name").alias("original")).join(nxt, "p_partkey").withColumnRenamed("p_partkey", "at")
+    return profiles.stats(fixes, profiles.pair_counts(profiles.substitutions(fixes)))
+
+
 @query()
 def profile_stats(spark: SparkSession, d: str) -> DataFrame:
     """Substitutions learned from consecutive turns, as if one corrected the other."""
@@ -799,6 +834,28 @@ def markdown_export(spark: SparkSession, d: str) -> DataFrame:
     return exports.export(_formula_lines(spark, d), "markdown", "Notes")
 
 
+#: Our own comparison: the line that starts it, the columns, and a word of the left one.
+COMPARED = exports.Comparison("^(chapter|1\\. )", "First", "Second", (" on", "de "))
+_LEFT_WORD = " OR ".join(f"contains(lower(s), '{w}')" for w in COMPARED.left_words)
+
+
+@query(
+    f"""WITH {_MARKDOWN.replace(f"({_FORMULA_LINES})", f"(SELECT doc_id, pos, CASE WHEN pos % 11 = 6 THEN 'left | ' || text ELSE text END AS text FROM ({_FORMULA_LINES}))")}, st AS (SELECT doc_id, MIN(pos) AS first FROM fs WHERE s <> '' AND regexp_matches(lower(s), '{COMPARED.start}') GROUP BY doc_id),
+rw AS (SELECT doc_id, pos, contains(s, ' | ') AS two, regexp_split_to_array(s, '\\s*\\|\\s*') AS cut, {_LEFT_WORD} AS lw, s FROM fs JOIN st USING (doc_id) WHERE pos > first AND s <> ''),
+sd AS (SELECT doc_id, pos, {STRIP.format("COALESCE(CASE WHEN two THEN cut[1] WHEN lw THEN s END, '')")} AS l, {STRIP.format("COALESCE(CASE WHEN two THEN cut[2] WHEN NOT lw THEN s END, '')")} AS r FROM rw),
+lf AS (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM sd WHERE l <> ''), rt AS (SELECT doc_id, r, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM sd WHERE r <> ''),
+tb AS (SELECT doc_id, string_agg('| ' || COALESCE(l, '') || ' | ' || COALESCE(r, '') || ' |', chr(10) ORDER BY k) AS t FROM lf FULL JOIN rt USING (doc_id, k) GROUP BY doc_id),
+hd AS (SELECT md.doc_id, string_agg(m, chr(10) ORDER BY pos) FILTER (first IS NULL OR pos < first) AS t, COUNT(m) AS n FROM md LEFT JOIN st USING (doc_id) GROUP BY md.doc_id)
+SELECT doc_id, CASE WHEN hd.n = 0 THEN '# Notes' || chr(10) || chr(10) || '{exports.NO_TEXT}' || chr(10) ELSE {STRIP.format("'# Notes' || chr(10) || chr(10) || '> **Subject**: *general*' || chr(10) || chr(10) || concat_ws(chr(10), hd.t, CASE WHEN first IS NOT NULL THEN chr(10) || '### " + COMPARED.left + " / " + COMPARED.right + "' || chr(10) || chr(10) || '| " + COMPARED.left + " | " + COMPARED.right + " |' || chr(10) || '| :--- | :--- |' END, tb.t)")} || chr(10) END AS content
+FROM hd LEFT JOIN st USING (doc_id) LEFT JOIN tb USING (doc_id)"""
+)
+def comparison_export(spark: SparkSession, d: str) -> DataFrame:
+    """Markdown whose lines become a two-column table from the first line on that starts a comparison."""
+    lines_ = _formula_lines(spark, d)
+    lines_ = lines_.withColumn("text", F.when(F.col("pos") % 11 == 6, F.concat(F.lit("left | "), "text")).otherwise(F.col("text")))
+    return exports.markdown(lines_, "Notes", comparison=COMPARED)
+
+
 @query(f"WITH {_MARKDOWN} SELECT doc_id, 'LATEX' AS export_format, '{exports.HEAD}' || content || '{exports.FOOT}' AS content FROM body")
 def latex_export(spark: SparkSession, d: str) -> DataFrame:
     return exports.export(_formula_lines(spark, d), "latex", "Notes")
@@ -857,10 +914,19 @@ def ctc_greedy(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE l AS (SELECT vec_id, CAST(len(embedding) // 8 AS INTEGER) AS steps, list_transform(embedding, lambda x: exp(-abs(CAST(x AS DOUBLE)) - 0.1::DOUBLE)) AS p FROM embeddings),
+r(vec_id, t, ids, b, nb, k) AS (SELECT vec_id, 0, CAST([] AS INTEGER[]), 1.0::DOUBLE, 0.0::DOUBLE, 0 FROM l UNION ALL
+ SELECT vec_id, t + 1, ids, b, nb, CAST(n - 1 AS INTEGER) FROM (SELECT vec_id, t, ids, SUM(b) AS b, SUM(nb) AS nb, row_number() OVER (PARTITION BY vec_id ORDER BY SUM(b) + SUM(nb) DESC, MIN(o)) AS n FROM
+ (SELECT vec_id, t, CASE WHEN c = 0 THEN ids ELSE list_append(ids, c) END AS ids, CASE WHEN c = 0 THEN (b + nb) * q[1] ELSE 0 END AS b,
+ CASE WHEN c > 0 THEN CASE WHEN ids[-1] = c THEN b ELSE b + nb END * q[c + 1] WHEN len(ids) > 0 AND q[ids[-1] + 1] >= 1e-6 THEN nb * q[ids[-1] + 1] ELSE 0 END AS nb, CASE WHEN c = 0 THEN k ELSE 8 + 8 * c + k END AS o FROM
+ (SELECT r.*, p[t * 8 + 1:t * 8 + 8] AS q, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS c FROM r JOIN l ON r.vec_id = l.vec_id WHERE t < steps) WHERE c = 0 OR q[c + 1] >= 1e-6) GROUP BY vec_id, t, ids) WHERE n <= 8)
+SELECT r.vec_id, array_to_string(ids, ',') AS ids, round(COALESCE(list_avg(list_transform(ids, lambda c: list_max(list_transform(range(steps), lambda i: p[CAST(i * 8 + c + 1 AS INTEGER)])))), 0.0), 6) AS confidence FROM r JOIN l ON r.vec_id = l.vec_id WHERE t = steps AND k = 0"""
+)
 def ctc_beam(spark: SparkSession, d: str) -> DataFrame:
     steps = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 8).cast("int") - 1), lambda t: F.transform(F.slice("embedding", t * 8 + 1, F.lit(8)), lambda x: -F.abs(x.cast("double")) - 0.1))
-    return decoding.ctc_beam_search(table(spark, d, "embeddings").select("vec_id", steps.alias("p")), "vec_id").withColumn("confidence", F.round("confidence", 6))
+    out = decoding.ctc_beam_search(table(spark, d, "embeddings").select("vec_id", steps.alias("p")), "vec_id")
+    return out.select("vec_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.round("confidence", 6).alias("confidence"))
 
 
 _GRAY = "g AS (SELECT vec_id, len(embedding) // 8 AS h, list_transform(embedding, lambda v: CAST(greatest(0, least(255, floor(v::DOUBLE * 256 + 128))) AS BIGINT)) AS p FROM embeddings)"

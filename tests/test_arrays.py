@@ -90,6 +90,40 @@ def test_beam_joins_paths_that_greedy_splits():
     assert ids == [1] and conf == pytest.approx(0.35)
 
 
+def plain_beam(p, width):
+    """Prefix beam search in dictionaries, one table at a time."""
+    beams = {(): (1.0, 0.0)}
+    for step in p:
+        new = {x: [0.0, 0.0] for x in beams}
+        for x, (b, nb) in beams.items():
+            new[x][0] += (b + nb) * step[0]
+        for c in range(1, len(step)):
+            if step[c] >= 1e-6:
+                for x, (b, nb) in beams.items():
+                    if x and x[-1] == c:
+                        new[x][1] += nb * step[c]
+                    new.setdefault((*x, c), [0.0, 0.0])[1] += (b if x and x[-1] == c else b + nb) * step[c]
+        beams = dict(sorted(new.items(), key=lambda kv: -(kv[1][0] + kv[1][1]))[:width])
+    best = max(beams, key=lambda x: sum(beams[x]))
+    return list(best), float(np.mean([p[:, c].max() for c in best])) if best else 0.0
+
+
+@pytest.mark.parametrize("width", [1, 3, 8])
+def test_beams_of_many_lines_are_those_of_each(width):
+    rng = np.random.default_rng(width)
+    tables = []
+    for k in range(120):
+        p = rng.dirichlet(np.full(int(rng.integers(2, 7)), rng.choice([0.2, 1.0, 5.0])), int(rng.integers(0, 14)))
+        p[p < 1e-4] = rng.choice([0.0, 1e-7, 2e-6])
+        tables.append(p)
+    with np.errstate(divide="ignore"):
+        got = A.ctc_beams([np.log(p) for p in tables], width=width)
+    for p, (ids, conf) in zip(tables, got):
+        want, mean = plain_beam(p, width)
+        assert ids == want and conf == pytest.approx(mean)
+    assert A.ctc_beams([]) == []
+
+
 def test_shapes():
     g = np.random.default_rng(1).integers(0, 256, (37, 91)).astype(np.uint8)
     for f in (A.clahe, A.sharpened, A.even_light, A.binarized, A.without_bleed, A.deskewed, A.browser_ink):

@@ -252,6 +252,9 @@ def test_comparison_table(spark):
     got = {r.doc_id: r.content for r in exports.markdown(spark.createDataFrame(rows, "doc_id int, pos int, text string"), "T", comparison=c).collect()}
     assert got[1].endswith("### Cats / Dogs\n\n| Cats | Dogs |\n| :--- | :--- |\n| purr | bark |\n| whiskers of the cat | tail wags |\n")
     assert got[2] == f"# T\n\n{exports.NO_TEXT}\n" and "no table" in got[3]
+    every = spark.createDataFrame([(2,), (3,), (4,)], "doc_id int")
+    got = {r.doc_id: r.content for r in exports.markdown(spark.createDataFrame(rows, "doc_id int, pos int, text string"), "T", documents=every).collect()}
+    assert set(got) == {2, 3, 4} and got[2] == f"# T\n\n{exports.NO_TEXT}\n" and got[4] == f"# T\n\n{exports.NO_LINES}\n"
 
 
 def test_front_matter(spark):
