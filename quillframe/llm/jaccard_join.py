@@ -358,7 +358,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY,
     if counted:  # a document may be the first of several sets: each has a number
         firsts = materialize(firsts.withColumn("set", F.monotonically_increasing_id()), "firsts")
     reps = sets.join(firsts, ["_id", "k1", "k2"]).select(F.col("set" if counted else "_id").alias("_id"), "n", "keys")
-    ordered = materialize(_ordered(reps.sortWithinPartitions("_id"), similarity, n_parts), "ordered")
+    ordered = materialize(_ordered(reps.sortWithinPartitions("_id", "n", "keys"), similarity, n_parts), "ordered")
     links = _links(ordered, similarity, block, firsts.select("set", "times") if counted else None)
     if counted:
         links = materialize(links, "links-and-counts")

@@ -74,7 +74,7 @@ s AS (SELECT DISTINCT doc_id, array_to_string(w[CAST(i AS INTEGER):CAST(i + 4 AS
 n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
 e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
 r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, MIN(b) AS component_id FROM r GROUP BY a) c ON d.doc_id = c.a"""
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, c.component_id, COALESCE(k.k, 0) AS n_links FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, MIN(b) AS component_id FROM r GROUP BY a) c ON d.doc_id = c.a LEFT JOIN (SELECT a, COUNT(*) AS k FROM e GROUP BY a) k ON d.doc_id = k.a"""
 
 _ALNUM = f"regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
