@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 
 from quillframe.functions.text import count_contained, let, strip
 
-#: What a relation is, and signs and names of which two make a relation a formula.
+#: What a relation is, and the signs and names of which two make a relation a formula.
 RELATION = "[=<>]"
-SIGNS = ("*", "+", "-", "/", "<", "=", ">", "^", "_", "cos", "int", "lim", "ln", "sin", "sqrt", "tan", "tg")
+SIGNS = ("=", "+", "-", "*", "/", "^", "_", "->", "<=>", "\\sqrt", "sqrt", "lim", "int", "sin", "cos", "tg", "ln")
+#: Letters of prose: small ones of any script. Notes in one script take that script's alone, such as [а-яА-ЯёЁ].
+PROSE = "\\p{Ll}"
 #: The Greek letters with a LaTeX command, in alphabetical order; capitals that differ from Latin ones.
 GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega".split()
 GREEK_CAPITALS = "Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega".split()
 #: Letters with another command than their name, other names, and operators.
-NAMES = {"eps": "varepsilon", "epsilon": "varepsilon", "phi": "varphi", "ro": "rho", "inf": "infty", "infinity": "infty", "int": "int", "sum": "sum"}
+NAMES = {"eps": "varepsilon", "epsilon": "varepsilon", "phi": "varphi", "inf": "infty", "infinity": "infty", "int": "int", "sum": "sum"}
 OPERATORS = {"!=": "neq", "*": "cdot", "+-": "pm", "±": "pm", "-->": "rightarrow", "->": "rightarrow", "<->": "Leftrightarrow", "<=": "le", "<=>": "Leftrightarrow", ">=": "ge", "~=": "approx", "≈": "approx"}
 #: Element symbols by atomic number, and the elements that go in pairs.
 ELEMENTS = (
@@ -51,8 +53,9 @@ TWO_ELEMENTS = "[A-Z].*[A-Z]"
 COUNTED, NAMED = "[A-Za-z)][0-9]", "[a-z]|[A-Za-z]OH$"
 PAIR = f"^[0-9]*(?:{'|'.join(PAIRED)})2$"
 SUBSCRIPTS = [("([A-Z()-][A-Za-z()-]*)([0-9]*)", "\\text{%1}_{%2}"), ("_\\{\\}", ""), ("_\\{([0-9])\\}", "_%1")]
-#: A label and what is its formula; what makes that a formula.
-LABELLED, WORKED = "^([^:]*:)\\s*([A-Za-z0-9()\\s+*/^_=.-]+)$", "[=+*/^_-]"
+#: The signs of one character as a class: a label's formula has one at least, and besides them words, numbers, brackets and points.
+WORKED = f"[{''.join(sorted((x for x in SIGNS if len(x) == 1), key=lambda x: x == '-'))}]"
+LABELLED = f"^([^:]*:)\\s*([A-Za-z0-9()\\s.{WORKED[1:]}+)$"
 
 
 def shaped(t: Column, rules: list[tuple[str, str]]) -> Column:
@@ -62,11 +65,11 @@ def shaped(t: Column, rules: list[tuple[str, str]]) -> Column:
     return t
 
 
-def is_formula(t: Column) -> Column:
-    """A relation with few prose letters or with two signs of formulas, or a text that starts or ends as a block formula."""
+def is_formula(t: Column, prose: str = PROSE) -> Column:
+    """A relation with few letters of prose (a class of characters) or with two signs of formulas, or a text that starts or ends as a block formula."""
     s = strip(t)
-    prose = F.length(F.regexp_replace(s, "[^\\p{Ll}]", "")) / F.greatest(F.lit(1), F.length(F.replace(s, F.lit(" "))))
-    return (s != "") & ((s.rlike(RELATION) & ((prose < 0.45) | (count_contained(s, SIGNS) >= 2))) | s.startswith("$$") | s.endswith("$$"))
+    letters = (F.length(s) - F.length(F.regexp_replace(s, prose, ""))) / F.greatest(F.lit(1), F.length(F.replace(s, F.lit(" "))))
+    return (s != "") & ((s.rlike(RELATION) & ((letters < 0.45) | (count_contained(s, SIGNS) >= 2))) | s.startswith("$$") | s.endswith("$$"))
 
 
 def _tokens(t: Column, pattern: str) -> Column:

@@ -242,6 +242,12 @@ def test_line_kind(spark, line, kind):
     assert one(spark, formulas.line_kind(F.col("t")), t=line) == kind
 
 
+def test_prose_is_that_of_a_script(spark):
+    assert one(spark, formulas.is_formula(F.col("t")), t="speed is = wayoftime") is False
+    assert one(spark, formulas.is_formula(F.col("t"), "[а-яА-ЯёЁ]"), t="speed is = wayoftime") is True
+    assert one(spark, formulas.is_formula(F.col("t"), "[а-яА-ЯёЁ]"), t="скорость равна > пути") is False
+
+
 def test_prose_names_its_compounds(spark):
     assert one(spark, formulas.format_line(F.col("t")), t="we added H2SO4, then KOH; OK.") == "we added $\\text{H}_2\\text{SO}_4$, then $\\text{KOH}$; OK."
 
