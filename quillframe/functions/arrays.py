@@ -181,25 +181,59 @@ def tight(binary: np.ndarray, pad: int = 2) -> tuple[np.ndarray, int]:
     return binary[a:b], a
 
 
-def segment_lines(binary: np.ndarray, pad: int = 6, least_ink: int = 25) -> list[tuple[int, int, int, int]]:
-    """Boxes (x, y, w, h) of the lines of a page from top to bottom; lines of double height are cut at their valley."""
-    profile = row_profile(binary)
-    parts = line_intervals(profile)
+#: A part below a line is its descenders up to this gap, height and ink; a line has this much ink and height at least. A line of DOUBLE times the middle height and TALL rows is
+#: cut at its valley, looked for between these shares of its height, if that has less ink than a share of either half's peak or than a few pixels, and leaves halves so high.
+DESCENDERS, LEAST_LINE = (5, 18, 350), (80, 12)
+DOUBLE, TALL, BETWEEN, VALLEY, HALF = 1.35, 55, (0.28, 0.72), (0.75, 45.0), 15
+
+
+def with_descenders(parts: list[tuple[int, int]], ink: np.ndarray) -> list[tuple[int, int]]:
+    """Lines as (top, bottom) with the small parts close below them; what is too little for a line goes. ink: pixels of each row."""
+    gap, height, most = DESCENDERS
+    out: list[tuple[int, int]] = []
+    end = None  # of the part before
+    for a, b in parts:
+        if end is not None and a - end <= gap and b - a <= height and ink[a:b].sum() < most:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+        end = b
+    return [(a, b) for a, b in out if ink[a:b].sum() >= LEAST_LINE[0] and b - a >= LEAST_LINE[1]]
+
+
+def without_doubles(parts: list[tuple[int, int]], ink: np.ndarray) -> list[tuple[int, int]]:
+    """Lines of double height cut at their valley, once."""
     middle = float(np.median([b - a for a, b in parts])) if parts else 0.0
     out = []
     for a, b in parts:
-        halves = [(a, b)]
-        if len(parts) > 2 and b - a >= 1.35 * middle and b - a >= 2 * 10:
-            third = (b - a) // 3
-            cut = a + third + int(np.argmin(profile[a + third : b - third]))
-            halves = [(a, cut), (cut, b)]
-        for y0, y1 in halves:
-            piece = binary[y0:y1]
-            x0, x1 = ink_bounds(piece)
-            if np.count_nonzero(piece[:, x0:x1]) >= least_ink:
-                top, bottom = max(0, y0 - pad), min(binary.shape[0], y1 + pad)
-                left, right = max(0, x0 - pad), min(binary.shape[1], x1 + pad)
-                out.append((left, top, right - left, bottom - top))
+        h = b - a
+        lo, hi = int(h * BETWEEN[0]), int(h * BETWEEN[1])
+        if h >= DOUBLE * middle and h >= TALL:
+            soft = gaussian(ink[a:b], 2.0)
+            cut = a + lo + int(np.argmin(soft[lo:hi]))
+            valley = soft[lo:hi].min()
+            if (valley < VALLEY[0] * min(soft[:lo].max(), soft[hi:].max()) or valley < VALLEY[1]) and cut - a >= HALF and b - cut >= HALF:
+                out += [(a, cut), (cut, b)]
+                continue
+        out.append((a, b))
+    return out
+
+
+def segment_lines(binary: np.ndarray, pad: int = 6, least_ink: int = 35) -> list[tuple[int, int, int, int]]:
+    """Boxes (x, y, w, h) of the lines of a page from top to bottom: descenders with their line, double lines cut. What hugs the page's upper or lower edge is its border."""
+    h, w = binary.shape
+    ink = (without_grid(binary) > 0).sum(axis=1)
+    parts = line_intervals(gaussian(ink, max(4.5, min(7.5, h / 160))), 12, 4)
+    out = []
+    for y0, y1 in without_doubles(with_descenders(parts, ink), ink):
+        if (y1 <= int(0.035 * h) and y0 <= 4) or (y1 >= h - 6 and y0 >= h - 40):
+            continue
+        more = max(pad, int((y1 - y0) * 0.14))
+        top, bottom = max(0, y0 - more), min(h, y1 + more)
+        x0, x1 = ink_bounds(binary[top:bottom])
+        left, right = max(0, x0 - pad), min(w, x1 + pad)
+        if right - left >= 24 and bottom - top > 10 and np.count_nonzero(binary[top:bottom, x0:x1]) >= least_ink:
+            out.append((left, top, right - left, bottom - top))
     return sorted(out, key=lambda x: x[1])
 
 

@@ -75,6 +75,34 @@ def test_corners_and_warp():
     assert A.warped(img, pts).shape == (35, 45)
 
 
+def test_descenders_and_doubles():
+    ink = np.zeros(300, int)
+    ink[20:50] = 40
+    ink[53:60] = 20  # descenders
+    ink[100:130] = 40
+    ink[140:150] = 40  # too far, and too little to be a line
+    parts = [(20, 50), (53, 60), (100, 130), (140, 150)]
+    assert A.with_descenders(parts, ink) == [(20, 60), (100, 130)]
+    assert A.with_descenders([(20, 50), (53, 60), (63, 70)], ink + (np.arange(300) == 65) * 30)[0] == (20, 70)
+    ink[:] = 0
+    ink[10:40] = ink[60:90] = ink[110:140] = ink[150:180] = 60
+    parts = [(10, 40), (60, 90), (110, 180)]
+    cut = A.without_doubles(parts, ink)
+    assert cut[:2] == parts[:2] and len(cut) == 4 and cut[2][0] == 110 and 138 <= cut[2][1] <= 152 and cut[3] == (cut[2][1], 180)
+    ink[110:180] = 60
+    assert A.without_doubles(parts, ink) == parts  # no valley
+    assert A.with_descenders([], ink) == A.without_doubles([], ink) == []
+
+
+def test_boxes_of_lines():
+    p = page()
+    p[:, np.arange(p.shape[1]) % 18 < 6] = 0  # letters, no ruling
+    p[0:4, :] = 255  # the border of a table
+    boxes = A.segment_lines(p)
+    assert len(boxes) == 5 and all(y <= 30 + 70 * k and y + h >= 53 + 70 * k and h < 100 and x <= 50 and x + w >= 540 for k, (x, y, w, h) in enumerate(boxes))
+    assert A.segment_lines(np.zeros((50, 60), np.uint8)) == []
+
+
 def test_spans():
     b = np.zeros((40, 800), np.uint8)
     b[10:30, 20:300] = 255
