@@ -281,3 +281,40 @@ def test_automaton_has_each_substring_once():
                 ends.setdefault(tuple(flat[p - k + 1 : p + 1]), set()).add(int(p))
         assert len(auto.count) - 1 == len({frozenset(x) for x in ends.values()})
         assert all(auto.count[auto.link[s]] > auto.count[s] for s in range(1, len(auto.link)) if auto.link[s] > 0)
+
+
+# quality classifier
+
+
+def test_ridge_and_calibration_are_those_of_a_plain_solve(spark):
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from quillframe.llm import quality_model as Q
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    x = Q.measured(docs)
+    model = Q.fit(x, labels)
+    values = {r.doc_id: np.array(r.x, np.float64) for r in x.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in values}
+    fold = {r.doc_id: r.cal for r in spark.createDataFrame([(i,) for i in y], "doc_id long").select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("cal")), F.lit(Q.CALIBRATE)) == 0).alias("cal")).collect()}
+    every = np.array([values[i] for i in y])
+    assert np.allclose(model.mean, every.mean(axis=0)) and np.allclose(model.scale, np.maximum(every.std(axis=0), 1e-6))
+    ids = [i for i in y if not fold[i]]
+    z = model.features(np.array([values[i] for i in ids]))
+    strength = Q.RIDGE * max(1.0, len(ids)) / Q.FEATURES
+    stacked = np.concatenate([z, np.sqrt(strength) * np.eye(z.shape[1])])
+    plain = np.linalg.lstsq(stacked, np.concatenate([[y[i] for i in ids], np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.allclose(model.coefficients, plain, atol=1e-6)
+    held = [i for i in y if fold[i]]
+    margin = model.features(np.array([values[i] for i in held])) @ model.coefficients
+    order = np.argsort(margin, kind="stable")
+    label = np.array([y[i] for i in held], float)[order]
+    sums = np.concatenate([[0], np.cumsum(label)])
+    n = len(label)
+    # the isotonic fit by its definition: the largest, over starts, of the smallest mean, over ends
+    level = [max(min((sums[k] - sums[j]) / (k - j) for k in range(i + 1, n + 1)) for j in range(i + 1)) for i in range(n)]
+    edges, levels = Q.isotonic(margin, np.array([y[i] for i in held], float))
+    assert np.allclose(edges, model.edges) and np.allclose(levels, model.levels)
+    assert np.allclose(sorted(set(np.round(level, 9))), np.round(levels, 9))
