@@ -55,7 +55,7 @@ def consensus(candidates: DataFrame, keys: list[str]) -> DataFrame:
     g = candidates.groupBy(*keys, "text").agg(F.avg("conf").alias("c"), F.count(F.lit(1)).alias("n"), F.max("lm").alias("lm"))
     weight = F.when(F.length("text") >= 3, 1.0).otherwise(0.5)
     g = g.withColumn("score", (F.col("c") + 0.15 * (F.col("n") - 1) + 0.04 * F.col("lm")) * weight)
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "text")
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), "text")  # sums of one score in another order are equal
     return g.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "c", "lm")
 
 

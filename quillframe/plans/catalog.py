@@ -677,9 +677,14 @@ def arbitrate(spark: SparkSession, d: str) -> DataFrame:
 _PAIR_ROWS = ", ".join(f"('{g}')" for g in distance.LOOKALIKES)
 
 
-@query(f"WITH g(s) AS (VALUES {_PAIR_ROWS}), l AS (SELECT s, unnest(string_split(s, '')) AS a FROM g) SELECT x.a, y.a AS b, 0.2::DOUBLE AS cost FROM l x JOIN l y ON x.s = y.s AND x.a <> y.a")
+@query(
+    f"""WITH g(s) AS (VALUES {_PAIR_ROWS}), l AS (SELECT s, unnest(string_split(s, '')) AS a FROM g), n AS (SELECT c, COUNT(*) AS n FROM (SELECT unnest(string_split(lower(text), '')) AS c FROM benchmark) GROUP BY c)
+SELECT x.a, y.a AS b, 0.2::DOUBLE AS cost, COALESCE(n.n, 0) AS seen FROM l x JOIN l y ON x.s = y.s AND x.a <> y.a LEFT JOIN n ON x.a = n.c"""
+)
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return distance.cost_table(spark)
+    """Costs of look-alike letters, and how often the benchmark has the first of each pair."""
+    letters = table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), "")).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("seen"))
+    return distance.cost_table(spark).join(letters, "a", "left").fillna(0, ["seen"])
 
 
 _EVENT_PAIRS = "p AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, event_id AS ev FROM events), c AS (SELECT user_id, a, b, COUNT(*) AS n, MIN(ev) AS f FROM p WHERE b IS NOT NULL AND a <> b GROUP BY user_id, a, b)"
