@@ -149,10 +149,21 @@ def page_statuses(pages: DataFrame, corrected_lines: DataFrame, group: str = "pa
     return pages.select(group).join(n, group, "left").select(group, F.coalesce("status", F.lit("empty")).alias("status"), F.coalesce("total_lines", F.lit(0)).alias("total_lines"), F.coalesce("corrected_count", F.lit(0)).alias("corrected_count"))
 
 
+def _whole(lines: DataFrame, group: str, order: str) -> DataFrame:
+    """group, request: a document's lines as one text."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda x: x["text"])
+    return lines.groupBy(group).agg(F.array_join(parts, "\n").alias("request"))
+
+
+def guides(lines: DataFrame, store: str, make: Callable[[], Service], group: str = "doc_id", order: str = "pos", **how) -> DataFrame:
+    """group, guide: what a service writes of each document, kept by its text; documents that it does not answer or answers blank have no row. exports.guide_export() takes it from there."""
+    out = answered(_whole(lines, group, order), store, make, **how).filter("status = 'success'")
+    return out.select(group, strip(F.regexp_replace("reply", "^\\s*```(?:markdown)?|```\\s*$", "")).alias("guide")).filter("guide <> ''")
+
+
 def study_kits(lines: DataFrame, store: str, make: Callable[[], Service], group: str = "doc_id", order: str = "pos", **how) -> DataFrame:
     """group, question, answer, made_by: the flashcards that a service writes of each document's text, kept by that text; the stand-in's card where it does not answer or writes none."""
-    parts = F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda x: x["text"])
-    out = answered(lines.groupBy(group).agg(F.array_join(parts, "\n").alias("request")), store, make, **how)
+    out = answered(_whole(lines, group, order), store, make, **how)
     cards = F.filter(json_found(F.coalesce("reply", F.lit("")), KIT)["flashcards"], lambda c: (c["question"] != "") & (c["answer"] != ""))
     written = out.filter("status = 'success'").select(group, F.explode(cards).alias("c")).select(group, "c.question", "c.answer", F.lit("service").alias("made_by"))
     left = study_kit_fallback(lines, group, order).join(written.select(group).distinct(), group, "left_anti")

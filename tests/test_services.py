@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.operators import services
+from quillframe.operators import exports, services
 from quillframe.sources import ingest
 
 
@@ -110,6 +110,16 @@ def test_study_kits_are_kept_by_content(spark, tmp_path):
     assert len(os.listdir(calls)) == 3  # one for the text of 1 and 2, and one in each run for 3
 
 
+def test_guides_of_a_service(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    lines = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (2, 0, "broken"), (3, 0, " ")], "doc_id int, pos int, text string")
+    out = services.guides(lines, f"file://{tmp_path}/guides", scripted(str(calls)))
+    assert [(r.doc_id, r.guide) for r in out.collect()] == [(1, "A\nB")]
+    made = {(r.doc_id, r.export_format): r.content for r in exports.guide_export(lines, out, "T").collect()}
+    assert made[(1, "TXT")] == made[(1, "MARKDOWN")] == "A\nB" and "broken" in made[(2, "TXT")] and exports.NO_TEXT in made[(3, "TXT")]
+
+
 def files(root):
     return sorted(os.path.relpath(os.path.join(d, f), root) for d, _, fs in os.walk(root) for f in fs if "_manifest" not in d and not f.endswith(".crc"))
 
