@@ -67,10 +67,20 @@ def clean_noise(t: Column) -> Column:
     return strip(F.regexp_replace(s, "\\s+", " "))
 
 
+#: Letters whose upper case is several letters, and the one letter that stands for it: itself, if there is none.
+_SEVERAL = "".join(c for c in map(chr, range(0x110000)) if len(c.upper()) > 1)
+_ONE = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _SEVERAL)
+
+
+def capital(c: Column) -> Column:
+    """Upper case of one character, as one character: that of ß is ẞ, not SS."""
+    return F.when(F.length(F.upper(c)) > 1, F.translate(c, _SEVERAL, _ONE)).otherwise(F.upper(c))
+
+
 def capitalize_sentences(t: Column) -> Column:
     """First letter, and first letter after a full stop, exclamation or question mark and white space, to upper case."""
     parts = F.split(t, "(?<=[.!?]\\s)")
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(capital(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
 
 
 def repetitive(t: Column) -> Column:

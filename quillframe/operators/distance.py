@@ -7,7 +7,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import first_rule, let, strip
+from quillframe.functions.text import capital, first_rule, let, strip
 from quillframe.operators.metrics import similarity
 
 #: Letters that look alike in handwriting; the cost of exchanging two of one group.
@@ -120,7 +120,7 @@ def corrected_lines(tokens: DataFrame, vocabulary: DataFrame, lexicon: DataFrame
     asked = t.filter("word is not null").select("word").distinct().join(lexicon, "word", "left_anti")
     best = candidates(asked, vocabulary, 1).filter((F.col("dist") <= 1.6) | (F.col("score") >= 0.70)).select("word", "candidate")
     t = t.join(best, "word", "left")
-    shown = F.when(F.substring(body, 1, 1) == F.upper(F.substring(body, 1, 1)), F.concat(F.upper(F.substring("candidate", 1, 1)), F.substr("candidate", F.lit(2)))).otherwise(F.col("candidate"))
+    shown = F.when(F.substring(body, 1, 1) == capital(F.substring(body, 1, 1)), F.concat(capital(F.substring("candidate", 1, 1)), F.substr("candidate", F.lit(2)))).otherwise(F.col("candidate"))
     edges = F.concat(F.regexp_extract("token", "^([^\\p{L}]*)", 1), shown, F.regexp_extract("token", "([^\\p{L}]*)$", 1))
     t = t.withColumn("new", F.coalesce(edges, "token"))
     parts = F.sort_array(F.collect_list(F.struct("k", "new", "token")))
@@ -177,7 +177,7 @@ def snapped(tokens: DataFrame, vocabulary: DataFrame, replacements: DataFrame, k
     best = fixed.unionByName(near.groupBy("word").agg(F.max_by("candidate", F.struct("r", "candidate")).alias("best")))
     named = t.filter("word is not null").join(best, "word", "left")
     first = F.substring("token", 1, 1)
-    shown = F.when((first == F.upper(first)) & (first != F.lower(first)), F.concat(F.upper(F.substring("best", 1, 1)), F.lower(F.substr("best", F.lit(2))))).otherwise(F.col("best"))
+    shown = F.when((first == capital(first)) & (first != F.lower(first)), F.concat(capital(F.substring("best", 1, 1)), F.lower(F.substr("best", F.lit(2))))).otherwise(F.col("best"))
     edges = F.concat(F.regexp_extract("token", f"^([^{_WORD}]*)", 1), shown, F.regexp_extract("token", f"([^{_WORD}]*)$", 1))
     return named.select(*keys, "k", F.coalesce(edges, "token").alias("token")).union(t.filter("word is null").select(*keys, "k", "token"))
 

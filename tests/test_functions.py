@@ -352,3 +352,11 @@ def test_parents_without_children_are_replaced_too(spark):
 def test_study_kit(spark):
     rows = spark.createDataFrame([(1, k, f"line {k}") for k in range(5)], "d int, k int, text string")
     assert plugins.study_kit_fallback(rows, "d", "k").first().answer == "line 0 line 1 line 2"
+
+
+def test_capitals_are_one_letter(spark):
+    """As SQL's upper() has it: ß becomes ẞ, and a letter without a capital of one letter stays."""
+    texts = ["ßheit. ßlich! éa? ŉa. ﬁn. ᾳb. a", "ß", ""]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.t for r in d.select(T.capitalize_sentences(F.col("t")).alias("t")).collect()]
+    assert got == ["ẞheit. ẞlich! Éa? ŉa. ﬁn. ᾼb. A", "ẞ", ""]
