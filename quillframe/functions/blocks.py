@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 LONG, SHARE = 200, 100
 #: Cells that one round of pairs has, about; a pair beyond that is a round of its own.
 CELLS = 2_000_000
+#: Symbols of both sequences that are sorted at once, about: memory follows this, not how many pairs come in a batch.
+SYMBOLS = 500_000
 
 
 def _expand(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,6 +33,18 @@ def _keys(symbols: np.ndarray, first: np.ndarray, base: int) -> np.ndarray:
 
 def matching_blocks(a: np.ndarray, first_a: np.ndarray, b: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """pair, i, j, size of each block, by pair and i. a, b: symbols (numbers from 0) of all sequences, one after the other; first: where each starts, one more at the end."""
+    first_a, first_b = np.asarray(first_a, np.int64), np.asarray(first_b, np.int64)
+    before, out, at = first_a + first_b, [], 0
+    while at < len(before) - 1:
+        to = max(at + 1, int(np.searchsorted(before, before[at] + SYMBOLS, "right")) - 1)
+        pair, *block = _sorted_blocks(a[first_a[at] : first_a[to]], first_a[at : to + 1] - first_a[at], b[first_b[at] : first_b[to]], first_b[at : to + 1] - first_b[at])
+        out.append((pair + at, *block))
+        at = to
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple([np.zeros(0, np.int64)] * 4)
+
+
+def _sorted_blocks(a: np.ndarray, first_a: np.ndarray, b: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """matching_blocks() of some pairs, all sorted together."""
     a, b = a.astype(np.int64), b.astype(np.int64)
     base = int(max(a.max(initial=0), b.max(initial=0))) + 1
     key_a, key_b = _keys(a, first_a, base), _keys(b, first_b, base)

@@ -360,3 +360,15 @@ def test_capitals_are_one_letter(spark):
     d = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.t for r in d.select(T.capitalize_sentences(F.col("t")).alias("t")).collect()]
     assert got == ["ẞheit. ẞlich! Éa? ŉa. ﬁn. ᾼb. A", "ẞ", ""]
+
+
+def test_blocks_of_many_pairs_are_sorted_in_parts(monkeypatch):
+    """A batch of any size is sorted SYMBOLS at a time, with the blocks of the whole."""
+    rng = random.Random(4)
+    left, right = (pa.array(["".join(rng.choice("abc ") for _ in range(rng.randrange(0, 40))) for _ in range(60)]) for _ in range(2))
+    whole = blocks.matching_blocks(*blocks.characters(left), *blocks.characters(right))
+    seen, inner = [], blocks._sorted_blocks
+    monkeypatch.setattr(blocks, "SYMBOLS", 100)
+    monkeypatch.setattr(blocks, "_sorted_blocks", lambda a, fa, b, fb: (seen.append(len(a) + len(b)), inner(a, fa, b, fb))[1])
+    parts = blocks.matching_blocks(*blocks.characters(left), *blocks.characters(right))
+    assert all((x == y).all() for x, y in zip(whole, parts)) and len(seen) > 10 and max(seen) <= 100
