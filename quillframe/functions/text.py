@@ -179,14 +179,15 @@ def keep_characters(t: Column, vocabulary: str) -> Column:
 
 def encode(t: Column, vocabulary: str, unknown: int = 1) -> Column:
     """Ids of the characters: 0 is blank, 1 unknown, then the vocabulary's from 2 on."""
-    known = F.array(*[F.lit(c) for c in vocabulary])
-    return F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.coalesce(F.nullif(F.array_position(known, c), F.lit(0)) + 1, F.lit(unknown)).cast("int"))
+    whole = F.lit(vocabulary)
+    ids = F.transform(F.split(t, ""), lambda c: F.when(F.position(c, whole) > 0, F.position(c, whole) + 1).otherwise(unknown))
+    return F.when(t == "", F.array().cast("array<int>")).otherwise(ids)
 
 
 def decode(ids: Column, vocabulary: str) -> Column:
     """Characters of ids; blank, unknown and ids out of range have none."""
-    known = F.array(*[F.lit(c) for c in vocabulary])
-    return F.array_join(F.transform(F.filter(ids, lambda i: (i >= 2) & (i < len(vocabulary) + 2)), lambda i: known[i - 2]), "")
+    known = F.array(F.lit(""), F.lit(""), *[F.lit(c) for c in vocabulary])
+    return F.array_join(F.transform(ids, lambda i: F.get(known, i)), "")
 
 
 def normalized(t: Column) -> Column:

@@ -372,3 +372,12 @@ def test_blocks_of_many_pairs_are_sorted_in_parts(monkeypatch):
     monkeypatch.setattr(blocks, "_sorted_blocks", lambda a, fa, b, fb: (seen.append(len(a) + len(b)), inner(a, fa, b, fb))[1])
     parts = blocks.matching_blocks(*blocks.characters(left), *blocks.characters(right))
     assert all((x == y).all() for x, y in zip(whole, parts)) and len(seen) > 10 and max(seen) <= 100
+
+
+def test_codes_without_a_search_per_letter(spark):
+    """Ids of letters come back as they were; each letter is one step of one pass, not a filter and a search of a list."""
+    got = one(spark, T.decode(T.encode(F.col("t"), "ab "), "ab "), t="ba xä b")
+    assert got == "ba  b" and one(spark, T.encode(F.col("t"), "ab "), t="") == [] and one(spark, T.encode(F.col("t"), "ab "), t="bä a") == [3, 1, 4, 2]
+    assert one(spark, T.decode(F.array(*map(F.lit, (0, 1, 2, 5, -1, 3))), "ab "), t="") == "ab"
+    plan = spark.range(1).select(T.encode(F.lit("x").substr(F.lit(1), F.col("id").cast("int")), "ab "))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" not in plan and "filter(" not in plan
