@@ -12,6 +12,9 @@ from pyspark.sql.types import DoubleType
 
 from quillframe.functions import blocks
 
+#: Up to so many words a lexicon goes to each task, some 20 MB.
+SMALL = 200_000
+
 
 def cer_micro(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Percent of edits among the true characters, over all pairs (found, truth) of a group."""
@@ -77,10 +80,13 @@ def domain(texts: DataFrame, key: str, rules: DataFrame, default: str = "general
 def lexicon_counts(rows: DataFrame, words: Column, lexicon: DataFrame, keys: list[str], also: Callable[[Column], Column]) -> DataFrame:
     """rows with n_words and n_valid of the array `words`: those of the lexicon (word: no word twice) in lower case, and those that `also` lets pass. keys: what tells the rows apart.
 
-    Words are joined with the lexicon, whatever its size: Spark broadcasts it if it turns out small, and else splits words that
-    very many rows have. Counts are summed for each row before they move."""
+    A lexicon of up to SMALL words goes to each task, so words are looked up where they stand and only sums of rows move. A larger one is joined:
+    Spark splits words that very many rows have. How large it is, is counted first, and it is kept for the join."""
+    listed = lexicon.select("word", F.lit(True).alias("_in")).persist()
+    if listed.count() <= SMALL:
+        listed = F.broadcast(listed)
     w = rows.select(*keys, F.explode(words).alias("_w")).withColumn("_pass", also(F.col("_w"))).withColumn("word", F.lower("_w"))
-    d = w.join(lexicon.select("word", F.lit(True).alias("_in")), "word", "left")
+    d = w.join(listed, "word", "left")
     n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_words"), F.count_if(F.col("_in") | F.col("_pass")).alias("n_valid"))
     return rows.join(n, keys, "left").fillna(0, ["n_words", "n_valid"])
 

@@ -381,3 +381,11 @@ def test_codes_without_a_search_per_letter(spark):
     assert one(spark, T.decode(F.array(*map(F.lit, (0, 1, 2, 5, -1, 3))), "ab "), t="") == "ab"
     plan = spark.range(1).select(T.encode(F.lit("x").substr(F.lit(1), F.col("id").cast("int")), "ab "))._jdf.queryExecution().optimizedPlan().toString()
     assert "array_position" not in plan and "filter(" not in plan
+
+
+def test_words_meet_a_small_lexicon_where_they_stand(spark):
+    rows = spark.createDataFrame([(1, "a bb"), (2, ""), (3, "cc a a")], "k int, text string")
+    lexicon = spark.createDataFrame([("a",), ("dd",)], "word string").repartition(3).distinct()
+    d = metrics.lexicon_counts(rows, F.filter(F.split("text", " "), lambda x: x != ""), lexicon, ["k"], lambda w: w == "bb")
+    assert sorted((r.k, r.n_words, r.n_valid) for r in d.collect()) == [(1, 2, 2), (2, 0, 0), (3, 3, 2)]
+    assert "BroadcastHashJoin" in d._jdf.queryExecution().sparkPlan().toString()
