@@ -434,9 +434,8 @@ SELECT c.conv_id, c.turn, round(CASE WHEN trim(c.text) = '' THEN -10.0::DOUBLE E
 )
 def sequence_score(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    t = lm.tokens(c, ["conv_id", "turn"])
-    counts = [lm.ngram_counts(c, n) for n in (1, 2, 3)]
-    return lm.score_lines(c, "conv_id", "turn", *counts, lm.char_trigrams(t)).withColumn("score", F.round("score", 6))
+    counts = [n.persist() for n in lm.orders(lm.context_counts(lm.contexts(c, ["conv_id", "turn"])).persist())]  # asked in several places: made once
+    return lm.score_lines(c, "conv_id", "turn", *counts, lm.weighted_trigrams(counts[0])).withColumn("score", F.round("score", 6))
 
 
 @query(

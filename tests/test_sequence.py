@@ -148,3 +148,14 @@ def test_texts_are_cut_once_for_their_ngrams(spark, tmp_path):
     d = lm.ngram_counts(spark.read.parquet(str(tmp_path / "t")), 2)
     assert {(r.w1, r.w2, r.n) for r in d.collect()} == {("a", "b", 1), ("b", "c", 2), ("c", "b", 1)}
     assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_scores_are_looked_up_once(spark):
+    """Each word in its context is scored once: the plan of a score has no second copy of that for the penalties or for broken words."""
+    rows = [(1, 0, "the cat sat-"), (1, 1, "down the mat"), (1, 2, "!"), (1, 3, " "), (2, 0, "the cat")]
+    c = spark.createDataFrame(rows, "g int, o int, text string")
+    counts = lm.orders(lm.context_counts(lm.contexts(c, ["g", "o"])))
+    d = lm.score_lines(c, "g", "o", *counts, lm.weighted_trigrams(counts[0]))
+    got = {(r.g, r.o): r.score for r in d.collect()}
+    assert set(got) == {(g, o) for g, o, _ in rows} and got[1, 2] == -5 and got[1, 3] == -10
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("AS logp#") <= 1
