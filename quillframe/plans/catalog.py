@@ -1198,8 +1198,10 @@ SELECT doc_id, CASE WHEN ln.angle IS NOT NULL THEN 'lines' WHEN ink < {G.INK} TH
 )
 def page_skew(spark: SparkSession, d: str) -> DataFrame:
     """The slope of pages that are laid out from the documents' words: by lines, by profile or by the smallest box."""
-    w = _lines(spark, d).select("doc_id", "pos", F.posexplode(F.regexp_extract_all("text", F.lit("\\S+"), 0)).alias("k", "word"))
+    # lines with their numbers of words are dealt out by page, so all later steps find a page where it is
+    w = _lines(spark, d).select("doc_id", "pos", F.regexp_count("text", F.lit("\\S+")).alias("n")).filter("n > 0").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     x = F.col("k") * 6
+    w = w.select("doc_id", "pos", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
     ink = w.select("doc_id", (F.col("pos") * 12 + F.floor(x * (F.col("doc_id") % 13 - 6) / F.lit(60.0))).alias("y"), x.alias("x")).distinct()
     ink = ink.withColumn("y", F.col("y") - F.min("y").over(S.Window.partitionBy("doc_id")))
     return G.skew(ink, ink, "doc_id", votes=12)
