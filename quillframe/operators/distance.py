@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillframe.functions import blocks
 from quillframe.functions.text import capital, first_rule, let, strip
-from quillframe.operators.metrics import similarity
 
 #: Letters that look alike in handwriting; the cost of exchanging two of one group.
 LOOKALIKES = ("aoec", "iljt", "mnuw", "bhk", "gqy", "rvs", "dp")
@@ -129,36 +134,70 @@ def corrected_lines(tokens: DataFrame, vocabulary: DataFrame, lexicon: DataFrame
     return joined.select(*keys, text.alias("text"), (F.lower(text) != F.lower(old)).alias("changed"))
 
 
-def letter_bag(word: Column) -> Column:
-    """Each letter with the number of times it stood up to there: equal letters of two words are as many as their bags share."""
-    letters = F.split(word, "")
-    return let(letters, lambda x: F.transform(x, lambda c, i: F.concat(c, F.size(F.filter(F.slice(x, F.lit(1), i + 1), lambda y: y == c)).cast("string"))))
+#: Words of a block that meets other blocks, words of it that are compared at a time, and the most letters (with their counts) that words are compared by: more share places.
+BLOCK, SLICE, PLACES = 4_000, 500, 1_024
+
+
+def _bags(words: pa.Array, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of the words; and of each letter its word, and its number with how many times it stood up to there."""
+    letters, first = blocks.characters(words)
+    word = np.repeat(np.arange(len(words)), np.diff(first))
+    order = np.lexsort((letters, word))
+    word, letters = word[order], letters[order].astype(np.int64)
+    new = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(letters, prepend=-1) != 0))
+    place = np.arange(len(word)) - np.repeat(new, np.diff(new, append=len(word)))
+    return np.diff(first), word, letters * base + place
+
+
+def _similar(asked: pa.Array, known: pa.Array, least: float) -> Iterator[pa.RecordBatch]:
+    """word, candidate, r of two blocks of words. Letters in common, each as often as both have it, bound the ratio: one product for all words of a slice; matching blocks decide."""
+    base = 1 + int(max(pc.max(pc.utf8_length(w)).as_py() for w in (asked, known)))
+    (len_a, word_a, bag_a), (len_b, word_b, bag_b) = (_bags(w, base) for w in (asked, known))
+    shared = np.intersect1d(bag_a, bag_b)
+
+    def matrix(n: int, word: np.ndarray, bag: np.ndarray) -> np.ndarray:
+        in_both = np.isin(bag, shared)
+        out = np.zeros((n, max(1, min(len(shared), PLACES))), np.float32)
+        np.add.at(out, (word[in_both], np.searchsorted(shared, bag[in_both]) % PLACES), 1)
+        return out
+
+    a, b = matrix(len(asked), word_a, bag_a), matrix(len(known), word_b, bag_b).T
+    for at in range(0, len(asked), SLICE):
+        i, j = np.nonzero(2.0 * (a[at : at + SLICE] @ b) >= least * (len_a[at : at + SLICE, None] + len_b) - 1e-6)
+        for to in range(0, len(i), 50_000):
+            word, candidate = asked.take(pa.array(i[to : to + 50_000] + at)), known.take(pa.array(j[to : to + 50_000]))
+            r = blocks.ratios(*blocks.characters(candidate), *blocks.characters(word))
+            full = pa.array(r >= least)
+            yield pa.RecordBatch.from_arrays([word.filter(full), candidate.filter(full), pa.array(r).filter(full)], ["word", "candidate", "r"])
 
 
 def similar_pairs(words: DataFrame, vocabulary: DataFrame, least: float) -> DataFrame:
     """word, candidate, r: pairs whose matching-block ratio is `least` (over 0.5) and more; words of three letters and more.
 
-    A ratio needs so many letters in common, so two words' bags, rarest letters first, share two of their first few: pairs of those are the keys of an
-    equi-join. What the bags have in common then bounds the ratio, and blocks decide."""
+    A ratio that high bounds how much longer one word may be, so words meet by levels of length, each level in blocks of some BLOCK words. Pairs of blocks are
+    dealt to tasks, whatever their level; a pair of words never moves before its letters in common allow the ratio."""
     if least <= 0.5:
         raise ValueError("a ratio of one half and less needs no two letters in common")
     span = least / (2 - least)
+    step = max(math.log(1 / span), 0.05)
+    level = lambda n: F.ln(n) / step
     asked, known = (d.select("word").distinct().filter(F.length("word") >= 3) for d in (words, vocabulary))
-    often = known.select(F.explode(letter_bag(F.col("word"))).alias("letter")).groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
+    n = F.length("word")
+    reach = F.sequence(F.floor(level(n * span) - 1e-9), F.floor(level(n / span) + 1e-9))
+
+    def packed(d: DataFrame, name: str) -> DataFrame:
+        shards = d.groupBy("level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("shards"))  # a row for each level
+        dealt = d.join(F.broadcast(shards), "level").groupBy("level", F.pmod(F.xxhash64("word"), "shards").alias("shard"))
+        return dealt.agg(F.collect_list("word").alias(name)).select("level", name)  # of some BLOCK words
 
-    def keyed(d: DataFrame, name: str) -> DataFrame:
-        each = d.select("word", F.explode(letter_bag(F.col("word"))).alias("letter")).join(often, "letter", "left")
-        bag = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "letter"))).alias("bag"))  # a word's letters
-        n = F.size("bag")
-        needed = F.ceil(least / 2 * (n + F.ceil(n * span - 1e-9)) - 1e-9).cast("int")
-        first = bag.select("word", F.transform(F.slice("bag", F.lit(1), n - needed + 2), lambda x: x["letter"]).alias("first"))
-        both = F.transform(F.sequence(F.lit(1), F.size("first") - 1), lambda i: F.transform(F.slice("first", i + 1, F.size("first")), lambda y: F.concat(F.get("first", i - 1), F.lit(" "), y)))
-        return first.select(F.col("word").alias(name), F.explode(F.flatten(both)).alias("key"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                yield from _similar(*(b.column(c).slice(k, 1).flatten().cast(pa.string()) for c in ("asked", "known")), least)
 
-    pairs = keyed(asked, "word").join(keyed(known, "candidate"), "key").select("word", "candidate").distinct()
-    common = F.size(F.array_intersect(letter_bag(F.col("word")), letter_bag(F.col("candidate"))))
-    near = pairs.filter(2.0 * common / (F.length("word") + F.length("candidate")) >= least)
-    return near.select("word", "candidate", similarity("candidate", "word").alias("r")).filter(F.col("r") >= least)
+    met = packed(asked.select(F.explode(reach).alias("level"), "word"), "asked").join(packed(known.select(F.floor(level(n)).alias("level"), "word"), "known"), "level")
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.select("asked", "known").repartition(parts).mapInArrow(run, "word string, candidate string, r double")
 
 
 _WORD = "\\p{L}\\p{N}\\p{M}_"
@@ -173,8 +212,12 @@ def snapped(tokens: DataFrame, vocabulary: DataFrame, replacements: DataFrame, k
     t = tokens.withColumn("word", F.when(F.length(clean) >= 4, clean))
     asked = t.filter("word is not null").select("word").distinct()
     fixed = asked.join(replacements.select("word", F.col("replacement").alias("best")), "word")
-    near = similar_pairs(asked.join(fixed.select("word"), "word", "left_anti"), vocabulary, least)
-    best = fixed.unionByName(near.groupBy("word").agg(F.max_by("candidate", F.struct("r", "candidate")).alias("best")))
+    free = asked.join(fixed.select("word"), "word", "left_anti")
+    # only the word itself has a ratio of 1
+    known = vocabulary.select("word").distinct()
+    own = free.join(known, "word", "left_semi").select("word", F.col("word").alias("best"))
+    near = similar_pairs(free.join(known, "word", "left_anti"), known, least)
+    best = fixed.unionByName(own).unionByName(near.groupBy("word").agg(F.max_by("candidate", F.struct("r", "candidate")).alias("best")))
     named = t.filter("word is not null").join(best, "word", "left")
     first = F.substring("token", 1, 1)
     shown = F.when((first == capital(first)) & (first != F.lower(first)), F.concat(capital(F.substring("best", 1, 1)), F.lower(F.substr("best", F.lit(2))))).otherwise(F.col("best"))
