@@ -13,6 +13,8 @@ HEADINGS = ("chapter", "section", "theme", "lecture", "kapitel", "chapitre", "ca
 CONNECTORS = ("of", "the", "and", "de", "la", "und", "der", "et", "y")
 #: Margin noise that is cut off line ends, in this order.
 NOISE = ("^[|/\\\\]+", "[|/\\\\]+$", "^[.,;]+", "^[_~]+", "[_~]+$", "^\\d{1,2}\\s*\\|")
+#: What a text starts and ends with where strip() or one of those finds something: at the end also what a pattern's end may stand before.
+NOISE_FIRST, NOISE_LAST = "[\\s|/\\\\.,;_~\\d]", "[\\s|/\\\\_~\\x{85}\\x{2028}\\x{2029}]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -60,11 +62,20 @@ def informative(t: Column) -> Column:
 
 def clean_noise(t: Column) -> Column:
     """Margin noise off both ends, doubled bars to one, white space to single spaces."""
-    s = strip(t)
-    for pattern in NOISE:
-        s = strip(F.regexp_replace(s, pattern, ""))
-    s = F.regexp_replace(s, "\\s*\\|\\s*\\|\\s*", " | ")
-    return strip(F.regexp_replace(s, "\\s+", " "))
+
+    def cut(x: Column) -> Column:
+        x = strip(x)
+        for pattern in NOISE:
+            x = strip(F.regexp_replace(x, pattern, ""))
+        return x
+
+    def spaced(x: Column) -> Column:
+        bars = strip(F.regexp_replace(F.regexp_replace(x, "\\s*\\|\\s*\\|\\s*", " | "), "\\s+", " "))
+        return F.when(F.contains(x, F.lit("|")), bars).when(x.rlike("[^\\S ]|  "), F.regexp_replace(x, "\\s+", " ")).otherwise(x)
+
+    # a text is gone over again only if an end of it, or a mark in it, can be noise
+    ends = lambda x: F.substring(x, 1, 1).rlike(NOISE_FIRST) | F.substring(x, -1, 1).rlike(NOISE_LAST)
+    return let(t, lambda x: let(F.when(ends(x), cut(x)).otherwise(x), spaced))
 
 
 #: Letters whose upper case is several letters, and the one letter that stands for it: itself, if there is none.

@@ -72,6 +72,11 @@ BROKEN_WORDS = (("общ", "тва", "общества.", True), ("общес",
 WHOLE_WORDS = (("общ", "общества"), ("становлен", "становления"))
 
 
+def _once(rows: DataFrame, value: Column, name: str, *keep: str) -> DataFrame:
+    """keep, and value by that name. The optimizer copies a projected expression into the filters and projections that use it; what a generator makes is made once."""
+    return rows.select(*keep, F.explode_outer(F.array(value)).alias(name))
+
+
 def dewrap(
     rows: DataFrame, lexicon: DataFrame, trigrams: DataFrame, group: str = "doc_id", order: str = "pos",
     broken: tuple[tuple[str, str, str, bool], ...] = BROKEN_WORDS, whole: tuple[tuple[str, str], ...] = WHOLE_WORDS,
@@ -86,9 +91,11 @@ def dewrap(
     its own state, lines that use up the next one alternate in runs, and windows over a group state the fold. The words that are asked are joined with
     the lexicon once each."""
     w = Window.partitionBy(group).orderBy(order)
-    d = rows.select(group, order, clean_noise(F.col("text")).alias("text")).filter("text <> ''").withColumn("nxt", F.lead("text").over(w))
-    d = d.withColumn("prefix", F.when(F.col("nxt").isNotNull(), F.lower(F.regexp_extract("text", WORD_BREAK, 1))))
-    d = d.withColumn("first", F.regexp_replace(F.lower(F.regexp_extract("nxt", "^(\\S*)", 1)), "[.,;:!?]+$", "")).withColumn("rem", F.regexp_extract("nxt", "^\\S*\\s(.*)$", 1))
+    d = _once(rows.select(group, order, "text"), clean_noise(F.col("text")), "text", group, order).filter("text <> ''").withColumn("nxt", F.lead("text").over(w))
+    prefix = F.when(F.col("nxt").isNotNull(), F.lower(F.regexp_extract(F.substring_index("text", " ", -1), WORD_BREAK, 1)))
+    first = F.regexp_replace(F.lower(F.regexp_extract("nxt", "^(\\S*)", 1)), "[.,;:!?]+$", "")
+    parts = F.struct(prefix.alias("prefix"), first.alias("first"), F.regexp_extract("nxt", "^\\S*\\s(.*)$", 1).alias("rem"))
+    d = _once(d, F.when(F.col("nxt").isNotNull(), parts), "at", group, order, "text").select(group, order, "text", "at.*")
     breaks = F.coalesce(F.col("prefix") != "", F.lit(False))
     known = F.lit(None).cast("struct<word:string,keep:boolean>")
     for a, b, word, keep in reversed(broken):
