@@ -9,7 +9,8 @@
 3. In each block the sets stand in a prefix tree, common shingles first. A set is joined by walking the tree with
    the overlap so far; a subtree goes when what is left of the set and of the subtree's
    longest member cannot reach the overlap that is needed. All links are found and counted, each set with the
-   documents that have it; only those that join groups are put out, not all pairs. Where groups alone are asked
+   documents that have it; only those that join groups are put out, not all pairs. For that many sets walk the tree
+   at once, as in a group of near copies each meets each. Where groups alone are asked
    for, a subtree whose members are already in the set's group needs no walk.
 4. Links make components.
 """
@@ -36,6 +37,9 @@ CHUNK = 4 << 20
 BLOCK = 4000
 #: Into how many parts a large block is dealt before its shards are known.
 SALTS = 64
+#: Bytes that tell which of the sets that walk a tree together has which rank, and tokens that they pass between two looks at the bound (255 at most).
+MARKS = 64 << 20
+STEP = 64
 _NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -195,8 +199,45 @@ class PrefixTree:
         self.parent[a] = b
         return a != b
 
-    def links(self, x: int, ranks: np.ndarray, every: bool = False) -> Iterator[int]:
-        """Members that x links to: every one, or no more than one from what is one group already, whose groups it then joins."""
+    def meet(self, xs: np.ndarray, ranks: list[np.ndarray], later: bool) -> Iterator[tuple[int, np.ndarray]]:
+        """(y, those of xs that link with it) of each member y; later: only those above y, where members were added in ascending order."""
+        if self.root is None or not len(xs):
+            return
+        s, own, size = self.similarity, np.array([len(r) for r in ranks]), np.array([self.size[x] for x in xs])
+        mark = np.zeros((len(self.mark), len(xs)), np.uint8)
+        for k, r in enumerate(ranks):
+            mark[r, k] = 1
+        # how many ranks each has below every STEP-th
+        below = np.cumsum(np.add.reduceat(mark, np.arange(0, len(mark), STEP), axis=0, dtype=np.int32), axis=0, dtype=np.int32)
+        below = np.concatenate([np.zeros((1, len(xs)), np.int32), below])
+        stack = [(self.root, 0, np.arange(len(xs)), np.zeros(len(xs), np.int64))]
+        while stack:
+            node, depth, who, overlap = stack.pop()
+            if later:
+                above = xs[who] > node.one
+                who, overlap = who[above], overlap[above]
+            for at in range(0, len(node.run), STEP):
+                run = node.run[at : at + STEP]
+                has = mark[run].sum(axis=0, dtype=np.uint8)[who] if 4 * len(who) > len(xs) else mark[run[:, None], who].sum(axis=0, dtype=np.uint8)
+                overlap = overlap + has
+                depth += len(run)
+                left = own[who] - np.maximum(overlap, below[run[-1] // STEP, who])
+                # 100 o >= s (n + m - o) for the smallest m below
+                may = (100 + s) * (overlap + np.minimum(left, node.longest - depth)) >= s * (size[who] + node.least)
+                who, overlap = who[may], overlap[may]
+                if not len(who):
+                    break
+            if not len(who):
+                continue
+            for y in node.ends:
+                found = xs[who[(100 + s) * overlap >= s * (size[who] + self.size[y])]]
+                found = found[found > y] if later else found
+                if len(found):
+                    yield y, found
+            stack += [(child, depth, who, overlap) for child in node.children.values()]
+
+    def links(self, x: int, ranks: np.ndarray) -> Iterator[int]:
+        """Members that x links to, no more than one from what is one group already, whose groups it then joins."""
         if self.root is None:
             return
         mark, n, s = self.mark, self.size[x], self.similarity
@@ -204,7 +245,7 @@ class PrefixTree:
         stack = [(self.root, 0, 0)]
         while stack:
             node, depth, overlap = stack.pop()
-            if not every and node.same and self.group(node.one) == self.group(x):
+            if node.same and self.group(node.one) == self.group(x):
                 continue
             left = len(ranks)
             if len(node.run):
@@ -215,11 +256,8 @@ class PrefixTree:
             if (100 + s) * (overlap + min(left, node.longest - depth)) < s * (n + node.least):
                 continue
             for y in node.ends:
-                if (100 + s) * overlap >= s * (n + self.size[y]) and (every or self.unite(x, y)):
+                if (100 + s) * overlap >= s * (n + self.size[y]) and self.unite(x, y):
                     yield y
-            if every:
-                stack += [(child, depth, overlap) for child in node.children.values()]
-                continue
             first = None
             uniform = all(self.group(y) == self.group(node.one) for y in node.ends)
             for head, child in node.children.items():
@@ -267,6 +305,10 @@ def _join_block(similarity: int, counted: bool = False):
     def join(t: pa.Table) -> pa.Table:
         """Links (a, b) that join groups within a block, or between shard `i` and shard `j` of it; counted: and rows (a, null, links of a), each link as often as documents have the other set."""
         ids, sizes = t.column("_id").to_pylist(), t.column("n").to_pylist()
+        # small sets first; a row that the input repeats is one set
+        order = sorted({i: k for k, i in enumerate(ids)}.values() if counted else range(len(ids)), key=lambda k: (sizes[k], ids[k]))
+        t = t.take(pa.array(order, pa.int64()))
+        ids, sizes = [ids[k] for k in order], [sizes[k] for k in order]
         tokens = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
         many = [np.frombuffer(x, np.uint32) for x in t.column("many").to_pylist()]
         flat, freq = np.concatenate(tokens), np.concatenate(many)
@@ -275,38 +317,36 @@ def _join_block(similarity: int, counted: bool = False):
         rank = np.empty(len(distinct), np.int64)
         rank[by] = np.arange(len(distinct))
         ranks = [np.sort(rank[np.searchsorted(distinct, x)]) for x in tokens]
-        mine, other = t.column("shard").to_pylist(), t.column("j").to_pylist()
+        mine = t.column("shard").to_numpy()
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         tree = PrefixTree(sizes, len(distinct), similarity)
         found: list[tuple[int, int]] = []
-        times, count = t.column("times").to_pylist() if counted else [], [0] * len(ids)
-
-        def meet(x: int) -> None:
-            for y in tree.links(x, ranks[x], counted):
-                if counted:
-                    count[x] += times[y]
-                    count[y] += times[x]
-                    if not tree.unite(x, y):
-                        continue
-                found.append((x, y))
-
-        # a row that the input repeats is one set
-        order = sorted({i: k for k, i in enumerate(ids)}.values() if counted else range(len(ids)), key=lambda k: (sizes[k], ids[k]))
-        i, j = t.column("i")[0].as_py(), other[0]
+        if counted:
+            for x in np.flatnonzero(mine == i).tolist():
+                tree.add(x, ranks[x])
+            times, count, group = t.column("times").to_numpy(), np.zeros(len(ids), np.int64), np.arange(len(ids))
+            asked, width = np.flatnonzero(mine == j), max(1, MARKS // max(1, len(distinct)))
+            for at in range(0, len(asked), width):
+                xs = asked[at : at + width]
+                for y, linked in tree.meet(xs, [ranks[x] for x in xs], i == j):
+                    count[y] += times[linked].sum()
+                    count[linked] += times[y]
+                    apart = linked[group[linked] != group[y]]
+                    for x in apart[np.unique(group[apart], return_index=True)[1]].tolist():
+                        found.append((x, y))
+                        group[group == group[x]] = group[y]
+            some = np.flatnonzero(count).tolist()
+            a, b = [x for x, _ in found] + some, [ids[y] for _, y in found] + [None] * len(some)
+            return pa.Table.from_arrays([pa.array([ids[x] for x in a], pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(found) + count[some].tolist(), pa.int64())], names=["a", "b", "n_links"])
         if i == j:
-            for x in order:
-                meet(x)
+            for x in range(len(ids)):
+                found += [(x, y) for y in tree.links(x, ranks[x])]
                 tree.add(x, ranks[x])
         else:
-            for x in order:
-                if mine[x] == i:
-                    tree.add(x, ranks[x])
-            for x in order:
-                if mine[x] == j:
-                    meet(x)
-        if counted:
-            some = [k for k, c in enumerate(count) if c]
-            a, b = [x for x, _ in found] + some, [ids[y] for _, y in found] + [None] * len(some)
-            return pa.Table.from_arrays([pa.array([ids[x] for x in a], pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(found) + [count[k] for k in some], pa.int64())], names=["a", "b", "n_links"])
+            for x in np.flatnonzero(mine == i).tolist():
+                tree.add(x, ranks[x])
+            for x in np.flatnonzero(mine == j).tolist():
+                found += [(x, y) for y in tree.links(x, ranks[x])]
         return pa.Table.from_arrays([pa.array([ids[x] for x, _ in found], pa.int64()), pa.array([ids[y] for _, y in found], pa.int64())], names=["a", "b"])
 
     return join

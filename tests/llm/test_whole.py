@@ -43,6 +43,58 @@ def test_jaccard_counts_every_link(spark, block):
     assert sorted((r.doc_id, r.n_links) for r in twice.distinct().collect()) == want
 
 
+@pytest.mark.parametrize("later", [True, False])
+def test_sets_walk_the_tree_together(later):
+    rng = random.Random(11)
+    base = [sorted(rng.sample(range(900), n)) for n in (3, 60, 200, 300)]
+    sets = sorted((sorted(set(rng.choice(base)) - set(rng.sample(range(900), rng.randint(0, 300)))) or [0] for _ in range(200)), key=len)
+    tree = jaccard_join.PrefixTree([len(s) for s in sets], 900, 75)
+    members = range(200) if later else range(0, 200, 2)
+    for x in members:
+        tree.add(x, np.array(sets[x]))
+    asked = np.arange(200) if later else np.arange(1, 200, 2)
+    linked = {(a, b) for a in range(200) for b in range(200) if 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))}
+    got = [(x, y) for y, xs in tree.meet(asked, [np.array(sets[x]) for x in asked], later) for x in xs.tolist()]
+    assert len(got) == len(set(got)) > 300
+    assert set(got) == {(x, y) for x, y in linked if x in set(asked.tolist()) and y in members and (x > y or not later)}
+
+
+def test_counted_groups_do_not_walk_set_by_set(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    base = rng.sample(range(1, 1 << 40), 60)
+    sets = [sorted(set(base) - set(rng.sample(base, rng.randint(0, 6)))) for _ in range(300)]
+    walks = []
+    monkeypatch.setattr(jaccard_join.PrefixTree, "links", lambda self, *_: walks.append(1) or iter(()))
+    monkeypatch.setattr(jaccard_join, "MARKS", 60 * 128)  # several batches
+    columns = {"_id": range(300), "n": map(len, sets), "tokens": [np.array(s, np.uint64).tobytes() for s in sets], "many": [np.full(len(s), 300, np.uint32).tobytes() for s in sets], "times": [k % 3 + 1 for k in range(300)]}
+    t = pa.table({k: list(v) for k, v in columns.items()} | {k: [0] * 300 for k in ("block", "i", "j", "shard")})
+    out = jaccard_join._join_block(75, True)(t).to_pylist()
+    link = [[a != b and 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b])) for b in range(300)] for a in range(300)]
+    want = {a: n for a in range(300) if (n := sum((b % 3 + 1) * link[a][b] for b in range(300)))}
+    assert not walks and {r["a"]: r["n_links"] for r in out if r["b"] is None} == want and sum(r["b"] is not None for r in out) == 299
+
+
+@pytest.mark.parametrize("size", [1 << 20, 50])
+def test_components_of_a_long_path(spark, size):
+    from quillframe.llm import common
+    from quillframe.llm.components import components
+
+    rng = random.Random(6)
+    name = rng.sample(range(10**6), 1000)
+    links = [(name[k], name[k + 1]) for k in range(999) if k % 333 != 332]
+    rng.shuffle(links)
+    want = {n: min(name[g * 333 : (g + 1) * 333]) for g in range(3) for n in name[g * 333 : (g + 1) * 333]}
+    df = spark.createDataFrame([*links, *links[:40], (5_000_000, 5_000_000), (None, 1)], "a long, b long").repartition(7)
+    before = len(common.tables(spark))
+    got = components(df, size)
+    if size > 1000:
+        assert len(common.tables(spark)) - before <= 2  # no rounds for what one task can do
+    assert sorted((r.node, r.component) for r in got.collect()) == sorted(want.items())
+    assert components(df.limit(0), size).count() == 0
+
+
 def test_secrets_in_paths_and_beside_base_spans():
     rng = random.Random(2)
     key = "".join(rng.choice(secrets_scan.ALPHABETS["base64"][:62]) for _ in range(40))
