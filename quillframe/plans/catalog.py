@@ -408,8 +408,7 @@ z AS (SELECT *, CASE WHEN c1 > 0 THEN 0.7::DOUBLE * COALESCE(c12, 0) / c1 + 0.3:
 SELECT doc_id, pos, CAST(k AS INTEGER) AS k, round(ln(greatest(1e-12, CASE WHEN c21 > 0 THEN 0.6::DOUBLE * COALESCE(c123, 0) / c21 + 0.4::DOUBLE * b ELSE b END)), 6) AS logp FROM z"""
 )
 def word_logprob(spark: SparkSession, d: str) -> DataFrame:
-    x = _lines(spark, d)
-    return lm.word_log_prob(lm.contexts(x, ["doc_id", "pos"])).select("doc_id", "pos", "k", F.round("logp", 6).alias("logp"))
+    return lm.own_log_prob(_lines(spark, d), ["doc_id", "pos"]).select("doc_id", "pos", "k", F.round("logp", 6).alias("logp"))
 
 
 _CONV = """c AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s-]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w FROM conversations),

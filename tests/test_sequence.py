@@ -181,3 +181,18 @@ def test_noise_is_looked_for_where_it_can_be(spark):
     lexicon, tri = spark.createDataFrame([("ab",)], "word string"), spark.createDataFrame([("^^a", 1)], "tri string, n long")
     plan = S.dewrap(df, lexicon, tri)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("\\d{1,2}") <= 3  # of the lines, of those whose words are asked, and of the words
+
+
+def test_own_log_probabilities_move_each_word_once(spark, monkeypatch):
+    texts = ["a b a b c", "a", "", None, "a b", "b  a-b a", "the the the the", "c c", "É é x1 _ y"] * 3 + ["only once here"]
+    df = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, pos int, text string")
+    general = lm.word_log_prob(lm.contexts(df, ["doc_id", "pos"])).select("doc_id", "pos", "k", "logp")
+    want = sorted((*r[:3], round(r[3], 9)) for r in general.collect())
+    for most in (lm.COMMON, 3):  # 3: most words are no common ones, so they are joined
+        monkeypatch.setattr(lm, "COMMON", most)
+        out = lm.own_log_prob(df, ["doc_id", "pos"])
+        assert sorted((*r[:3], round(r[3], 9)) for r in out.collect()) == want
+        assert lm.own_log_prob(df.limit(0), ["doc_id", "pos"]).count() == 0
+    monkeypatch.setattr(lm, "COMMON", 1_000_000)
+    plan = lm.own_log_prob(df, ["doc_id", "pos"])._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
