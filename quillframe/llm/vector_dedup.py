@@ -5,17 +5,19 @@
    sample only places vectors: all of them are joined, whatever it is.
 2. Each block's task builds its cover tree: nested centres at halving radii, a point in the child whose centre it is nearest to.
    A tree is written as its points in depth-first order with the highest level of each as a centre, so a node is a range of points.
-3. Pairs of blocks whose covering balls come within the distance are joined by walking both trees: a pair of nodes goes
+3. Blocks meet in teams of neighbours, so a vector is copied once for each team. Pairs of blocks whose covering balls come within the distance are joined by walking both trees: a pair of nodes goes
    when its centres are farther apart than the distance and both covering radii, counts whole when all of it must lie within, and is opened otherwise. Counts are
    added by ranges, groups by joining neighbours, so no list of pairs is made.
 4. Links make components.
 
-Vectors without structure (no two nodes closer than their radii) leave nothing to prune: then each pair of centres is looked at, by matrix products.
+Vectors without structure (no two nodes closer than their radii) leave nothing to prune: then each pair of centres is looked at, by matrix products
+of their leading coordinates: these and the lengths of what is left out bound a cosine, and few pairs get to the bound.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +40,12 @@ LEAST_RADIUS = 1 / 64
 SLACK = 1e-6
 #: Rows of a matrix product.
 ROWS = 512
+#: Bytes of vectors, in double precision, that a team of blocks has at most.
+TEAM_BYTES = 32 << 20
+#: Levels whose nodes are less than so many times those of another are passed over.
+FEW = 1.25
+#: Links of points that are held before they are counted.
+HELD = 1 << 20
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -54,7 +62,7 @@ def apart(cosine: np.ndarray) -> np.ndarray:
 class CoverTree:
     """points: unit vectors in depth-first order; top: the highest level at which each is a centre; level l covers radius 2 / 2**l.
 
-    The node of a centre v at level l >= top[v] is the range of points from v to the next point of a level <= l."""
+    The node of a centre v at level l >= top[v] is the range of points from v to the next point of a level <= l. Trees one behind the other are one with several roots."""
 
     points: np.ndarray
     top: np.ndarray
@@ -154,6 +162,8 @@ class DualJoin:
         self.weight = weight
         self.total = np.concatenate([[0], np.cumsum(weight)])
         self.step = max(64, (16 << 20) // (8 * self.points.shape[1]))  # vectors that are looked up at a time
+        self.low = self._leading()
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
         n = len(self.points)
         self.count, self.range = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
         self.glue = np.zeros(n + 1, np.int64)
@@ -166,19 +176,41 @@ class DualJoin:
         if not len(a.points) or not len(b.points):
             return self.count, self.labels.of
         tables = [[t.nodes(level) for level in range(depth)] for t in self.trees]
-        # node numbers at a level, and the cosine of their centres in single precision
-        pairs = (np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([self.single[0] @ self.single[self.offset]]))
-        for level in range(depth):
+        # node numbers at a level, and the cosine of their centres in single precision; first of all roots
+        roots = self.single[tables[0][0][0]] @ self.single[tables[1][0][0] + self.offset].T
+        x, y = np.nonzero(np.triu(np.ones(roots.shape, bool)) if self.same else np.ones(roots.shape, bool))
+        pairs = (x, y, roots[x, y])
+        nodes = [len(a[0]) + len(b[0]) for a, b in zip(*tables, strict=True)]
+        level = 0
+        while True:
             (sa, ea, ra), (sb, eb, rb) = tables[0][level], tables[1][level]
             pairs = self._settle(*pairs, sa, ea, ra, sb + self.offset, eb + self.offset, rb, level == depth - 1)
             if not len(pairs[0]) or level == depth - 1:
                 break
-            pairs = self._open(*pairs, tables[0][level], tables[0][level + 1], tables[1][level], tables[1][level + 1])
+            # a level that opens few nodes only leaves wide ones to meet all others: it is passed over
+            above, level = level, max(k for k in range(level + 1, depth) if nodes[k] <= FEW * nodes[level + 1])
+            pairs = self._open(*pairs, tables[0][above], tables[0][level], tables[1][above], tables[1][level])
+            self._count_held()
         self.count += np.cumsum(self.range)[:-1]
         linked = np.flatnonzero(np.cumsum(self.glue)[:-1] > 0)
         self.labels.join(linked, linked + 1)
         return self.count, self.labels.of
 
+    def _leading(self) -> np.ndarray:
+        """Of each point its coordinates on the leading axes of some points, and the length of what these leave out: the product of two such rows is no less than the cosine.
+
+        So many axes that what is left out bounds pairs below the cosine, as far as the points are alike; the axes decide nothing else."""
+        some = self.points[:: -(-len(self.points) // 2048)]
+        energy, axes = np.linalg.eigh(some.T @ some / max(1, len(some)))
+        left = 1 - np.cumsum(energy[::-1])
+        k = min(len(left), int(np.count_nonzero(left > 0.63 * self.cosine)) + 1)
+        out = np.empty((len(self.points), k + 1), np.float32)
+        for at in range(0, len(out), self.step):
+            low = self.points[at : at + self.step] @ axes[:, ::-1][:, :k]
+            out[at : at + self.step, :k] = low
+            out[at : at + self.step, k] = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", low, low)))
+        return out
+
     def _exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether points link, in double precision."""
         out = np.zeros(len(i), bool)
@@ -191,6 +223,17 @@ class DualJoin:
         np.add.at(self.count, j, self.weight[i])
         self.labels.join(i, j)
 
+    def _hold(self, i: np.ndarray, j: np.ndarray) -> None:
+        if len(i):
+            self.held.append((i, j))
+            if sum(len(a) for a, _ in self.held) > HELD:
+                self._count_held()
+
+    def _count_held(self) -> None:
+        if self.held:
+            self._link(*(np.concatenate(c) for c in zip(*self.held, strict=True)))
+            self.held = []
+
     def _settle(self, x, y, cosine, sa, ea, ra, sb, eb, rb, last: bool) -> tuple[np.ndarray, np.ndarray]:
         """Of pairs of nodes the ones that must be opened; all others are decided."""
         i, j = sa[x], sb[y]
@@ -270,38 +313,56 @@ class DualJoin:
                 columns = right[(below_b[2][right] == 0) == one_b]
                 if not len(columns):
                     continue
+                if one_a and one_b:
+                    for k in range(0, len(rows), ROWS):
+                        self._hold(*self._near_points(below_a[0][rows[k : k + ROWS]], below_b[0][columns] + self.offset, own))
+                    continue
                 c = self.single[below_b[0][columns] + self.offset]
                 for k in range(0, len(rows), ROWS):
                     r = rows[k : k + ROWS]
                     cosine = self.single[below_a[0][r]] @ c.T
-                    bound = self._bound(np.float32(0)) if one_a and one_b else self._bound(below_a[2][r][:, None].astype(np.float32) + below_b[2][columns].astype(np.float32))
-                    at = np.flatnonzero(cosine >= bound)
+                    at = np.flatnonzero(cosine >= self._bound(below_a[2][r][:, None].astype(np.float32) + below_b[2][columns].astype(np.float32)))
                     near = cosine.ravel()[at]
                     i, j = r[at // len(columns)], columns[at % len(columns)]
                     if own:
                         once = i <= j
                         i, j, near = i[once], j[once], near[once]
-                    if one_a and one_b:
-                        i, j = below_a[0][i], below_b[0][j] + self.offset
-                        sure = near >= self.cosine + self.slack
-                        edge = np.flatnonzero(~sure)
-                        sure[edge] = self._exact(i[edge], j[edge])
-                        sure &= i != j
-                        self._link(i[sure], j[sure])
-                    else:
-                        out.append((i, j, near))
+                    out.append((i, j, near))
         return out
 
+    def _near_points(self, i: np.ndarray, j: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Those of two lists of points that link; in one list each pair once."""
+        least = self.cosine - self.slack
+        at = np.flatnonzero(self.low[i] @ self.low[j].T >= least)
+        if len(at) * 16 > len(i) * len(j):  # then a product of all is less work
+            cosine = (self.single[i] @ self.single[j].T).ravel()[at]
+            near = cosine >= least
+            at, cosine = at[near], cosine[near]
+            a, b = i[at // len(j)], j[at % len(j)]
+        else:
+            a, b = i[at // len(j)], j[at % len(j)]
+            cosine = np.concatenate([np.zeros(0, np.float32)] + [np.einsum("ij,ij->i", self.single[a[k : k + self.step]], self.single[b[k : k + self.step]]) for k in range(0, len(a), self.step)])
+        near = (cosine >= least) & ((a < b) if own else (a != b))
+        a, b, cosine = a[near], b[near], cosine[near]
+        edge = np.flatnonzero(cosine < self.cosine + self.slack)
+        sure = np.ones(len(a), bool)
+        sure[edge] = self._exact(a[edge], b[edge])
+        return a[sure], b[sure]
 
-def _matrix(blobs: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Vectors of one length as rows."""
-    some = blobs.to_pylist()
-    return np.frombuffer(b"".join(some), np.float64).reshape(len(some), -1)
+
+def _matrix(blobs: pa.Array | pa.ChunkedArray | list[bytes], dim: int) -> np.ndarray:
+    """Vectors of one length as rows in double precision; their bytes are of single or double precision, as their column was."""
+    some = blobs if isinstance(blobs, list) else blobs.to_pylist()
+    flat = b"".join(some)
+    return np.frombuffer(flat, np.float32 if len(flat) == 4 * dim * len(some) else np.float64).reshape(len(some), dim).astype(np.float64)
 
 
 def parsed(vectors: DataFrame) -> DataFrame:
-    """vec_id, dim, digest, vector of each row; dim is null where the vector can link with nothing (null, empty, zero, or with a component that is null or not finite), or has no vec_id."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
+    """vec_id, dim, digest, vector of each row; dim is null where the vector can link with nothing (null, empty, zero, or with a component that is null or not finite), or has no vec_id.
+
+    A vector's bytes are of single precision if its column is, else of double."""
+    kind = "float" if vectors.select("embedding").schema[0].dataType.simpleString() == "array<float>" else "double"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,7 +390,7 @@ def _routes(sets: DataFrame, centres: int) -> dict[int, np.ndarray]:
         by.setdefault(r.dim, []).append(bytes(r.vector))
     out = {}
     for dim, some in by.items():
-        x = unit(np.frombuffer(b"".join(some), np.float64).reshape(len(some), dim))
+        x = unit(_matrix(some, dim))
         out[dim] = x[CoverTree.build(x)[0]]
     return out
 
@@ -345,7 +406,7 @@ def _placed(sets: DataFrame, centres: int) -> DataFrame:
             for dim in np.unique(dims):
                 if (c := routes.get(int(dim))) is not None:
                     at = np.flatnonzero(dims == dim)
-                    x = unit(_matrix(b.column("vector").take(pa.array(at))))
+                    x = unit(_matrix(b.column("vector").take(pa.array(at)), int(dim)))
                     cell[at] = np.concatenate([(x[k : k + ROWS] @ c.T).argmax(axis=1) for k in range(0, len(x), ROWS)])
             yield b.append_column("cell", pa.array(cell))
 
@@ -369,53 +430,61 @@ def _blocks(placed: DataFrame, block: int) -> DataFrame:
 
 
 def _trees(placed: DataFrame, block: int) -> DataFrame:
-    """dim, block, set, rep, times, pos, top, reach, vector (a unit vector): each block's cover tree; reach is its radius around its first point."""
+    """dim, block, set, rep, times, pos, top, reach, vector: each block's cover tree; reach is its radius around its first point."""
     where = _blocks(placed, block)
     dealt = placed.join(F.broadcast(where), ["dim", "cell"]).withColumn("block", F.col("block") + F.pmod(F.xxhash64("set"), F.col("shards")).cast("int"))
 
     def build(t: pa.Table) -> pa.Table:
         t = t.sort_by("set")
-        x = unit(_matrix(t.column("vector")))
+        x = unit(_matrix(t.column("vector"), t.column("dim")[0].as_py()))
         order, top = CoverTree.build(x)
         t, x = t.take(pa.array(order)), x[order]
         n = len(x)
         reach = float(apart((x @ x[0]).min())) + 1e-7
-        return pa.table([t.column("dim"), t.column("block"), t.column("set"), t.column("rep"), t.column("times"), pa.array(np.arange(n, dtype=np.int32)), pa.array(top.astype(np.int32)), pa.array(np.full(n, reach)), pa.array([v.tobytes() for v in x], pa.binary())], names=["dim", "block", "set", "rep", "times", "pos", "top", "reach", "vector"])
+        return pa.table([t.column("dim"), t.column("block"), t.column("set"), t.column("rep"), t.column("times"), pa.array(np.arange(n, dtype=np.int32)), pa.array(top.astype(np.int32)), pa.array(np.full(n, reach)), t.column("vector")], names=["dim", "block", "set", "rep", "times", "pos", "top", "reach", "vector"])
 
     columns = "dim int, block int, set long, rep long, times long, pos int, top int, reach double, vector binary"
     return dealt.select("dim", "block", "set", "rep", "times", "vector").groupBy("dim", "block").applyInArrow(build, columns)
 
 
 def _pairs(trees: DataFrame, cosine: float) -> DataFrame:
-    """i, j (i <= j): blocks of vectors of one length whose covering balls come near enough."""
+    """dim, i, j (i <= j): blocks of vectors of one length whose covering balls come near enough."""
     reach = float(apart(np.float64(cosine)))
     balls = materialize(trees.filter("pos = 0").select("dim", "block", "reach", "vector"), "vector-balls")
     last = balls.groupBy("dim").agg(F.max("block").alias("last"))
-    left = balls.join(last, "dim").withColumn("j", F.explode(F.sequence("block", "last"))).select(F.col("block").alias("i"), "j", F.col("reach").alias("ri"), F.col("vector").alias("vi"))
-    right = balls.select(F.col("block").alias("j"), F.col("reach").alias("rj"), F.col("vector").alias("vj"))
+    left = balls.join(last, "dim").withColumn("j", F.explode(F.sequence("block", "last"))).select("dim", F.col("block").alias("i"), "j", F.col("reach").alias("ri"), F.col("vector").alias("vi"))
+    right = balls.select("dim", F.col("block").alias("j"), F.col("reach").alias("rj"), F.col("vector").alias("vj"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                vi, vj = (_matrix(b.column(c)) for c in ("vi", "vj"))
-                ok = apart(np.einsum("ij,ij->i", vi, vj)) <= reach + b.column("ri").to_numpy() + b.column("rj").to_numpy() + 1e-7
-                yield b.filter(pa.array(ok)).select(["i", "j"])
+            dims = b.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                c = b.filter(pa.array(dims == dim))
+                vi, vj = (unit(_matrix(c.column(v), int(dim))) for v in ("vi", "vj"))
+                ok = apart(np.einsum("ij,ij->i", vi, vj)) <= reach + c.column("ri").to_numpy() + c.column("rj").to_numpy() + 1e-7
+                yield c.filter(pa.array(ok)).select(["dim", "i", "j"])
+
+    return left.join(right, ["dim", "j"]).select("dim", "i", "j", "ri", "rj", "vi", "vj").mapInArrow(near, "dim int, i int, j int")
 
-    return left.join(right, "j").select("i", "j", "ri", "rj", "vi", "vj").mapInArrow(lambda bs: near(x for b in bs for x in _by_length(b)), "i int, j int")
 
+def _tiles(trees: DataFrame, pairs: DataFrame, block: int) -> DataFrame:
+    """The rows of trees, dealt out to pairs of teams i, j (i <= j) of neighbouring blocks, each block to the pairs where it comes near another.
 
-def _by_length(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    n = np.array([len(v) for v in b.column("vi").to_pylist()])
-    for k in np.unique(n):
-        yield b.filter(pa.array(n == k))
+    Teams are as large as leaves four pairs of them for each core, and as TEAM_BYTES allows: what moves grows with their number."""
+    widest, blocks = pairs.agg(F.max("dim"), F.count_if(F.col("i") == F.col("j"))).first()
+    teams = math.ceil(math.sqrt(8 * trees.sparkSession.sparkContext.defaultParallelism))
+    size = max(1, min(-(-blocks // teams), TEAM_BYTES // (8 * block * (widest or 1))))
+    team = lambda c: F.floor(F.col(c) / size).cast("int")
+    ends = pairs.select("dim", team("i").alias("i"), team("j").alias("j"), F.explode(F.array("i", "j")).alias("block")).distinct()
+    return trees.select("dim", "block", team("block").alias("team"), "set", "rep", "times", "pos", "top", "vector").join(ends, ["dim", "block"])
 
 
 def _join(cosine: float):
     def join(t: pa.Table) -> pa.Table:
-        """(set, null, links) and (rep, rep of the group, null) of the points of two blocks."""
+        """(set, null, links) and (rep, rep of the group, null) of the points of two teams of blocks."""
         t = t.sort_by([("block", "ascending"), ("pos", "ascending")])
-        x, top = _matrix(t.column("vector")), t.column("top").to_numpy()
-        cut = int(np.count_nonzero(t.column("block").to_numpy() == t.column("i")[0].as_py()))
+        x, top = unit(_matrix(t.column("vector"), t.column("dim")[0].as_py())), t.column("top").to_numpy()
+        cut = int(np.count_nonzero(t.column("team").to_numpy() == t.column("i")[0].as_py()))
         one = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         weight, rep, ids = (t.column(c).to_numpy() for c in ("times", "rep", "set"))
         trees = (CoverTree(x, top), None) if one else (CoverTree(x[:cut], top[:cut]), CoverTree(x[cut:], top[cut:]))
@@ -444,9 +513,7 @@ def join(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, centres
     placed = materialize(_placed(sets, centres), "vectors-placed")
     trees = materialize(_trees(placed, block), "vector-trees")
     pairs = materialize(_pairs(trees, cosine), "vector-pairs")
-    ends = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    tiles = trees.select("block", "set", "rep", "times", "pos", "top", "vector").join(ends, "block")
-    found = materialize(tiles.groupBy("i", "j").applyInArrow(_join(cosine), "a long, b long, links long"), "vector-links")
+    found = materialize(_tiles(trees, pairs, block).groupBy("dim", "i", "j").applyInArrow(_join(cosine), "a long, b long, links long"), "vector-links")
     number = found.filter("links is not null").groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
     number = materialize(sets.select("set", "digest", "times", "rep").join(number, "set", "left").select("digest", "rep", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")), "vector-counts")
     counted = materialize(rows.select("vec_id", "digest").join(number, "digest", "left").select("vec_id", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links")), "vectors-counted")

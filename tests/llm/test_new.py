@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -188,6 +189,33 @@ def test_cover_trees_and_their_join(kind):
     assert (count == (cross @ weight)[both]).all()
 
 
+def test_trees_of_several_roots_and_teams_of_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = vector_dedup.unit(np.concatenate([rng.normal(size=(400, 24)), np.eye(24)[:1] + rng.normal(size=(150, 24)) * 0.06, np.eye(24)[1:2] + rng.normal(size=(50, 24)) * 0.005])[rng.permutation(600)])
+    weight = rng.integers(1, 4, len(x))
+    order, top = (np.concatenate(c) for c in zip(*((k + o, t) for k in range(0, 600, 120) for o, t in [vector_dedup.CoverTree.build(x[k : k + 120])])))
+    x, weight = x[order], weight[order]
+    linked = x @ x.T >= 0.9
+    np.fill_diagonal(linked, False)
+    count, group = vector_dedup.DualJoin(vector_dedup.CoverTree(x, top), None, weight, 0.9).run()
+    assert (count == linked @ weight).all() and len(set(group)) == components(linked)
+    forests = [vector_dedup.CoverTree(x[a:b], top[a:b]) for a, b in ((0, 240), (240, 600))]
+    join = vector_dedup.DualJoin(*forests, weight, 0.9)
+    linked[:240, :240] = linked[240:, 240:] = False
+    assert (join.run()[0] == linked @ weight).all()
+    # what the leading coordinates let through holds each pair at the cosine, on fewer axes
+    assert (join.low @ join.low.T >= join.points @ join.points.T - join.slack).all() and join.low.shape[1] < 24
+    # a vector goes to no more pairs of teams than there are teams, however many blocks there are
+    far = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 24)))], "vec_id long, embedding array<float>")
+    sets = vector_dedup.parsed(far).withColumns({"set": F.col("vec_id"), "rep": F.col("vec_id"), "times": F.lit(1).cast("long")})
+    trees = vector_dedup._trees(vector_dedup._placed(sets, 64), 10).persist()
+    assert trees.select("block").distinct().count() >= 90
+    tiles = vector_dedup._tiles(trees, vector_dedup._pairs(trees, 0.9), 10)
+    teams = int(np.ceil(np.sqrt(8 * spark.sparkContext.defaultParallelism)))
+    assert 900 < tiles.count() <= 900 * teams
+    trees.unpersist()
+
+
 def components(linked):
     left, n = set(range(len(linked))), 0
     while left:
